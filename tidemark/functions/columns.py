@@ -20,7 +20,8 @@ MINUTE_FORMAT = "yyyy-MM-dd HH:mm"
 
 def trip_duration_minutes(pickup="tpep_pickup_datetime", dropoff="tpep_dropoff_datetime") -> Column:
     """Whole seconds between the two timestamps, in minutes."""
-    return F.timestamp_diff("SECOND", F.col(pickup), F.col(dropoff)) / F.lit(60.0)
+    elapsed = (F.col(dropoff) - F.col(pickup)).cast("interval second").cast("bigint")
+    return elapsed / F.lit(60.0)
 
 
 def _ratio(top: Column, bottom: Column, mode: str) -> Column:
@@ -68,7 +69,8 @@ def bin_floor(ts: str | Column, width: int | Column) -> Column:
     """
     ts = F.col(ts) if isinstance(ts, str) else ts
     width = F.lit(width) if isinstance(width, int) else width
-    second = F.floor(seconds_of_day(ts) / width) * width
+    second = seconds_of_day(ts)
+    second = second - second % width
     midnight = F.to_date(ts).cast("timestamp_ntz")
     return midnight + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second.cast("decimal(18,6)"))
 

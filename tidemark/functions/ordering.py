@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.joins import join_on
-from tidemark.session import broadcast_if_small, checkpointed
+from tidemark.session import checkpointed, stored_lookup
 
 BLOCK_ROWS = 50_000
 
@@ -20,10 +20,11 @@ BLOCK_ROWS = 50_000
 def with_position(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Add ``_pos`` (0-based by ``ts`` within ``keys``) and ``_n`` (group size).
 
-    Made for binned series, where a (series, day) pair holds few rows.
+    Made for binned series, where a (series, day) pair holds few rows.  The
+    series is stored first, since it is read for the counts and for the rows.
     """
-    keyed = df.withColumn("_g", F.lit(0)).withColumn("_day", F.to_date(ts))
-    group = ["_g", *keys]
+    keyed = checkpointed(df).select("*", F.lit(0).alias("_one"), F.to_date(ts).alias("_day"))
+    group = ["_one", *keys]
     whole = Window.partitionBy(*group)
     days = (
         keyed.groupBy(*group, "_day")
@@ -36,7 +37,7 @@ def with_position(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     return (
         join_on(keyed, days, [*group, "_day"])
         .withColumn("_pos", F.col("_before") + F.row_number().over(in_day) - 1)
-        .drop("_g", "_day", "_before")
+        .drop("_one", "_day", "_before")
     )
 
 
@@ -101,4 +102,4 @@ def per_group(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
         # a whole-table result is a single row
         return df.join(F.broadcast(table), how="left")
-    return join_on(df, broadcast_if_small(table), keys, "left")
+    return join_on(df, stored_lookup(table), keys, "left")

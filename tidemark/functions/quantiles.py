@@ -9,11 +9,11 @@ thousandth of a group's value range is ever ordered in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.joins import join_on
-from tidemark.session import broadcast_if_small, checkpointed
+from tidemark.session import BROADCAST_ROWS, checkpointed
 
 SLICES_PER_NAT = 1024
 _LARGEST = 1.7976931348623157e308
@@ -49,24 +49,22 @@ def quantiles(
     v = F.col(value).cast("double")
     usable = v.isNotNull() & ~F.isnan(v)
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    kept = F.when(usable, v)
     base = df.select(
-        F.lit(0).alias("_all"),
-        *keys,
-        F.when(usable, v).alias("_v"),
-        F.when(usable, w).otherwise(F.lit(0)).alias("_w"),
-    ).withColumn("_slice", value_slice(F.col("_v")))
+        F.lit(0).alias("_all"), *keys, kept.alias("_v"),
+        F.when(usable, w).otherwise(F.lit(0)).alias("_w"), value_slice(kept).alias("_slice"))
     group = ["_all", *keys]
 
     by_group = Window.partitionBy(*group)
-    running = by_group.orderBy(F.col("_slice").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    by_slice = by_group.orderBy(F.col("_slice").asc_nulls_first())
+    running = by_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slices = (
         base.groupBy(*group, "_slice")
         .agg(F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .withColumn("n", F.sum("_c").over(by_group))
-        .withColumn("_start", F.sum("_c").over(running) - F.col("_c"))
-        .withColumn("_first", F.row_number().over(
-            by_group.orderBy(F.col("_slice").asc_nulls_first())) == 1)
+        .select(
+            "*", F.sum("_c").over(by_group).alias("n"),
+            (F.sum("_c").over(running) - F.col("_c")).alias("_start"),
+            (F.row_number().over(by_slice) == 1).alias("_first"))
     )
 
     def holds(rank: Column) -> Column:
@@ -76,27 +74,30 @@ def quantiles(
     for prob in probs.values():
         low, high, _ = _ranks(F.col("n"), prob)
         wanted = wanted | holds(low) | holds(high)
-    picked = checkpointed(
-        slices.withColumn("_wanted", wanted).filter(F.col("_wanted") | F.col("_first"))
-    )
-
+    picked = slices.select("*", wanted.alias("_wanted")).filter(F.col("_wanted") | F.col("_first"))
     # Slices with a single value need no second look.
-    settled = picked.filter(~F.col("_wanted") | (F.col("_lo") == F.col("_hi"))).select(
+    is_open = F.col("_wanted") & (F.col("_lo") < F.col("_hi"))
+    if keys:
+        seen = Observation()
+        picked = checkpointed(picked.observe(seen, F.count_if(is_open).alias("open")))
+        few = seen.get["open"] <= BROADCAST_ROWS
+    else:
+        # at most two slices per probability
+        few = True
+    settled = picked.filter(~is_open).select(
         *group, "n", "_start", F.when(F.col("_wanted"), F.col("_c")).otherwise(0).alias("_c"),
         F.col("_lo").alias("_v"))
-    open_ = picked.filter(F.col("_wanted") & (F.col("_lo") < F.col("_hi"))).select(
-        *group, "_slice", "n", F.col("_start").alias("_before"))
-    small = broadcast_if_small(open_)
+    open_ = picked.filter(is_open).select(*group, "_slice", "n", F.col("_start").alias("_before"))
     values = [*group, "_slice", "_v"]
-    if small is open_:
-        counted = base.groupBy(*values).agg(F.sum("_w").alias("_c"))
-        counted = join_on(counted, open_, [*group, "_slice"])
-    else:
+    if few:
         counted = (
-            join_on(base, small, [*group, "_slice"])
+            join_on(base, F.broadcast(open_), [*group, "_slice"])
             .groupBy(*values)
             .agg(F.sum("_w").alias("_c"), F.max("n").alias("n"), F.max("_before").alias("_before"))
         )
+    else:
+        # count equal values first, so the join moves each distinct value once
+        counted = join_on(base.groupBy(*values).agg(F.sum("_w").alias("_c")), open_, [*group, "_slice"])
     in_slice = Window.partitionBy(*group, "_slice").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     read = counted.withColumn(

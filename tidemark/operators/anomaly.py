@@ -12,6 +12,7 @@ from tidemark.functions.quantiles import medians, scalar_mad
 from tidemark.operators import series as S
 from tidemark.operators.records import guarded_limit
 from tidemark.schema import MAD_FLOOR, Z_SCALE
+from tidemark.session import checkpointed
 
 # ---- fixed values -----------------------------------------------------------
 LOCAL_MIN_WINDOW = 20
@@ -29,7 +30,8 @@ def two_sided(z: Column, k: float) -> Column:
 
 def mad_by(df: DataFrame, keys: list[str], value: str, center: str = "median", spread: str = "mad") -> DataFrame:
     """Median and median absolute deviation per group, for groups of any size."""
-    middle = medians(df, keys, value, center).drop("n")
+    df = checkpointed(df.select(*keys, value))
+    middle = checkpointed(medians(df, keys, value, center).drop("n"))
     dev = per_group(df.select(*keys, value), middle, keys).withColumn(
         "_dev", F.abs(F.col(value) - F.col(center)))
     return per_group(middle, medians(dev, keys, "_dev", spread).drop("n"), keys)
@@ -122,6 +124,7 @@ def local_deviation(series: DataFrame, keys: list[str] | None = None, width: int
         .filter("_own").drop("_block", "_own", "_pos")
         .withColumnRenamed("_n", "n_rows")
     )
+    rows = checkpointed(rows)
     scale = medians(rows.withColumn("_size", F.abs("dev")), keys, "_size", "scale").drop("n")
     return per_group(rows, scale, keys).withColumn("scale", F.greatest("scale", F.lit(MAD_FLOOR)))
 
@@ -144,7 +147,7 @@ def blend_score(series: DataFrame, k: float, model_z: str = "z", keys: list[str]
 
 def series_robust_z(scored: DataFrame, score: str, keys: list[str] | None = None, name: str = "z") -> DataFrame:
     """z-score of a model score against its own series' median and MAD."""
-    keys = keys or []
+    keys, scored = keys or [], checkpointed(scored)
     stats = mad_by(scored, keys, score, "_center", "_spread")
     z = C.robust_z(F.col(score), F.col("_center"), F.col("_spread"))
     return per_group(scored, stats, keys).withColumn(name, z).drop("_center", "_spread")

@@ -12,7 +12,7 @@ from tidemark.functions import columns as C
 from tidemark.functions.joins import join_on
 from tidemark.functions.quantiles import scalar_mad
 from tidemark.schema import ALL_VENDORS, COUNT_METRIC, GUARD_ROWS, PAGE_SIZES, canonical
-from tidemark.session import broadcast_if_small, checkpointed
+from tidemark.session import broadcast_if_small, stored_lookup
 
 PICKUP = "tpep_pickup_datetime"
 
@@ -69,11 +69,10 @@ def attach_hourly_stats(trips: DataFrame) -> DataFrame:
     row per hour of the data's span and combines map-side, and no hour's trips
     meet in one task.
     """
-    summary = checkpointed(hourly_summary(trips))
     plain = trips.drop("hourly_trip_volume", "hourly_avg_speed")
     return join_on(
         plain.withColumn("pickup_hour", C.trunc_hour(PICKUP)),
-        broadcast_if_small(summary), ["pickup_hour"], "left",
+        stored_lookup(hourly_summary(trips)), ["pickup_hour"], "left",
     ).drop("pickup_hour")
 
 
@@ -318,9 +317,9 @@ def hour_context(new: DataFrame, trips: DataFrame, entries: DataFrame, is_new: b
         F.count(F.lit(1)).alias("_trips"), F.avg("trip_speed_mph").alias("_speed"))
     manual = active_entries(entries).groupBy(hour).agg(F.count(F.lit(1)).alias("_entries"))
     # one row per hour of the span
-    hours = checkpointed(stored.join(manual, "_hour", "full"))
+    hours = stored_lookup(stored.join(manual, "_hour", "full"))
     found = derive_entry_metrics(new).withColumn("_hour", C.trunc_hour(PICKUP)).join(
-        broadcast_if_small(hours), "_hour", "left")
+        hours, "_hour", "left")
     volume = F.coalesce("_trips", F.lit(0)) + F.coalesce("_entries", F.lit(0)) + F.lit(int(is_new))
     speed = F.coalesce(F.nullif("_speed", F.lit(0.0)), "trip_speed_mph")
     return found.withColumns(

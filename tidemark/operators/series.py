@@ -334,40 +334,37 @@ def context_and_horizon(
 
 def fixed_windows(
     series: DataFrame, context: int, horizon: int, stride: int, cap: int | None = None,
-    keys: list[str] | None = None, first_origin: Column | int | None = None,
+    keys: list[str] | None = None, first_origin: Column | int | None = None, partial: bool = False,
 ) -> DataFrame:
     """Windows of ``context`` values and the ``horizon`` values after them.
 
     Origins start at position ``context`` (or ``first_origin``) and step by
-    ``stride`` while a full horizon fits.  With ``cap`` an evenly spaced subset
-    is taken.  Rows go to the windows they belong to, so a window's arrays are
-    the only thing gathered: ``keys, origin, origin_ts, context[], target[]``.
+    ``stride`` while a full horizon fits; ``partial`` also keeps short contexts
+    and a short last horizon.  With ``cap`` an evenly spaced subset is taken.
+    Rows go to the windows they belong to, so a window's arrays are the only
+    thing gathered: ``keys, origin, context[], target[], target_ts[]``.
     """
     keys = keys or []
     placed = with_position(series.dropna(subset=["value"]), keys)
     start = F.lit(context) if first_origin is None else (
         F.lit(first_origin) if isinstance(first_origin, int) else first_origin)
-    placed = placed.withColumn("_o0", start.cast("bigint"))
-    count = F.floor((F.col("_n") - horizon - F.col("_o0")) / stride) + 1
-    pos = F.col("_pos")
-    # window k covers positions o0 + k*stride - context .. o0 + k*stride + horizon - 1
-    low = F.ceil((pos - horizon + 1 - F.col("_o0")) / stride)
-    high = F.floor((pos + context - F.col("_o0")) / stride)
-    placed = placed.withColumn("_m", count).withColumn("_lo", F.greatest(low, F.lit(0))).withColumn(
-        "_hi", F.least(high, F.col("_m") - 1)).filter("_lo <= _hi")
-    sent = placed.withColumn("_k", F.explode(F.sequence("_lo", "_hi")))
+    first = start.cast("bigint")
+    pos, size = F.col("_pos"), F.col("_n")
+    count = F.floor((size - first - (1 if partial else horizon)) / stride) + 1
+    # window k covers positions first + k*stride - context .. first + k*stride + horizon - 1
+    low = F.greatest(F.ceil((pos - horizon + 1 - first) / stride), F.lit(0))
+    high = F.least(F.floor((pos + context - first) / stride), count - 1)
+    sent = placed.select("*", first.alias("_first"), count.alias("_m"), low.alias("_lo"), high.alias("_hi"))
+    sent = sent.filter("_lo <= _hi").withColumn("_k", F.explode(F.sequence("_lo", "_hi")))
     if cap:
         sent = sent.filter((F.col("_m") <= cap) | _evenly_picked(F.col("_k"), F.col("_m"), cap))
-    sent = sent.withColumn("origin", F.col("_o0") + F.col("_k") * stride)
-    at = F.col("_pos") - F.col("origin")
-    ordered = F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col("value").cast("double").alias("v"))))
-    gathered = sent.groupBy(*keys, "origin").agg(
-        ordered.alias("_w"), F.max(F.when(at == 0, F.col("ts"))).alias("origin_ts"))
-    values = F.transform("_w", lambda x: x["v"])
+    sent = sent.withColumn("origin", F.col("_first") + F.col("_k") * stride)
+    cell = F.struct((pos - F.col("origin")).alias("at"), "ts", F.col("value").cast("double").alias("v"))
+    gathered = sent.groupBy(*keys, "origin").agg(F.sort_array(F.collect_list(cell)).alias("_w"))
+    behind, ahead = F.filter("_w", lambda x: x["at"] < 0), F.filter("_w", lambda x: x["at"] >= 0)
     return gathered.select(
-        *keys, "origin", "origin_ts",
-        F.slice(values, 1, context).alias("context"),
-        F.slice(values, context + 1, horizon).alias("target"))
+        *keys, "origin", behind["v"].alias("context"), ahead["v"].alias("target"),
+        ahead["ts"].alias("target_ts"))
 
 
 def _evenly_picked(k: Column, m: Column, cap: int) -> Column:

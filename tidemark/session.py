@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side may hold at most this many rows; beyond it the join shuffles.
@@ -46,9 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage there."""
+    """Write ``df`` to the shared folder and cut its lineage there.
+
+    Used for frames that several later steps read.  A frame that is already
+    stored comes back as it is.
+    """
+    if getattr(df, "_stored", False):
+        return df
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    stored._stored = True
+    return stored
 
 
 def within(df: DataFrame, max_rows: int) -> bool:
@@ -60,6 +68,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """Hint a broadcast when ``df`` is known to be small, else leave it as it is.
 
     Without the hint Spark joins by shuffle and splits skewed partitions at run
-    time.  Pass a table or a checkpointed frame, as the check reads it.
+    time.  Pass a table or a stored frame, as the check reads it.
     """
     return F.broadcast(df) if within(df, max_rows) else df
+
+
+def stored_lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Store a derived lookup frame, and hint a broadcast when it came out small."""
+    if getattr(df, "_stored", False):
+        return broadcast_if_small(df, max_rows)
+    seen = Observation()
+    stored = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return F.broadcast(stored) if seen.get["rows"] <= max_rows else stored
