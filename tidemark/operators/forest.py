@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.functions.quantiles import scalar_quantiles
+from tidemark.functions.ordering import per_group
+from tidemark.functions.quantiles import quantiles, scalar_quantiles
 from tidemark.operators import anomaly as A
 from tidemark.operators.series import sample_rows
 from tidemark.schema import (
@@ -25,7 +26,10 @@ from tidemark.schema import (
 )
 from tidemark.session import checkpointed
 
-_NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, path double"
+# Groups a block's trees are grown in; its row pool is copied once per group.
+GROW_GROUPS = 8
+# Rows scored at a time inside a task.
+SCORE_ROWS = 4096
 
 
 def average_path(n: float) -> float:
@@ -62,111 +66,128 @@ def _grow(values: np.ndarray, depth_limit: int, rng: np.random.Generator) -> lis
 
 @dataclass
 class Forest:
-    """A fitted forest: its features, node arrays per tree and score threshold."""
+    """Fitted trees per group key, as (tree, node) arrays, and the features they read.
+
+    A leaf has feature -1 and points to itself.
+    """
 
     features: list[str]
-    trees: list[dict[str, np.ndarray]]
-    tree_rows: int
-    threshold: float | None = None
+    groups: dict[str, dict[str, np.ndarray]]
+
+    def score(self, group: str, values: np.ndarray) -> np.ndarray:
+        """Scores in (0, 1]; NaN where the group has no trees."""
+        found = self.groups.get(group)
+        if found is None:
+            return np.full(len(values), np.nan)
+        out = np.empty(len(values))
+        for start in range(0, len(values), SCORE_ROWS):
+            part = values[start:start + SCORE_ROWS]
+            tree = np.arange(len(found["feature"]))[None, :]
+            row = np.arange(len(part))[:, None]
+            at = np.zeros((len(part), tree.shape[1]), dtype=np.int64)
+            while True:
+                feature = found["feature"][tree, at]
+                inner = feature >= 0
+                if not inner.any():
+                    break
+                left = part[row, np.maximum(feature, 0)] < found["cut"][tree, at]
+                at = np.where(left, found["left"][tree, at], found["right"][tree, at])
+            depth = found["path"][tree, at].mean(axis=1)
+            out[start:start + SCORE_ROWS] = np.exp2(-depth / found["norm"])
+        return out
 
 
 def fit_forest(
     df: DataFrame, features: list[str], trees: int = TREES, tree_rows: int = TREE_ROWS,
-    seed: int = 42, key: str = "id",
-) -> Forest | None:
-    """Grow a forest on rows that have all features; None when fewer than 20 do."""
-    usable = df.dropna(subset=features).select(key, *[F.col(f).cast("double") for f in features])
-    pool = checkpointed(sample_rows(usable, trees * tree_rows, seed, key))
-    size = pool.count()
-    if size < MIN_FOREST_ROWS:
-        return None
-    rows = min(tree_rows, size)
-    # the pool holds at most trees * tree_rows rows
-    numbered = pool.withColumn(
-        "_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1)
-    # tree t takes pool rows a, a+s, a+2s, ... modulo the pool size; s shares no
-    # factor with the size, so a tree's rows are distinct
-    rng = np.random.default_rng(seed)
-    starts = [int(x) for x in rng.integers(0, size, trees)]
-    steps = []
-    while len(steps) < trees:
-        s = int(rng.integers(1, size))
-        if math.gcd(s, size) == 1:
-            steps.append(s)
-    draw = df.sparkSession.range(trees * rows).select(
-        F.floor(F.col("id") / rows).cast("int").alias("tree"), (F.col("id") % rows).alias("_j"))
-    at = (F.get(F.array(*map(F.lit, starts)), F.col("tree"))
-          + F.col("_j") * F.get(F.array(*map(F.lit, steps)), F.col("tree"))) % size
-    drawn = draw.withColumn("_i", at).join(F.broadcast(numbered), "_i").select("tree", "_j", *features)
-    depth_limit = math.ceil(math.log2(max(rows, 2)))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        values = pdf.sort_values("_j")[features].to_numpy(dtype=float)
-        nodes = _grow(values, depth_limit, np.random.default_rng([seed, tree]))
-        return pd.DataFrame([(tree, *n) for n in nodes], columns=[c.split()[0] for c in _NODE_SCHEMA.split(", ")])
-
-    # bounded by trees * 2 * tree_rows nodes
-    nodes = drawn.groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
-    grown = []
-    for _, part in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        grown.append({c: part[c].to_numpy() for c in ("feature", "cut", "left", "right", "path")})
-    return Forest(list(features), grown, rows)
-
-
-def _score(values: np.ndarray, model: Forest) -> np.ndarray:
-    total = np.zeros(len(values))
-    every = np.arange(len(values))
-    for tree in model.trees:
-        at = np.zeros(len(values), dtype=np.int64)
-        while True:
-            feature = tree["feature"][at]
-            inner = feature >= 0
-            if not inner.any():
-                break
-            goes_left = values[every, np.maximum(feature, 0)] < tree["cut"][at]
-            at = np.where(inner, np.where(goes_left, tree["left"][at], tree["right"][at]), at)
-        total += tree["path"][at]
-    return np.exp2(-(total / len(model.trees)) / average_path(model.tree_rows))
-
-
-def forest_score(df: DataFrame, model: Forest, name: str = "forest_score") -> DataFrame:
-    """Add the anomaly score in (0, 1]; higher is more anomalous, NULL with a NULL feature."""
+    seed: int = 42, key: str = "id", group: str | None = None,
+) -> Forest:
+    """Grow a forest per ``group`` value on rows that have all features.
+
+    A group's trees draw from a pool of its ``trees * tree_rows`` rows with the
+    smallest hashes; the ranking is cut to that many before rows are moved.
+    Groups with fewer than 20 usable rows get no trees.
+    """
+    label = F.col(group).cast("string") if group else F.lit("")
+    usable = df.dropna(subset=features).select(
+        label.alias("_group"), F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(key).alias("_key"),
+        *[F.col(f).cast("double").alias(f) for f in features])
+    ranked = Window.partitionBy("_group").orderBy("_h", "_key")
+    pool = usable.withColumn("_i", F.row_number().over(ranked)).filter(F.col("_i") <= trees * tree_rows)
+    copies = pool.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(GROW_GROUPS - 1))))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < MIN_FOREST_ROWS:
+            return pd.DataFrame(columns=["group", "tree", "rows", "nodes"])
+        name, part = pdf["_group"].iloc[0], int(pdf["_part"].iloc[0])
+        values = pdf.sort_values("_i")[features].to_numpy(dtype=float)
+        rows = min(tree_rows, len(values))
+        limit, out = math.ceil(math.log2(max(rows, 2))), []
+        for tree in range(part, trees, GROW_GROUPS):
+            rng = np.random.default_rng([seed, tree])
+            drawn = values[rng.choice(len(values), rows, replace=False)]
+            nodes = np.array(_grow(drawn, limit, rng), dtype=float)
+            out.append((name, tree, rows, nodes.ravel().tolist()))
+        return pd.DataFrame(out, columns=["group", "tree", "rows", "nodes"])
+
+    # bounded by trees * 2 * tree_rows nodes per group
+    grown = copies.groupBy("_group", "_part").applyInPandas(
+        grow, "group string, tree int, rows int, nodes array<double>").toPandas()
+    return Forest(list(features), {
+        name: _stacked(part.sort_values("tree")) for name, part in grown.groupby("group")})
+
+
+def _stacked(trees: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Node lists of one forest as arrays padded to the largest tree."""
+    lists = [np.asarray(n, dtype=float).reshape(-1, 6) for n in trees["nodes"]]
+    size = max(len(n) for n in lists)
+    block = np.zeros((len(lists), size, 6))
+    block[:, :, 1] = -1
+    for i, nodes in enumerate(lists):
+        block[i, : len(nodes)] = nodes
+    return {
+        "feature": block[:, :, 1].astype(np.int16), "cut": block[:, :, 2],
+        "left": block[:, :, 3].astype(np.int32), "right": block[:, :, 4].astype(np.int32),
+        "path": block[:, :, 5], "norm": average_path(float(trees["rows"].iloc[0]))}
+
+
+def forest_score(df: DataFrame, model: Forest, group: str | None = None, name: str = "forest_score") -> DataFrame:
+    """Add the anomaly score; higher is more anomalous, NULL without features or trees."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(*columns: pd.Series) -> pd.Series:
+    def score(group: pd.Series, *columns: pd.Series) -> pd.Series:
         values = np.column_stack([c.to_numpy(dtype=float) for c in columns])
         usable = ~np.isnan(values).any(axis=1)
         out = np.full(len(values), np.nan)
-        if usable.any():
-            out[usable] = _score(values[usable], shared.value)
-        return pd.Series(out).where(usable, None)
+        for name, index in pd.Series(np.flatnonzero(usable)).groupby(group.to_numpy()[usable]):
+            out[index] = shared.value.score(name, values[index])
+        return pd.Series(out).where(~np.isnan(out), None)
 
-    return df.withColumn(name, score(*[F.col(f).cast("double") for f in model.features]))
+    label = F.col(group).cast("string") if group else F.lit("")
+    return df.withColumn(name, score(label, *[F.col(f).cast("double") for f in model.features]))
 
 
-def clean_block(
-    block: DataFrame, features: list[str] = CLEAN_FEATURES,
+def clean_blocks(
+    rows: DataFrame, group: str | None = None, features: list[str] = CLEAN_FEATURES,
     contamination: float = STREAM_CONTAMINATION, trees: int = TREES, seed: int = 42, key: str = "id",
 ) -> DataFrame:
-    """Mark each record of a block ``usable`` and ``is_anomaly`` by a forest of its own.
+    """Mark each record ``usable`` and ``is_anomaly`` by a forest of its own block.
 
-    Records without all features are unusable.  With fewer than 20 usable
-    records nothing is flagged.  Scores are stored once, as the threshold and
-    the caller both read them.
+    Blocks are the values of ``group``, all treated in one pass (default: a
+    single block).  Records without all features are unusable.  A block with
+    fewer than 20 usable records flags nothing.  Scores are stored once, as the
+    threshold and the caller both read them.
     """
     usable = F.lit(True)
     for f in features:
         usable = usable & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
-    marked = block.withColumn("usable", usable)
-    kept = marked.filter("usable")
-    model = fit_forest(kept, features, trees, TREE_ROWS, seed, key)
-    if model is None:
-        return marked.withColumn("forest_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
-    scored = checkpointed(forest_score(marked, model))
-    cut = scalar_quantiles(scored.filter("usable"), "forest_score", {"q": 1.0 - contamination})["q"]
-    return scored.withColumn("is_anomaly", F.coalesce(F.col("forest_score") > F.lit(cut), F.lit(False)))
+    marked = rows.withColumn("usable", usable)
+    model = fit_forest(marked.filter("usable"), features, trees, TREE_ROWS, seed, key, group)
+    scored = checkpointed(forest_score(marked, model, group))
+    keys = [group] if group else []
+    cut = quantiles(scored, keys, "forest_score", {"_cut": 1.0 - contamination}).drop("n")
+    return per_group(scored, cut, keys).withColumn(
+        "is_anomaly", F.coalesce(F.col("forest_score") > F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def cleaning_stats(marked: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -199,11 +220,10 @@ def flag_file(
     prepared = trips.withColumns(safe)
     sample = checkpointed(sample_rows(prepared.select(key, *safe), fit_rows, seed, key))
     model = fit_forest(sample, list(safe), trees, TREE_ROWS, seed, key)
-    if model is None:
+    if not model.groups:
         raise ValueError(f"fewer than {MIN_FOREST_ROWS} records to fit on")
-    model.threshold = scalar_quantiles(
-        forest_score(sample, model), "forest_score", {"q": 1.0 - contamination})["q"]
-    score = F.col("forest_score") - F.lit(model.threshold)
+    cut = scalar_quantiles(forest_score(sample, model), "forest_score", {"q": 1.0 - contamination})["q"]
+    score = F.col("forest_score") - F.lit(cut)
     return (
         forest_score(prepared, model).drop(*safe)
         .withColumn("anomaly_score", score)
@@ -230,7 +250,7 @@ def score_series_forest(
     """
     features = ["value", *time_feature_names(resolution)]
     model = fit_forest(with_model_features(train, resolution), features, trees, TREE_ROWS, seed, key="ts")
-    if model is None:
+    if not model.groups:
         raise ValueError("the training series is too short")
     raw = checkpointed(forest_score(with_model_features(series, resolution), model))
     z = A.series_robust_z(raw, "forest_score").drop(*time_feature_names(resolution))

@@ -130,7 +130,7 @@ def _nearest_work(keys: list[str], k: int):
         asked = pdf[~point]
         out = asked[[*keys, "ts"]].copy()
         if len(values) == 0 or len(asked) == 0:
-            out["near"] = [[] for _ in range(len(asked))]
+            out["near"] = pd.Series([[]] * len(asked), index=out.index, dtype=object)
             return out
         v, t2 = asked["_v"].to_numpy(), asked["_t2"].to_numpy()
         at = np.searchsorted(values, v)
@@ -140,7 +140,7 @@ def _nearest_work(keys: list[str], k: int):
         gap = values[np.clip(places, 0, len(values) - 1)] - v[:, None]
         dist = np.where(valid, np.sqrt(gap ** 2 + t2[:, None]), np.inf)
         dist = np.sort(dist, axis=1)[:, :k]
-        out["near"] = [row[np.isfinite(row)] for row in dist]
+        out["near"] = pd.Series([row[np.isfinite(row)].tolist() for row in dist], index=out.index, dtype=object)
         return out
 
     return work

@@ -1,14 +1,15 @@
 """The block pipeline: stage rows, clean each closed block, bin, update models, report.
 
 Every micro-batch is written to a staging folder of its own batch number, so a
-retried batch replaces itself.  A block is processed once the newest event time
-has passed its end by the allowed delay; its outputs are written to folders named
-for the block, so processing it again replaces them too.  ``finish`` treats the
-block still open at the end of the input.
+retried batch replaces itself.  Blocks are processed once the newest event time
+has passed their end by the allowed delay; outputs and models are stored under
+the block's name, so processing a block again replaces them too.  ``finish``
+treats the block still open at the end of the input.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -27,6 +28,11 @@ from tidemark.sources.sinks import table_exists
 
 PICKUP = "tpep_pickup_datetime"
 
+# Block names, which sort in time order and suit folder names.
+BLOCK_FORMAT = "%Y-%m-%dT%H-%M"
+# Closed blocks cleaned in one pass; bounds the trees held by the scoring tasks.
+BLOCKS_AT_ONCE = 32
+
 WINDOW_RESULT = (
     "run_name string, window_index int, ts_start timestamp_ntz, ts_end timestamp_ntz, metric string, "
     "resolution string, vendor string, n_raw long, n_unusable long, n_anomaly long, n_clean long, "
@@ -34,7 +40,7 @@ WINDOW_RESULT = (
     "n_train long, detail string, seconds double"
 )
 
-Updater = Callable[["BlockPipeline", str, DataFrame], dict]
+Updater = Callable[["BlockPipeline", str, DataFrame, str], dict]
 
 
 @dataclass
@@ -63,15 +69,15 @@ class Settings:
     seed: int = 42
 
 
-def boosted_update(pipe: "BlockPipeline", metric: str, series: DataFrame) -> dict:
-    """Add trees to the metric's model and keep the result for the next block."""
+def boosted_update(pipe: "BlockPipeline", metric: str, series: DataFrame, block: str) -> dict:
+    """Add trees to the metric's model and store the result under the block's name."""
     c = pipe.settings
     done = Fc.update_forecaster(
         pipe.models.get(("boosted", metric)), series, c.resolution, c.mode,
         c.update_rounds, c.fresh_rounds, c.depth, c.lags, c.seed)
     if done.model is not None:
         pipe.models["boosted", metric] = done.model
-        done.model.save(f"{pipe.folder}/models/boosted/{metric}", pipe.spark)
+        done.model.save(f"{pipe.folder}/models/boosted/{metric}/{block}", pipe.spark)
     return {"status": done.status, "wape": done.wape, "mae": done.mae, "n_train": done.n_train}
 
 
@@ -87,11 +93,19 @@ class BlockPipeline:
         self.settings = settings or Settings()
         self.updaters = updaters or UPDATERS
         self.models: dict[tuple[str, str], Fc.Forecaster] = {}
-        for name in self.settings.models:
-            for metric in self.settings.metrics:
-                path = f"{self.folder}/models/{name}/{metric}"
-                if table_exists(spark, f"{path}/meta"):
-                    self.models[name, metric] = Fc.Forecaster.load(path, spark)
+        self._reload()
+
+    def _reload(self) -> None:
+        """Load each model as of the last processed block that updated it."""
+        rows = self._read("telemetry")
+        if rows is None:
+            return
+        done = rows.filter("status = 'ok'").groupBy("model_name", "metric").agg(
+            F.max(F.col("block").cast("string")).alias("block")).collect()
+        for r in done:
+            path = f"{self.folder}/models/{r['model_name']}/{r['metric']}/{r['block']}"
+            if table_exists(self.spark, f"{path}/meta"):
+                self.models[r["model_name"], r["metric"]] = Fc.Forecaster.load(path, self.spark)
 
     # -- stored tables --------------------------------------------------------
 
@@ -117,8 +131,8 @@ class BlockPipeline:
         rows = self._read("telemetry")
         return set() if rows is None else {r[0] for r in rows.select(F.col("block").cast("string")).distinct().collect()}
 
-    def series(self, metric: str) -> DataFrame:
-        """The newest bins of a metric's cleaned series.
+    def series(self, metric: str, up_to: str | None = None) -> DataFrame:
+        """The newest bins of a metric's cleaned series, optionally up to a block.
 
         Blocks hold whole bins, so the newest block's value of a bin wins and
         nothing is merged.
@@ -126,6 +140,9 @@ class BlockPipeline:
         stored = self._read(f"series/{metric}")
         if stored is None:
             return self.spark.createDataFrame([], "ts timestamp_ntz, value double")
+        stored = stored.withColumn("block", F.col("block").cast("string"))
+        if up_to is not None:
+            stored = stored.filter(F.col("block") <= up_to)
         newest = S.latest_per_key(stored.select("ts", "value", "block"), ["ts"], "block")
         return S.keep_newest(newest.select("ts", "value"), self.settings.max_bins)
 
@@ -161,55 +178,64 @@ class BlockPipeline:
         staged = self._staged()
         if staged is None:
             return
+        staged = staged.withColumn("block", F.col("block").cast("string"))
         done = self.processed()
         # one row per block
-        spans = staged.groupBy(F.col("block").cast("string").alias("block")).agg(F.max(PICKUP).alias("last")).collect()
+        spans = staged.groupBy("block").agg(F.max(PICKUP).alias("last")).collect()
         newest = max(r["last"] for r in spans)
-        width = self.settings.block_hours * 3600
-        for block in sorted(r["block"] for r in spans):
-            begin = time.strptime(block, "%Y-%m-%dT%H-%M")
-            end = time.mktime(begin) + width + self.settings.delay_hours * 3600
-            closed = time.mktime(newest.timetuple()) >= end
-            if block in done or not (closed or final):
-                continue
-            if self.settings.max_windows and len(done) >= self.settings.max_windows:
-                return
-            self.process(staged.filter(F.col("block") == block).drop("block", "batch"), block, len(done))
-            done.add(block)
-
-    def process(self, rows: DataFrame, block: str, index: int) -> None:
-        """Clean one block, extend the series, update the models, write telemetry."""
+        reach = dt.timedelta(hours=self.settings.block_hours + self.settings.delay_hours)
+        due = sorted(
+            r["block"] for r in spans
+            if r["block"] not in done and (final or dt.datetime.strptime(r["block"], BLOCK_FORMAT) + reach <= newest))
+        if self.settings.max_windows:
+            due = due[: max(self.settings.max_windows - len(done), 0)]
+        for i in range(0, len(due), BLOCKS_AT_ONCE):
+            part = due[i:i + BLOCKS_AT_ONCE]
+            self.process(staged.filter(F.col("block").isin(part)).drop("batch"), part, len(done) + i)
+
+    def process(self, rows: DataFrame, blocks: list[str], first_index: int) -> None:
+        """Clean blocks in one pass, extend the series, then update models block by block.
+
+        ``rows`` carries its block name in ``block``.
+        """
         c, began = self.settings, time.time()
-        marked = checkpointed(forest.clean_block(rows, list(c.features), c.contamination, c.trees, c.seed))
-        stats = forest.cleaning_stats(marked).first()
-        span = marked.agg(F.min(PICKUP).alias("a"), F.max(PICKUP).alias("b")).first()
-        self.accumulate(forest.clean_rows(marked), block)
+        marked = forest.clean_blocks(rows, "block", list(c.features), c.contamination, c.trees, c.seed)
+        spans = marked.groupBy("block").agg(F.min(PICKUP).alias("ts_start"), F.max(PICKUP).alias("ts_end"))
+        # one row per block
+        stats = {r["block"]: r for r in forest.cleaning_stats(marked, ["block"]).join(spans, "block").collect()}
+        self.accumulate(forest.clean_rows(marked))
         out = []
-        for name in c.models:
-            every = c.update_every.get(name, 1)
-            for metric in c.metrics:
-                if index % every:
-                    result = {"status": "skip"}
-                else:
-                    try:
-                        result = self.updaters[name](self, metric, checkpointed(self.series(metric)))
-                    except Exception as error:  # one failing model must not stop the others
-                        result = {"status": "error", "detail": f"{type(error).__name__}: {error}"[:300]}
-                out.append((
-                    c.run_name, index, span["a"], span["b"], metric, c.resolution, c.vendor,
-                    stats["n_raw"], stats["n_unusable"], stats["n_anomaly"], stats["n_clean"], stats["anom_rate"],
-                    name, c.mode, result["status"], result.get("wape"), result.get("mae"),
-                    result.get("n_train"), result.get("detail", ""), round(time.time() - began, 2)))
-        self.spark.createDataFrame(out, WINDOW_RESULT).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.folder}/telemetry/block={block}")
-
-    def accumulate(self, clean: DataFrame, block: str) -> None:
-        """Store a block's cleaned records and its bins of every metric."""
-        clean.write.mode("overwrite").parquet(f"{self.folder}/cleaned/block={block}")
-        stored = self.spark.read.parquet(f"{self.folder}/cleaned/block={block}")
+        for offset, block in enumerate(blocks):
+            index, found = first_index + offset, stats[block]
+            for name in c.models:
+                for metric in c.metrics:
+                    result = self._update(name, metric, block, index)
+                    out.append((
+                        block, c.run_name, index, found["ts_start"], found["ts_end"], metric, c.resolution, c.vendor,
+                        found["n_raw"], found["n_unusable"], found["n_anomaly"], found["n_clean"], found["anom_rate"],
+                        name, c.mode, result["status"], result.get("wape"), result.get("mae"),
+                        result.get("n_train"), result.get("detail", ""), round(time.time() - began, 2)))
+        # written last: a block counts as processed once its telemetry is there
+        _replace_blocks(self.spark.createDataFrame(out, f"block string, {WINDOW_RESULT}").coalesce(1),
+                        f"{self.folder}/telemetry")
+
+    def _update(self, name: str, metric: str, block: str, index: int) -> dict:
+        if index % self.settings.update_every.get(name, 1):
+            return {"status": "skip"}
+        try:
+            return self.updaters[name](self, metric, checkpointed(self.series(metric, block)), block)
+        except Exception as error:  # one failing model must not stop the others
+            return {"status": "error", "detail": f"{type(error).__name__}: {error}"[:300]}
+
+    def accumulate(self, clean: DataFrame) -> None:
+        """Store cleaned records and the bins of every metric, by block."""
+        _replace_blocks(clean, f"{self.folder}/cleaned")
+        names = [r[0] for r in clean.select("block").distinct().collect()]
+        stored = self.spark.read.parquet(f"{self.folder}/cleaned").withColumn("block", F.col("block").cast("string"))
+        stored = stored.filter(F.col("block").isin(names))
         for metric in self.settings.metrics:
-            S.bin_series(stored, metric, self.settings.resolution, self.settings.how).coalesce(8).write.mode(
-                "overwrite").parquet(f"{self.folder}/series/{metric}/block={block}")
+            binned = S.bin_series(stored, metric, self.settings.resolution, self.settings.how, keys=["block"])
+            _replace_blocks(binned, f"{self.folder}/series/{metric}")
 
     def run(self, stream: DataFrame, flush: bool = True) -> None:
         """Consume what the stream holds now, then treat the open block too."""
@@ -232,31 +258,39 @@ class BlockPipeline:
 
     # -- batch use ------------------------------------------------------------
 
+    def _days(self, source: DataFrame, first, days: int) -> DataFrame:
+        """Rows of some whole days, midnight to midnight, with their block."""
+        low = F.lit(first).cast("date")
+        rows = vendor_filter(source, self.settings.vendor).filter(
+            (F.col(PICKUP) >= low.cast("timestamp_ntz")) & (F.col(PICKUP) < F.date_add(low, days).cast("timestamp_ntz")))
+        return rows.withColumn("block", F.date_format(C.trunc_day(F.col(PICKUP)), "yyyy-MM-dd'T'HH-mm"))
+
     def prewarm(self, history: DataFrame, start: str, days: int = 30) -> None:
         """Clean each of the days before ``start`` on its own, then train once."""
-        for back in range(days, 0, -1):
-            low = F.date_sub(F.lit(start).cast("date"), back).cast("timestamp_ntz")
-            high = F.date_sub(F.lit(start).cast("date"), back - 1).cast("timestamp_ntz")
-            day = vendor_filter(history, self.settings.vendor).filter((F.col(PICKUP) >= low) & (F.col(PICKUP) < high))
-            if day.isEmpty():
-                continue
-            marked = forest.clean_block(
-                day, list(self.settings.features), self.settings.contamination, self.settings.trees, self.settings.seed)
-            self.accumulate(forest.clean_rows(marked), f"prewarm-{back:04d}")
-        for name in self.settings.models:
-            for metric in self.settings.metrics:
-                self.updaters[name](self, metric, checkpointed(self.series(metric)))
+        c = self.settings
+        first = dt.date.fromisoformat(start[:10]) - dt.timedelta(days=days)
+        rows = self._days(history, first, days)
+        marked = forest.clean_blocks(rows, "block", list(c.features), c.contamination, c.trees, c.seed)
+        self.accumulate(forest.clean_rows(marked))
+        for name in c.models:
+            for metric in c.metrics:
+                self._update(name, metric, f"{start[:10]}T00-00", 0)
 
     def retrain(self, source: DataFrame, day: str) -> DataFrame:
         """Clean one day, update the models and return its telemetry."""
-        low = F.lit(day).cast("date").cast("timestamp_ntz")
-        high = F.date_add(F.lit(day).cast("date"), 1).cast("timestamp_ntz")
-        rows = vendor_filter(source, self.settings.vendor).filter((F.col(PICKUP) >= low) & (F.col(PICKUP) < high))
         block = f"{day}T00-00"
+        rows = self._days(source, day, 1)
         if rows.isEmpty():
             return self.telemetry().limit(0)
-        self.process(rows, block, len(self.processed() - {block}))
-        return self.spark.read.parquet(f"{self.folder}/telemetry/block={block}")
+        self.process(rows, [block], len(self.processed() - {block}))
+        found = self.spark.read.parquet(f"{self.folder}/telemetry")
+        return found.filter(F.col("block").cast("string") == block).drop("block")
+
+
+def _replace_blocks(df: DataFrame, path: str) -> None:
+    """Write by block, replacing only the blocks present in ``df``."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("block").parquet(path))
 
 
 def _has_files(spark: SparkSession, path: str) -> bool:
