@@ -45,7 +45,7 @@ def query(fn):
 # -- inputs -------------------------------------------------------------------
 
 def table(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return readers.read_table(spark, f"{sf}/{name}.parquet")
 
 
 def raw(spark, sf):

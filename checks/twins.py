@@ -297,11 +297,11 @@ twin("series_robust_z", with_(*SOME, "m AS (SELECT series_id, quantile_cont(valu
 twin("standardized", with_(*BASE, bins("b", "total_amount", "1 hour")) + """SELECT ts, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS value,
   (hour(ts) - avg(hour(ts)) OVER ()) / stddev_pop(hour(ts)) OVER () AS hour, 0.0::DOUBLE AS minute FROM b""", "value hour")
 twin("knn_distances", with_(*SLOTS) + "SELECT ts, knn FROM knn", "knn")
-twin("eps_neighbors", with_(*SLOTS) + "SELECT ts, CAST(count(*) AS BIGINT) AS found FROM ds WHERE d <= 0.75 GROUP BY ts")
+twin("eps_neighbors", with_(*SLOTS) + "SELECT ts, CAST(count(*) AS BIGINT) AS found FROM ds WHERE d <= 0.75 * (1 + 1e-9) GROUP BY ts")
 COUNT_SLOTS = (*BASE, bins("b", "", "3 hours", "count"), *SLOTS[3:])
 twin("dbscan_noise", with_(*COUNT_SLOTS, "ep AS (SELECT greatest(quantile_cont(knn, 0.9), 0.3) AS eps FROM knn)",
-  "ct AS (SELECT ts, count(*) AS found, any_value(n) AS n FROM ds, ep WHERE d <= eps GROUP BY ts)", "core AS (SELECT ts FROM ct WHERE found >= greatest(3, n // 20))",
-  "tc AS (SELECT DISTINCT ds.ts FROM ds JOIN core ON core.ts = ds.other CROSS JOIN ep WHERE d <= eps)",
+  "ct AS (SELECT ts, count(*) AS found, any_value(n) AS n FROM ds, ep WHERE d <= eps * (1 + 1e-9) GROUP BY ts)", "core AS (SELECT ts FROM ct WHERE found >= greatest(3, n // 20))",
+  "tc AS (SELECT DISTINCT ds.ts FROM ds JOIN core ON core.ts = ds.other CROSS JOIN ep WHERE d <= eps * (1 + 1e-9))",
   "nz AS (SELECT b.ts, b.value, eps, found, tc.ts IS NULL AS is_noise, CASE WHEN tc.ts IS NULL THEN 3.0 ELSE 0.0 END AS z FROM b JOIN ct USING (ts) LEFT JOIN tc USING (ts) CROSS JOIN ep)", *rolling("nz")) +
   "SELECT ts, value, eps, CAST(found AS BIGINT) AS found, is_noise, score, score > 2 AS is_anomaly FROM bl", "value eps score")
 

@@ -9,6 +9,9 @@ thousandth of a group's value range is ever ordered in one place.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +23,11 @@ _LARGEST = 1.7976931348623157e308
 
 
 def value_slice(value: Column) -> Column:
-    """A bigint that never decreases as ``value`` grows."""
+    """A bigint that never decreases as ``value`` grows; NULL for NaN."""
     size = F.least(F.abs(value), F.lit(_LARGEST))
     rank = F.floor(F.log(size) * SLICES_PER_NAT) + F.lit(1_000_000)
-    return F.when(value == 0, F.lit(0)).when(value > 0, rank).otherwise(-rank).cast("bigint")
+    positive = F.when(F.isnan(value), F.lit(None)).otherwise(rank)
+    return F.when(value == 0, F.lit(0)).when(value > 0, positive).otherwise(-rank).cast("bigint")
 
 
 def _ranks(total: Column, prob: float) -> tuple[Column, Column, Column]:
@@ -33,6 +37,27 @@ def _ranks(total: Column, prob: float) -> tuple[Column, Column, Column]:
     return low, F.ceil(position), position - low
 
 
+def _number(value: str) -> Column:
+    """A column as double, with NaN for NULL.
+
+    NaN fails every range test, so no test for NULL is needed: the optimizer
+    would move one below a derived column and compute the column once more.
+    """
+    return F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
+
+
+def _holds(rank) -> Column:
+    """Whether a row of values counted ``_c`` from rank ``_start`` covers a rank."""
+    return (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c"))
+
+
+def _ranked(counted: DataFrame, group: list[str], order: Column, before: Column) -> DataFrame:
+    """Add ``_start``, the rank of each row's first value."""
+    running = Window.partitionBy(*group).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return counted.withColumn("_start", before + F.sum("_c").over(running) - F.col("_c"))
+
+
 def quantiles(
     df: DataFrame,
     keys: list[str],
@@ -46,77 +71,59 @@ def quantiles(
     ignored; a group without values keeps its row with NULL quantiles.  The
     first pass runs when called, because its result decides the join below.
     """
-    v = F.col(value).cast("double")
-    usable = v.isNotNull() & ~F.isnan(v)
+    if not keys:
+        found = scalar_quantiles(df, value, probs, weight)
+        kinds = ", ".join(["n bigint", *[f"`{name}` double" for name in probs]])
+        return df.sparkSession.createDataFrame([(found["n"], *[found[name] for name in probs])], kinds)
+    v = _number(value)
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    kept = F.when(usable, v)
-    base = df.select(
-        F.lit(0).alias("_all"), *keys, kept.alias("_v"),
-        F.when(usable, w).otherwise(F.lit(0)).alias("_w"), value_slice(kept).alias("_slice"))
-    group = ["_all", *keys]
-
-    by_group = Window.partitionBy(*group)
-    by_slice = by_group.orderBy(F.col("_slice").asc_nulls_first())
-    running = by_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = (
-        base.groupBy(*group, "_slice")
-        .agg(F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .select(
-            "*", F.sum("_c").over(by_group).alias("n"),
-            (F.sum("_c").over(running) - F.col("_c")).alias("_start"),
-            (F.row_number().over(by_slice) == 1).alias("_first"))
-    )
-
-    def holds(rank: Column) -> Column:
-        return (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c"))
-
+    base = df.select(*keys, v.alias("_v"), w.alias("_w"))
+    sliced = base.withColumn("_slice", value_slice(F.col("_v")))
+
+    slices = sliced.groupBy(*keys, "_slice").agg(
+        F.sum(F.when(F.isnan("_v"), F.lit(0)).otherwise(F.col("_w"))).alias("_c"),
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    slices = _ranked(
+        slices.withColumn("n", F.sum("_c").over(Window.partitionBy(*keys))),
+        keys, F.col("_slice").asc_nulls_first(), F.lit(0))
     wanted = F.lit(False)
     for prob in probs.values():
         low, high, _ = _ranks(F.col("n"), prob)
-        wanted = wanted | holds(low) | holds(high)
-    picked = slices.select("*", wanted.alias("_wanted")).filter(F.col("_wanted") | F.col("_first"))
-    # Slices with a single value need no second look.
-    is_open = F.col("_wanted") & (F.col("_lo") < F.col("_hi"))
-    if keys:
-        seen = Observation()
-        picked = checkpointed(picked.observe(seen, F.count_if(is_open).alias("open")))
-        few = seen.get["open"] <= BROADCAST_ROWS
-    else:
-        # at most two slices per probability
-        few = True
-    settled = picked.filter(~is_open).select(
-        *group, "n", "_start", F.when(F.col("_wanted"), F.col("_c")).otherwise(0).alias("_c"),
-        F.col("_lo").alias("_v"))
-    open_ = picked.filter(is_open).select(*group, "_slice", "n", F.col("_start").alias("_before"))
-    values = [*group, "_slice", "_v"]
-    if few:
+        wanted = wanted | _holds(low) | _holds(high)
+    # Slices with a single value need no second look; groups without values have n = 0.
+    is_open = F.col("_lo") < F.col("_hi")
+    seen = Observation()
+    picked = checkpointed(
+        slices.filter(wanted | (F.col("n") == 0)).observe(seen, F.count_if(is_open).alias("open")))
+
+    settled = picked.filter(~F.coalesce(is_open, F.lit(False))).select(
+        *keys, "n", "_start", "_c", F.when(F.col("n") > 0, F.col("_lo")).alias("_v"))
+    open_ = picked.filter(is_open).select(
+        *keys, "_slice", "n", F.col("_start").alias("_before"), "_lo", "_hi")
+    values = [*keys, "_slice", "_v"]
+    if seen.get["open"] <= BROADCAST_ROWS:
+        in_range = F.col("_v").between(F.col("_lo"), F.col("_hi"))
         counted = (
-            join_on(base, F.broadcast(open_), [*group, "_slice"])
+            join_on(base, F.broadcast(open_), keys, extra=in_range)
             .groupBy(*values)
             .agg(F.sum("_w").alias("_c"), F.max("n").alias("n"), F.max("_before").alias("_before"))
         )
     else:
         # count equal values first, so the join moves each distinct value once
-        counted = join_on(base.groupBy(*values).agg(F.sum("_w").alias("_c")), open_, [*group, "_slice"])
-    in_slice = Window.partitionBy(*group, "_slice").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    read = counted.withColumn(
-        "_start", F.col("_before") + F.sum("_c").over(in_slice) - F.col("_c")
-    ).select(*group, "n", "_start", "_c", "_v")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when(holds(rank), F.col("_v")))
+        counted = join_on(sliced.groupBy(*values).agg(F.sum("_w").alias("_c")), open_, [*keys, "_slice"])
+    read = _ranked(counted, [*keys, "_slice"], F.col("_v").asc(), F.col("_before")).select(
+        *keys, "n", "_start", "_c", "_v")
 
     aggregates, results = [], []
     for i, (name, prob) in enumerate(probs.items()):
-        low, high, _ = _ranks(F.col("n"), prob)
-        aggregates += [at(low).alias(f"_low{i}"), at(high).alias(f"_high{i}")]
-        _, _, fraction = _ranks(F.col("n"), prob)
+        low, high, fraction = _ranks(F.col("n"), prob)
+        aggregates += [F.max(F.when(_holds(low), F.col("_v"))).alias(f"_low{i}"),
+                       F.max(F.when(_holds(high), F.col("_v"))).alias(f"_high{i}")]
         low_v, high_v = F.col(f"_low{i}"), F.col(f"_high{i}")
         results.append((low_v + (high_v - low_v) * fraction).alias(name))
     return (
         settled.unionByName(read)
-        .groupBy(*group)
+        .groupBy(*keys)
         .agg(F.max("n").alias("n"), *aggregates)
         .select(*keys, "n", *results)
     )
@@ -127,10 +134,54 @@ def medians(df: DataFrame, keys: list[str], value: str, name: str = "median") ->
     return quantiles(df, keys, value, {name: 0.5})
 
 
-def scalar_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> dict[str, float]:
-    """Quantiles of a whole column as numbers, for use as plan constants."""
-    row = quantiles(df, [], value, probs).first()
-    return row.asDict() if row else {"n": 0, **{name: None for name in probs}}
+def scalar_quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], weight: str | None = None
+) -> dict[str, float]:
+    """Quantiles of a whole column as numbers, for use as plan constants.
+
+    Same two passes; each returns at most two rows per probability.
+    """
+    v = _number(value)
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    base = df.select(v.alias("_v"), w.alias("_w"))
+    sliced = base.withColumn("_slice", value_slice(F.col("_v")))
+    slices = sliced.groupBy("_slice").agg(
+        F.sum(F.when(F.isnan("_v"), F.lit(0)).otherwise(F.col("_w"))).alias("_c"),
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.lit(0).alias("_all")).filter("_c > 0")
+    slices = _ranked(slices.withColumn("n", F.sum("_c").over(Window.partitionBy("_all"))),
+                     ["_all"], F.col("_slice").asc(), F.lit(0))
+    wanted = F.lit(False)
+    for prob in probs.values():
+        low, high, _ = _ranks(F.col("n"), prob)
+        wanted = wanted | _holds(low) | _holds(high)
+    picked = slices.filter(wanted).collect()
+    if not picked:
+        return {"n": 0, **{name: None for name in probs}}
+    total = picked[0]["n"]
+    places = {name: (total - 1) * prob for name, prob in probs.items()}
+    ranks = sorted({r for p in places.values() for r in (math.floor(p), math.ceil(p))})
+    found = [(r["_start"], r["_c"], r["_lo"]) for r in picked if r["_lo"] == r["_hi"]]
+    open_ = [r for r in picked if r["_lo"] < r["_hi"]]
+    if open_:
+        # values outside the slices' ends form one group, summed before the shuffle
+        v, before = F.col("_v"), F.lit(-1)
+        for r in open_:
+            before = F.when(v.between(r["_lo"], r["_hi"]), F.lit(r["_start"])).otherwise(before)
+        inside = reduce(lambda a, b: a | b, [v.between(r["_lo"], r["_hi"]) for r in open_])
+        counted = base.groupBy(F.when(inside, v).otherwise(F.lit(float("nan"))).alias("_v")).agg(
+            F.sum("_w").alias("_c")).withColumn("_before", before.cast("bigint")).filter("_before >= 0")
+        placed = _ranked(counted, ["_before"], F.col("_v").asc(), F.col("_before"))
+        hit = reduce(lambda a, b: a | b, [_holds(F.lit(r)) for r in ranks])
+        found += [(r["_start"], r["_c"], r["_v"]) for r in placed.filter(hit).collect()]
+
+    def at(rank: int) -> float:
+        return next(v for start, count, v in found if start <= rank < start + count)
+
+    out = {"n": total}
+    for name, place in places.items():
+        low, high = at(math.floor(place)), at(math.ceil(place))
+        out[name] = low + (high - low) * (place - math.floor(place))
+    return out
 
 
 def scalar_mad(df: DataFrame, value: str) -> tuple[float | None, float | None]:

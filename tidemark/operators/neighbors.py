@@ -31,6 +31,8 @@ CORE_SHARE = 20
 NOISE_Z = 3.0
 # ---- end of fixed values ----------------------------------------------------
 
+# Relative tolerance for distances equal to a radius.
+TIE = 1e-9
 # First search radius, in steps of the finest calendar axis.
 FIRST_STEPS = 8.0
 
@@ -118,8 +120,12 @@ def _count_work(keys: list[str]):
 
 
 def neighbor_counts(points: DataFrame, queries: DataFrame, keys: list[str], radius: Column) -> DataFrame:
-    """Points within ``radius`` of each query row (itself included): ``keys, ts, found``."""
-    met = _meet(points, _reach(queries, radius), keys, _count_work(keys), "found bigint")
+    """Points within ``radius`` of each query row (itself included): ``keys, ts, found``.
+
+    A hair's width of tolerance counts points exactly at the radius, however
+    their distances were rounded.
+    """
+    met = _meet(points, _reach(queries, radius * (1 + TIE)), keys, _count_work(keys), "found bigint")
     return met.groupBy(*keys, "ts").agg(F.sum("found").alias("found"))
 
 

@@ -60,6 +60,24 @@ def _parquet_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if n.endswith(".parquet"))
 
 
+# A scan of fewer partitions than cores is spread out when it is at least this big.
+SPREAD_BYTES = 1 << 20
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table; a few big row groups are spread over the idle cores.
+
+    Scans of large tables have more splits than cores and stay as they are.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return df.repartition(cores) if fs.getContentSummary(where).getLength() >= SPREAD_BYTES else df
+
+
 def scan_trips(
     spark: SparkSession, path: str, months: str | None = None,
     schema: dict[str, str] = TRIP_COLUMNS,
