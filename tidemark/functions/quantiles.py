@@ -37,6 +37,11 @@ def _ranks(total: Column, prob: float) -> tuple[Column, Column, Column]:
     return low, F.ceil(position), position - low
 
 
+def _between(low: Column, high: Column, fraction: Column) -> Column:
+    """The point a fraction of the way up; equal ends, infinite ones too, give themselves."""
+    return F.when(low == high, low).otherwise(low + (high - low) * fraction)
+
+
 def _number(value: str) -> Column:
     """A column as double, with NaN for NULL.
 
@@ -120,7 +125,7 @@ def quantiles(
         aggregates += [F.max(F.when(_holds(low), F.col("_v"))).alias(f"_low{i}"),
                        F.max(F.when(_holds(high), F.col("_v"))).alias(f"_high{i}")]
         low_v, high_v = F.col(f"_low{i}"), F.col(f"_high{i}")
-        results.append((low_v + (high_v - low_v) * fraction).alias(name))
+        results.append(_between(low_v, high_v, fraction).alias(name))
     return (
         settled.unionByName(read)
         .groupBy(*keys)
@@ -164,12 +169,13 @@ def scalar_quantiles(
     open_ = [r for r in picked if r["_lo"] < r["_hi"]]
     if open_:
         # values outside the slices' ends form one group, summed before the shuffle
-        v, before = F.col("_v"), F.lit(-1)
+        # and ranked beyond every row
+        v, before = F.col("_v"), F.lit(1 << 62)
         for r in open_:
             before = F.when(v.between(r["_lo"], r["_hi"]), F.lit(r["_start"])).otherwise(before)
         inside = reduce(lambda a, b: a | b, [v.between(r["_lo"], r["_hi"]) for r in open_])
         counted = base.groupBy(F.when(inside, v).otherwise(F.lit(float("nan"))).alias("_v")).agg(
-            F.sum("_w").alias("_c")).withColumn("_before", before.cast("bigint")).filter("_before >= 0")
+            F.sum("_w").alias("_c")).withColumn("_before", before)
         placed = _ranked(counted, ["_before"], F.col("_v").asc(), F.col("_before"))
         hit = reduce(lambda a, b: a | b, [_holds(F.lit(r)) for r in ranks])
         found += [(r["_start"], r["_c"], r["_v"]) for r in placed.filter(hit).collect()]
@@ -180,7 +186,7 @@ def scalar_quantiles(
     out = {"n": total}
     for name, place in places.items():
         low, high = at(math.floor(place)), at(math.ceil(place))
-        out[name] = low + (high - low) * (place - math.floor(place))
+        out[name] = low if low == high else low + (high - low) * (place - math.floor(place))
     return out
 
 
@@ -200,4 +206,4 @@ def array_quantile(values: Column, prob: float) -> Column:
     low, high, fraction = _ranks(total, prob)
     low_v = F.get(ordered, low.cast("int"))
     high_v = F.get(ordered, high.cast("int"))
-    return F.when(total > 0, low_v + (high_v - low_v) * fraction)
+    return F.when(total > 0, _between(low_v, high_v, fraction))

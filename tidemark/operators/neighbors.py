@@ -35,6 +35,8 @@ NOISE_Z = 3.0
 TIE = 1e-9
 # First search radius, in steps of the finest calendar axis.
 FIRST_STEPS = 8.0
+# Calendars of at most this many slots are searched whole.
+FEW_SLOTS = 512
 
 _UNIT = {name: f"_u_{name}" for name in GRID}
 
@@ -162,9 +164,14 @@ def knn_distance(points: DataFrame, keys: list[str], k: int = NEIGHBORS) -> Data
     # the calendar part of a distance cannot exceed this, nor any radius need to
     widest = F.sqrt(sum(((F.lit(size - 1) * F.col(_UNIT[g])) ** 2 for g, size in GRID.items()), F.lit(0.0)))
     todo = points.withColumn("_k", wanted).withColumn("_wide", widest)
-    # a few steps of the finest calendar axis to begin with
-    axis = [F.when(F.col(u) > 0, F.col(u)) for u in _UNIT.values()]
-    todo = todo.withColumn("_radius", FIRST_STEPS * F.coalesce(F.least(*axis), F.lit(0.0)))
+    # a coarse calendar has few slots, so all are searched at once; else begin
+    # with a few steps of the finest axis
+    slots = F.lit(1)
+    for g, size in GRID.items():
+        slots = slots * F.when(F.col(_UNIT[g]) > 0, F.lit(size)).otherwise(F.lit(1))
+    finest = F.least(*[F.when(F.col(u) > 0, F.col(u)) for u in _UNIT.values()])
+    todo = todo.withColumn("_radius", F.when(slots <= FEW_SLOTS, F.col("_wide") + 1.0).otherwise(
+        FIRST_STEPS * F.coalesce(finest, F.lit(0.0))))
     done = None
     while True:
         near = _meet(points, _reach(todo, F.col("_radius")), keys, _nearest_work(keys, k), "near array<double>")
