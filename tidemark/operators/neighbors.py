@@ -34,23 +34,26 @@ NOISE_Z = 3.0
 # Relative tolerance for distances equal to a radius.
 TIE = 1e-9
 # First search radius, in steps of the finest calendar axis.
-FIRST_STEPS = 8.0
+FIRST_STEPS = 6.0
 # Calendars of at most this many slots are searched whole.
 FEW_SLOTS = 512
 
 _UNIT = {name: f"_u_{name}" for name in GRID}
+_SEEN = {name: f"_seen_{name}" for name in GRID}
 
 
 def prepare(series: DataFrame, keys: list[str]) -> DataFrame:
-    """Standardised value ``_v``, slot columns, and the step of each calendar axis.
+    """Standardised value ``_v``, slot columns, and each calendar axis' unit and positions.
 
-    A step is one grid unit in standardised terms; 0 for a constant axis.
+    A unit is one grid step in standardised terms, 0 for a constant axis.
     """
     calendar = dict(zip(GRID, C.time_features("ts")))
     rows = series.select(*keys, "ts", "value").dropna(subset=["value"]).withColumns(calendar)
     stats = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"),
-        *[F.stddev_pop(g).alias(f"_s_{g}") for g in GRID])
+        *[F.stddev_pop(g).alias(f"_s_{g}") for g in GRID],
+        # at most 7, 24, 60 and 60 positions
+        *[F.sort_array(F.collect_set(g)).alias(_SEEN[g]) for g in GRID])
     units = {_UNIT[g]: F.when(F.col(f"_s_{g}") > 0, 1 / F.when(F.col(f"_s_{g}") > 0, F.col(f"_s_{g}"))).otherwise(0.0)
              for g in GRID}
     value = F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))).otherwise(0.0)
@@ -61,21 +64,18 @@ def prepare(series: DataFrame, keys: list[str]) -> DataFrame:
 def _reach(df: DataFrame, radius: Column) -> DataFrame:
     """Copies of each row, one per slot within ``radius``: adds ``to_*`` and ``_t2``.
 
-    ``_t2`` is the squared calendar distance to that slot.  A constant axis
-    offers only its own position.
+    ``_t2`` is the squared calendar distance to that slot.  Only positions that
+    occur in the series are tried.
     """
     out = df.withColumn("_r", radius).withColumn("_t2", F.lit(0.0))
-    for g, size in GRID.items():
-        unit = F.col(_UNIT[g])
-        left = F.sqrt(F.greatest(F.col("_r") * F.col("_r") - F.col("_t2"), F.lit(0.0)))
-        # one unit of slack keeps rounding from cutting off an exact tie
-        span = F.when(unit > 0, F.least(F.floor(left / F.when(unit > 0, unit)) + 1, F.lit(size - 1))).otherwise(F.lit(0))
-        low = F.greatest(F.col(g) - span, F.lit(0))
-        high = F.least(F.col(g) + span, F.lit(size - 1))
-        out = out.withColumn(f"to_{g}", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-        step = (F.col(f"to_{g}") - F.col(g)) * unit
+    for g in GRID:
+        unit, here = F.col(_UNIT[g]), F.col(g)
+        # rounding must not cut off an exact tie
+        limit = F.col("_r") * F.col("_r") * (1 + TIE) + 1e-12
+        near = F.filter(_SEEN[g], lambda x: F.pow((x - here) * unit, 2) + F.col("_t2") <= limit)
+        out = out.withColumn(f"to_{g}", F.explode(near))
+        step = (F.col(f"to_{g}") - here) * unit
         out = out.withColumn("_t2", F.col("_t2") + step * step)
-        out = out.filter(F.sqrt("_t2") <= F.col("_r") * (1 + 1e-9) + 1e-12)
     return out
 
 
@@ -166,12 +166,14 @@ def knn_distance(points: DataFrame, keys: list[str], k: int = NEIGHBORS) -> Data
     todo = points.withColumn("_k", wanted).withColumn("_wide", widest)
     # a coarse calendar has few slots, so all are searched at once; else begin
     # with a few steps of the finest axis
-    slots = F.lit(1)
-    for g, size in GRID.items():
-        slots = slots * F.when(F.col(_UNIT[g]) > 0, F.lit(size)).otherwise(F.lit(1))
-    finest = F.least(*[F.when(F.col(u) > 0, F.col(u)) for u in _UNIT.values()])
+    slots, steps = F.lit(1), []
+    for g in GRID:
+        seen = F.col(_SEEN[g])
+        slots = slots * F.size(seen)
+        steps.append(F.when(F.size(seen) > 1, F.col(_UNIT[g]) * (F.array_max(seen) - F.array_min(seen))
+                            / F.when(F.size(seen) > 1, F.size(seen) - 1)))
     todo = todo.withColumn("_radius", F.when(slots <= FEW_SLOTS, F.col("_wide") + 1.0).otherwise(
-        FIRST_STEPS * F.coalesce(finest, F.lit(0.0))))
+        FIRST_STEPS * F.coalesce(F.least(*steps), F.lit(0.0))))
     done = None
     while True:
         near = _meet(points, _reach(todo, F.col("_radius")), keys, _nearest_work(keys, k), "near array<double>")
