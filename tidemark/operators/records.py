@@ -255,7 +255,7 @@ def attach_user_names(entries: DataFrame, users: DataFrame) -> DataFrame:
 
 def users_with_entries(users: DataFrame, entries: DataFrame) -> DataFrame:
     """Users with at least one entry, by name."""
-    adders = entries.select(F.col("added_by").alias("id"))
+    adders = entries.select(F.col("added_by").alias("id")).distinct()
     return users.join(adders, "id", "left_semi").orderBy("username")
 
 

@@ -58,7 +58,7 @@ def load_table(df: DataFrame, path: str, mode: str = "replace") -> bool:
 
 def insert_ignore(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """The new rows whose key is not stored yet, one row per key."""
-    fresh = join_on(new, existing.select(*keys).distinct(), keys, "left_anti")
+    fresh = join_on(new, existing.select(*keys), keys, "left_anti")
     rest = [c for c in new.columns if c not in keys]
     kept = fresh.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")) if rest else fresh.distinct()
     picked = [F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in new.columns]

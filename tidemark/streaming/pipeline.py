@@ -178,15 +178,16 @@ class BlockPipeline:
         staged = self._staged()
         if staged is None:
             return
-        staged = staged.withColumn("block", F.col("block").cast("string"))
         done = self.processed()
-        # one row per block
+        # block is a folder, so rows of processed blocks are not read again
+        staged = staged.withColumn("block", F.col("block").cast("string")).filter(~F.col("block").isin(sorted(done)))
+        # one row per open block
         spans = staged.groupBy("block").agg(F.max(PICKUP).alias("last")).collect()
-        newest = max(r["last"] for r in spans)
+        newest = max((r["last"] for r in spans), default=None)
         reach = dt.timedelta(hours=self.settings.block_hours + self.settings.delay_hours)
         due = sorted(
             r["block"] for r in spans
-            if r["block"] not in done and (final or dt.datetime.strptime(r["block"], BLOCK_FORMAT) + reach <= newest))
+            if (final or dt.datetime.strptime(r["block"], BLOCK_FORMAT) + reach <= newest))
         if self.settings.max_windows:
             due = due[: max(self.settings.max_windows - len(done), 0)]
         for i in range(0, len(due), BLOCKS_AT_ONCE):
