@@ -33,6 +33,22 @@ def test_matches_numpy_in_both_join_plans(spark, monkeypatch, limit):
     assert out[None]["a"] == 5.0
 
 
+@pytest.mark.parametrize("limit", [1_000_000, -1])
+def test_wide_slices_are_cut_until_they_are_small(spark, monkeypatch, limit):
+    monkeypatch.setattr(Q, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(Q, "SLICE_ROWS", 5)
+    monkeypatch.setattr(Q, "CELLS", 4)
+    rng = np.random.default_rng(4)
+    data = {"a": 1000 + rng.random(800) / 10, "b": np.repeat([3.0, 3.0001, 3.0002], [50, 400, 60]), "c": -5 - rng.random(90) / 1000}
+    df = frame(spark, [(k, float(v)) for k, vs in data.items() for v in vs])
+    out = {r["k"]: r for r in Q.quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.9, "c": 0.03}).collect()}
+    for k, vs in data.items():
+        want = [np.quantile(vs, p) for p in (0.5, 0.9, 0.03)]
+        assert [out[k][x] for x in "abc"] == pytest.approx(want, rel=1e-14)
+        alone = Q.scalar_quantiles(frame(spark, [(k, float(v)) for v in vs]), "v", {"a": 0.5, "b": 0.9, "c": 0.03})
+        assert [alone[x] for x in "abc"] == pytest.approx(want, rel=1e-14)
+
+
 def test_hot_group_and_hot_value(spark):
     df = spark.range(30000).select(
         F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),

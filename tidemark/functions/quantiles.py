@@ -3,8 +3,9 @@
 The built-in ``percentile`` keeps every distinct value of a group in one task.
 Here a group is first reduced to counts per *value slice* (a fixed, monotone,
 logarithmic grid), which combines map-side and is bounded per group.  The slice
-holding the wanted rank is then read again at full precision, so only about a
-thousandth of a group's value range is ever ordered in one place.
+holding the wanted rank is then read again at full precision.  While such a
+slice holds more than a million values it is first cut into finer ones, so no
+task ever orders more than that.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ from tidemark.functions.joins import join_on
 from tidemark.session import BROADCAST_ROWS, checkpointed
 
 SLICES_PER_NAT = 1024
+# A slice of more values than this is cut into CELLS finer ones; three cuts leave
+# a slice at most a few dozen different doubles wide.
+SLICE_ROWS = 1_000_000
+CELLS = 4096
+MAX_CUTS = 3
 _LARGEST = 1.7976931348623157e308
 
 
@@ -96,27 +102,48 @@ def quantiles(
         low, high, _ = _ranks(F.col("n"), prob)
         wanted = wanted | _holds(low) | _holds(high)
     # Slices with a single value need no second look; groups without values have n = 0.
-    is_open = F.col("_lo") < F.col("_hi")
-    seen = Observation()
-    picked = checkpointed(
-        slices.filter(wanted | (F.col("n") == 0)).observe(seen, F.count_if(is_open).alias("open")))
-
-    settled = picked.filter(~F.coalesce(is_open, F.lit(False))).select(
+    is_open = F.coalesce(F.col("_lo") < F.col("_hi"), F.lit(False))
+    too_big = is_open & (F.col("_c") > SLICE_ROWS)
+
+    def held(rows: DataFrame) -> tuple[DataFrame, int, int]:
+        seen = Observation()
+        stored = checkpointed(rows.observe(
+            seen, F.count_if(is_open).alias("open"), F.count_if(too_big).alias("big")))
+        return stored, seen.get["open"], seen.get["big"]
+
+    def among(rows: DataFrame, slices: DataFrame, count: int) -> DataFrame:
+        """Rows whose value lies in one of the slices of their group."""
+        inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+        if count <= BROADCAST_ROWS:
+            return join_on(rows, F.broadcast(slices.drop("_slice")), keys, extra=inside)
+        return join_on(rows.withColumn("_slice", value_slice(F.col("_v"))), slices, [*keys, "_slice"], extra=inside)
+
+    columns = [*keys, "_slice", "_c", "_lo", "_hi", "n", "_start"]
+    picked, opened, big = held(slices.filter(wanted | (F.col("n") == 0)).select(*columns))
+    for _ in range(MAX_CUTS):
+        if big == 0:
+            break
+        wide = picked.filter(too_big).select(
+            *keys, "_slice", F.col("_slice").alias("_from"), "n", F.col("_start").alias("_before"), "_lo", "_hi")
+        cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS), F.lit(CELLS - 1))
+        cut = among(base, wide, big).select(*keys, "_from", "_before", "n", "_v", "_w", cell.alias("_cell"))
+        cut = cut.groupBy(*keys, "_from", "_before", "_cell").agg(
+            F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("n").alias("n"))
+        cut = _ranked(cut, [*keys, "_from", "_before"], F.col("_cell").asc(), F.col("_before")).filter(wanted)
+        picked, opened, big = held(picked.filter(~too_big).unionByName(
+            cut.withColumnRenamed("_from", "_slice").select(*columns)))
+
+    settled = picked.filter(~is_open).select(
         *keys, "n", "_start", "_c", F.when(F.col("n") > 0, F.col("_lo")).alias("_v"))
     open_ = picked.filter(is_open).select(
         *keys, "_slice", "n", F.col("_start").alias("_before"), "_lo", "_hi")
-    values = [*keys, "_slice", "_v"]
-    if seen.get["open"] <= BROADCAST_ROWS:
-        in_range = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-        counted = (
-            join_on(base, F.broadcast(open_), keys, extra=in_range)
-            .groupBy(*values)
-            .agg(F.sum("_w").alias("_c"), F.max("n").alias("n"), F.max("_before").alias("_before"))
-        )
-    else:
+    if opened > BROADCAST_ROWS:
         # count equal values first, so the join moves each distinct value once
-        counted = join_on(sliced.groupBy(*values).agg(F.sum("_w").alias("_c")), open_, [*keys, "_slice"])
-    read = _ranked(counted, [*keys, "_slice"], F.col("_v").asc(), F.col("_before")).select(
+        base = base.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
+    # a slice is known by the rank it starts at
+    counted = among(base, open_, opened).groupBy(*keys, "_before", "_v").agg(
+        F.sum("_w").alias("_c"), F.max("n").alias("n"))
+    read = _ranked(counted, [*keys, "_before"], F.col("_v").asc(), F.col("_before")).select(
         *keys, "n", "_start", "_c", "_v")
 
     aggregates, results = [], []
@@ -166,14 +193,25 @@ def scalar_quantiles(
     places = {name: (total - 1) * prob for name, prob in probs.items()}
     ranks = sorted({r for p in places.values() for r in (math.floor(p), math.ceil(p))})
     found = [(r["_start"], r["_c"], r["_lo"]) for r in picked if r["_lo"] == r["_hi"]]
-    open_ = [r for r in picked if r["_lo"] < r["_hi"]]
+    open_ = [(r["_start"], r["_c"], r["_lo"], r["_hi"]) for r in picked if r["_lo"] < r["_hi"]]
+    for _ in range(MAX_CUTS):
+        wide = [o for o in open_ if o[1] > SLICE_ROWS]
+        if not wide:
+            break
+        open_ = [o for o in open_ if o[1] <= SLICE_ROWS]
+        for start, count, low, high in _cut_slices(base, wide):
+            if any(start <= r < start + count for r in ranks):
+                if low == high:
+                    found.append((start, count, low))
+                else:
+                    open_.append((start, count, low, high))
     if open_:
         # values outside the slices' ends form one group, summed before the shuffle
         # and ranked beyond every row
         v, before = F.col("_v"), F.lit(1 << 62)
-        for r in open_:
-            before = F.when(v.between(r["_lo"], r["_hi"]), F.lit(r["_start"])).otherwise(before)
-        inside = reduce(lambda a, b: a | b, [v.between(r["_lo"], r["_hi"]) for r in open_])
+        for start, _, low, high in open_:
+            before = F.when(v.between(low, high), F.lit(start)).otherwise(before)
+        inside = reduce(lambda a, b: a | b, [v.between(low, high) for _, _, low, high in open_])
         counted = base.groupBy(F.when(inside, v).otherwise(F.lit(float("nan"))).alias("_v")).agg(
             F.sum("_w").alias("_c")).withColumn("_before", before)
         placed = _ranked(counted, ["_before"], F.col("_v").asc(), F.col("_before"))
@@ -190,6 +228,23 @@ def scalar_quantiles(
     return out
 
 
+def _cut_slices(base: DataFrame, slices: list[tuple]) -> list[tuple]:
+    """Cut (start rank, count, low, high) slices into cells; at most CELLS rows each come back."""
+    v, which, cell = F.col("_v"), F.lit(-1), F.lit(0).cast("bigint")
+    for i, (_, _, low, high) in enumerate(slices):
+        here = v.between(low, high)
+        which = F.when(here, F.lit(i)).otherwise(which)
+        cell = F.when(here, F.least(F.floor((v - low) / (high - low) * CELLS), F.lit(CELLS - 1))).otherwise(cell)
+    rows = base.groupBy(which.alias("_which"), cell.alias("_cell")).agg(
+        F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).collect()
+    out = []
+    for i, (start, *_) in enumerate(slices):
+        for r in sorted((r for r in rows if r["_which"] == i), key=lambda r: r["_cell"]):
+            out.append((start, r["_c"], r["_lo"], r["_hi"]))
+            start += r["_c"]
+    return out
+
+
 def scalar_mad(df: DataFrame, value: str) -> tuple[float | None, float | None]:
     """Median and median absolute deviation of a whole column."""
     median = scalar_quantiles(df, value, {"q": 0.5})["q"]
