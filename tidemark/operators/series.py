@@ -94,21 +94,30 @@ def long_series(
     labels = [F.lit(ALL_VENDORS)] if ALL_VENDORS in vendors else []
     if own:
         labels.append(F.when(F.col("vendorid").isin(own), F.col("vendorid")))
-    bins = F.array(*[
-        F.struct(F.lit(r).alias("resolution"), C.bin_to(PICKUP, r).alias("ts")) for r in resolutions])
+    # resolutions and metrics travel as list positions, which group and shuffle cheaper than names
     expanded = (
-        trips.withColumn("vendor", F.explode(F.array_compact(F.array(*labels))))
-        .withColumn("_bin", F.explode(bins))
-        .select("_bin.resolution", "vendor", "_bin.ts", *metrics)
+        trips.select(
+            F.explode(F.array_compact(F.array(*labels))).alias("vendor"),
+            F.array(*[C.bin_to(PICKUP, r) for r in resolutions]).alias("_bins"),
+            F.array(*[F.col(m).cast("double") for m in metrics]).alias("_values"))
+        .select("vendor", "_values", F.posexplode("_bins").alias("_r", "ts"))
     )
-    place = ["resolution", "vendor", "ts"]
+    place = ["_r", "vendor", "ts"]
+
+    def named(position: str, names: list[str]) -> Column:
+        return F.get(F.array(*map(F.lit, names)), F.col(position))
+
     counts = expanded.groupBy(*place).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
         F.lit(COUNT_METRIC).alias("metric"), *place, "value")
-    tall = _tall(expanded, place, metrics)
+    tall = expanded.select(*place, F.posexplode("_values").alias("_m", "value"))
     if how == "median":
-        values = quantiles(tall, ["metric", *place], "value", {"value": 0.5})
+        values = quantiles(tall, ["_m", *place], "value", {"value": 0.5})
     else:
-        values = tall.groupBy("metric", *place).agg(F.avg("value").alias("value"))
+        values = tall.groupBy("_m", *place).agg(F.avg("value").alias("value"))
+    values = values.select(named("_m", metrics).alias("metric"), *place, "value")
+    place = ["resolution", "vendor", "ts"]
+    counts, values = (
+        df.withColumn("resolution", named("_r", resolutions)).select("metric", *place, "value") for df in (counts, values))
     series = counts.unionByName(values.select("metric", *place, "value")).dropna(subset=["value"])
     return series.select(
         C.series_id().alias("series_id"), "metric", "resolution", "vendor", "ts", "value")
