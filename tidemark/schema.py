@@ -98,7 +98,7 @@ SERIES_KEYS = ["metric", "resolution", "vendor"]
 
 def struct_of(columns: dict[str, str]) -> T.StructType:
     """A nullable StructType from a name -> type-name mapping."""
-    return T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in columns.items()))
+    return T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items()))
 
 
 def canonical(name: str) -> str:

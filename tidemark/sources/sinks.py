@@ -22,18 +22,22 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     chosen.select(*shown).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 
+def _rebalanced(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Bring equal values together, letting AQE cut heavy ones and merge light ones."""
+    return df.sparkSession.sql(f"SELECT /*+ REBALANCE({', '.join(columns)}) */ * FROM {{rows}}", rows=df)
+
+
 def write_trips(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Trips as parquet, one folder per pickup date, ordered by pickup in each file."""
     dated = df.withColumn("pickup_date", F.to_date("tpep_pickup_datetime"))
-    # range partitioning cuts a heavy date into several files
-    (dated.repartitionByRange("pickup_date", "tpep_pickup_datetime")
+    (_rebalanced(dated, ["pickup_date"])
         .sortWithinPartitions("pickup_date", "tpep_pickup_datetime")
         .write.mode(mode).partitionBy("pickup_date").parquet(path))
 
 
 def write_series(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Long series as parquet, one folder per resolution and split."""
-    (df.repartitionByRange("resolution", "split", "series_id", "ts")
+    (_rebalanced(df, ["resolution", "split"])
         .sortWithinPartitions("resolution", "split", "series_id", "ts")
         .write.mode(mode).partitionBy("resolution", "split").parquet(path))
 
