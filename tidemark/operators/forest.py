@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.functions.joins import join_on
 from tidemark.functions.ordering import per_group
 from tidemark.functions.quantiles import quantiles, scalar_quantiles
 from tidemark.operators import anomaly as A
@@ -24,10 +25,12 @@ from tidemark.schema import (
     CLEAN_FEATURES, FILE_CONTAMINATION, MIN_FOREST_ROWS, SERIES_CONTAMINATION, STREAM_CONTAMINATION,
     TREE_ROWS, TREES, time_feature_names,
 )
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, stored_lookup
 
 # Groups a block's trees are grown in; its row pool is copied once per group.
 GROW_GROUPS = 8
+# Hashes are compared modulo this.
+HASH_RANGE = 1 << 40
 # Rows scored at a time inside a task.
 SCORE_ROWS = 4096
 
@@ -103,16 +106,22 @@ def fit_forest(
 ) -> Forest:
     """Grow a forest per ``group`` value on rows that have all features.
 
-    A group's trees draw from a pool of its ``trees * tree_rows`` rows with the
-    smallest hashes; the ranking is cut to that many before rows are moved.
-    Groups with fewer than 20 usable rows get no trees.
+    A group's trees draw from a pool of ``trees * tree_rows`` of its rows, chosen
+    by hash.  A threshold from the group's size first keeps little more than
+    that, so a large group does not meet in the ranking.  Groups with fewer than
+    20 usable rows get no trees.
     """
     label = F.col(group).cast("string") if group else F.lit("")
     usable = df.dropna(subset=features).select(
         label.alias("_group"), F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(key).alias("_key"),
         *[F.col(f).cast("double").alias(f) for f in features])
+    wanted = trees * tree_rows
+    sizes = stored_lookup(usable.groupBy("_group").agg(F.count(F.lit(1)).alias("_size")))
+    # eight standard deviations above the wanted number
+    share = F.lit(wanted + 8 * wanted ** 0.5 + 8) / F.col("_size")
+    near = join_on(usable, sizes, ["_group"]).filter(F.pmod(F.col("_h"), F.lit(HASH_RANGE)) < share * HASH_RANGE)
     ranked = Window.partitionBy("_group").orderBy("_h", "_key")
-    pool = usable.withColumn("_i", F.row_number().over(ranked)).filter(F.col("_i") <= trees * tree_rows)
+    pool = near.withColumn("_i", F.row_number().over(ranked)).filter(F.col("_i") <= wanted)
     copies = pool.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(GROW_GROUPS - 1))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
