@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import host_rules, mixing, packing, simhash_balls
+from tidemark.llm import host_rules, mixing, packing, pii_crf, simhash_balls
 from tidemark.llm.common import stored, table
 
 
@@ -25,6 +25,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_balls.keep_first(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind."""
+    return pii_crf.without_personal_data(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document taken twice is two rows."""
     return mixing.mixed(docs)
@@ -38,6 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality),
     ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
     ("mix", mix),
     ("pack", pack),
 ]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import host_rules, mixing, packing, simhash_balls, token_counts
+from tidemark.llm import (
+    host_rules, license_scan, mixing, packing, pii_crf, simhash_balls, site_style_tree, substring_dedup, token_counts,
+    weighted_sampling)
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -16,6 +18,21 @@ def query(fn):
     return fn
 
 
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.compared(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.spans(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_rules.judged(table(spark, sf_dir, "documents"))
@@ -43,3 +60,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_balls.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents")).drop("found")
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = site_style_tree.extracted(table(spark, sf_dir, "pages"))
+    text, n_chars = out.columns[-2:]
+    return out.select("page_id", "url", F.col(text).alias("text"), F.col(n_chars).alias("n_chars"))
