@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import column, shuffle_partitions, small_batches, text_column
-from tidemark.llm.segments import Encoder
+from tidemark.llm.segments import Encoder, shared_encoder
 
 LENGTH, END_ID = 2048, 1
 # Penalties in tokens of padding: a cut at the end of a sentence, and one within a sentence.
@@ -100,7 +100,7 @@ class Packer:
     """Turns documents, in order, into columns of ``SCHEMA``."""
 
     def __init__(self, first_id: int, encoder: Encoder | None = None, stretch: int = STRETCH):
-        self.encoder = encoder or Encoder()
+        self.encoder = encoder or shared_encoder()
         self.next_id, self.stretch = first_id, stretch
         self.doc_ids: list = []
         self.ids: list[np.ndarray] = []

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -103,3 +104,9 @@ class Encoder:
         grouped = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(table))
         taken = grouped.take(pa.array(entries))
         return taken.flatten().to_numpy(), taken.offsets.to_numpy()[first]
+
+
+@cache
+def shared_encoder() -> Encoder:
+    """The one encoder of a worker; its tables are large and are kept from task to task."""
+    return Encoder()

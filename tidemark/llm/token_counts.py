@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import column, small_batches, text_column
-from tidemark.llm.segments import SPECIAL, Encoder, pieces, plain
+from tidemark.llm.segments import SPECIAL, Encoder, pieces, plain, shared_encoder
 
 CHUNK = 1 << 15
 LIMIT = 512
@@ -41,7 +41,7 @@ class StateMap(NamedTuple):
 
 class Transducer:
     def __init__(self, encoder: Encoder | None = None):
-        self.encoder = encoder or Encoder()
+        self.encoder = encoder or shared_encoder()
 
     def emits(self, piece: str) -> int:
         """Tokens emitted over one whole segment."""
@@ -127,14 +127,9 @@ class Transducer:
         return fixed
 
 
-_MACHINE: Transducer | None = None
-
-
 @F.arrow_udf(T.LongType())
 def _counted(texts: pa.Array) -> pa.Array:
-    global _MACHINE
-    _MACHINE = _MACHINE or Transducer()  # once per worker
-    return pa.array(_MACHINE.counts([t or "" for t in texts.to_pylist()]), pa.int64())
+    return pa.array(Transducer().counts([t or "" for t in texts.to_pylist()]), pa.int64())
 
 
 def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
