@@ -11,10 +11,14 @@ import time
 
 import duckdb
 
-from checks.queries import QUERIES
-from checks.twins import TWINS
+from checks import facts
+from checks.queries import QUERIES as TABLE_QUERIES
+from checks.twins import TWINS as TABLE_TWINS
 from tidemark.session import build_session
 
+QUERIES = {**TABLE_QUERIES, **facts.QUERIES}
+TWINS = {**TABLE_TWINS, **facts.TWINS}
+
 
 def connect(sf_dir: str):
     con = duckdb.connect()
@@ -64,7 +68,7 @@ def compare(spark, con, sf_dir: str, name: str) -> str:
 def main() -> int:
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
-    spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+    spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
                           spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("OFF")
     con, bad = connect(sf_dir), 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from functools import reduce
 
@@ -23,6 +24,8 @@ from tidemark.streaming import pipeline, sources, windows
 
 PICKUP = "tpep_pickup_datetime"
 TRAIN_END = "2024-01-23 00:00:00"
+# Leaves a forecaster with its usual lags enough bins to learn from.
+MODEL_END = "2024-01-26 00:00:00"
 RANGE = ("2024-01-05 00:00:00", "2024-01-20 00:00:00")
 QUERIES: dict = {}
 
@@ -84,8 +87,8 @@ KEYS = ["metric", "resolution", "vendor"]
 
 
 def some_series(spark, sf, resolutions=("1h", "3h")):
-    """Long series of three metrics, labelled by split."""
-    rows = S.long_series(trips(spark, sf), list(resolutions), metrics=["total_amount", "trip_speed_mph"])
+    """Long series of all metrics and vendors, labelled by split."""
+    rows = S.long_series(full(spark, sf), list(resolutions))
     return S.with_split(checkpointed(rows), 8)
 
 
@@ -166,9 +169,9 @@ def monthly_files(spark, sf):
     """Two files that differ in names, types and columns, read as one table."""
     folder = scratch(spark, "months")
     rows = raw(spark, sf).drop("id")
-    train(rows).withColumnRenamed("vendorid", "VendorID").coalesce(1).write.parquet(f"{folder}/a")
+    train(rows).withColumnRenamed("vendorid", "VendorID").write.parquet(f"{folder}/a")
     older = later(rows).drop("pulocationid", "dolocationid")
-    older.withColumn("passenger_count", F.col("passenger_count").cast("double")).coalesce(1).write.parquet(f"{folder}/b")
+    older.withColumn("passenger_count", F.col("passenger_count").cast("double")).write.parquet(f"{folder}/b")
     parts = [readers.scan_trips(spark, f"{folder}/{p}") for p in "ab"]
     return reduce(R.union_trips, parts).drop(
         "trip_duration_minutes", "trip_speed_mph", "price_per_distance", "hourly_trip_volume", "hourly_avg_speed")
@@ -362,7 +365,7 @@ def hourly_stats_join(spark, sf):
 
 @query
 def weekly_profile(spark, sf):
-    rows = S.long_series(train(trips(spark, sf)), ["1h"], metrics=["total_amount", "trip_speed_mph"], how="mean")
+    rows = S.long_series(train(full(spark, sf)), ["1h"], how="mean")
     return S.weekly_profile(rows, ["metric", "vendor"])
 
 
@@ -549,7 +552,7 @@ def compare_tags(spark, sf):
     rows = some_series(spark, sf)
     day = Fc.score_by_series(Fc.rolling_forecast(rows, Fc.seasonal_ahead(24), 72, 24, KEYS), "s24")
     half = Fc.score_by_series(Fc.rolling_forecast(rows, Fc.seasonal_ahead(12), 72, 24, KEYS), "s12")
-    return Cal.compare_tags(checkpointed(day.unionByName(half)))
+    return Cal.compare_tags(checkpointed(day.unionByName(half)), tags=["s12", "s24"])
 
 
 def naive_rows(spark, sf):
@@ -651,7 +654,7 @@ def iforest_clean(spark, sf):
 def iforest_daily(spark, sf):
     """A forest per day."""
     daily = S.block_rows(trips(spark, sf), 24)
-    return forest.cleaning_stats(forest.clean_blocks(daily, "block", trees=40), ["block"])
+    return forest.cleaning_stats(forest.clean_blocks(daily, "block"), ["block"])
 
 
 @query
@@ -668,19 +671,19 @@ def kernel_novelty(spark, sf):
 
 @query
 def gbt_forecast(spark, sf):
+    cut = F.lit(MODEL_END).cast("timestamp_ntz")
+    rows = trips(spark, sf)
     request = requests.Request(
-        "trip_count", "1h", TRAIN_END, "2024-01-30 23:59:59", how="median",
-        history=trips(spark, sf).filter(F.col(PICKUP) < F.lit(TRAIN_END).cast("timestamp_ntz")),
-        options={"rounds": 8, "depth": 4, "lags": 24})
-    return requests.answer(later(trips(spark, sf)), request, "forecast", "xgboost")
+        "trip_count", "1h", MODEL_END, "2024-01-30 23:59:59", how="median", history=rows.filter(F.col(PICKUP) < cut))
+    return requests.answer(rows.filter(F.col(PICKUP) >= cut), request, "forecast", "xgboost")
 
 
 @query
 def gbt_incremental(spark, sf):
     rows = checkpointed(S.bin_series(trips(spark, sf), "trip_count", "1h"))
     cut = F.lit(TRAIN_END).cast("timestamp_ntz")
-    first = Fc.update_forecaster(None, checkpointed(rows.filter(F.col("ts") < cut)), "1h", fresh_rounds=6, depth=4, lags=24)
-    second = Fc.update_forecaster(first.model, rows, "1h", update_rounds=4, depth=4)
+    first = Fc.update_forecaster(None, checkpointed(rows.filter(F.col("ts") < cut)), "1h")
+    second = Fc.update_forecaster(first.model, rows, "1h")
     return spark.createDataFrame(
         [(i, o.status, o.n_train, o.wape, o.mae, o.trees, o.incremental) for i, o in enumerate((first, second))],
         "step int, status string, n_train long, wape double, mae double, trees int, incremental boolean")
@@ -689,14 +692,14 @@ def gbt_incremental(spark, sf):
 @query
 def recursive_forecast(spark, sf):
     rows = checkpointed(S.bin_series(trips(spark, sf), "trip_count", "1h", keys=["vendorid"]))
-    model = Fc.fit_forecaster(rows, "1h", rounds=6, depth=4, keys=["vendorid"], lags=24)
+    model = Fc.fit_forecaster(rows, "1h", keys=["vendorid"])
     return Fc.forecast_recursive(rows, model, "2024-01-30 12:00:00", 12, ["vendorid"])
 
 
 @query
 def live_panel(spark, sf):
     rows = checkpointed(hourly(spark, sf))
-    model = Fc.fit_forecaster(rows, "1h", rounds=4, depth=3, lags=24)
+    model = Fc.fit_forecaster(rows, "1h")
     past = Fc.seasonal_naive(rows, "1h").select(
         "ts", (F.col("ts") - F.expr("INTERVAL '1' DAY")).alias("made_at"), "forecast").dropna()
     return Fc.live_forecast(rows, model, "2024-01-29 00:00:00", 6, past)
@@ -715,14 +718,14 @@ def annual_anomaly(spark, sf):
     days = checkpointed(daily_orders(spark, sf))
     cut = days.agg(F.date_sub(F.max("day"), 180)).first()[0]
     clean, new = days.filter(F.col("day") <= F.lit(cut)), days.filter(F.col("day") > F.lit(cut))
-    return Fc.annual_anomaly(clean, new, rounds=8, depth=4, first_year=1990, last_year=2010)
+    return Fc.annual_anomaly(clean, new, first_year=1990, last_year=2010)
 
 
 @query
 def setting_search(spark, sf):
     rows = checkpointed(S.bin_series(trips(spark, sf), "trip_count", "1h"))
-    found = Fc.time_ordered_search(rows, "1h", [{"rounds": 3, "depth": d, "lags": 48} for d in (2, 3)])
-    return spark.createDataFrame([(w, str(s)) for w, s in found], "wape double, setting string")
+    found = Fc.time_ordered_search(rows, "1h", [{"depth": d} for d in (2, 3)])
+    return spark.createDataFrame([(w, str(s), e) for w, s, e in found], "wape double, setting string, error string")
 
 
 @query
@@ -730,7 +733,7 @@ def residual_band(spark, sf):
     rows = naive_rows(spark, sf).dropna(subset=["forecast"])
     scored = checkpointed(rows.select("ts", "actual", "forecast"))
     steps = scored.withColumns({"origin": F.to_date("ts").cast("string"), "step": F.hour("ts")})
-    paths = Fc.residual_paths(steps, checkpointed(Fc.index_residuals(scored)), 50)
+    paths = Fc.residual_paths(steps, checkpointed(Fc.index_residuals(scored)))
     return Cal.sample_band(paths, "90", ["origin", "step"])
 
 
@@ -750,11 +753,24 @@ def random_windows(spark, sf):
 STREAM_COLUMNS = {"id": "bigint", **{k: v for k, v in TRIP_COLUMNS.items() if not k.startswith("hourly_")}}
 
 
-def trip_stream(spark, sf, max_files=200):
-    """The trips as a file stream, one folder per day."""
+SLICES, LATE = 5, "id % 50 = 7"
+
+
+def trip_stream(spark, sf, max_files=1):
+    """The trips as a file stream: a file per six days, read one by one.
+
+    A tenth of each slice's last day comes out of order, with the next slice.
+    Every fiftieth row of the first slice comes last of all, when its time is long past.
+    """
     path = scratch(spark, "stream")
-    rows = readers.align_schema(trips(spark, sf), STREAM_COLUMNS)
-    rows.withColumn("d", F.to_date(PICKUP)).repartition("d").write.partitionBy("d").parquet(path)
+    rows = checkpointed(readers.align_schema(trips(spark, sf), STREAM_COLUMNS))
+    day = F.dayofmonth(PICKUP) - 1
+    held = F.when((F.col("id") % 10 == 3) & (day % 6 == 5), 1).otherwise(0)
+    place = F.least(F.floor(day / 6), F.lit(SLICES - 1))
+    sliced = rows.withColumn("_s", F.when(F.expr(LATE) & (place == 0), SLICES).otherwise(F.least(place + held, F.lit(SLICES - 1))))
+    for i in range(SLICES + 1):
+        sliced.filter(F.col("_s") == i).drop("_s").repartition(1).write.parquet(f"{path}/{i}")
+        time.sleep(1.1)  # files are read in the order of their times
     return sources.read_trip_stream(spark, path, STREAM_COLUMNS, max_files)
 
 
@@ -769,24 +785,30 @@ def drained(spark, stream_df):
 
 @query
 def stream_bins(spark, sf):
-    """Closed hourly bins; the bins after the last watermark come from a batch pass."""
-    stream = trip_stream(spark, sf)
-    closed = drained(spark, sources.stream_bin_series(stream, "total_amount", "1h", "0 seconds"))
-    closed = closed.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    open_ = hourly(spark, sf).join(closed.select("ts"), "ts", "left_anti")
-    return closed.unionByName(open_)
+    """What the stream emits by itself: hourly bins closed by the last watermark, without late rows."""
+    closed = drained(spark, sources.stream_bin_series(trip_stream(spark, sf), "total_amount", "1h", "2 days"))
+    return closed.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query
 def stream_blocks(spark, sf):
-    out = drained(spark, sources.tumbling_blocks(trip_stream(spark, sf), 24, "0 seconds"))
+    out = drained(spark, sources.tumbling_blocks(trip_stream(spark, sf), 24, "2 days"))
     return out.select(F.col("block").cast("timestamp_ntz").alias("block"), "n_rows", "mean_total")
 
 
+@query
+def stream_two_day_blocks(spark, sf):
+    """Blocks whose width does not divide a day: the stream's next to the batch form's."""
+    out = drained(spark, sources.tumbling_blocks(trip_stream(spark, sf), 48, "2 days"))
+    batch = S.block_rows(trips(spark, sf), 48).filter(~(F.expr(LATE) & (F.dayofmonth(PICKUP) <= 6)))
+    batch = batch.groupBy("block").agg(F.count(F.lit(1)).alias("n_batch"))
+    return out.select(F.col("block").cast("timestamp_ntz").alias("block"), F.col("n_rows")).join(batch, "block")
+
+
 def _pipe(spark, sf, **settings):
     pipe = pipeline.BlockPipeline(
         spark, scratch(spark, "pipe"),
-        pipeline.Settings(trees=25, fresh_rounds=3, update_rounds=2, depth=3, lags=24, **settings))
+        pipeline.Settings(lags=24, **settings))
     return pipe
 
 
@@ -800,5 +822,5 @@ def stream_telemetry(spark, sf):
 @query
 def stream_prewarm(spark, sf):
     pipe = _pipe(spark, sf, metrics=("trip_count",))
-    pipe.prewarm(trips(spark, sf), "2024-01-11", 10)
+    pipe.prewarm(trips(spark, sf), "2024-01-11")
     return pipe.retrain(trips(spark, sf), "2024-01-11").drop("seconds")

@@ -62,7 +62,7 @@ def with_(*parts):
 
 
 BASE = (RAW, feat())
-SOME = (*BASE, long("some0", "feat", ["total_amount", "trip_speed_mph"], {"1h": "1 hour", "3h": "3 hours"}),
+SOME = (*BASE, FULL, long("some0", "full_", METRICS, {"1h": "1 hour", "3h": "3 hours"}),
         """sm AS (SELECT *, CASE WHEN ts >= (SELECT date_trunc('day', max(ts)) - INTERVAL 8 DAY FROM some0) THEN 'val' ELSE 'train' END AS split FROM some0)""")
 
 
@@ -240,7 +240,7 @@ twin("series_meta", with_(*SOME) + "SELECT series_id, metric, resolution, vendor
 HS = "SELECT id, CAST(hourly_trip_volume AS BIGINT) AS hourly_trip_volume, hourly_avg_speed FROM full_"
 twin("hourly_stats_window", with_(*BASE, FULL) + HS, "hourly_avg_speed")
 twin("hourly_stats_join", with_(RAW, feat(mode="eps"), FULL) + HS, "hourly_avg_speed")
-twin("weekly_profile", with_(*BASE, long("l", "feat", ["total_amount", "trip_speed_mph"], {"1h": "1 hour"}, "mean", where=f"{T} < {TRAIN_END}"),
+twin("weekly_profile", with_(*BASE, FULL, long("l", "full_", METRICS, {"1h": "1 hour"}, "mean", where=f"{T} < {TRAIN_END}"),
   profile("pr", "l", "metric, vendor")) + "SELECT metric, vendor, CAST(wd AS INTEGER) AS wd, CAST(tb AS INTEGER) AS tb, expected, mad FROM pr", "expected mad")
 twin("training_profiles", with_(*BASE, FULL, long("l", "full_", METRICS, {"1h": "1 hour", "1d": "1 day"}, "mean", where=f"{T} < {TRAIN_END}"),
   "a AS (SELECT metric, resolution, vendor, ts, value FROM l UNION ALL SELECT metric, '3h', vendor, time_bucket(INTERVAL '3 hours', ts), avg(value) FROM l WHERE resolution = '1h' GROUP BY ALL)",
@@ -338,6 +338,10 @@ twin("count_windows", with_(RAW, f"p AS (SELECT *, row_number() OVER (ORDER BY {
   "f AS (SELECT greatest((max(n) - 1000) // 200 + 1, 0) AS m, max(n) AS n FROM p)",
   "w AS (SELECT i AS window_index, i * 200 AS a, i * 200 + 1000 AS b FROM f, generate_series(0, 1000000) g(i) WHERE i < m UNION ALL SELECT m, greatest(n - 1000, 0), n FROM f)") +
   f"SELECT window_index, count(*) AS n_rows, min({T}) AS ts_start, max({T}) AS ts_end, sum(total_amount) AS total FROM w JOIN p ON p.p >= a AND p.p < b GROUP BY 1", "total")
-twin("stream_bins", with_(*BASE, bins("b", "total_amount", "1 hour")) + "SELECT * FROM b", "value")
-twin("stream_blocks", with_(RAW) + f"""SELECT CAST(date_trunc('day', {T}) AS TIMESTAMP) AS block, count(*) AS n_rows, avg(total_amount) AS mean_total FROM raw
-WHERE date_trunc('day', {T}) < (SELECT date_trunc('day', max({T})) FROM raw) GROUP BY 1""", "mean_total")
+ON_TIME = f"(id % 50 <> 7 OR day({T}) > 6)"
+CLOSED = f"<= (SELECT max({T}) - INTERVAL 2 DAY FROM feat WHERE {ON_TIME})"
+twin("stream_bins", with_(*BASE, bins("b", "total_amount", "1 hour", where=ON_TIME)) + f"SELECT * FROM b WHERE ts + INTERVAL 1 HOUR {CLOSED}", "value")
+twin("stream_blocks", with_(*BASE) + f"""SELECT CAST(date_trunc('day', {T}) AS TIMESTAMP) AS block, count(*) AS n_rows, avg(total_amount) AS mean_total FROM feat
+WHERE {ON_TIME} AND date_trunc('day', {T}) + INTERVAL 1 DAY {CLOSED} GROUP BY 1""", "mean_total")
+twin("stream_two_day_blocks", with_(*BASE) + f"""SELECT time_bucket(INTERVAL 48 HOUR, {T}, TIMESTAMP '1970-01-01') AS block, count(*) AS n_rows, count(*) AS n_batch FROM feat
+WHERE {ON_TIME} GROUP BY 1 HAVING time_bucket(INTERVAL 48 HOUR, any_value({T}), TIMESTAMP '1970-01-01') + INTERVAL 2 DAY {CLOSED}""")

@@ -90,3 +90,11 @@ def test_lookups(spark):
     assert schema.time_feature_names("1m") == ["wd", "hour", "minute"] and schema.time_feature_names("1d") == ["wd"]
     got = one(spark, a=schema.resolution_lookup(F.lit("3h"), schema.SEASON_BINS, 24), b=schema.resolution_lookup(F.lit("x"), schema.SEASON_BINS, 24))
     assert got[:] == (8, 24)
+
+
+def test_bins_of_any_width_are_consecutive(spark):
+    hours = spark.range(24 * 14).select(F.timestamp_seconds(F.col("id") * 3600 + 1_700_000_000 - 1_700_000_000 % 3600).cast("timestamp_ntz").alias("ts"))
+    for width in (5 * 3600, 48 * 3600, 7 * 86400):
+        rows = hours.select("ts", C.bin_floor("ts", width).alias("b"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"),
+                            F.unix_seconds(C.bin_floor("ts", width).cast("timestamp")).alias("t")).collect()
+        assert all(r["t"] == r["s"] - r["s"] % width for r in rows)

@@ -91,7 +91,7 @@ def test_forest_flags_outliers_per_block_at_the_asked_rate(spark):
     assert stats["c"][1:] == (1, 0, 0, 1, 0.0)
     again = forest.clean_blocks(df.repartition(11), "block", ["x", "y"], 0.02, trees=50)
     assert {r["id"] for r in again.filter("is_anomaly").collect()} == {r["id"] for r in marked.filter("is_anomaly").collect()}
-    flagged = forest.flag_file(df, ["x", "y"], 0.02, fit_rows=1000, trees=50)
+    flagged = forest.flag_file(df, ["x", "y"], 0.02, trees=50)
     assert flagged.count() == len(rows) and flagged.filter("id BETWEEN 9000 AND 9004 AND is_anomaly = 1").count() == 5
 
 
@@ -182,3 +182,34 @@ def test_latest_forecast_counts(spark, series_of):
       (TIMESTAMP_NTZ'2024-01-01 01:00:00', 1, 22.0D) AS t(ts, made_at, forecast)""")
     assert Fc.lagged_wape(Fc.match_forecasts(actual, made)).first()[:] == (2, 0.1)
     assert Fc.latest_forecasts(made, 1).first()["forecast"] == 22.0
+
+
+def test_forecasts_of_series_with_gaps_cover_the_range(spark):
+    ts = [t for t in pd.date_range("2024-01-01", periods=1600, freq="1h") if t.hour not in (3, 4, 5, 6) and t.day != 17]
+    rows = [(t.to_pydatetime(), float(10 + t.hour)) for t in ts]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, value double")
+    model = Fc.fit_forecaster(df, "1h", rounds=5, depth=3, lags=40)
+    start, end = "2024-02-18 00:00:00", "2024-02-20 23:59:59"
+    got = {r["ts"] for r in Fc.forecast_one_step(df, model, start, end).collect()}
+    assert got == {t.to_pydatetime() for t in ts if start <= str(t) <= end}
+    assert Fc.forecast_recursive(df, model, "2024-02-18 00:00:00", 3).count() == 3
+
+
+def test_one_model_of_series_of_different_scale(spark):
+    ts = pd.date_range("2024-01-01", periods=900, freq="1h")
+    rng = np.random.default_rng(0)
+    rows = [(k, t.to_pydatetime(), scale * float(10 + t.hour + rng.normal(0, 0.5))) for k, scale in (("a", 1.0), ("b", 1000.0)) for t in ts]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, value double")
+    model = Fc.fit_forecaster(df, "1h", rounds=15, depth=4, lags=24, keys=["k"])
+    held = Fc.training_rows(df, "1h", ["k"], lags=24).filter("part = 'holdout'")
+    scored = Fc.banded(model.transform(held).withColumnRenamed("value", "actual"), model, "90")
+    for r in scored.groupBy("k").agg(F.avg((~F.col("outside")).cast("double")).alias("c"), F.avg("half_width").alias("w"),
+                                     F.avg("actual").alias("m")).collect():
+        assert r["c"] > 0.89 and r["w"] < 0.6 * r["m"]
+
+
+def test_tags_without_names_come_as_rows(spark):
+    scores = spark.range(1500).select(F.lit("1h").alias("resolution"), F.col("id").cast("string").alias("tag"),
+                                      F.lit(1.0).alias("wape_pct"), F.lit(2.0).alias("mase"))
+    assert Cal.compare_tags(scores).count() == 1500
+    assert Cal.compare_tags(scores, tags=["7"]).columns == ["resolution", "7_wape_pct", "7_mase"]

@@ -15,7 +15,7 @@ def frame(spark, rows):
 
 @pytest.mark.parametrize("limit", [1_000_000, -1])
 def test_matches_numpy_in_both_join_plans(spark, monkeypatch, limit):
-    monkeypatch.setattr(Q, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(Q, "BROADCAST_SLICES", limit)
     rng = np.random.default_rng(1)
     data = {
         "wide": rng.lognormal(0, 4, 500), "signed": rng.normal(0, 1, 401), "ties": rng.integers(0, 3, 300) * 1.0,
@@ -35,7 +35,7 @@ def test_matches_numpy_in_both_join_plans(spark, monkeypatch, limit):
 
 @pytest.mark.parametrize("limit", [1_000_000, -1])
 def test_wide_slices_are_cut_until_they_are_small(spark, monkeypatch, limit):
-    monkeypatch.setattr(Q, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(Q, "BROADCAST_SLICES", limit)
     monkeypatch.setattr(Q, "SLICE_ROWS", 5)
     monkeypatch.setattr(Q, "CELLS", 4)
     rng = np.random.default_rng(4)

@@ -125,3 +125,19 @@ def test_union_with_provenance(spark):
     got = R.union_with_provenance(plain(spark), entries, users)
     assert sorted((r["id"], r["source"], r["added_by_name"]) for r in got.filter("source = 'manual'").collect()) == [(1, "manual", "ada"), (3, "manual", None)]
     assert R.provenance_filter(got, "raw").count() == 5 and R.provenance_filter(got, "all", 7).count() == 1
+
+
+def test_guard_counts_rows_with_the_metric_only(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("m"))
+    assert R.guarded_limit(df, "m", 500).count() == 500
+    with pytest.raises(R.TooManyRows):
+        R.guarded_limit(df, "m", 499)
+
+
+def test_pages_after_a_row_equal_numbered_pages(spark):
+    df = spark.range(60).select("id", F.timestamp_seconds(F.floor(F.col("id") / 4)).cast("timestamp_ntz").alias(R.PICKUP))
+    last, seen = None, []
+    while rows := R.page_after(df, last, 25).collect():
+        seen += [r["id"] for r in rows]
+        last = (rows[-1][R.PICKUP], rows[-1]["id"])
+    assert seen == [r["id"] for r in df.orderBy(F.desc(R.PICKUP), "id").collect()]

@@ -65,3 +65,12 @@ def test_prepare_and_export(spark, tmp_path):
     assert {r[0] for r in stored.select("split").distinct().collect()} == {"train", "val"}
     cut = stored.filter("split = 'val'").agg(F.min("ts")).first()[0]
     assert cut >= dt.datetime(2024, 1, 22)
+
+
+def test_own_layout_is_read_back(spark, tmp_path):
+    rows = [(1, dt.datetime(2024, 1, 1, 5)), (2, dt.datetime(2024, 1, 2, 5))]
+    df = readers.align_schema(
+        spark.createDataFrame(rows, "passenger_count bigint, tpep_pickup_datetime timestamp_ntz"), readers.TRIP_COLUMNS)
+    sinks.write_trips(df, str(tmp_path / "trips"))
+    back = readers.scan_trips(spark, str(tmp_path / "trips"))
+    assert sorted(r["passenger_count"] for r in back.collect()) == [1, 2] and back.columns == df.columns

@@ -97,7 +97,7 @@ def test_max_windows_and_prewarm(spark, tmp_path):
     settings = pipeline.Settings(metrics=("trip_count",), trees=20, lags=2, fresh_rounds=2, update_rounds=2, depth=2)
     pipe = pipeline.BlockPipeline(spark, str(tmp_path), settings)
     pipe.prewarm(history, "2024-01-03", 5)
-    assert pipe.processed() == set() and pipe.series("trip_count").count() <= 48
+    assert pipe.progress() == ("", 0) and pipe.series("trip_count").count() <= 48
     row = pipe.retrain(history, "2024-01-03").first()
-    assert row["n_raw"] == 60 and row["window_index"] == 0 and pipe.processed() == {"2024-01-03T00-00"}
+    assert row["n_raw"] == 60 and row["window_index"] == 0 and pipe.progress() == ("2024-01-03T00-00", 1)
     assert pipe.retrain(history, "2024-02-01").count() == 0

@@ -62,12 +62,19 @@ def seconds_of_day(ts: str | Column = "ts") -> Column:
 
 
 def bin_floor(ts: str | Column, width: int | Column) -> Column:
-    """Start of the bin holding a naive timestamp.
+    """Start of the bin holding a naive timestamp; bins of any width are counted from 1970.
 
-    Every width divides a day, so flooring within the day equals flooring from
-    any midnight.  ``width`` is seconds, or a column of seconds.
+    ``width`` is seconds, or a column of seconds that divide a day.  A width that
+    divides a day is floored within the day, which is the same.
     """
     ts = F.col(ts) if isinstance(ts, str) else ts
+    if isinstance(width, int) and 86400 % width:
+        epoch = F.lit("1970-01-01").cast("date")
+        second = F.datediff(F.to_date(ts), epoch).cast("bigint") * 86400 + seconds_of_day(ts)
+        second = second - F.pmod(second, F.lit(width))
+        days = F.floor(second / 86400).cast("int")
+        return F.date_add(epoch, days).cast("timestamp_ntz") + F.make_dt_interval(
+            F.lit(0), F.lit(0), F.lit(0), F.pmod(second, F.lit(86400)).cast("decimal(18,6)"))
     width = F.lit(width) if isinstance(width, int) else width
     second = seconds_of_day(ts)
     second = second - second % width

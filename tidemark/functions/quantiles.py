@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.joins import join_on
-from tidemark.session import BROADCAST_ROWS, checkpointed
+from tidemark.session import BROADCAST_BYTES, checkpointed
 
 SLICES_PER_NAT = 1024
+# Slices that are broadcast at most; one holds the group's keys and a few numbers.
+BROADCAST_SLICES = BROADCAST_BYTES // 256
 # A slice of more values than this is cut into CELLS finer ones; three cuts leave
 # a slice at most a few dozen different doubles wide.
 SLICE_ROWS = 1_000_000
@@ -114,7 +116,7 @@ def quantiles(
     def among(rows: DataFrame, slices: DataFrame, count: int) -> DataFrame:
         """Rows whose value lies in one of the slices of their group."""
         inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-        if count <= BROADCAST_ROWS:
+        if count <= BROADCAST_SLICES:
             return join_on(rows, F.broadcast(slices.drop("_slice")), keys, extra=inside)
         return join_on(rows.withColumn("_slice", value_slice(F.col("_v"))), slices, [*keys, "_slice"], extra=inside)
 
@@ -137,7 +139,7 @@ def quantiles(
         *keys, "n", "_start", "_c", F.when(F.col("n") > 0, F.col("_lo")).alias("_v"))
     open_ = picked.filter(is_open).select(
         *keys, "_slice", "n", F.col("_start").alias("_before"), "_lo", "_hi")
-    if opened > BROADCAST_ROWS:
+    if opened > BROADCAST_SLICES:
         # count equal values first, so the join moves each distinct value once
         base = base.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
     # a slice is known by the rank it starts at

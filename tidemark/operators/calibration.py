@@ -110,27 +110,23 @@ def mean_half_width(banded: DataFrame, keys: list[str] | None = None) -> DataFra
 
 
 def sample_band(paths: DataFrame, level="95", keys: list[str] | None = None, value: str = "sample") -> DataFrame:
-    """Median and outer quantiles of sample paths per step: ``lower, median, upper``.
-
-    A step holds one value per sample path, a small fixed number.
-    """
+    """Median and outer quantiles of sample paths per step: ``lower, median, upper``."""
     keys, level = keys or [], level_of(level)
-    probs = [0.5, *SAMPLE_QUANTILES.get(level, ())]
-    read = paths.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("_q"))
-    out = read.withColumn("median", F.get("_q", 0))
+    probs = {"median": 0.5}
     if level != "none":
-        out = out.withColumn("lower", F.get("_q", 1)).withColumn("upper", F.get("_q", 2))
-    return out.drop("_q")
-
+        probs |= dict(zip(("lower", "upper"), SAMPLE_QUANTILES[level]))
+    return quantiles(paths, keys, value, probs).drop("n")
 
-def compare_tags(scores: DataFrame, measures: list[str] | None = None, by: str = "resolution") -> DataFrame:
-    """Median measure per ``by`` value for each tag, side by side.
 
-    ``scores`` has one row per series and tag, so groups are small.
-    """
+def compare_tags(
+    scores: DataFrame, measures: list[str] | None = None, by: str = "resolution", tags: list[str] | None = None
+) -> DataFrame:
+    """Median measure per ``by`` value and tag: a row for each, or the named ``tags`` side by side."""
     measures = measures or ["wape_pct", "mase"]
-    tags = sorted(r["tag"] for r in scores.select("tag").distinct().limit(1000).collect())
-    return scores.groupBy(by).pivot("tag", tags).agg(*[F.median(m).alias(m) for m in measures])
+    if tags is None:
+        return median_by(scores, [by, "tag"], measures)
+    chosen = scores.filter(F.col("tag").isin(tags))
+    return chosen.groupBy(by).pivot("tag", tags).agg(*[F.median(m).alias(m) for m in measures])
 
 
 def median_by(scores: DataFrame, by: list[str], measures: list[str] | None = None) -> DataFrame:

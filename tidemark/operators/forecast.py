@@ -8,54 +8,75 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.functions.joins import join_on
 from tidemark.functions.ordering import lagged, per_group, with_position
 from tidemark.functions.quantiles import quantiles, scalar_quantiles
 from tidemark.operators import calibration as Cal
 from tidemark.operators import series as S
 from tidemark.schema import SERIES_KEYS, lag_count, resolution_seconds, season_bins
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, stored_lookup
 
 # ---- fixed values -----------------------------------------------------------
-# Resolution class -> (most training rows, most holdout rows, boosting rounds).
-TRAINING_CAPS = {"minute": (800_000, 160_000, 400), "coarse": (1_500_000, 300_000, 500)}
 MIN_EXTRA_ROWS, MIN_TRAIN, MIN_HOLDOUT, TRAIN_SHARE = 500, 100, 50, 0.8
 ONLINE_EXTRA_ROWS, ONLINE_MIN_ROWS, ONLINE_SHARE = 60, 40, 0.9
-UPDATE_ROUNDS, FRESH_ROUNDS = 60, 300
-STEP_SIZE, TREE_DEPTH, MIN_LEAF, ROW_SHARE, BINS = 0.05, 8, 20, 0.8, 127
+MIN_LEAF, ROW_SHARE, BINS = 20, 0.8, 127
 ANNUAL_LAGS = [364, 365, 371]
 ANNUAL_FAR, ANNUAL_NEAR, ANNUAL_CALIBRATION = 395, 365, 120
-ANNUAL_ROUNDS, ANNUAL_DEPTH = 400, 5
 FAILED_SCORE = 1e6
-LIVE_CONTEXT, LIVE_BINS = 512, 180
+LIVE_BINS = 180
 # ---- end of fixed values ----------------------------------------------------
 
+# Boosting in few and large steps: every level of every tree is a pass over the data.
+ROUNDS, STEP_SIZE, TREE_DEPTH = 40, 0.2, 5
+FRESH_ROUNDS, UPDATE_ROUNDS, ANNUAL_ROUNDS = 30, 6, 40
+
 FEATURES = "_features"
 
 
 @dataclass
 class Forecaster:
-    """Boosted stages whose predictions add up, their features and band widths."""
+    """Boosted stages whose predictions add up, their features and band widths.
+
+    A model of several series (``keys``) also has ``levels``: a row per series
+    with its mean level, by which values are scaled, and its own band widths.
+    """
 
     features: list[str]
     lags: int
     resolution: str
     stages: list[GBTRegressionModel] = field(default_factory=list)
     widths: dict[str, float] = field(default_factory=dict)
+    keys: list[str] = field(default_factory=list)
+    levels: DataFrame | None = None
+
+    def scaled(self, df: DataFrame) -> DataFrame:
+        """Values and lags in units of the series' level, kept as ``_level``."""
+        if self.levels is None:
+            return df
+        rows = join_on(df, stored_lookup(self.levels).select(*self.keys, "_level"), self.keys)
+        names = [c for c in df.columns if c == "value" or c.startswith("lag_")]
+        return rows.withColumns({c: F.col(c) / F.col("_level") for c in names})
 
     def transform(self, df: DataFrame, name: str = "forecast") -> DataFrame:
         """Add the forecast: the sum over stages."""
-        rows = VectorAssembler(inputCols=self.features, outputCol=FEATURES).transform(df)
+        rows = self.scaled(df)
+        rows = VectorAssembler(inputCols=self.features, outputCol=FEATURES).transform(rows)
         total: Column | None = None
         for i, stage in enumerate(self.stages):
             rows = stage.setFeaturesCol(FEATURES).setPredictionCol(f"_p{i}").transform(rows)
             total = F.col(f"_p{i}") if total is None else total + F.col(f"_p{i}")
-        return rows.withColumn(name, total).drop(FEATURES, *[f"_p{i}" for i in range(len(self.stages))])
+        out = rows.withColumn(name, total).drop(FEATURES, *[f"_p{i}" for i in range(len(self.stages))])
+        if self.levels is None:
+            return out
+        scaled = [c for c in df.columns if c == "value" or c.startswith("lag_")]
+        return out.withColumns({c: F.col(c) * F.col("_level") for c in [*scaled, name]}).drop("_level")
 
     def trees(self) -> int:
         return sum(stage.getNumTrees for stage in self.stages)
@@ -64,8 +85,10 @@ class Forecaster:
         """Store stages and settings under one folder."""
         for i, stage in enumerate(self.stages):
             stage.write().overwrite().save(f"{path}/stage_{i}")
+        if self.levels is not None:
+            self.levels.write.mode("overwrite").parquet(f"{path}/levels")
         meta = {"features": self.features, "lags": self.lags, "resolution": self.resolution,
-                "stages": len(self.stages), "widths": self.widths}
+                "stages": len(self.stages), "widths": self.widths, "keys": self.keys}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(
             "overwrite").text(f"{path}/meta")
 
@@ -73,18 +96,29 @@ class Forecaster:
     def load(cls, path: str, spark: SparkSession) -> "Forecaster":
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         stages = [GBTRegressionModel.load(f"{path}/stage_{i}") for i in range(meta["stages"])]
-        return cls(meta["features"], meta["lags"], meta["resolution"], stages, meta["widths"])
+        levels = spark.read.parquet(f"{path}/levels") if meta["keys"] else None
+        return cls(meta["features"], meta["lags"], meta["resolution"], stages, meta["widths"], meta["keys"], levels)
 
 
 def _fit_gbt(rows: DataFrame, features: list[str], label: str, rounds: int, depth: int, seed: int,
-             validation: str | None = None, min_leaf: int = MIN_LEAF) -> GBTRegressionModel:
+             check: DataFrame | None = None, min_leaf: int = MIN_LEAF) -> GBTRegressionModel:
+    """Boosted trees; with ``check`` only the rounds up to the one with its least error.
+
+    Rounds are drawn from the seed one after another, so fewer rounds are a
+    prefix of more.
+    """
+    gather = VectorAssembler(inputCols=features, outputCol=FEATURES)
+    learn = gather.transform(rows)
     gbt = GBTRegressor(
         featuresCol=FEATURES, labelCol=label, predictionCol="_p", maxIter=rounds, maxDepth=depth,
         stepSize=STEP_SIZE, minInstancesPerNode=min_leaf, subsamplingRate=ROW_SHARE, maxBins=BINS + 1, seed=seed)
-    if validation:
-        # stop at the first round that does not help the holdout
-        gbt = gbt.setValidationIndicatorCol(validation).setParams(validationTol=0.0)
-    return gbt.fit(VectorAssembler(inputCols=features, outputCol=FEATURES).transform(rows))
+    model = gbt.fit(learn)
+    if check is not None:
+        errors = model.evaluateEachIteration(gather.transform(check), "squared")
+        best = 1 + min(range(len(errors)), key=errors.__getitem__)
+        if best < rounds:
+            model = gbt.setMaxIter(best).fit(learn)
+    return model
 
 
 def _widths(rows: DataFrame, label: str, forecast: str) -> dict[str, float]:
@@ -108,44 +142,34 @@ def training_rows(series: DataFrame, resolution: str, keys: list[str] | None = N
 
 
 def fit_forecaster(
-    series: DataFrame, resolution: str, rounds: int | None = None, depth: int = TREE_DEPTH,
-    keys: list[str] | None = None, lags: int | None = None, seed: int = 42, key: str = "ts",
+    series: DataFrame, resolution: str, rounds: int = ROUNDS, depth: int = TREE_DEPTH,
+    keys: list[str] | None = None, lags: int | None = None, seed: int = 42,
 ) -> Forecaster | None:
-    """Train on the first 80 % of each series, stop early and calibrate on the rest.
+    """Train on the first 80 % of each series; choose the rounds and calibrate on the rest.
 
-    Several series are pooled into one model.  Returns None when no series is
-    long enough.
+    With ``keys`` one model learns all series, each in units of its mean level
+    over its training rows, and each series gets band widths of its own.
+    Returns None when no series is long enough.
     """
-    group = "minute" if resolution_seconds(resolution) < 3600 else "coarse"
-    most_train, most_holdout, most_rounds = TRAINING_CAPS[group]
-    n = lags or lag_count(resolution)
+    n, keys = lags or lag_count(resolution), keys or []
     features = S.feature_names(resolution, n)
     rows = checkpointed(training_rows(series, resolution, keys, lags=n))
     if rows.isEmpty():
         return None
-    learn = S.sample_rows(rows.filter("part = 'train'"), most_train, seed, key)
-    check = S.sample_rows(rows.filter("part = 'holdout'"), most_holdout, seed, key)
-    both = learn.unionByName(check).withColumn("_check", F.col("part") == "holdout")
-    model = Forecaster(features, n, resolution)
-    model.stages = [_fit_gbt(both, features, "value", rounds or most_rounds, depth, seed, "_check")]
-    model.widths = _widths(model.transform(check), "value", "forecast")
+    model = Forecaster(features, n, resolution, keys=keys)
+    if keys:
+        level = F.avg(F.abs("value")).alias("_level")
+        levels = rows.filter("part = 'train'").groupBy(*keys).agg(level)
+        model.levels = checkpointed(levels.withColumn("_level", F.when(F.col("_level") > 0, F.col("_level")).otherwise(1.0)))
+    learn, check = (model.scaled(rows.filter(F.col("part") == p)) for p in ("train", "holdout"))
+    model.stages = [_fit_gbt(learn, features, "value", rounds, depth, seed, check)]
+    scored = checkpointed(model.transform(rows.filter("part = 'holdout'")))
+    model.widths = _widths(scored, "value", "forecast")
+    if keys:
+        model.levels = checkpointed(join_on(model.levels, holdout_widths(scored, keys).drop("n"), keys))
     return model
 
 
-def fit_per_series(
-    series: DataFrame, resolution: str, series_keys: list[dict], threads: int = 4, **options
-) -> dict[tuple, Forecaster | None]:
-    """One model per listed series, fitted as concurrent Spark jobs."""
-    def one(key: dict):
-        chosen = series
-        for name, value in key.items():
-            chosen = chosen.filter(F.col(name) == value)
-        return tuple(key.values()), fit_forecaster(chosen, resolution, **options)
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        return dict(pool.map(one, series_keys))
-
-
 @dataclass
 class UpdateOutcome:
     """What one model update did."""
@@ -195,30 +219,40 @@ def update_forecaster(
         model.trees(), incremental, model)
 
 
+def rows_in_range(
+    series: DataFrame, lags: int, resolution: str, start: str, end: str, keys: list[str] | None = None
+) -> DataFrame:
+    """Lag rows of an inclusive range; the lags of its first bins are the newest bins before it, however old."""
+    low, high = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
+    present = series.dropna(subset=["value"])
+    before = S.keep_newest(present.filter(F.col("ts") < low), lags, keys)
+    inside = present.filter(F.col("ts").between(low, high))
+    rows = S.lag_features(before.unionByName(inside), lags, keys, resolution)
+    return rows.filter(F.col("ts") >= low)
+
+
 def forecast_one_step(
     series: DataFrame, model: Forecaster, start: str, end: str, level="95", keys: list[str] | None = None
 ) -> DataFrame:
-    """One-step forecasts over a range from true lags, with band and outside flag.
-
-    Reads one lag span before the start and no further.
-    """
-    low, high = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
-    reach = F.make_dt_interval(
-        secs=F.lit(model.lags * resolution_seconds(model.resolution)).cast("decimal(18,6)"))
-    near = series.filter(F.col("ts").between(low - reach, high))
-    rows = S.lag_features(near, model.lags, keys, model.resolution).filter(F.col("ts") >= low)
+    """One-step forecasts over a range from true lags, with band and outside flag."""
+    rows = rows_in_range(series, model.lags, model.resolution, start, end, keys)
     scored = model.transform(rows).select(*(keys or []), "ts", F.col("value").alias("actual"), "forecast")
-    return banded(scored, model.widths, level)
+    return banded(scored, model, level)
 
 
-def banded(scored: DataFrame, widths: dict[str, float], level="95") -> DataFrame:
-    """Symmetric band of a calibrated width around ``forecast``, not below zero."""
+def banded(scored: DataFrame, model: Forecaster | dict[str, float], level="95") -> DataFrame:
+    """Symmetric band around ``forecast``, not below zero, of the model's or each series' own width."""
     column = Cal.LEVEL_WIDTHS[Cal.level_of(level)]
     if column is None:
         return scored
-    w = F.lit(float(widths[column]))
-    out = scored.withColumns({
-        "lower": C.clip_lower(F.col("forecast") - w), "upper": F.col("forecast") + w, "half_width": w})
+    if isinstance(model, Forecaster) and model.levels is not None:
+        own = stored_lookup(model.levels).select(*model.keys, F.col(column).alias("half_width"))
+        out = join_on(scored, own, model.keys)
+    else:
+        widths = model.widths if isinstance(model, Forecaster) else model
+        out = scored.withColumn("half_width", F.lit(float(widths[column])))
+    w = F.col("half_width")
+    out = out.withColumns({"lower": C.clip_lower(F.col("forecast") - w), "upper": F.col("forecast") + w})
     return out.withColumn("outside", C.outside_band()) if "actual" in scored.columns else out
 
 
@@ -228,15 +262,15 @@ def forecast_recursive(
 ) -> DataFrame:
     """Feed each forecast back as the newest lag: ``keys, step, ts, forecast``.
 
-    Runs over all series at once with a single row per series; lineage is cut
-    every few steps.  Series with too little history are left out.
+    Starts from the newest bins of each series, however old, and runs over all
+    series at once with a single row per series; lineage is cut every few steps.
+    Series with fewer bins than lags are left out.
     """
     keys = keys or []
     n, width = model.lags, resolution_seconds(model.resolution)
     at = F.lit(now).cast("timestamp_ntz")
-    reach = F.make_dt_interval(secs=F.lit((LIVE_CONTEXT + 2) * width).cast("decimal(18,6)"))
-    recent = history.dropna(subset=["value"]).filter(F.col("ts").between(at - reach, at))
-    # at most LIVE_CONTEXT + 3 bins per series
+    recent = S.keep_newest(history.dropna(subset=["value"]).filter(F.col("ts") <= at), n, keys)
+    # as many bins per series as the model has lags
     newest = F.sort_array(F.collect_list(F.struct("ts", "value")), asc=False)
     state = recent.withColumn("_g", F.lit(0)).groupBy("_g", *keys).agg(newest.alias("_w")).filter(
         F.size("_w") >= n).select(*keys, F.slice(F.transform("_w", lambda x: x["value"]), 1, n).alias("_lags"),
@@ -390,7 +424,7 @@ def annual_features(clean: DataFrame, targets: DataFrame | None = None,
 
 def annual_anomaly(
     clean: DataFrame, new: DataFrame, alpha: float = 0.5, calibration: int = ANNUAL_CALIBRATION,
-    rounds: int = ANNUAL_ROUNDS, depth: int = ANNUAL_DEPTH, seed: int = 42,
+    rounds: int = ANNUAL_ROUNDS, depth: int = TREE_DEPTH, seed: int = 42,
     first_year: int = 2014, last_year: int = 2019,
 ) -> DataFrame:
     """Flag days of ``new`` that differ from a year-over-year model of ``clean``.
@@ -421,21 +455,30 @@ def annual_anomaly(
 
 def time_ordered_search(
     series: DataFrame, resolution: str, grid: list[dict], threads: int = 2
-) -> list[tuple[float, dict]]:
-    """Holdout WAPE per setting, best first; a failed or non-finite trial scores 1e6."""
+) -> list[tuple[float, dict, str]]:
+    """Holdout WAPE per setting, best first; a failed or non-finite trial scores 1e6 and says why.
+
+    Raises when no trial succeeded.
+    """
     held = checkpointed(series)
     rows = checkpointed(training_rows(held, resolution).filter("part = 'holdout'"))
 
-    def trial(setting: dict) -> tuple[float, dict]:
+    def trial(setting: dict) -> tuple[float, dict, str]:
         try:
             model = fit_forecaster(held, resolution, **setting)
+            if model is None:
+                return FAILED_SCORE, setting, "the series is too short"
             score = Cal.forecast_metrics(model.transform(rows), actual="value").first()["wape_pct"]
-            return (score if score is not None and math.isfinite(score) else FAILED_SCORE), setting
-        except Exception:  # a failed trial must not stop the search
-            return FAILED_SCORE, setting
+        except (TypeError, ValueError, IllegalArgumentException) as error:  # a setting that cannot be used
+            return FAILED_SCORE, setting, f"{type(error).__name__}: {error}"
+        good = score is not None and math.isfinite(score)
+        return (score, setting, "") if good else (FAILED_SCORE, setting, f"score {score}")
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        return sorted(pool.map(trial, grid), key=lambda found: found[0])
+        found = sorted(pool.map(trial, grid), key=lambda t: t[0])
+    if grid and all(error for *_, error in found):
+        raise ValueError(f"no setting could be scored: {found[0][2]}")
+    return found
 
 
 def holdout_widths(scored: DataFrame, keys: list[str]) -> DataFrame:

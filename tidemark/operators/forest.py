@@ -1,8 +1,9 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) on Spark.
 
-Each tree sees a few hundred hashed-drawn rows, so trees are built one per
-group.  Scoring reads the data once with a vectorised function; the model it
-carries has at most ``trees * 2 * tree_rows`` nodes whatever the data's size.
+Each tree sees a few hundred hashed-drawn rows.  Trees of a forest per group
+stay a table: they meet the rows of their group, cut into parts of bounded size,
+in a cogroup.  Only a forest of a whole table, which has at most
+``trees * 2 * tree_rows`` nodes whatever the data's size, is sent to the tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from tidemark.functions.joins import join_on
 from tidemark.functions.ordering import per_group
 from tidemark.functions.quantiles import quantiles, scalar_quantiles
 from tidemark.operators import anomaly as A
-from tidemark.operators.series import sample_rows
 from tidemark.schema import (
     CLEAN_FEATURES, FILE_CONTAMINATION, MIN_FOREST_ROWS, SERIES_CONTAMINATION, STREAM_CONTAMINATION,
     TREE_ROWS, TREES, time_feature_names,
@@ -31,8 +31,10 @@ from tidemark.session import checkpointed, stored_lookup
 GROW_GROUPS = 8
 # Hashes are compared modulo this.
 HASH_RANGE = 1 << 40
-# Rows scored at a time inside a task.
-SCORE_ROWS = 4096
+# Rows scored at a time inside a task, and rows of a group that one task holds.
+SCORE_ROWS, PART_ROWS = 4096, 50_000
+# The score above which a record is anomalous when no share is given.
+AUTO_SCORE = 0.5
 
 
 def average_path(n: float) -> float:
@@ -69,22 +71,37 @@ def _grow(values: np.ndarray, depth_limit: int, rng: np.random.Generator) -> lis
 
 @dataclass
 class Forest:
-    """Fitted trees per group key, as (tree, node) arrays, and the features they read.
+    """Trees as (tree, node) arrays, and the features they read.
 
     A leaf has feature -1 and points to itself.
     """
 
     features: list[str]
-    groups: dict[str, dict[str, np.ndarray]]
-
-    def score(self, group: str, values: np.ndarray) -> np.ndarray:
-        """Scores in (0, 1]; NaN where the group has no trees."""
-        found = self.groups.get(group)
-        if found is None:
-            return np.full(len(values), np.nan)
-        out = np.empty(len(values))
-        for start in range(0, len(values), SCORE_ROWS):
-            part = values[start:start + SCORE_ROWS]
+    arrays: dict[str, np.ndarray] | None
+
+    @classmethod
+    def stacked(cls, features: list[str], trees: pd.DataFrame) -> "Forest":
+        """Node lists of one forest as arrays padded to the largest tree; no trees give no forest."""
+        if not len(trees):
+            return cls(features, None)
+        lists = [np.asarray(n, dtype=float).reshape(-1, 6) for n in trees.sort_values("tree")["nodes"]]
+        block = np.zeros((len(lists), max(len(n) for n in lists), 6))
+        block[:, :, 1] = -1
+        for i, nodes in enumerate(lists):
+            block[i, : len(nodes)] = nodes
+        return cls(features, {
+            "feature": block[:, :, 1].astype(np.int16), "cut": block[:, :, 2],
+            "left": block[:, :, 3].astype(np.int32), "right": block[:, :, 4].astype(np.int32),
+            "path": block[:, :, 5], "norm": average_path(float(trees["rows"].iloc[0]))})
+
+    def score(self, values: np.ndarray) -> np.ndarray:
+        """Scores in (0, 1]; NaN for rows without all features, or without trees."""
+        out = np.full(len(values), np.nan)
+        if self.arrays is None:
+            return out
+        found, usable = self.arrays, np.flatnonzero(~np.isnan(values).any(axis=1))
+        for start in range(0, len(usable), SCORE_ROWS):
+            part = values[usable[start:start + SCORE_ROWS]]
             tree = np.arange(len(found["feature"]))[None, :]
             row = np.arange(len(part))[:, None]
             at = np.zeros((len(part), tree.shape[1]), dtype=np.int64)
@@ -96,31 +113,34 @@ class Forest:
                 left = part[row, np.maximum(feature, 0)] < found["cut"][tree, at]
                 at = np.where(left, found["left"][tree, at], found["right"][tree, at])
             depth = found["path"][tree, at].mean(axis=1)
-            out[start:start + SCORE_ROWS] = np.exp2(-depth / found["norm"])
+            out[usable[start:start + SCORE_ROWS]] = np.exp2(-depth / found["norm"])
         return out
 
 
-def fit_forest(
+def _label(group: str | None):
+    return F.col(group).cast("string") if group else F.lit("")
+
+
+def grown_trees(
     df: DataFrame, features: list[str], trees: int = TREES, tree_rows: int = TREE_ROWS,
     seed: int = 42, key: str = "id", group: str | None = None,
-) -> Forest:
-    """Grow a forest per ``group`` value on rows that have all features.
+) -> DataFrame:
+    """Rows (group, tree, rows, nodes): a forest per ``group`` value, on rows that have all features.
 
     A group's trees draw from a pool of ``trees * tree_rows`` of its rows, chosen
     by hash.  A threshold from the group's size first keeps little more than
     that, so a large group does not meet in the ranking.  Groups with fewer than
     20 usable rows get no trees.
     """
-    label = F.col(group).cast("string") if group else F.lit("")
     usable = df.dropna(subset=features).select(
-        label.alias("_group"), F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(key).alias("_key"),
+        _label(group).alias("_group"), F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(key).alias("_key"),
         *[F.col(f).cast("double").alias(f) for f in features])
     wanted = trees * tree_rows
     sizes = stored_lookup(usable.groupBy("_group").agg(F.count(F.lit(1)).alias("_size")))
     # eight standard deviations above the wanted number
     share = F.lit(wanted + 8 * wanted ** 0.5 + 8) / F.col("_size")
     near = join_on(usable, sizes, ["_group"]).filter(F.pmod(F.col("_h"), F.lit(HASH_RANGE)) < share * HASH_RANGE)
-    ranked = Window.partitionBy("_group").orderBy("_h", "_key")
+    ranked = Window.partitionBy("_group").orderBy("_h", "_key", *features)
     pool = near.withColumn("_i", F.row_number().over(ranked)).filter(F.col("_i") <= wanted)
     copies = pool.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(GROW_GROUPS - 1))))
 
@@ -138,61 +158,77 @@ def fit_forest(
             out.append((name, tree, rows, nodes.ravel().tolist()))
         return pd.DataFrame(out, columns=["group", "tree", "rows", "nodes"])
 
-    # bounded by trees * 2 * tree_rows nodes per group
-    grown = copies.groupBy("_group", "_part").applyInPandas(
-        grow, "group string, tree int, rows int, nodes array<double>").toPandas()
-    return Forest(list(features), {
-        name: _stacked(part.sort_values("tree")) for name, part in grown.groupby("group")})
+    return copies.groupBy("_group", "_part").applyInPandas(grow, "group string, tree int, rows int, nodes array<double>")
 
 
-def _stacked(trees: pd.DataFrame) -> dict[str, np.ndarray]:
-    """Node lists of one forest as arrays padded to the largest tree."""
-    lists = [np.asarray(n, dtype=float).reshape(-1, 6) for n in trees["nodes"]]
-    size = max(len(n) for n in lists)
-    block = np.zeros((len(lists), size, 6))
-    block[:, :, 1] = -1
-    for i, nodes in enumerate(lists):
-        block[i, : len(nodes)] = nodes
-    return {
-        "feature": block[:, :, 1].astype(np.int16), "cut": block[:, :, 2],
-        "left": block[:, :, 3].astype(np.int32), "right": block[:, :, 4].astype(np.int32),
-        "path": block[:, :, 5], "norm": average_path(float(trees["rows"].iloc[0]))}
+def fit_forest(
+    df: DataFrame, features: list[str], trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 42, key: str = "id"
+) -> Forest:
+    """One forest of a whole table; its nodes, bounded by ``trees * 2 * tree_rows``, come to the driver."""
+    return Forest.stacked(list(features), grown_trees(df, features, trees, tree_rows, seed, key).toPandas())
 
 
-def forest_score(df: DataFrame, model: Forest, group: str | None = None, name: str = "forest_score") -> DataFrame:
+def forest_score(df: DataFrame, model: Forest, name: str = "forest_score") -> DataFrame:
     """Add the anomaly score; higher is more anomalous, NULL without features or trees."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(group: pd.Series, *columns: pd.Series) -> pd.Series:
-        values = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        usable = ~np.isnan(values).any(axis=1)
-        out = np.full(len(values), np.nan)
-        for name, index in pd.Series(np.flatnonzero(usable)).groupby(group.to_numpy()[usable]):
-            out[index] = shared.value.score(name, values[index])
-        return pd.Series(out).where(~np.isnan(out), None)
+    def score(*columns: pd.Series) -> pd.Series:
+        found = shared.value.score(np.column_stack([c.to_numpy(dtype=float) for c in columns]))
+        return pd.Series(found).where(~np.isnan(found), None)
+
+    return df.withColumn(name, score(*[F.col(f).cast("double") for f in model.features]))
+
+
+def block_scores(
+    df: DataFrame, trees: DataFrame, features: list[str], group: str, key: str = "id", name: str = "forest_score"
+) -> DataFrame:
+    """Add the score by the forest of each row's own group.
+
+    A group of many rows is cut by hash into parts of about ``PART_ROWS``, and its
+    trees are copied to each part; neither the driver nor a task holds more than
+    one group's trees and one part's rows.
+    """
+    features = list(features)
+    labelled = df.withColumn("_group", _label(group))
+    sizes = stored_lookup(labelled.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_parts")))
+    parted = join_on(labelled, sizes, ["_group"]).withColumn(
+        "_part", F.pmod(F.xxhash64(F.col(key)), F.col("_parts"))).drop("_parts")
+    copies = join_on(trees.withColumnRenamed("group", "_group"), sizes, ["_group"]).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
+    columns = df.columns
+
+    def scored(rows: pd.DataFrame, grown: pd.DataFrame) -> pd.DataFrame:
+        found = Forest.stacked(features, grown).score(rows[features].to_numpy(dtype=float))
+        return rows[columns].assign(**{name: pd.Series(found, index=rows.index).where(~np.isnan(found), None)})
 
-    label = F.col(group).cast("string") if group else F.lit("")
-    return df.withColumn(name, score(label, *[F.col(f).cast("double") for f in model.features]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {name} double"
+    return parted.groupBy("_group", "_part").cogroup(copies.groupBy("_group", "_part")).applyInPandas(scored, schema)
 
 
 def clean_blocks(
     rows: DataFrame, group: str | None = None, features: list[str] = CLEAN_FEATURES,
-    contamination: float = STREAM_CONTAMINATION, trees: int = TREES, seed: int = 42, key: str = "id",
+    contamination: float | str = STREAM_CONTAMINATION, trees: int = TREES, seed: int = 42, key: str = "id",
 ) -> DataFrame:
     """Mark each record ``usable`` and ``is_anomaly`` by a forest of its own block.
 
     Blocks are the values of ``group``, all treated in one pass (default: a
     single block).  Records without all features are unusable.  A block with
-    fewer than 20 usable records flags nothing.  Scores are stored once, as the
-    threshold and the caller both read them.
+    fewer than 20 usable records flags nothing.  A ``contamination`` of ``"auto"``
+    flags scores above one half.  Scores are stored once, as the threshold and
+    the caller both read them.
     """
     usable = F.lit(True)
     for f in features:
         usable = usable & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
     marked = rows.withColumn("usable", usable)
-    model = fit_forest(marked.filter("usable"), features, trees, TREE_ROWS, seed, key, group)
-    scored = checkpointed(forest_score(marked, model, group))
+    if group:
+        grown = checkpointed(grown_trees(marked.filter("usable"), features, trees, TREE_ROWS, seed, key, group))
+        scored = checkpointed(block_scores(marked, grown, features, group, key))
+    else:
+        scored = checkpointed(forest_score(marked, fit_forest(marked.filter("usable"), features, trees, TREE_ROWS, seed, key)))
+    if contamination == "auto":
+        return scored.withColumn("is_anomaly", F.coalesce(F.col("forest_score") > AUTO_SCORE, F.lit(False)))
     keys = [group] if group else []
     cut = quantiles(scored, keys, "forest_score", {"_cut": 1.0 - contamination}).drop("n")
     return per_group(scored, cut, keys).withColumn(
@@ -216,22 +252,23 @@ def clean_rows(marked: DataFrame) -> DataFrame:
 
 
 def flag_file(
-    trips: DataFrame, features: list[str] = CLEAN_FEATURES, contamination: float = FILE_CONTAMINATION,
-    fit_rows: int = 1_000_000, trees: int = TREES, seed: int = 42, key: str = "id",
+    trips: DataFrame, features: list[str] = CLEAN_FEATURES, contamination: float | str = FILE_CONTAMINATION,
+    trees: int = TREES, seed: int = 42, key: str = "id",
 ) -> DataFrame:
-    """Score a whole table with one forest fitted on a sample of it.
+    """Score a whole table with one forest and a threshold from the scores of all its rows.
 
-    Missing and infinite features count as 0, so every record is scored.  The
-    threshold is that of the sample.  Adds ``anomaly_score`` (above 0 means
-    anomalous) and ``is_anomaly`` 0/1; the table itself is read once more.
+    Missing and infinite features count as 0, so every record is scored.  Adds
+    ``anomaly_score`` (above 0 means anomalous) and ``is_anomaly`` 0/1.
     """
     safe = {f"_f_{f}": C.finite_or_zero(f) for f in features}
     prepared = trips.withColumns(safe)
-    sample = checkpointed(sample_rows(prepared.select(key, *safe), fit_rows, seed, key))
-    model = fit_forest(sample, list(safe), trees, TREE_ROWS, seed, key)
-    if not model.groups:
+    model = fit_forest(prepared, list(safe), trees, TREE_ROWS, seed, key)
+    if model.arrays is None:
         raise ValueError(f"fewer than {MIN_FOREST_ROWS} records to fit on")
-    cut = scalar_quantiles(forest_score(sample, model), "forest_score", {"q": 1.0 - contamination})["q"]
+    cut = AUTO_SCORE
+    if contamination != "auto":
+        scores = checkpointed(forest_score(prepared.select(*safe), model).select("forest_score"))
+        cut = scalar_quantiles(scores, "forest_score", {"q": 1.0 - contamination})["q"]
     score = F.col("forest_score") - F.lit(cut)
     return (
         forest_score(prepared, model).drop(*safe)
@@ -259,7 +296,7 @@ def score_series_forest(
     """
     features = ["value", *time_feature_names(resolution)]
     model = fit_forest(with_model_features(train, resolution), features, trees, TREE_ROWS, seed, key="ts")
-    if not model.groups:
+    if model.arrays is None:
         raise ValueError("the training series is too short")
     raw = checkpointed(forest_score(with_model_features(series, resolution), model))
     z = A.series_robust_z(raw, "forest_score").drop(*time_feature_names(resolution))

@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.quantiles import scalar_quantiles
 from tidemark.operators import anomaly as A
 from tidemark.operators.forest import with_model_features
-from tidemark.operators.series import sample_rows
 from tidemark.schema import time_feature_names
 from tidemark.session import checkpointed
 
 # ---- fixed values -----------------------------------------------------------
 NOVELTY_NU = 0.05
-REGRESSOR_ROWS = 15_000
 # ---- end of fixed values ----------------------------------------------------
 
 
@@ -141,10 +139,10 @@ class KernelRegressor:
 
     @classmethod
     def fit(
-        cls, rows: DataFrame, features: list[str], label: str = "value", max_rows: int = REGRESSOR_ROWS,
-        size: int = 256, reg: float = 0.01, seed: int = 42, key: str = "ts",
+        cls, rows: DataFrame, features: list[str], label: str = "value", size: int = 256, reg: float = 0.01,
+        seed: int = 42,
     ) -> "KernelRegressor":
-        learn = checkpointed(sample_rows(rows.select(key, label, *features), max_rows, seed, key))
+        learn = checkpointed(rows.select(label, *features))
         mapping = FourierMap.fit(learn, features, size, seed)
         mapped = cls._mapped(learn, mapping).withColumn("_y", F.col(label).cast("double"))
         linear = LinearRegression(

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from tidemark.functions import columns as C
 from tidemark.functions.joins import join_on
 from tidemark.functions.quantiles import scalar_mad
-from tidemark.schema import ALL_VENDORS, COUNT_METRIC, GUARD_ROWS, PAGE_SIZES, canonical
-from tidemark.session import broadcast_if_small, stored_lookup
+from tidemark.schema import ALL_VENDORS, COUNT_METRIC, GUARD_ROWS, NO_METRICS, PAGE_SIZES, canonical
+from tidemark.session import stored_lookup
 
 PICKUP = "tpep_pickup_datetime"
 
@@ -141,13 +141,8 @@ def drop_null_features(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def metric_columns(df: DataFrame) -> list[str]:
     """The count metric and every numeric column that is not an identifier."""
-    # fixed values: columns that are never a metric
-    excluded = {
-        "id", "vendorid", "pulocationid", "dolocationid",
-        "tpep_pickup_datetime", "tpep_dropoff_datetime", "sure_dk", "hiz_mph",
-    }
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    return [COUNT_METRIC] + [n for n in numeric if n not in excluded]
+    return [COUNT_METRIC] + [n for n in numeric if n not in NO_METRICS]
 
 
 def select_visible(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -189,8 +184,8 @@ class TooManyRows(ValueError):
 
 
 def guarded_limit(df: DataFrame, column: str, n: int = GUARD_ROWS) -> DataFrame:
-    """Rows with ``column`` present, refusing when more than ``n`` remain of n + 1 read."""
-    rows = df.limit(n + 1).dropna(subset=[column])
+    """All rows with ``column`` present, refused when there are more than ``n``."""
+    rows = df.dropna(subset=[column])
     if rows.count() > n:
         raise TooManyRows(f"more than {n:,} records: narrow the time range")
     return rows
@@ -232,25 +227,31 @@ def union_with_provenance(trips: DataFrame, entries: DataFrame, users: DataFrame
         "added_by": F.lit(None).cast("bigint"),
         "added_by_name": F.lit(C.EMPTY_MARK),
     })
-    manual = attach_user_name(active_entries(entries), users, "added_by", "added_by_name", mark=None)
+    manual = attach_user_name(active_entries(entries), user_names(users), "added_by", "added_by_name", mark=None)
     manual = manual.withColumn("source", F.lit("manual"))
     shared = [c for c in raw.columns if c in manual.columns]
     return raw.select(*shared).unionByName(manual.select(*shared))
 
 
+def user_names(users: DataFrame) -> DataFrame:
+    """Ids and names of users, stored once for all lookups that follow."""
+    return stored_lookup(users.select("id", "username"))
+
+
 def attach_user_name(
-    df: DataFrame, users: DataFrame, column: str, name: str, mark: str | None = C.EMPTY_MARK
+    df: DataFrame, names: DataFrame, column: str, name: str, mark: str | None = C.EMPTY_MARK
 ) -> DataFrame:
-    """Look up a user's name by id; unknown users show ``mark``."""
-    names = users.select(F.col("id").alias(column), F.col("username").alias(name))
-    joined = df.join(broadcast_if_small(names), column, "left").select(*df.columns, name)
+    """Look up a user's name by id in :func:`user_names`; unknown users show ``mark``."""
+    named = names.select(F.col("id").alias(column), F.col("username").alias(name))
+    joined = df.join(named, column, "left").select(*df.columns, name)
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(mark))) if mark else joined
 
 
 def attach_user_names(entries: DataFrame, users: DataFrame) -> DataFrame:
     """Names of the adding and the deleting user."""
-    named = attach_user_name(entries, users, "added_by", "added_by_name")
-    return attach_user_name(named, users, "deleted_by", "deleted_by_name")
+    names = user_names(users)
+    named = attach_user_name(entries, names, "added_by", "added_by_name")
+    return attach_user_name(named, names, "deleted_by", "deleted_by_name")
 
 
 def users_with_entries(users: DataFrame, entries: DataFrame) -> DataFrame:
@@ -262,7 +263,7 @@ def users_with_entries(users: DataFrame, entries: DataFrame) -> DataFrame:
 def activity_log(
     entries: DataFrame, users: DataFrame, action: str = "all", member=None
 ) -> DataFrame:
-    """An ``added`` event per entry and a ``deleted`` event per deleted entry."""
+    """An ``added`` event per entry and a ``deleted`` event per deleted entry, newest first."""
     added = F.struct(
         F.col("added_at").alias("time"), F.lit("added").alias("action"),
         F.col("added_by").alias("user_id"))
@@ -279,7 +280,27 @@ def activity_log(
         events = events.filter(F.col("action") == action)
     if member not in (None, ""):
         events = events.filter(F.col("user_id").cast("string") == str(member))
-    return attach_user_name(events, users, "user_id", "user")
+    return attach_user_name(events, user_names(users), "user_id", "user").orderBy(
+        F.desc("time"), "entry_id", "action")
+
+
+def activity_page(
+    entries: DataFrame, users: DataFrame, number: int = 1, size: int = 50, action: str = "all", member=None
+) -> DataFrame:
+    """One page of the activity log; only the rows up to its end are ordered."""
+    skipped = (max(number, 1) - 1) * size
+    return activity_log(entries, users, action, member).offset(skipped).limit(size)
+
+
+def page_after(df: DataFrame, last: tuple | None = None, size: int = 50, ts: str = PICKUP, tie: str = "id") -> DataFrame:
+    """The page that follows the row (ts, tie), newest first; the first page without one.
+
+    However deep the page, only rows behind the given one compete for it.
+    """
+    if last is not None:
+        at, row = F.lit(last[0]).cast(df.schema[ts].dataType), F.lit(last[1])
+        df = df.filter((F.col(ts) < at) | (F.col(ts) == at) & (F.col(tie) > row))
+    return df.orderBy(F.desc(ts), F.asc(tie)).limit(size)
 
 
 def user_activity_summary(users: DataFrame, entries: DataFrame) -> DataFrame:

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.joins import join_on
-from tidemark.functions.ordering import in_blocks, lagged, per_group, with_position
+from tidemark.functions.ordering import global_position, in_blocks, lagged, per_group, with_position
 from tidemark.functions.quantiles import array_quantile, quantiles
 from tidemark.operators.records import vendor_filter
 from tidemark.schema import (
     ALL_VENDORS, COUNT_METRIC, MAD_FLOOR, RESOLUTION_SECONDS, SERIES_KEYS, VALUE_METRICS,
     canonical, lag_count, resolution_seconds, time_feature_names,
 )
+from tidemark.session import checkpointed
 
 PICKUP = "tpep_pickup_datetime"
 
@@ -413,15 +414,11 @@ def random_windows(
     placed = with_position(series.dropna(subset=["value"]).withColumn("_g", F.lit(0)), ["_g", *keys])
     # one row per series
     eligible = placed.groupBy("_g", *keys).agg(F.max("_n").alias("_len")).filter(F.col("_len") >= size)
-    numbered = eligible.withColumn(
-        "_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_g", *keys)) - 1
-    ).withColumn("_series", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    spark = series.sparkSession
-    draws = spark.range(n).withColumnRenamed("id", "draw")
-    total = numbered.agg(F.max("_series").alias("_series"))
-    pick = F.pmod(F.xxhash64("draw", F.lit(seed)), F.col("_series"))
-    chosen = draws.join(F.broadcast(total), how="cross").withColumn("_i", pick).drop("_series").join(
-        numbered.drop("_series"), "_i")
+    numbered = checkpointed(global_position(eligible, ["_g", *keys]).withColumnRenamed("_pos", "_i"))
+    draws = series.sparkSession.range(n).withColumnRenamed("id", "draw")
+    total = numbered.count()
+    chosen = draws.filter(F.lit(total > 0)).withColumn(
+        "_i", F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(max(total, 1)))).join(numbered, "_i")
     chosen = chosen.withColumn(
         "start", F.pmod(F.xxhash64(F.lit(seed), "draw", F.lit("start")), F.col("_len") - size + 1))
     # send each draw to the position blocks it reads, then pick its rows there
@@ -459,21 +456,23 @@ def naive_diff(series: DataFrame, keys: list[str] | None = None, value: str = "v
     return rows.withColumn("naive_diff", F.abs(F.col(value) - F.col("_prev"))).drop("_prev", "_pos", "_n")
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
+def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str | list[str] | None = None) -> DataFrame:
     """``n`` rows drawn without replacement, the same for any partitioning.
 
-    Rows are ordered by a hash of their key; a hash threshold first keeps about
-    the needed share, so only that share is ordered.
+    Rows are ordered by a hash of ``key``, by default of all columns; a hash
+    threshold first keeps about the needed share, so only that share is ordered.
+    Rows that share a key are drawn together, but for the last one drawn.
     """
+    keys = [key] if isinstance(key, str) else key or df.columns
     total = df.count()
     if total <= n:
         return df
     scale = 1 << 40
     share = n / total
     slack = 8 * (share / total) ** 0.5 + 8 / total
-    ranked = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    ranked = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
     near = ranked.filter(F.pmod(F.col("_h"), F.lit(scale)) < F.lit(int(min(1.0, share + slack) * scale)))
-    return near.orderBy(F.pmod(F.col("_h"), F.lit(scale)), key).limit(n).drop("_h")
+    return near.orderBy(F.pmod(F.col("_h"), F.lit(scale)), *df.columns).limit(n).drop("_h")
 
 
 def block_rows(df: DataFrame, hours: int = 24, ts: str = PICKUP) -> DataFrame:

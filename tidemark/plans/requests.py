@@ -15,7 +15,7 @@ from tidemark.operators import forest, kernel, neighbors
 from tidemark.operators import records as R
 from tidemark.operators import series as S
 from tidemark.schema import (
-    GUARD_ROWS, PERIOD_SECONDS, canonical, lag_count, resolution_period, resolution_seconds, season_bins,
+    COUNT_METRIC, canonical, lag_count, resolution_seconds, season_bins,
 )
 from tidemark.session import checkpointed
 
@@ -45,6 +45,10 @@ class UnknownModel(ValueError):
     """A model name that is not registered."""
 
 
+class UnknownMetric(ValueError):
+    """A metric that the mode cannot score."""
+
+
 def _bins(trips: DataFrame, request: Request, resolution: str | None = None, how: str | None = None) -> DataFrame:
     return S.bin_series(trips, request.metric, resolution or request.resolution, how or request.how, request.vendor)
 
@@ -65,9 +69,12 @@ def chart(trips: DataFrame, request: Request) -> DataFrame:
 
 
 def record_scores(trips: DataFrame, request: Request) -> DataFrame:
-    """Scored raw records, refused beyond the interactive row limit."""
+    """Scored raw records; the option ``guard`` refuses more rows than an interactive request may return."""
+    metric = canonical(request.metric)
+    if metric == COUNT_METRIC:
+        raise UnknownMetric(f"{request.metric} counts records and has no value of its own to score")
     rows = R.vendor_filter(_range(trips, request), request.vendor)
-    return A.record_mad(rows, request.metric, request.k, request.options.get("guard", GUARD_ROWS))
+    return A.record_mad(rows, metric, request.k, request.options.get("guard"))
 
 
 def mad(trips: DataFrame, request: Request) -> DataFrame:
@@ -108,16 +115,14 @@ def density(trips: DataFrame, request: Request) -> DataFrame:
     return neighbors.dbscan_noise(_bins(_range(trips, request), request), request.k)
 
 
-def _both_tables(trips: DataFrame, request: Request, bins_back: int) -> DataFrame:
-    """Binned training and new trips from some bins before the range to its end.
+def _both_tables(trips: DataFrame, request: Request) -> DataFrame:
+    """Binned training and new trips up to the end of the range.
 
     The tables are united before binning, so a bin on their border is whole.
+    How far back a number of bins reaches is not known, as bins may be missing.
     """
-    reach = F.make_dt_interval(
-        secs=F.lit(bins_back * resolution_seconds(request.resolution)).cast("decimal(18,6)"))
     rows = R.union_trips(request.history, trips) if request.history is not None else trips
-    near = R.time_range(rows, F.lit(request.start).cast("timestamp_ntz") - reach, request.end)
-    return checkpointed(_bins(near, request))
+    return checkpointed(_bins(rows.filter(F.col(R.PICKUP) <= F.lit(request.end).cast("timestamp_ntz")), request))
 
 
 def boosted(trips: DataFrame, request: Request) -> DataFrame:
@@ -128,7 +133,7 @@ def boosted(trips: DataFrame, request: Request) -> DataFrame:
         model = Fc.fit_forecaster(checkpointed(_bins(request.history, request)), request.resolution, **options)
     if model is None:
         raise UnknownModel("the training series is too short")
-    series = _both_tables(trips, request, model.lags)
+    series = _both_tables(trips, request)
     return Fc.forecast_one_step(series, model, request.start, request.end, request.level)
 
 
@@ -141,15 +146,14 @@ def kernel_regression(trips: DataFrame, request: Request) -> DataFrame:
     model = kernel.KernelRegressor.fit(rows.filter("part = 'train'"), features, **request.options)
     held = model.transform(rows.filter("part = 'holdout'"))
     widths = Cal.conformal_widths(held, actual="value").first().asDict()
-    near = S.lag_features(_both_tables(trips, request, n), n, None, request.resolution)
-    inside = near.filter(F.col("ts") >= F.lit(request.start).cast("timestamp_ntz"))
+    inside = Fc.rows_in_range(_both_tables(trips, request), n, request.resolution, request.start, request.end)
     scored = model.transform(inside).select("ts", F.col("value").alias("actual"), "forecast")
     return Fc.banded(scored, widths, request.level)
 
 
 def naive(trips: DataFrame, request: Request) -> DataFrame:
     """Last season repeated every 24 bins, from the newest 512 bins before the range."""
-    series = _both_tables(trips, request, 512)
+    series = _both_tables(trips, request)
     split = S.context_and_horizon(series, request.start, request.end, request.resolution, 512)
     marked = split.withColumn("split", F.when(F.col("role") == "context", "train").otherwise("val"))
     return Fc.rolling_forecast(marked, Fc.seasonal_ahead(season_bins(request.resolution)))
@@ -173,9 +177,3 @@ def answer(trips: DataFrame, request: Request, mode: str, model: str = "") -> Da
     if name not in table:
         raise UnknownModel(f"unknown model: {model}")
     return table[name](trips, request)
-
-
-def default_period(resolution: str) -> tuple[str, int]:
-    """The coarse period of a resolution and its width in seconds."""
-    period = resolution_period(resolution)
-    return period, PERIOD_SECONDS[period]

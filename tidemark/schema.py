@@ -91,6 +91,13 @@ STREAM_CONTAMINATION = 0.026
 FILE_CONTAMINATION = 0.02
 SERIES_CONTAMINATION = 0.05
 MIN_FOREST_ROWS = 20
+# Lags of the forecasters below an hour, below a day, and else.
+MINUTE_LAGS, HOUR_LAGS, DAY_LAGS = 60, 48, 14
+# Columns that are never a metric.
+NO_METRICS = [
+    "id", "vendorid", "pulocationid", "dolocationid",
+    "tpep_pickup_datetime", "tpep_dropoff_datetime", "sure_dk", "hiz_mph",
+]
 # ---- end of fixed values ----------------------------------------------------
 
 SERIES_KEYS = ["metric", "resolution", "vendor"]
@@ -119,9 +126,9 @@ def season_bins(resolution: str) -> int:
 
 
 def lag_count(resolution: str) -> int:
-    """Lags used by the forecasters: 60 below an hour, 48 below a day, else 14."""
+    """Lags used by the forecasters."""
     width = resolution_seconds(resolution)
-    return 60 if width < 3600 else 48 if width < 86400 else 14
+    return MINUTE_LAGS if width < 3600 else HOUR_LAGS if width < 86400 else DAY_LAGS
 
 
 def time_feature_names(resolution: str) -> list[str]:

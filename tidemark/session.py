@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# A broadcast side may hold at most this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+# A broadcast side may hold at most this many bytes; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
+# Bytes a row and a field take besides what they hold.
+ROW_BYTES, FIELD_BYTES = 32, 16
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf) -> SparkSession:
@@ -37,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="tidemark-")
     if context.getCheckpointDir() is None:
@@ -59,24 +62,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return stored
 
 
-def within(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; stops reading beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` is known to be small, else leave it as it is.
+def stored_lookup(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Store a derived lookup frame, and hint a broadcast when it came out small in bytes.
 
     Without the hint Spark joins by shuffle and splits skewed partitions at run
-    time.  Pass a table or a stored frame, as the check reads it.
+    time.  A frame that was looked up before is not measured again.
     """
-    return F.broadcast(df) if within(df, max_rows) else df
-
-
-def stored_lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Store a derived lookup frame, and hint a broadcast when it came out small."""
-    if getattr(df, "_stored", False):
-        return broadcast_if_small(df, max_rows)
-    seen = Observation()
-    stored = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return F.broadcast(stored) if seen.get["rows"] <= max_rows else stored
+    size = getattr(df, "_bytes", None)
+    if size is None:
+        text = F.octet_length(F.to_json(F.struct("*"))) + ROW_BYTES + FIELD_BYTES * len(df.columns)
+        measure = F.coalesce(F.sum(text), F.lit(0)).alias("bytes")
+        if getattr(df, "_stored", False):
+            size = df.agg(measure).first()[0]
+        else:
+            seen = Observation()
+            df = checkpointed(df.observe(seen, measure))
+            size = seen.get["bytes"]
+        df._bytes = size
+    return F.broadcast(df) if size <= max_bytes else df

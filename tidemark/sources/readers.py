@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.schema import AUDIT_COLUMNS, TRIP_COLUMNS, struct_of
+from tidemark.schema import AUDIT_COLUMNS, TRIP_COLUMNS
 
 _MONTH = re.compile(r"(\d{4})-(\d{2})")
 
@@ -48,7 +51,7 @@ def in_months(df: DataFrame, spec: str, ts: str = "tpep_pickup_datetime") -> Dat
 
 
 def _parquet_files(spark: SparkSession, path: str) -> list[str]:
-    """A file itself, or the sorted parquet files directly in a folder."""
+    """A file itself, or the sorted parquet files in a folder and the folders below it."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -56,26 +59,40 @@ def _parquet_files(spark: SparkSession, path: str) -> list[str]:
         raise FileNotFoundError(path)
     if fs.getFileStatus(where).isFile():
         return [path]
-    names = [s.getPath().toString() for s in fs.listStatus(where)]
-    return sorted(n for n in names if n.endswith(".parquet"))
+    found, names = fs.listFiles(where, True), []
+    while found.hasNext():
+        names.append(found.next().getPath().toString())
+    return sorted(n for n in names if n.endswith(".parquet") and "/_" not in n[len(path):])
 
 
-# A scan of fewer partitions than cores is spread out when it is at least this big.
-SPREAD_BYTES = 1 << 20
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table."""
+    return spark.read.parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table; a few big row groups are spread over the idle cores.
+# Footers read at a time when files differ in type.
+FOOTERS_AT_ONCE = 16
+
 
-    Scans of large tables have more splits than cores and stay as they are.
+def _by_schema(spark: SparkSession, files: list[str]) -> list[DataFrame]:
+    """The files as one frame per schema.
+
+    One distributed pass merges the footers.  Only where names clash or types
+    differ are they read file by file, several at a time.
     """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return df.repartition(cores) if fs.getContentSummary(where).getLength() >= SPREAD_BYTES else df
+    try:
+        merged = spark.read.option("mergeSchema", True).parquet(*files)
+        names = [c.lower() for c in merged.columns]
+        if len(set(names)) == len(names):
+            return [merged]
+    except (PySparkException, Py4JJavaError):
+        pass  # types differ between files
+    with ThreadPoolExecutor(max_workers=FOOTERS_AT_ONCE) as pool:
+        schemas = list(pool.map(lambda f: spark.read.parquet(f).schema.json(), files))
+    groups: dict[str, list[str]] = {}
+    for f, found in zip(files, schemas):
+        groups.setdefault(found, []).append(f)
+    return [spark.read.parquet(*g) for g in groups.values()]
 
 
 def scan_trips(
@@ -95,10 +112,7 @@ def scan_trips(
         files = [f for f, m in dated if m is None or m.group(0) in wanted]
     if not files:
         raise FileNotFoundError(f"no parquet files in {path}")
-    groups: dict[str, list[str]] = {}
-    for f in files:
-        groups.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
-    parts = [align_schema(normalize_names(spark.read.parquet(*g)), schema) for g in groups.values()]
+    parts = [align_schema(normalize_names(df), schema) for df in _by_schema(spark, files)]
     trips = reduce(DataFrame.unionByName, parts)
     return in_months(trips, months) if months else trips
 
@@ -176,7 +190,3 @@ def entry_schema() -> dict[str, str]:
     """Columns of an entered record: a trip without drop-off, plus the audit trail."""
     trip = {k: v for k, v in TRIP_COLUMNS.items() if k != "tpep_dropoff_datetime"}
     return {"id": "bigint", **trip, **AUDIT_COLUMNS}
-
-
-def empty_table(spark: SparkSession, schema: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame([], struct_of(schema))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.joins import join_on
+from tidemark.session import stored_lookup
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
@@ -22,7 +23,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     chosen.select(*shown).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 
-def _rebalanced(df: DataFrame, columns: list[str]) -> DataFrame:
+def rebalanced(df: DataFrame, columns: list[str]) -> DataFrame:
     """Bring equal values together, letting AQE cut heavy ones and merge light ones."""
     return df.sparkSession.sql(f"SELECT /*+ REBALANCE({', '.join(columns)}) */ * FROM {{rows}}", rows=df)
 
@@ -30,14 +31,14 @@ def _rebalanced(df: DataFrame, columns: list[str]) -> DataFrame:
 def write_trips(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Trips as parquet, one folder per pickup date, ordered by pickup in each file."""
     dated = df.withColumn("pickup_date", F.to_date("tpep_pickup_datetime"))
-    (_rebalanced(dated, ["pickup_date"])
+    (rebalanced(dated, ["pickup_date"])
         .sortWithinPartitions("pickup_date", "tpep_pickup_datetime")
         .write.mode(mode).partitionBy("pickup_date").parquet(path))
 
 
 def write_series(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Long series as parquet, one folder per resolution and split."""
-    (_rebalanced(df, ["resolution", "split"])
+    (rebalanced(df, ["resolution", "split"])
         .sortWithinPartitions("resolution", "split", "series_id", "ts")
         .write.mode(mode).partitionBy("resolution", "split").parquet(path))
 
@@ -76,7 +77,10 @@ def save_results(results: DataFrame, path: str) -> None:
     """Append scores to the result table, keeping rows already stored."""
     spark = results.sparkSession
     if table_exists(spark, path):
-        results = insert_ignore(results, spark.read.parquet(path), [*RESULT_KEYS, "ts"])
+        # only the folders of the series at hand are read: one row per series and model
+        touched = results.select(*RESULT_KEYS).distinct()
+        near = join_on(spark.read.parquet(path), stored_lookup(touched), RESULT_KEYS, "left_semi")
+        results = insert_ignore(results, near, [*RESULT_KEYS, "ts"])
     results.write.mode("append").partitionBy(*RESULT_KEYS).parquet(path)
 
 

@@ -14,6 +14,8 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,23 +24,25 @@ from tidemark.operators import forecast as Fc
 from tidemark.operators import forest
 from tidemark.operators import series as S
 from tidemark.operators.records import vendor_filter
-from tidemark.schema import CLEAN_FEATURES, STREAM_CONTAMINATION, TREES
+from tidemark.schema import CLEAN_FEATURES, STREAM_CONTAMINATION, TREES, resolution_seconds
 from tidemark.session import checkpointed
-from tidemark.sources.sinks import table_exists
+from tidemark.sources.sinks import rebalanced, table_exists
 
 PICKUP = "tpep_pickup_datetime"
 
 # Block names, which sort in time order and suit folder names.
 BLOCK_FORMAT = "%Y-%m-%dT%H-%M"
-# Closed blocks cleaned in one pass; bounds the trees held by the scoring tasks.
+# Closed blocks cleaned in one pass, then learnt from one after another.
 BLOCKS_AT_ONCE = 32
 
+# ---- fixed values: the columns of a window's result --------------------------
 WINDOW_RESULT = (
     "run_name string, window_index int, ts_start timestamp_ntz, ts_end timestamp_ntz, metric string, "
     "resolution string, vendor string, n_raw long, n_unusable long, n_anomaly long, n_clean long, "
     "anom_rate double, model_name string, mode string, status string, wape double, mae double, "
     "n_train long, detail string, seconds double"
 )
+# ---- end of fixed values ----------------------------------------------------
 
 Updater = Callable[["BlockPipeline", str, DataFrame, str], dict]
 
@@ -53,7 +57,7 @@ class Settings:
     block_hours: int = 24
     delay_hours: int = 1
     how: str = "mean"
-    contamination: float = STREAM_CONTAMINATION
+    contamination: float | str = STREAM_CONTAMINATION
     trees: int = TREES
     features: tuple[str, ...] = tuple(CLEAN_FEATURES)
     models: tuple[str, ...] = ("boosted",)
@@ -126,23 +130,35 @@ class BlockPipeline:
         """Records that arrived after their block was processed, per batch."""
         return self._read("late")
 
-    def processed(self) -> set[str]:
-        """Blocks done so far; one short value per block."""
+    def progress(self) -> tuple[str, int]:
+        """The newest processed block ("" before the first) and how many there are.
+
+        Blocks are processed in time order, so all up to the newest are done; the
+        names are folders, so no file is read.
+        """
         rows = self._read("telemetry")
-        return set() if rows is None else {r[0] for r in rows.select(F.col("block").cast("string")).distinct().collect()}
+        if rows is None:
+            return "", 0
+        name = F.col("block").cast("string")
+        found = rows.agg(F.max(name).alias("last"), F.count_distinct(name).alias("n")).first()
+        return found["last"] or "", found["n"]
 
     def series(self, metric: str, up_to: str | None = None) -> DataFrame:
         """The newest bins of a metric's cleaned series, optionally up to a block.
 
         Blocks hold whole bins, so the newest block's value of a bin wins and
-        nothing is merged.
+        nothing is merged.  With ``up_to`` only the folders that can hold the
+        newest ``max_bins`` bin widths are read.
         """
         stored = self._read(f"series/{metric}")
         if stored is None:
             return self.spark.createDataFrame([], "ts timestamp_ntz, value double")
         stored = stored.withColumn("block", F.col("block").cast("string"))
         if up_to is not None:
-            stored = stored.filter(F.col("block") <= up_to)
+            c = self.settings
+            reach = dt.timedelta(seconds=c.max_bins * resolution_seconds(c.resolution), hours=c.block_hours)
+            oldest = (dt.datetime.strptime(up_to, BLOCK_FORMAT) - reach).strftime(BLOCK_FORMAT)
+            stored = stored.filter(F.col("block").between(oldest, up_to))
         newest = S.latest_per_key(stored.select("ts", "value", "block"), ["ts"], "block")
         return S.keep_newest(newest.select("ts", "value"), self.settings.max_bins)
 
@@ -157,16 +173,15 @@ class BlockPipeline:
         if "tpep_dropoff_datetime" in rows.columns:
             rows = rows.withColumn("tpep_dropoff_datetime", F.col("tpep_dropoff_datetime").cast("timestamp_ntz"))
         staged = f"{self.folder}/staged/batch={batch_id}"
-        (vendor_filter(rows, self.settings.vendor).withColumn("block", self._block_of())
+        (rebalanced(vendor_filter(rows, self.settings.vendor).withColumn("block", self._block_of()), ["block"])
             .write.mode("overwrite").partitionBy("block").parquet(staged))
-        done = self.processed()
-        if done:
-            here = self.spark.read.parquet(staged) if _has_files(self.spark, staged) else None
-            if here is not None:
-                behind = here.filter(F.col("block").cast("string").isin(sorted(done)))
-                behind.groupBy("block").agg(F.count(F.lit(1)).alias("n_late")).write.mode(
-                    "overwrite").parquet(f"{self.folder}/late/batch={batch_id}")
+        last, _ = self.progress()
+        if last and _has_files(self.spark, staged):
+            behind = self.spark.read.parquet(staged).filter(F.col("block").cast("string") <= last)
+            behind.groupBy("block").agg(F.count(F.lit(1)).alias("n_late")).write.mode(
+                "overwrite").parquet(f"{self.folder}/late/batch={batch_id}")
         self._process_closed(final=False)
+        self._prune()
 
     def _staged(self) -> DataFrame | None:
         path = f"{self.folder}/staged"
@@ -178,9 +193,9 @@ class BlockPipeline:
         staged = self._staged()
         if staged is None:
             return
-        done = self.processed()
+        last, n_done = self.progress()
         # block is a folder, so rows of processed blocks are not read again
-        staged = staged.withColumn("block", F.col("block").cast("string")).filter(~F.col("block").isin(sorted(done)))
+        staged = staged.withColumn("block", F.col("block").cast("string")).filter(F.col("block") > last)
         # one row per open block
         spans = staged.groupBy("block").agg(F.max(PICKUP).alias("last")).collect()
         newest = max((r["last"] for r in spans), default=None)
@@ -189,10 +204,18 @@ class BlockPipeline:
             r["block"] for r in spans
             if (final or dt.datetime.strptime(r["block"], BLOCK_FORMAT) + reach <= newest))
         if self.settings.max_windows:
-            due = due[: max(self.settings.max_windows - len(done), 0)]
+            due = due[: max(self.settings.max_windows - n_done, 0)]
         for i in range(0, len(due), BLOCKS_AT_ONCE):
             part = due[i:i + BLOCKS_AT_ONCE]
-            self.process(staged.filter(F.col("block").isin(part)).drop("batch"), part, len(done) + i)
+            self.process(staged.filter(F.col("block").between(part[0], part[-1])).drop("batch"), part, n_done + i)
+
+    def _prune(self) -> None:
+        """Remove the staged rows of processed blocks; a retried batch would count them as late."""
+        last, _ = self.progress()
+        if last:
+            for path, name in _folders(self.spark, f"{self.folder}/staged", "block="):
+                if name <= last:
+                    _delete(self.spark, path)
 
     def process(self, rows: DataFrame, blocks: list[str], first_index: int) -> None:
         """Clean blocks in one pass, extend the series, then update models block by block.
@@ -225,6 +248,8 @@ class BlockPipeline:
             return {"status": "skip"}
         try:
             return self.updaters[name](self, metric, checkpointed(self.series(metric, block)), block)
+        except (PySparkException, Py4JError):  # a failed job must be tried again, not recorded as done
+            raise
         except Exception as error:  # one failing model must not stop the others
             return {"status": "error", "detail": f"{type(error).__name__}: {error}"[:300]}
 
@@ -283,21 +308,42 @@ class BlockPipeline:
         rows = self._days(source, day, 1)
         if rows.isEmpty():
             return self.telemetry().limit(0)
-        self.process(rows, [block], len(self.processed() - {block}))
+        last, n_done = self.progress()
+        self.process(rows, [block], n_done - (last == block))
         found = self.spark.read.parquet(f"{self.folder}/telemetry")
         return found.filter(F.col("block").cast("string") == block).drop("block")
 
 
 def _replace_blocks(df: DataFrame, path: str) -> None:
-    """Write by block, replacing only the blocks present in ``df``."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Write by block, replacing only the blocks present in ``df``; a block is one file unless it is large."""
+    (rebalanced(df, ["block"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("block").parquet(path))
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[tuple[str, str]]:
+    """(path, value) of the partition folders two levels below ``path``."""
+    fs, where = _files(spark, path)
+    if not fs.exists(where):
+        return []
+    return [(inner.getPath().toString(), inner.getPath().getName()[len(prefix):])
+            for outer in fs.listStatus(where) if outer.isDirectory()
+            for inner in fs.listStatus(outer.getPath()) if inner.getPath().getName().startswith(prefix)]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, where = _files(spark, path)
+    fs.delete(where, True)
+
+
 def _has_files(spark: SparkSession, path: str) -> bool:
     """Whether any parquet file lies under ``path``."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    fs, where = _files(spark, path)
+    files = fs.listFiles(where, True)
     while files.hasNext():
         if files.next().getPath().getName().endswith(".parquet"):
             return True
