@@ -61,8 +61,11 @@ def test_host_verdicts_shrink_and_decide(spark, none):
     junk = "$$ %% && ## " * 30 + prose(3, 40)
     rows = [(i, prose(i, 60), "good") for i in range(60)] + [(100 + i, f"{junk} {i}", "bad") for i in range(60)]
     rows += [(300, prose(300, 60), "bad"), (301, f"{junk} x", "small")]
+    mild = prose(302, 60) + " #" * 8  # breaks one soft rule
+    rows += [(302, mild, "good"), (303, mild + " end", "bad")]
     kept = {r["doc_id"] for r in host_rules.keep_good(documents(spark, rows)).collect()}
     assert kept >= set(range(60)) and not kept & set(range(100, 160))
+    assert 302 in kept and 303 not in kept  # an open host tolerates what a bad one does not
     hosts = {r["host"]: r for r in host_rules.host_verdicts(spark.createDataFrame(
         [("a", i < 95) for i in range(100)] + [("b", i < 5) for i in range(100)] + [("c", True)], "host string, failed boolean"
     )).collect()}
@@ -421,6 +424,26 @@ def test_scan_of_odd_rows(odd, none):
 
 # -- passages ----------------------------------------------------------------------
 
+def test_a_hot_passage_is_dealt_out_and_stays_linked(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SAMPLE_OF", 4)
+    shared = prose(900, 70)
+    rows = [(i, f"{prose(i, 60)} {shared} {prose(i + 500, 60)}", "s") for i in range(400)]
+    docs = documents(spark, rows)
+    hot, first = substring_dedup.hot_keys(docs.selectExpr("xxhash64(text) AS tid", "text"))
+    assert len(hot) >= substring_dedup.FUNCTIONS and first.shape == (len(hot), 6)
+    root = {i: i for i, *_ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = substring_dedup.repeated_passages(docs).collect()
+    for r in links:
+        root[find(r["doc_id"])] = find(r["partner_id"])
+    assert len({find(i) for i in root}) == 1 and len(links) < 6 * len(rows)
+
+
 def test_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 1 << 63, 900).astype(np.uint64)

@@ -32,6 +32,7 @@ class Limits:
     min_words: int = 20
     repeat_percent: int = 30
     symbol_percent: int = 10
+    severe_symbol_percent: int = 30
     dup_line_percent: int = 30
     longest_mean_word: int = 12
     strict_rate: float = 0.5
@@ -91,9 +92,10 @@ def base_failed(m: Column, limits: Limits = Limits()) -> Column:
 
 
 def soft_failures(m: Column, limits: Limits = Limits()) -> Column:
-    """How many of the softer rules a document breaks: symbols, repeated lines, overlong words."""
+    """How many of the softer rules a document breaks: symbols (twice if severe), repeated lines, overlong words."""
     broken = [
         100 * m["n_symbols"] > limits.symbol_percent * m["n_words"],
+        100 * m["n_symbols"] > limits.severe_symbol_percent * m["n_words"],
         100 * m["n_dup_lines"] > limits.dup_line_percent * m["n_lines"],
         m["word_chars"] > limits.longest_mean_word * m["n_words"],
     ]

@@ -29,7 +29,8 @@ measured AS (
   FROM docs d JOIN words w USING (rid) LEFT JOIN lines l USING (rid) LEFT JOIN covered c USING (rid)),
 failing AS (
   SELECT *, n_words < {_L.min_words} OR 100 * n_repeat_words > {_L.repeat_percent} * n_words AS base_failed,
-    (100 * n_symbols > {_L.symbol_percent} * n_words)::INT + (100 * n_dup_lines > {_L.dup_line_percent} * n_lines)::INT
+    (100 * n_symbols > {_L.symbol_percent} * n_words)::INT + (100 * n_symbols > {_L.severe_symbol_percent} * n_words)::INT
+    + (100 * n_dup_lines > {_L.dup_line_percent} * n_lines)::INT
     + (word_chars > {_L.longest_mean_word} * n_words)::INT AS soft
   FROM measured),
 hosts AS (
