@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.functions.ordering import BLOCK_ROWS, in_blocks, per_group, with_position
+from tidemark.functions.ordering import in_blocks, per_group, with_position
 from tidemark.functions.quantiles import medians, scalar_mad
+from tidemark.functions.rolling import rolling_median
 from tidemark.operators import series as S
 from tidemark.operators.records import guarded_limit
 from tidemark.schema import MAD_FLOOR, Z_SCALE
@@ -73,24 +73,13 @@ def intraday_mad(
     return scored.withColumn("z", z).withColumn("is_anomaly", two_sided(F.col("z"), k))
 
 
-def _rolling_stats(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Centered rolling median and MAD of one block of consecutive rows."""
-    rows = pdf.sort_values("_pos")
-    width = int(rows["_w"].iloc[0])
-    middle = rows["value"].rolling(width, center=True, min_periods=1).median()
-    mad = (rows["value"] - middle).abs().rolling(width, center=True, min_periods=1).median()
-    out = rows.assign(expected=middle, mad=mad)
-    return out[out["_own"]].drop(columns=["_own", "_block", "_w", "_pos"])
-
-
 def local_mad(
     series: DataFrame, start: str, end: str, k: float = 3.0, keys: list[str] | None = None
 ) -> DataFrame:
     """z-score against a centered rolling median and MAD, two-sided.
 
     The window is a tenth of the bins in the range plus an hour on each side,
-    at least 20.  Rolling medians run in blocks of consecutive bins with one
-    window of neighbours on each side, so a long series uses many tasks.
+    at least 20.
     """
     keys = keys or []
     low, high = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
@@ -98,10 +87,9 @@ def local_mad(
     placed = with_position(
         series.select(*keys, "ts", "value").filter(F.col("ts").between(low - hour, high + hour)), keys
     ).withColumn("_w", F.greatest(F.lit(LOCAL_MIN_WINDOW), F.floor(F.col("_n") / 10)))
-    blocks = in_blocks(placed, F.col("_w"), F.col("_w"), F.greatest(F.lit(BLOCK_ROWS), 4 * F.col("_w")))
-    fields = {f.name: f.dataType.simpleString() for f in series.select(*keys, "ts", "value").schema.fields}
-    schema = ", ".join(f"`{n}` {t}" for n, t in {**fields, "expected": "double", "mad": "double"}.items())
-    rolled = blocks.drop("_n").groupBy(*keys, "_block").applyInPandas(_rolling_stats, schema)
+    centred = rolling_median(checkpointed(placed), keys, "value", "expected")
+    spread = centred.withColumn("_dev", F.abs(F.col("value") - F.col("expected")))
+    rolled = rolling_median(checkpointed(spread), keys, "_dev", "mad").drop("_dev", "_w", "_pos", "_n")
     z = C.robust_z(F.col("value"), F.col("expected"), F.col("mad"))
     return (
         rolled.filter(F.col("ts").between(low, high))
