@@ -12,7 +12,7 @@ from tidemark.functions import columns as C
 from tidemark.functions.joins import join_on
 from tidemark.functions.quantiles import scalar_mad
 from tidemark.schema import ALL_VENDORS, COUNT_METRIC, GUARD_ROWS, NO_METRICS, PAGE_SIZES, canonical
-from tidemark.session import stored_lookup
+from tidemark.session import checkpointed, stored_lookup
 
 PICKUP = "tpep_pickup_datetime"
 
@@ -42,15 +42,16 @@ def mad_clean(trips: DataFrame, columns: list[str], k: float = 3.0) -> DataFrame
     """Drop outliers column by column, each judged on the rows still left.
 
     Each step reduces to two numbers, which enter the next step as constants:
-    the result is one plain filter over the input.
+    the result is one plain filter over the input.  The input is read once for
+    the columns judged, which are stored for the passes of all steps.
     """
-    kept = trips
+    judged, kept = checkpointed(trips.select(*columns)), trips
     for name in columns:
-        median, mad = scalar_mad(kept, name)
+        median, mad = scalar_mad(judged, name)
         if median is None:
             return kept.filter(F.lit(False))
-        z = C.robust_z(F.col(name), F.lit(median), F.lit(mad))
-        kept = kept.filter(F.abs(z) <= k)
+        inside = F.abs(C.robust_z(F.col(name), F.lit(median), F.lit(mad))) <= k
+        judged, kept = judged.filter(inside), kept.filter(inside)
     return kept
 
 

@@ -54,7 +54,8 @@ def bin_all_metrics(
     trips: DataFrame, resolution: str, vendor: str = ALL_VENDORS, metrics: list[str] = VALUE_METRICS
 ) -> DataFrame:
     """Trip count and the median of every metric per bin, one column each."""
-    rows = vendor_filter(trips, vendor).withColumn("ts", C.bin_to(PICKUP, resolution))
+    chosen = vendor_filter(trips, vendor)
+    rows = checkpointed(chosen.select(C.bin_to(PICKUP, resolution).alias("ts"), *metrics))
     counts = rows.groupBy("ts").agg(F.count(F.lit(1)).alias(COUNT_METRIC))
     tall = quantiles(_tall(rows, ["ts"], metrics), ["ts", "metric"], "value", {"value": 0.5})
     wide = tall.groupBy("ts").pivot("metric", metrics).agg(F.first("value"))
