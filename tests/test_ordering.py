@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import ordering as O
+from tidemark.functions import rolling
 from tidemark.operators import anomaly as A
 from tidemark.operators import series as S
 from tidemark.streaming.windows import sliding_count_windows
@@ -63,7 +64,7 @@ def test_local_mad_blocks_equal_one_pandas_pass(spark, series_of, monkeypatch):
     w = max(20, len(part) // 10)
     med = part["value"].rolling(w, center=True, min_periods=1).median()
     mad = (part["value"] - med).abs().rolling(w, center=True, min_periods=1).median()
-    monkeypatch.setattr(A, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(rolling, "BLOCK", 10)
     got = A.local_mad(df, "2024-01-02 01:00:00", "2024-01-15 01:00:00", 3.0).toPandas().sort_values("ts")
     np.testing.assert_allclose(got["expected"], med[1:-1])
     np.testing.assert_allclose(got["mad"], mad[1:-1])

@@ -24,7 +24,9 @@ from tidemark.session import checkpointed
 BLOCK, MOST_BLOCKS = 16_384, 512
 
 
-def rolling_median(df: DataFrame, keys: list[str], value: str, name: str, width: str = "_w", block: int = BLOCK) -> DataFrame:
+def rolling_median(
+    df: DataFrame, keys: list[str], value: str, name: str, width: str = "_w", block: int | None = None
+) -> DataFrame:
     """Add the median of each row's centred frame; missing values are left out of it.
 
     ``df`` has ``_pos`` and ``_n`` and the same ``width`` (rows in a frame) for
@@ -33,7 +35,7 @@ def rolling_median(df: DataFrame, keys: list[str], value: str, name: str, width:
     if not keys:
         return rolling_median(df.withColumn("_one", F.lit(0)), ["_one"], value, name, width, block).drop("_one")
     series = df.select(*keys, "_n", width).distinct()
-    size = F.greatest(F.lit(block), F.ceil(F.col("_n") / MOST_BLOCKS)).cast("bigint")
+    size = F.greatest(F.lit(block or BLOCK), F.ceil(F.col("_n") / MOST_BLOCKS)).cast("bigint")
     series = checkpointed(series.select(
         *keys, "_n", size.alias("_size"), F.floor(F.col(width) / 2).alias("_pre"), F.floor((F.col(width) - 1) / 2).alias("_post")))
     rows = join_on(df.select(*keys, "_pos", F.col(value).cast("double").alias("_v")), series, keys)
