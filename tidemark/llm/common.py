@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidemark.session import shared_folder
 
 # Bytes of text handed to a Python worker at once; bounds its memory whatever the rows' length.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
