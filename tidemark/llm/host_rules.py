@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import column, free_name, small_batches, stored, text_column
+from tidemark.llm.common import column, free_name, small_batches, stored, text_column, tidy
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -82,6 +82,7 @@ def measure(text: bytes) -> tuple[int, ...]:
 @F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
 def _measured(texts: pa.Array) -> pa.Array:
     rows = [measure(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
+    tidy()
     return pa.StructArray.from_arrays(
         [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))], MEASURES)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,8 @@ def with_bucket(rows: DataFrame, key: str, buckets: int) -> DataFrame:
     Bounds are approximate quantiles, so buckets hold about as many rows each
     unless a key repeats.  At most ``buckets`` numbers come to the driver.
     """
+    from pyspark.ml.feature import Bucketizer  # here, as Python workers import this module too
+
     shares = [i / buckets for i in range(1, buckets)]
     found = rows.agg(F.percentile_approx(key, shares, ACCURACY)).first()[0] if shares else None
     bounds = sorted({float(x) for x in found or []})

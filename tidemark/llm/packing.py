@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column, shuffle_partitions, small_batches, text_column
+from tidemark.llm.common import column, shuffle_partitions, small_batches, text_column, tidy
 from tidemark.llm.segments import Encoder, shared_encoder
 
 LENGTH, END_ID = 2048, 1
@@ -150,6 +150,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = packer or Packer(TaskContext.get().partitionId() << 40)
         if b.num_rows and (rows := packer.add(b.column(0).to_pylist(), b.column(1))):
             yield batch(rows)
+        tidy()
     if packer and (rows := packer.flush()):
         yield batch(rows)
 

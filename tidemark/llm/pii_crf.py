@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import column, free_name, small_batches, text_column
+from tidemark.llm.common import column, free_name, small_batches, text_column, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -347,7 +347,9 @@ def _finder(field: Field, return_text: bool):
     if return_text:
         @F.arrow_udf(T.StringType())
         def clean(texts: pa.Array) -> pa.Array:
-            return pa.array([masked(t, found(t)[1]) for t in texts.to_pylist()], pa.string())
+            out = pa.array([masked(t, found(t)[1]) for t in texts.to_pylist()], pa.string())
+            tidy()
+            return out
         return clean
 
     @F.arrow_udf(_TYPE)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import column, free_name, shuffle_partitions, small_batches, stored, text_column
+from tidemark.llm.common import column, free_name, shuffle_partitions, small_batches, stored, text_column, tidy
 from tidemark.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -49,6 +49,7 @@ def fingerprint(text: bytes) -> int:
 def fingerprints(texts: pa.Array) -> pa.Array:
     """The SimHash of each text, as a signed long of the same bits."""
     got = np.array([fingerprint(t or b"") for t in texts.cast(pa.binary()).to_pylist()], np.uint64)
+    tidy()
     return pa.array(got.view(np.int64), pa.int64())
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import column, small_batches, text_column
+from tidemark.llm.common import column, small_batches, text_column, tidy
 from tidemark.llm.segments import SPECIAL, Encoder, pieces, plain, shared_encoder
 
 CHUNK = 1 << 15
@@ -129,7 +129,9 @@ class Transducer:
 
 @F.arrow_udf(T.LongType())
 def _counted(texts: pa.Array) -> pa.Array:
-    return pa.array(Transducer().counts([t or "" for t in texts.to_pylist()]), pa.int64())
+    out = pa.array(Transducer().counts([t or "" for t in texts.to_pylist()]), pa.int64())
+    tidy()
+    return out
 
 
 def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = LIMIT) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column, small_batches, text_column
+from tidemark.llm.common import column, small_batches, text_column, tidy
 from tidemark.llm.ordered import with_followers
 
 SAMPLES = 128
@@ -150,6 +150,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([text_of(x) for x in own]), pa.array([text_of(x) for x in new]),
             pa.array([likeness(*x) for x in zip(own, new)], pa.float64()),
             pa.array([likeness(*x) for x in zip(own, after)], pa.float64())], names)
+        tidy()
 
 
 def compared(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
