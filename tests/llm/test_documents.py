@@ -488,3 +488,54 @@ def test_shared_passages_are_linked(spark, odd, none):
     assert len(links) < 4 * len(rows)
     assert {(r["doc_id"], r["partner_id"]) for r in substring_dedup.repeated_passages(odd).collect()} >= {(6, 5)}
     assert substring_dedup.repeated_passages(none).count() == 0
+
+
+def joined(rows, links):
+    """A function from ids to one id of all that are connected by links."""
+    root = {i: i for i, *_ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in links:
+        root[find(r["doc_id"])] = find(r["partner_id"])
+    return find
+
+
+def passages_among_lines(n_passages=12, copies=2, changed=0):
+    """Texts that share passages, each line of which also stands alone in many other texts."""
+    rng, rows = np.random.default_rng(3), []
+    for p in range(n_passages):
+        words = prose(5000 + p, 60 if not changed else 220).split()
+        for c in range(copies):
+            own = list(words)
+            for k in rng.choice(len(own), changed, replace=False):
+                own[k] = f"changed{p}x{c}x{k}"
+            rows.append((100 * p + c, f"{prose(100 * p + c, 40)} {' '.join(own)} {prose(9000 + 100 * p + c, 40)}", "s"))
+        for k in range(0, len(words) - 4, 6):
+            rows += [(10_000 + 10_000 * p + 40 * k + i,
+                      f"{prose(20_000 + 700 * p + 40 * k + i, 45)} {' '.join(words[k:k + 10])} {prose(40_000 + 700 * p + 40 * k + i, 45)}", "s")
+                     for i in range(12)]
+    return rows
+
+
+def test_passages_with_frequent_lines_are_linked(spark):
+    rows = passages_among_lines()
+    find = joined(rows, substring_dedup.repeated_passages(documents(spark, rows)).collect())
+    assert [p for p in range(12) if find(100 * p) != find(100 * p + 1)] == []
+    assert all(find(i) == i for i, *_ in rows if i >= 10_000)
+
+
+def test_variants_with_frequent_lines_are_joined_as_by_brute_force(spark):
+    rows = passages_among_lines(4, 10, 2)
+    texts = [(i, t.encode()) for i, t, _ in rows if i < 10_000]
+    values, bounds = substring_dedup.shingles([t for _, t in texts])
+    parts = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    pairs = [{"doc_id": texts[b][0], "partner_id": texts[a][0]} for b in range(len(texts)) for a in range(b)
+             if substring_dedup.compared(parts[b], parts[a], 46)]
+    want = joined(rows, pairs)
+    find = joined(rows, substring_dedup.repeated_passages(documents(spark, rows)).collect())
+    groups = [{frozenset(i for i, _ in texts if f(i) == f(k)) for k, _ in texts} for f in (want, find)]
+    assert groups[0] == groups[1] and len(groups[0]) == 4
