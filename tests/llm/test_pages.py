@@ -49,6 +49,14 @@ def test_low_branches_of_a_site_are_cut(spark):
     assert sst.extracted(pages(spark, [])).count() == 0
 
 
+def test_a_branch_on_few_pages_of_a_large_host_is_cut(spark):
+    menu = "<div class=box>A section's menu</div>"
+    rows = [(i, f"http://a.org/{i}", f"<body>{menu if i < 9 else ''}<div class=txt><p>Page {i} says {i * 7}</p></div></body>")
+            for i in range(900)]
+    got = {r["page_id"]: r[-2] for r in sst.extracted(pages(spark, rows)).collect()}
+    assert got == {i: f"Page {i} says {i * 7}" for i, *_ in rows}
+
+
 def test_copies_of_an_article_are_no_furniture(spark):
     rows = [(i, f"http://a.org/{i}", "<body><div class=txt>One text in many copies</div></body>") for i in range(40)]
     assert {r[-2] for r in sst.extracted(pages(spark, rows)).collect()} == {"One text in many copies"}

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import column, free_name, small_batches, stored, text_column
 
 # An element is judged if it stands on so many different pages of a host, and goes below this importance.
-MIN_PAGES, MIN_SHARE, LEAST_IMPORTANCE = 8, 0.02, 0.1
+MIN_PAGES, LEAST_IMPORTANCE = 8, 0.1
 # Share of the contents' entropy in the importance; the rest is the presentation's.
 CONTENT_WEIGHT = 0.9
 
@@ -254,13 +254,13 @@ def host_of(url: Column) -> Column:
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for host, copy, text in zip(*(c.to_pylist() for c in batch.columns)):
             page, found = elements(parsed(text))
-            rows += [(host, *(x - (1 << 63) for x in (page, *e))) for e in found]
+            rows += [(host, copy, *(x - (1 << 63) for x in (page, *e))) for e in found]
         if rows:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows), [pa.string(), *[pa.int64()] * 4])],
-                ["host", "page", "path", "content", "style"])
+                [pa.array(c, k) for c, k in zip(zip(*rows), [pa.string(), *[pa.int64()] * 5])],
+                ["host", "copy", "page", "path", "content", "style"])
 
 
 def entropy(rows: DataFrame, of: str) -> DataFrame:
@@ -271,24 +271,26 @@ def entropy(rows: DataFrame, of: str) -> DataFrame:
 
 
 def low_branches(pages: DataFrame, html: Column, url: Column, min_pages: int = MIN_PAGES,
-                 min_share: float = MIN_SHARE, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """Rows (host, cut): the paths of a host's elements of low importance.
+                 least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """Rows (host, copy, cut): the paths of low importance among a page's elements; ``copy`` is the hash of its html.
 
     Pages with the same contents count once, so copies of an article do not make
-    it furniture.  Only paths on at least ``min_share`` of a host's pages are
-    judged, so a host's list is at most a page's elements over that share.
+    it furniture.  Every path on ``min_pages`` or more pages of a host is judged;
+    a list holds a page's own elements only, however many the host has.
     """
     rows = stored(
-        pages.select(host_of(url).alias("host"), html.alias("html")).filter("host is not null")
-        .mapInArrow(_elements, "host string, page bigint, path bigint, content bigint, style bigint")
-        .dropDuplicates(["host", "page", "path"]))
-    size = rows.groupBy("host").agg(F.approx_count_distinct("page").alias("pages"))
-    content, style = entropy(rows, "content"), entropy(rows, "style").drop("n")
+        pages.select(host_of(url).alias("host"), F.xxhash64(html).alias("copy"), html.alias("html"))
+        .filter("host is not null")
+        .mapInArrow(_elements, "host string, copy bigint, page bigint, path bigint, content bigint, style bigint")
+        .dropDuplicates(["host", "copy", "path"]))
+    once = rows.dropDuplicates(["host", "page", "path"])
+    content, style = entropy(once, "content"), entropy(once, "style").drop("n")
     importance = CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("style")
-    low = (
+    low = stored(
         content.join(style, ["host", "path"]).filter(F.col("n") >= min_pages).filter(importance < least)
-        .join(size, "host").filter(F.col("n") >= min_share * F.col("pages")))
-    return stored(low.groupBy("host").agg(F.collect_list("path").alias("cut")))
+        .select("host", "path"))
+    return stored(rows.select("host", "copy", "path").join(low, ["host", "path"])
+                  .groupBy("host", "copy").agg(F.sort_array(F.collect_list("path")).alias("cut")))
 
 
 @F.arrow_udf(T.StringType())
@@ -308,13 +310,15 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
 
     A null page is empty and has an empty text.  Pages without a host have no
     tree and are cut by their own marks alone.  Pages are read twice; of the
-    hosts' trees only the low branches come back to them.
+    hosts' trees only the low branches that stand on a page come back to it.
     """
     small_batches(pages)
     body = text_column(pages, html)
-    h, c, t = (free_name(pages, x) for x in ("_host", "_cut", "_text"))
-    cuts = low_branches(pages, body, column(pages, url)).select(F.col("host").alias(h), F.col("cut").alias(c))
-    out = pages.join(cuts, host_of(column(pages, url)) == F.col(h), "left").withColumn(t, _extracted(body, F.col(c)))
+    h, k, c, t = (free_name(pages, x) for x in ("_host", "_copy", "_cut", "_text"))
+    cuts = low_branches(pages, body, column(pages, url)).select(
+        F.col("host").alias(h), F.col("copy").alias(k), F.col("cut").alias(c))
+    same = (host_of(column(pages, url)) == F.col(h)) & (F.xxhash64(body) == F.col(k))
+    out = pages.join(cuts, same, "left").withColumn(t, _extracted(body, F.col(c)))
     n = free_name(pages, "_n_chars")
-    return out.withColumn(n, F.length(t).cast("long")).drop(h, c).select(
+    return out.withColumn(n, F.length(t).cast("long")).drop(h, k, c).select(
         *[column(pages, x) for x in pages.columns], t, n)
