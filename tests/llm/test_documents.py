@@ -539,3 +539,20 @@ def test_variants_with_frequent_lines_are_joined_as_by_brute_force(spark):
     find = joined(rows, substring_dedup.repeated_passages(documents(spark, rows)).collect())
     groups = [{frozenset(i for i, _ in texts if f(i) == f(k)) for k, _ in texts} for f in (want, find)]
     assert groups[0] == groups[1] and len(groups[0]) == 4
+
+
+def test_salting_does_not_change_the_links(spark, monkeypatch):
+    rng, words = np.random.default_rng(4), prose(77, 220).split()
+    rows = []
+    for i in range(80):
+        own = list(words)
+        for k in rng.choice(len(own), 3, replace=False):
+            own[k] = f"changed{i}x{k}"
+        rows.append((i, f"{prose(i, 30)} {' '.join(own)}", "s"))
+    docs, found = documents(spark, rows), []
+    for sample, least, most in ((1, 1 << 30, 10), (1, 2, 1 << 20), (1, 16, 5)):
+        monkeypatch.setattr(substring_dedup, "SAMPLE_OF", sample)
+        monkeypatch.setattr(substring_dedup, "HOT_TEXTS", least)
+        monkeypatch.setattr(substring_dedup, "HOT_KEYS", most)
+        found.append(sorted(tuple(r) for r in substring_dedup.repeated_passages(docs).collect()))
+    assert found[0] and found[0] == found[1] == found[2]
