@@ -26,17 +26,16 @@ from tidemark.session import checkpointed, stored_lookup
 # ---- fixed values -----------------------------------------------------------
 MIN_EXTRA_ROWS, MIN_TRAIN, MIN_HOLDOUT, TRAIN_SHARE = 500, 100, 50, 0.8
 ONLINE_EXTRA_ROWS, ONLINE_MIN_ROWS, ONLINE_SHARE = 60, 40, 0.9
-MIN_LEAF, ROW_SHARE, BINS = 20, 0.8, 127
+ROUNDS, MINUTE_ROUNDS, PATIENCE = 500, 400, 40
+FRESH_ROUNDS, UPDATE_ROUNDS = 300, 60
+STEP_SIZE, TREE_DEPTH, MIN_LEAF, ROW_SHARE, BINS = 0.05, 8, 20, 0.8, 127
+ANNUAL_ROUNDS, ANNUAL_DEPTH = 400, 5
 ANNUAL_LAGS = [364, 365, 371]
 ANNUAL_FAR, ANNUAL_NEAR, ANNUAL_CALIBRATION = 395, 365, 120
 FAILED_SCORE = 1e6
 LIVE_BINS = 180
 # ---- end of fixed values ----------------------------------------------------
 
-# Boosting in few and large steps: every level of every tree is a pass over the data.
-ROUNDS, STEP_SIZE, TREE_DEPTH = 40, 0.2, 5
-FRESH_ROUNDS, UPDATE_ROUNDS, ANNUAL_ROUNDS = 30, 6, 40
-
 FEATURES = "_features"
 
 
@@ -102,23 +101,38 @@ class Forecaster:
 
 def _fit_gbt(rows: DataFrame, features: list[str], label: str, rounds: int, depth: int, seed: int,
              check: DataFrame | None = None, min_leaf: int = MIN_LEAF) -> GBTRegressionModel:
-    """Boosted trees; with ``check`` only the rounds up to the one with its least error.
+    """Boosted trees; with ``check`` they stop once ``PATIENCE`` rounds have not lowered its error, and only the rounds
+    up to the one with the least error are kept.
 
     Rounds are drawn from the seed one after another, so fewer rounds are a
-    prefix of more.
+    prefix of more: as many as twice the patience are tried first, then twice as
+    many each time.
     """
     gather = VectorAssembler(inputCols=features, outputCol=FEATURES)
     learn = gather.transform(rows)
     gbt = GBTRegressor(
         featuresCol=FEATURES, labelCol=label, predictionCol="_p", maxIter=rounds, maxDepth=depth,
         stepSize=STEP_SIZE, minInstancesPerNode=min_leaf, subsamplingRate=ROW_SHARE, maxBins=BINS + 1, seed=seed)
-    model = gbt.fit(learn)
-    if check is not None:
-        errors = model.evaluateEachIteration(gather.transform(check), "squared")
-        best = 1 + min(range(len(errors)), key=errors.__getitem__)
-        if best < rounds:
-            model = gbt.setMaxIter(best).fit(learn)
-    return model
+    if check is None:
+        return gbt.fit(learn)
+    held, tried = gather.transform(check), min(2 * PATIENCE, rounds)
+    while True:
+        model = gbt.setMaxIter(tried).fit(learn)
+        best, stopped = stopping_round(model.evaluateEachIteration(held, "squared"))
+        if stopped or tried == rounds:
+            return model if best == tried else gbt.setMaxIter(best).fit(learn)
+        tried = min(2 * tried, rounds)
+
+
+def stopping_round(errors: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """The number of rounds with the least error before ``patience`` rounds brought none lower, and whether they did."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
 
 
 def _widths(rows: DataFrame, label: str, forecast: str) -> dict[str, float]:
@@ -142,7 +156,7 @@ def training_rows(series: DataFrame, resolution: str, keys: list[str] | None = N
 
 
 def fit_forecaster(
-    series: DataFrame, resolution: str, rounds: int = ROUNDS, depth: int = TREE_DEPTH,
+    series: DataFrame, resolution: str, rounds: int | None = None, depth: int = TREE_DEPTH,
     keys: list[str] | None = None, lags: int | None = None, seed: int = 42,
 ) -> Forecaster | None:
     """Train on the first 80 % of each series; choose the rounds and calibrate on the rest.
@@ -152,6 +166,8 @@ def fit_forecaster(
     Returns None when no series is long enough.
     """
     n, keys = lags or lag_count(resolution), keys or []
+    if rounds is None:
+        rounds = MINUTE_ROUNDS if resolution_seconds(resolution) < 3600 else ROUNDS
     features = S.feature_names(resolution, n)
     rows = checkpointed(training_rows(series, resolution, keys, lags=n))
     if rows.isEmpty():
@@ -424,7 +440,7 @@ def annual_features(clean: DataFrame, targets: DataFrame | None = None,
 
 def annual_anomaly(
     clean: DataFrame, new: DataFrame, alpha: float = 0.5, calibration: int = ANNUAL_CALIBRATION,
-    rounds: int = ANNUAL_ROUNDS, depth: int = TREE_DEPTH, seed: int = 42,
+    rounds: int = ANNUAL_ROUNDS, depth: int = ANNUAL_DEPTH, seed: int = 42,
     first_year: int = 2014, last_year: int = 2019,
 ) -> DataFrame:
     """Flag days of ``new`` that differ from a year-over-year model of ``clean``.
