@@ -805,22 +805,19 @@ def stream_two_day_blocks(spark, sf):
     return out.select(F.col("block").cast("timestamp_ntz").alias("block"), F.col("n_rows")).join(batch, "block")
 
 
-def _pipe(spark, sf, **settings):
-    pipe = pipeline.BlockPipeline(
-        spark, scratch(spark, "pipe"),
-        pipeline.Settings(lags=24, **settings))
-    return pipe
+def _pipe(spark):
+    return pipeline.BlockPipeline(spark, scratch(spark, "pipe"))
 
 
 @query
 def stream_telemetry(spark, sf):
-    pipe = _pipe(spark, sf, metrics=("trip_count",), block_hours=24, update_every={"boosted": 10})
+    pipe = _pipe(spark)
     pipe.run(trip_stream(spark, sf))
     return pipe.telemetry().drop("seconds")
 
 
 @query
 def stream_prewarm(spark, sf):
-    pipe = _pipe(spark, sf, metrics=("trip_count",))
+    pipe = _pipe(spark)
     pipe.prewarm(trips(spark, sf), "2024-01-11")
     return pipe.retrain(trips(spark, sf), "2024-01-11").drop("seconds")

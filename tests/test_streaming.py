@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as S
@@ -101,3 +102,21 @@ def test_max_windows_and_prewarm(spark, tmp_path):
     row = pipe.retrain(history, "2024-01-03").first()
     assert row["n_raw"] == 60 and row["window_index"] == 0 and pipe.progress() == ("2024-01-03T00-00", 1)
     assert pipe.retrain(history, "2024-02-01").count() == 0
+
+
+def test_stream_queries_run_the_default_settings(monkeypatch):
+    from checks import queries
+
+    used = []
+
+    class Recorded:
+        def __init__(self, spark, folder, settings=None, updaters=None):
+            used.append(settings or pipeline.Settings())
+            raise InterruptedError
+
+    monkeypatch.setattr(queries.pipeline, "BlockPipeline", Recorded)
+    monkeypatch.setattr(queries, "scratch", lambda spark, name: name)
+    for name in ("stream_telemetry", "stream_prewarm"):
+        with pytest.raises(InterruptedError):
+            queries.QUERIES[name](None, "")
+    assert used == [pipeline.Settings()] * 2 and used[0].lags is None and used[0].update_every == {}
