@@ -30,6 +30,9 @@ def test_query_equals_its_twin(spark, name):
 def test_query_runs_over_its_whole_table(spark, name):
     n = QUERIES[name](spark, SMALL).count()
     table = spark.read.parquet(f"{SMALL}/{'pages' if name.startswith('op10') else 'documents'}.parquet").count()
+    if name.startswith("op11"):
+        assert n == 600 * spark.read.parquet(f"{SMALL}/documents.parquet").select("lang").distinct().count()
+        return
     assert n >= table if name.startswith("op5") else n > 0 if name.startswith("op1_") else n == table
 
 

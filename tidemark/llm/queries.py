@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    host_rules, license_scan, mixing, packing, pii_crf, simhash_balls, site_style_tree, substring_dedup, token_counts,
-    weighted_sampling)
+    fill_in_middle, filter_audit, host_rules, license_scan, mixing, packing, pii_crf, positive_unlabelled, simhash_balls,
+    site_style_tree, substring_dedup, token_counts, weighted_sampling)
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -72,3 +72,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = site_style_tree.extracted(table(spark, sf_dir, "pages"))
     text, n_chars = out.columns[-2:]
     return out.select("page_id", "url", F.col(text).alias("text"), F.col(n_chars).alias("n_chars"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positive_unlabelled.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.transformed(table(spark, sf_dir, "documents"))
+    f = F.col(out.columns[-1])
+    return out.select(
+        "doc_id", *[f[x].alias(x) for x in fill_in_middle.FIELDS if x != "output"],
+        F.sha2(f["output"], 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(f["output"], f["form"]), 256).alias("restored_sha256"))

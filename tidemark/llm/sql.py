@@ -83,10 +83,70 @@ mix AS (
   LEFT JOIN ends e ON s.source IS NOT DISTINCT FROM e.source)
 """
 
+# Every order of five filters, played on counts of documents by part and failed filters.
+AUDITED = rf"""
+docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), min(d.doc_id) OVER (PARTITION BY t) IS NOT NULL) AS e,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM docs d LEFT JOIN marks m ON d.doc_id = m.doc_id),
+masks AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, sum(good) AS good,
+    sum(toxic) AS toxic FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (
+  SELECT filter_order, i::INT AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS before
+  FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS i FROM orders)),
+played AS (
+  SELECT part, filter_order, step, bit,
+    sum(n * (mask & (before | bit) = 0)::INT) AS kept,
+    sum(n * (mask & bit != 0 AND mask & before = 0)::INT) AS removed,
+    sum(n * (mask & bit != 0 AND mask & before != 0)::INT) AS redundant,
+    sum(n * (mask = bit)::INT) AS unique_fails,
+    sum(good * (mask & bit != 0 AND mask & before = 0)::INT) AS good_lost,
+    sum(toxic * (mask & bit != 0 AND mask & before = 0)::INT) AS toxic_lost
+  FROM masks, steps GROUP BY ALL)
+"""
+
+# Units of a text as a list, cut at two places.
+FILLED = r"""
+units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+    ('0x' || h[17:24])::BIGINT % 100 AS p, ('0x' || h[25:32])::BIGINT % 100 AS s FROM units),
+parts AS (
+  SELECT *, array_to_string(u[1:least(x, y)], '') AS pre, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS mid,
+    array_to_string(u[greatest(x, y) + 1:], '') AS post,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p >= 90 THEN 'plain'
+      WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+filled AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || post || '<M>' || mid
+    ELSE '<S>' || post || '<P>' || pre || '<M>' || mid END AS o FROM parts)
+"""
+
 TWINS = {
     "op4_quality_rules": f"""WITH {JUDGED}
         SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
           n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, kept FROM judged""",
     "op6_mixing": f"""WITH {MIXED}
         SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size)::BIGINT AS taken FROM mix""",
+    "op11_filter_audit": f"""WITH {AUDITED}
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+          unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+          (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM played""",
+    "op13_fill_in_middle": f"""WITH {FILLED}
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form != 'plain' THEN length(pre) END AS prefix_chars,
+          CASE WHEN form != 'plain' THEN length(mid) END AS middle_chars, sha256(o) AS output_sha256,
+          sha256(t) AS restored_sha256 FROM filled""",
 }
