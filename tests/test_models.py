@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import anomaly as A
+from tidemark.operators import boosting
 from tidemark.operators import calibration as Cal
 from tidemark.operators import forecast as Fc
 from tidemark.operators import forest, kernel, neighbors
@@ -215,14 +216,14 @@ def test_tags_without_names_come_as_rows(spark):
     assert Cal.compare_tags(scores, tags=["7"]).columns == ["resolution", "7_wape_pct", "7_mase"]
 
 
-def test_rounds_stop_by_patience(spark, series_of, monkeypatch):
+def test_rounds_stop_by_patience(spark, series_of):
     assert (Fc.ROUNDS, Fc.MINUTE_ROUNDS, Fc.FRESH_ROUNDS, Fc.UPDATE_ROUNDS, Fc.ANNUAL_ROUNDS) == (500, 400, 300, 60, 400)
     assert (Fc.STEP_SIZE, Fc.TREE_DEPTH, Fc.ANNUAL_DEPTH, Fc.PATIENCE) == (0.05, 8, 5, 40)
     assert Fc.stopping_round([5, 4, 4.5, 4.6, 1], 2) == (2, True)
     assert Fc.stopping_round([5, 4, 4.5, 3, 3.5], 2) == (4, False)
-    fitted, fit = [], Fc.GBTRegressor.fit
-    monkeypatch.setattr(Fc, "stopping_round", lambda errors: (3, len(errors) > 4))
-    monkeypatch.setattr(Fc, "PATIENCE", 2)
-    monkeypatch.setattr(Fc.GBTRegressor, "fit", lambda gbt, df: fitted.append(gbt.getMaxIter()) or fit(gbt, df))
-    model = Fc.fit_forecaster(series_of(spiky(700, at=())), "1h", rounds=20, depth=2, lags=24)
-    assert fitted == [4, 8, 3] and model.trees() == 3
+    df = series_of(spiky(700, at=()))
+    rows = Fc.training_rows(df, "1h", lags=24).withColumn("_id", F.xxhash64("ts"))
+    features = S.feature_names("1h", 24)
+    how = boosting.Boosting(200, 3, 0.3, patience=7)
+    made = boosting.fit_models(rows, [], features, "value", how).first()
+    assert made["trees"] + 7 == len(made["errors"]) < 200 and min(made["errors"]) == made["errors"][made["trees"] - 1]

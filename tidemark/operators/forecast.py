@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import math
+import re
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +20,8 @@ from tidemark.functions.ordering import lagged, per_group, with_position
 from tidemark.functions.quantiles import quantiles, scalar_quantiles
 from tidemark.operators import calibration as Cal
 from tidemark.operators import series as S
-from tidemark.schema import SERIES_KEYS, lag_count, resolution_seconds, season_bins
+from tidemark.operators.boosting import ENSEMBLE, Boosting, Ensemble, fit_models, predicted, predicted_each, stopping_round
+from tidemark.schema import SERIES_KEYS, lag_count, resolution_seconds, season_bins, time_feature_names
 from tidemark.session import checkpointed, stored_lookup
 
 # ---- fixed values -----------------------------------------------------------
@@ -36,12 +37,13 @@ FAILED_SCORE = 1e6
 LIVE_BINS = 180
 # ---- end of fixed values ----------------------------------------------------
 
-FEATURES = "_features"
+# A search's first rung of rounds; each later one has twice as many.
+FIRST_RUNG = 25
 
 
 @dataclass
 class Forecaster:
-    """Boosted stages whose predictions add up, their features and band widths.
+    """An ensemble of trees, its features and band widths.
 
     A model of several series (``keys``) also has ``levels``: a row per series
     with its mean level, by which values are scaled, and its own band widths.
@@ -50,7 +52,7 @@ class Forecaster:
     features: list[str]
     lags: int
     resolution: str
-    stages: list[GBTRegressionModel] = field(default_factory=list)
+    ensemble: Ensemble = field(default_factory=Ensemble)
     widths: dict[str, float] = field(default_factory=dict)
     keys: list[str] = field(default_factory=list)
     levels: DataFrame | None = None
@@ -64,75 +66,55 @@ class Forecaster:
         return rows.withColumns({c: F.col(c) / F.col("_level") for c in names})
 
     def transform(self, df: DataFrame, name: str = "forecast") -> DataFrame:
-        """Add the forecast: the sum over stages."""
-        rows = self.scaled(df)
-        rows = VectorAssembler(inputCols=self.features, outputCol=FEATURES).transform(rows)
-        total: Column | None = None
-        for i, stage in enumerate(self.stages):
-            rows = stage.setFeaturesCol(FEATURES).setPredictionCol(f"_p{i}").transform(rows)
-            total = F.col(f"_p{i}") if total is None else total + F.col(f"_p{i}")
-        out = rows.withColumn(name, total).drop(FEATURES, *[f"_p{i}" for i in range(len(self.stages))])
+        """Add the forecast: one pass over the ensemble's node arrays, however many trees it has."""
+        made = predicted(F.array(*[F.col(f).cast("double") for f in self.features]), self.ensemble)
+        out = self.scaled(df).withColumn(name, made)
         if self.levels is None:
             return out
         scaled = [c for c in df.columns if c == "value" or c.startswith("lag_")]
         return out.withColumns({c: F.col(c) * F.col("_level") for c in [*scaled, name]}).drop("_level")
 
     def trees(self) -> int:
-        return sum(stage.getNumTrees for stage in self.stages)
+        return len(self.ensemble.roots)
 
     def save(self, path: str, spark: SparkSession) -> None:
-        """Store stages and settings under one folder."""
-        for i, stage in enumerate(self.stages):
-            stage.write().overwrite().save(f"{path}/stage_{i}")
+        """Store the ensemble and its settings under one folder."""
         if self.levels is not None:
             self.levels.write.mode("overwrite").parquet(f"{path}/levels")
         meta = {"features": self.features, "lags": self.lags, "resolution": self.resolution,
-                "stages": len(self.stages), "widths": self.widths, "keys": self.keys}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(
-            "overwrite").text(f"{path}/meta")
+                "widths": self.widths, "keys": self.keys}
+        row = {"meta": json.dumps(meta), **self.ensemble.as_row()}
+        schema = f"meta string, {ENSEMBLE}"
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> "Forecaster":
-        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        stages = [GBTRegressionModel.load(f"{path}/stage_{i}") for i in range(meta["stages"])]
+        row = spark.read.parquet(f"{path}/model").first()
+        meta = json.loads(row["meta"])
         levels = spark.read.parquet(f"{path}/levels") if meta["keys"] else None
-        return cls(meta["features"], meta["lags"], meta["resolution"], stages, meta["widths"], meta["keys"], levels)
+        return cls(meta["features"], meta["lags"], meta["resolution"], Ensemble.of_row(row), meta["widths"], meta["keys"], levels)
 
 
-def _fit_gbt(rows: DataFrame, features: list[str], label: str, rounds: int, depth: int, seed: int,
-             check: DataFrame | None = None, min_leaf: int = MIN_LEAF) -> GBTRegressionModel:
-    """Boosted trees; with ``check`` they stop once ``PATIENCE`` rounds have not lowered its error, and only the rounds
-    up to the one with the least error are kept.
+def _alike(features: list[str]) -> dict[str, str]:
+    """Lags hold one series' values shifted, so they share the cuts of the first."""
+    return {f: "lag_1" for f in features if re.fullmatch(r"lag_[0-9]+", f)}
 
-    Rounds are drawn from the seed one after another, so fewer rounds are a
-    prefix of more: as many as twice the patience are tried first, then twice as
-    many each time.
-    """
-    gather = VectorAssembler(inputCols=features, outputCol=FEATURES)
-    learn = gather.transform(rows)
-    gbt = GBTRegressor(
-        featuresCol=FEATURES, labelCol=label, predictionCol="_p", maxIter=rounds, maxDepth=depth,
-        stepSize=STEP_SIZE, minInstancesPerNode=min_leaf, subsamplingRate=ROW_SHARE, maxBins=BINS + 1, seed=seed)
-    if check is None:
-        return gbt.fit(learn)
-    held, tried = gather.transform(check), min(2 * PATIENCE, rounds)
-    while True:
-        model = gbt.setMaxIter(tried).fit(learn)
-        best, stopped = stopping_round(model.evaluateEachIteration(held, "squared"))
-        if stopped or tried == rounds:
-            return model if best == tried else gbt.setMaxIter(best).fit(learn)
-        tried = min(2 * tried, rounds)
+
+def _fit_gbt(rows: DataFrame, features: list[str], label: str, rounds: int, depth: int, seed: int,
+             check: DataFrame | None = None, min_leaf: int = MIN_LEAF, step: float = STEP_SIZE) -> Ensemble:
+    """Boosted trees of one model; with ``check`` they end at the round with the least error of those rows, and stop
+    ``PATIENCE`` rounds after it.  ``rows`` hold their time as ``ts`` or ``day``."""
+    how = Boosting(rounds, depth, step, min_leaf, ROW_SHARE, BINS, PATIENCE, seed)
+    keep = [*features, label, _row_id(rows).alias("_id")]
+    parts = rows.select(*keep, F.lit("train").alias("part"))
+    if check is not None:
+        parts = parts.unionByName(check.select(*keep, F.lit("holdout").alias("part")))
+    return Ensemble.of_row(fit_models(parts, [], features, label, how, _alike(features)).first())
 
 
-def stopping_round(errors: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
-    """The number of rounds with the least error before ``patience`` rounds brought none lower, and whether they did."""
-    best = 0
-    for i, error in enumerate(errors):
-        if error < errors[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
+def _row_id(rows: DataFrame, keys: list[str] | None = None) -> Column:
+    """A number for a row, by its series and time."""
+    return F.xxhash64(*(keys or []), *[c for c in [*SERIES_KEYS, "vendorid", "ts", "day"] if c in rows.columns and c not in (keys or [])])
 
 
 def _widths(rows: DataFrame, label: str, forecast: str) -> dict[str, float]:
@@ -157,7 +139,7 @@ def training_rows(series: DataFrame, resolution: str, keys: list[str] | None = N
 
 def fit_forecaster(
     series: DataFrame, resolution: str, rounds: int | None = None, depth: int = TREE_DEPTH,
-    keys: list[str] | None = None, lags: int | None = None, seed: int = 42,
+    keys: list[str] | None = None, lags: int | None = None, seed: int = 42, step: float = STEP_SIZE,
 ) -> Forecaster | None:
     """Train on the first 80 % of each series; choose the rounds and calibrate on the rest.
 
@@ -178,7 +160,7 @@ def fit_forecaster(
         levels = rows.filter("part = 'train'").groupBy(*keys).agg(level)
         model.levels = checkpointed(levels.withColumn("_level", F.when(F.col("_level") > 0, F.col("_level")).otherwise(1.0)))
     learn, check = (model.scaled(rows.filter(F.col("part") == p)) for p in ("train", "holdout"))
-    model.stages = [_fit_gbt(learn, features, "value", rounds, depth, seed, check)]
+    model.ensemble = _fit_gbt(learn, features, "value", rounds, depth, seed, check, step=step)
     scored = checkpointed(model.transform(rows.filter("part = 'holdout'")))
     model.widths = _widths(scored, "value", "forecast")
     if keys:
@@ -221,12 +203,12 @@ def update_forecaster(
     cut = max(1, int(count * ONLINE_SHARE))
     learn, check = rows.filter(F.col("_pos") - n < cut), rows.filter(F.col("_pos") - n >= cut)
     incremental = mode == "finetune" and previous is not None
-    model = Forecaster(features, n, resolution, list(previous.stages) if incremental else [])
+    model = Forecaster(features, n, resolution, previous.ensemble if incremental else Ensemble())
     target = learn.withColumn("_left", F.col("value"))
     if incremental:
-        target = model.transform(learn, "_prior").withColumn("_left", F.col("value") - F.col("_prior"))
+        target = checkpointed(model.transform(learn, "_prior").withColumn("_left", F.col("value") - F.col("_prior")))
     rounds = update_rounds if incremental else fresh_rounds
-    model.stages = [*model.stages, _fit_gbt(target, features, "_left", rounds, depth, seed)]
+    model.ensemble = model.ensemble.plus(_fit_gbt(target, features, "_left", rounds, depth, seed))
     scored = checkpointed(model.transform(check if count > cut else learn))
     model.widths = _widths(scored, "value", "forecast")
     measured = Cal.forecast_metrics(scored, actual="value").first() if count > cut else None
@@ -272,15 +254,33 @@ def banded(scored: DataFrame, model: Forecaster | dict[str, float], level="95")
     return out.withColumn("outside", C.outside_band()) if "actual" in scored.columns else out
 
 
+def calendar_ahead(now: str | dt.datetime, resolution: str, horizon: int) -> np.ndarray:
+    """The calendar features of each of the next ``horizon`` bins after ``now``, a row each."""
+    at = dt.datetime.fromisoformat(now) if isinstance(now, str) else now
+    step = dt.timedelta(seconds=resolution_seconds(resolution))
+    times = [at + (i + 1) * step for i in range(horizon)]
+    parts = {"wd": [t.isoweekday() % 7 for t in times], "hour": [t.hour for t in times], "minute": [t.minute for t in times]}
+    return np.array([parts[n] for n in time_feature_names(resolution)], np.float64).T
+
+
+def steps_ahead(lags: np.ndarray, ensemble: Ensemble, calendar: np.ndarray) -> np.ndarray:
+    """Forecasts of all steps for a batch of series, each step fed back as the newest lag; ``lags`` are newest first."""
+    ring, out = np.array(lags, np.float64), np.empty((len(lags), len(calendar)))
+    for i, at in enumerate(calendar):
+        out[:, i] = ensemble.predict(np.hstack([ring, np.broadcast_to(at, (len(ring), len(at)))]))
+        ring = np.hstack([out[:, i:i + 1], ring[:, :-1]])
+    return out
+
+
 def forecast_recursive(
     history: DataFrame, model: Forecaster, now: str, horizon: int, keys: list[str] | None = None,
-    cut_every: int = 6,
 ) -> DataFrame:
     """Feed each forecast back as the newest lag: ``keys, step, ts, forecast``.
 
-    Starts from the newest bins of each series, however old, and runs over all
-    series at once with a single row per series; lineage is cut every few steps.
-    Series with fewer bins than lags are left out.
+    Starts from the newest bins of each series, however old.  A series is one
+    row; batches of series run through all steps at once, so neither the plan
+    nor the jobs grow with the horizon.  Series with fewer bins than lags are
+    left out.
     """
     keys = keys or []
     n, width = model.lags, resolution_seconds(model.resolution)
@@ -288,23 +288,23 @@ def forecast_recursive(
     recent = S.keep_newest(history.dropna(subset=["value"]).filter(F.col("ts") <= at), n, keys)
     # as many bins per series as the model has lags
     newest = F.sort_array(F.collect_list(F.struct("ts", "value")), asc=False)
-    state = recent.withColumn("_g", F.lit(0)).groupBy("_g", *keys).agg(newest.alias("_w")).filter(
-        F.size("_w") >= n).select(*keys, F.slice(F.transform("_w", lambda x: x["value"]), 1, n).alias("_lags"),
-                                  F.array().cast("array<double>").alias("_out"))
-    for step in range(1, horizon + 1):
-        ts = at + F.make_dt_interval(secs=F.lit(step * width).cast("decimal(18,6)"))
-        calendar = dict(zip(["wd", "hour", "minute", "second"], C.time_features(ts)))
-        rows = state.select(
-            *keys, "_lags", "_out", *[F.get("_lags", i - 1).alias(f"lag_{i}") for i in range(1, n + 1)],
-            *[calendar[f].alias(f) for f in model.features if f in calendar])
-        state = model.transform(rows).select(
-            *keys, F.slice(F.concat(F.array("forecast"), "_lags"), 1, n).alias("_lags"),
-            F.concat("_out", F.array("forecast")).alias("_out"))
-        if step % cut_every == 0 and step < horizon:
-            state = checkpointed(state)
-    steps = state.select(*keys, F.posexplode("_out").alias("_p", "forecast"))
-    ahead = F.make_dt_interval(secs=((F.col("_p") + 1) * width).cast("decimal(18,6)"))
-    return steps.select(*keys, (F.col("_p") + 1).alias("step"), (at + ahead).alias("ts"), "forecast")
+    state = recent.withColumn("_g", F.lit(0)).groupBy("_g", *keys).agg(newest.alias("_w")).filter(F.size("_w") >= n)
+    level = F.lit(1.0)
+    if model.levels is not None:
+        state = join_on(state, stored_lookup(model.levels).select(*model.keys, "_level"), model.keys)
+        level = F.col("_level")
+    state = state.select(*keys, level.alias("_level"), F.transform(
+        F.slice("_w", 1, n), lambda x: x["value"].cast("double") / level).alias("_lags"))
+    calendar, ensemble = calendar_ahead(now, model.resolution, horizon), model.ensemble
+
+    @F.arrow_udf("array<double>")
+    def ahead(lags: pa.Array) -> pa.Array:
+        rows = lags.flatten().to_numpy(zero_copy_only=False).reshape(len(lags), n)
+        return pa.array(list(steps_ahead(rows, ensemble, calendar)), pa.list_(pa.float64()))
+
+    steps = state.withColumn("_out", ahead("_lags")).select(*keys, "_level", F.posexplode("_out").alias("_p", "_f"))
+    after = F.make_dt_interval(secs=((F.col("_p") + 1) * width).cast("decimal(18,6)"))
+    return steps.select(*keys, (F.col("_p") + 1).alias("step"), (at + after).alias("ts"), (F.col("_f") * F.col("_level")).alias("forecast"))
 
 
 def seasonal_naive(
@@ -454,44 +454,123 @@ def annual_anomaly(
     cut = F.date_sub(F.lit(span["b"]), calibration)
     learn = rows.filter(F.col("is_clean") & (F.col("day") >= first_usable)).dropna(subset=ANNUAL_FEATURES)
 
-    def fitted(part: DataFrame) -> Forecaster:
-        return Forecaster(ANNUAL_FEATURES, 0, "1d",
-                          [_fit_gbt(part, ANNUAL_FEATURES, "value", rounds, depth, seed)])
-
-    check = fitted(learn.filter(F.col("day") <= cut)).transform(learn.filter(F.col("day") > cut))
+    # the model of all days and the one that has not seen the last, in one pass
+    both = learn.withColumn("_model", F.explode(F.array(F.lit("all"), F.lit("early")))).filter(
+        (F.col("_model") == "all") | (F.col("day") <= cut))
+    how = Boosting(rounds, depth, STEP_SIZE, MIN_LEAF, ROW_SHARE, BINS, PATIENCE, seed)
+    marked = both.select("_model", *ANNUAL_FEATURES, "value", F.xxhash64("day").alias("_id"), F.lit("train").alias("part"))
+    # two rows
+    made = {r["_model"]: Forecaster(ANNUAL_FEATURES, 0, "1d", Ensemble.of_row(r))
+            for r in fit_models(marked, ["_model"], ANNUAL_FEATURES, "value", how).collect()}
+    check = made["early"].transform(learn.filter(F.col("day") > cut))
     q = scalar_quantiles(check.select(F.abs(F.col("value") - F.col("forecast")).alias("_res")),
                          "_res", {"q": 1 - alpha})["q"]
     known = rows.drop("value").dropna(subset=ANNUAL_FEATURES).join(new.select("day", "value"), "day")
-    scored = fitted(learn).transform(known)
+    scored = made["all"].transform(known)
     return scored.select("day", "value", "forecast", F.lit(q).alias("q"),
                          (F.abs(F.col("value") - F.col("forecast")) > F.lit(q)).alias("is_anomaly"))
 
 
 # -- search -------------------------------------------------------------------
 
+def checked_setting(setting: dict) -> Boosting:
+    """A trial's way to grow; raises what a setting that cannot be used gives."""
+    names = {f.name for f in fields(Boosting)} - {"bins"}
+    if set(setting) - names:
+        raise TypeError(f"unknown settings: {sorted(set(setting) - names)}")
+    how = Boosting(**{"rounds": ROUNDS, "depth": TREE_DEPTH, "step": STEP_SIZE, "min_leaf": MIN_LEAF, "row_share": ROW_SHARE,
+                      "bins": BINS, "patience": PATIENCE, **setting})
+    whole = (how.rounds, how.depth, how.min_leaf, how.patience, how.seed)
+    if not all(isinstance(x, int) for x in whole) or min(how.rounds, how.depth, how.min_leaf) < 1:
+        raise ValueError("rounds, depth and min_leaf are whole numbers of at least 1")
+    if not 0 < how.step <= 1 or not 0 < how.row_share <= 1:
+        raise ValueError("step and row_share are above 0 and at most 1")
+    return how
+
+
+@dataclass
+class Trial:
+    """A setting in a race: what it has learnt so far and its holdout errors by round."""
+
+    place: int
+    setting: dict
+    how: Boosting
+    parts: list[Ensemble] = field(default_factory=list)
+    errors: list[float] = field(default_factory=list)
+    levels: int = 0
+
+    def ensemble(self, rounds: int) -> Ensemble:
+        """The trees of the first rounds, over the rungs they were learnt in."""
+        out = Ensemble()
+        for part in self.parts:
+            if rounds <= 0:
+                break
+            out, rounds = out.plus(part.first(rounds)), rounds - len(part.roots)
+        return out
+
+    def over(self) -> bool:
+        return len(self.errors) >= self.how.rounds or bool(self.errors) and stopping_round(self.errors, self.how.patience)[1]
+
+
+def race(rows: DataFrame, features: list[str], trials: list[Trial], first: int = FIRST_RUNG) -> list[Trial]:
+    """Successive halving: all trials learn a rung of rounds in one pass, the worse half stops, the others go on to twice
+    as many from where they are.  Trials that are through stay in the race by their best error.
+
+    ``rows`` hold the features, ``value``, ``part`` and ``_id``; each trial learns them, so the grid should be small.
+    """
+    racing, rung = list(trials), first
+    while True:
+        going = [t for t in racing if not t.over()]
+        if going:
+            ways = {(t.place,): replace(t.how, rounds=min(rung, t.how.rounds) - len(t.errors), seed=t.how.seed + len(t.errors),
+                                        patience=rung) for t in going if min(rung, t.how.rounds) > len(t.errors)}
+            copies = rows.withColumn("_trial", F.explode(F.array(*[F.lit(p) for p, in ways])))
+            learnt = {t.place: t.ensemble(len(t.errors)) for t in going if t.errors}
+            x = F.array(*[F.col(f).cast("double") for f in features])
+            left = checkpointed(copies.withColumn("_left", F.col("value") - predicted_each(F.col("_trial"), x, learnt)))
+            # one row per trial
+            for r in fit_models(left, ["_trial"], features, "_left", ways, _alike(features), whole=True).collect():
+                t = next(t for t in going if t.place == r["_trial"])
+                t.parts.append(Ensemble.of_row(r))
+                t.errors += list(r["errors"])
+                t.levels += r["trees"] * t.how.depth
+        if all(t.over() for t in racing):
+            break
+        racing = sorted(racing, key=lambda t: min(t.errors))[:max(1, (len(racing) + 1) // 2)]
+        rung *= 2
+    return trials
+
+
 def time_ordered_search(
-    series: DataFrame, resolution: str, grid: list[dict], threads: int = 2
+    series: DataFrame, resolution: str, grid: list[dict], lags: int | None = None, first: int = FIRST_RUNG,
 ) -> list[tuple[float, dict, str]]:
     """Holdout WAPE per setting, best first; a failed or non-finite trial scores 1e6 and says why.
 
-    Raises when no trial succeeded.
+    Settings are fields of :class:`Boosting`; they race by :func:`race`, so the
+    error of one that was stopped early is that of the rounds it had.  Raises
+    when no trial succeeded.
     """
-    held = checkpointed(series)
-    rows = checkpointed(training_rows(held, resolution).filter("part = 'holdout'"))
-
-    def trial(setting: dict) -> tuple[float, dict, str]:
+    n = lags or lag_count(resolution)
+    rows = training_rows(series, resolution, lags=n)
+    rows = checkpointed(rows.withColumn("_id", _row_id(rows)))
+    features, trials, failed = S.feature_names(resolution, n), [], []
+    for i, setting in enumerate(grid):
         try:
-            model = fit_forecaster(held, resolution, **setting)
-            if model is None:
-                return FAILED_SCORE, setting, "the series is too short"
-            score = Cal.forecast_metrics(model.transform(rows), actual="value").first()["wape_pct"]
-        except (TypeError, ValueError, IllegalArgumentException) as error:  # a setting that cannot be used
-            return FAILED_SCORE, setting, f"{type(error).__name__}: {error}"
+            trials.append(Trial(i, setting, checked_setting(setting)))
+        except (TypeError, ValueError) as error:
+            failed.append((FAILED_SCORE, setting, f"{type(error).__name__}: {error}"))
+    if trials and rows.isEmpty():
+        failed += [(FAILED_SCORE, t.setting, "the series is too short") for t in trials]
+        trials = []
+    found = []
+    held = rows.filter("part = 'holdout'")
+    for t in race(rows, features, trials, first) if trials else []:
+        best = t.ensemble(stopping_round(t.errors, len(t.errors))[0])
+        scored = Forecaster(features, n, resolution, best).transform(held)
+        score = Cal.forecast_metrics(scored, actual="value").first()["wape_pct"]
         good = score is not None and math.isfinite(score)
-        return (score, setting, "") if good else (FAILED_SCORE, setting, f"score {score}")
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        found = sorted(pool.map(trial, grid), key=lambda t: t[0])
+        found.append((score, t.setting, "") if good else (FAILED_SCORE, t.setting, f"score {score}"))
+    found = sorted([*found, *failed], key=lambda t: t[0])
     if grid and all(error for *_, error in found):
         raise ValueError(f"no setting could be scored: {found[0][2]}")
     return found
