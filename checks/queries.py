@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 from functools import reduce
 
@@ -724,7 +723,8 @@ def annual_anomaly(spark, sf):
 @query
 def setting_search(spark, sf):
     rows = checkpointed(S.bin_series(trips(spark, sf), "trip_count", "1h"))
-    found = Fc.time_ordered_search(rows, "1h", [{"depth": d} for d in (2, 3)])
+    grid = [{"rounds": r, "depth": d, "step": s} for r in (100, 400) for d in (3, 8) for s in (0.02, 0.1)]
+    found = Fc.time_ordered_search(rows, "1h", grid)
     return spark.createDataFrame([(w, str(s), e) for w, s, e in found], "wape double, setting string, error string")
 
 
@@ -753,14 +753,15 @@ def random_windows(spark, sf):
 STREAM_COLUMNS = {"id": "bigint", **{k: v for k, v in TRIP_COLUMNS.items() if not k.startswith("hourly_")}}
 
 
-SLICES, LATE = 5, "id % 50 = 7"
+SLICES, LATE, ALL_FILES = 5, "id % 50 = 7", 1_000_000
 
 
-def trip_stream(spark, sf, max_files=1):
-    """The trips as a file stream: a file per six days, read one by one.
+def feed(spark, sf, consume):
+    """The trips as a file stream that arrives in slices of six days; ``consume`` takes what is there after each.
 
-    A tenth of each slice's last day comes out of order, with the next slice.
-    Every fiftieth row of the first slice comes last of all, when its time is long past.
+    A slice keeps Spark's partitions.  A tenth of each slice's last day comes out
+    of order, with the next slice.  Every fiftieth row of the first slice comes
+    last of all, when its time is long past.
     """
     path = scratch(spark, "stream")
     rows = checkpointed(readers.align_schema(trips(spark, sf), STREAM_COLUMNS))
@@ -769,37 +770,39 @@ def trip_stream(spark, sf, max_files=1):
     place = F.least(F.floor(day / 6), F.lit(SLICES - 1))
     sliced = rows.withColumn("_s", F.when(F.expr(LATE) & (place == 0), SLICES).otherwise(F.least(place + held, F.lit(SLICES - 1))))
     for i in range(SLICES + 1):
-        sliced.filter(F.col("_s") == i).drop("_s").repartition(1).write.parquet(f"{path}/{i}")
-        time.sleep(1.1)  # files are read in the order of their times
-    return sources.read_trip_stream(spark, path, STREAM_COLUMNS, max_files)
+        sliced.filter(F.col("_s") == i).drop("_s").write.parquet(f"{path}/{i}")
+        consume(sources.read_trip_stream(spark, path, STREAM_COLUMNS, ALL_FILES))
 
 
-def drained(spark, stream_df):
-    """Run a streaming query over what is there and read back its output."""
+def drained(spark, sf, transform):
+    """Run a streaming query over the slices, from its checkpoint after each, and read back its output."""
     out, offsets = scratch(spark, "out"), scratch(spark, "offsets")
-    query_ = (stream_df.writeStream.format("parquet").option("checkpointLocation", offsets)
-              .outputMode("append").trigger(availableNow=True).start(out))
-    query_.awaitTermination()
+
+    def consume(stream):
+        (transform(stream).writeStream.format("parquet").option("checkpointLocation", offsets).outputMode("append")
+         .trigger(availableNow=True).start(out).awaitTermination())
+
+    feed(spark, sf, consume)
     return spark.read.parquet(out)
 
 
 @query
 def stream_bins(spark, sf):
     """What the stream emits by itself: hourly bins closed by the last watermark, without late rows."""
-    closed = drained(spark, sources.stream_bin_series(trip_stream(spark, sf), "total_amount", "1h", "2 days"))
+    closed = drained(spark, sf, lambda s: sources.stream_bin_series(s, "total_amount", "1h", "2 days"))
     return closed.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query
 def stream_blocks(spark, sf):
-    out = drained(spark, sources.tumbling_blocks(trip_stream(spark, sf), 24, "2 days"))
+    out = drained(spark, sf, lambda s: sources.tumbling_blocks(s, 24, "2 days"))
     return out.select(F.col("block").cast("timestamp_ntz").alias("block"), "n_rows", "mean_total")
 
 
 @query
 def stream_two_day_blocks(spark, sf):
     """Blocks whose width does not divide a day: the stream's next to the batch form's."""
-    out = drained(spark, sources.tumbling_blocks(trip_stream(spark, sf), 48, "2 days"))
+    out = drained(spark, sf, lambda s: sources.tumbling_blocks(s, 48, "2 days"))
     batch = S.block_rows(trips(spark, sf), 48).filter(~(F.expr(LATE) & (F.dayofmonth(PICKUP) <= 6)))
     batch = batch.groupBy("block").agg(F.count(F.lit(1)).alias("n_batch"))
     return out.select(F.col("block").cast("timestamp_ntz").alias("block"), F.col("n_rows")).join(batch, "block")
@@ -812,7 +815,8 @@ def _pipe(spark):
 @query
 def stream_telemetry(spark, sf):
     pipe = _pipe(spark)
-    pipe.run(trip_stream(spark, sf))
+    feed(spark, sf, lambda stream: pipe.run(stream, flush=False))
+    pipe.finish()
     return pipe.telemetry().drop("seconds")
 
 

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import forecast as Fc
 from tidemark.operators import series as S
+from tidemark.operators.boosting import Boosting, Ensemble
 from tidemark.sources import readers
 from tidemark.streaming import pipeline, sources
 
@@ -64,7 +66,7 @@ def test_pipeline_cleans_blocks_and_reports(spark, tmp_path):
     def broken(pipe, metric, series, block):
         raise RuntimeError("no model here")
 
-    updaters = {"boosted": pipeline.boosted_update, "broken": broken}
+    updaters = {"boosted": pipeline.boosted_updates, "broken": broken}
     pipe = pipeline.BlockPipeline(spark, str(tmp_path / "state"), settings, updaters)
     pipe.run(sources.read_trip_stream(spark, str(tmp_path / "in"), COLUMNS, 1))
     rows = pipe.telemetry().collect()
@@ -120,3 +122,28 @@ def test_stream_queries_run_the_default_settings(monkeypatch):
         with pytest.raises(InterruptedError):
             queries.QUERIES[name](None, "")
     assert used == [pipeline.Settings()] * 2 and used[0].lags is None and used[0].update_every == {}
+
+
+def test_updates_in_turn_equal_updates_one_by_one(spark, series_of):
+    rng = np.random.default_rng(2)
+    values = 50 + 9 * np.sin(np.arange(260) * 2 * np.pi / 24) + rng.normal(0, 1, 260)
+    series = series_of(values)
+    bins = series.select(F.lit("m").alias("metric"), "ts", "value", F.date_format("ts", "yyyy-MM-dd").alias("window"))
+    short = bins.limit(30).withColumn("metric", F.lit("short"))
+    names = ["2024-01-08", "2024-01-09", "2024-01-11"]
+    ways = [Boosting(r, 3, Fc.STEP_SIZE, Fc.MIN_LEAF, Fc.ROW_SHARE, Fc.BINS, Fc.PATIENCE, 42) for r in (5, 9)]
+    none = spark.createDataFrame([], f"metric string, {Fc.UPDATED}")
+    got = {(r["metric"], r["window"]): r for r in Fc.update_in_turn(
+        bins.unionByName(short), none, ["metric"], names, "1h", "finetune", *ways, 24, 200).collect()}
+    assert len(got) == 6 and {got["short", n]["status"] for n in names} == {"warmup"}
+    model = None
+    for name in names:
+        window = S.keep_newest(series.filter(F.date_format("ts", "yyyy-MM-dd") <= name), 200)
+        one = Fc.update_forecaster(model, window, "1h", "finetune", 5, 9, 3, 24)
+        r, model = got["m", name], one.model
+        assert (r["status"], r["n_train"]) == (one.status, one.n_train)
+        assert r["wape"] == pytest.approx(one.wape) and r["mae"] == pytest.approx(one.mae)
+    last = Ensemble.of_row(got["m", names[-1]])
+    assert len(last.roots) == 9 + 5 + 5 == model.trees()
+    x = np.vstack([values[-25:-1][::-1]])
+    assert last.predict(np.hstack([x, [[3, 7]]])) == pytest.approx(model.ensemble.predict(np.hstack([x, [[3, 7]]])))

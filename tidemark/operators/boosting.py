@@ -232,6 +232,11 @@ def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)], 1).astype(np.uint8)
 
 
+def cuts_of(x: np.ndarray, bins: int) -> np.ndarray:
+    """The distinct quantiles of values that lie in one place, as :func:`model_cuts` takes them."""
+    return np.unique(np.quantile(x, np.arange(1, bins) / bins, method="inverted_cdf"))
+
+
 def grown(bins: np.ndarray, target: np.ndarray, train: np.ndarray, ids: np.ndarray, base: float, unit: float,
           cuts: list[np.ndarray], how: Boosting, whole: bool = False) -> tuple[Ensemble, list[float]]:
     """An ensemble from rows that lie in one place, cut to its best round unless ``whole``, and the holdout's error by round."""

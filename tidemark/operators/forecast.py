@@ -10,9 +10,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import columns as C
 from tidemark.functions.joins import join_on
@@ -20,7 +22,8 @@ from tidemark.functions.ordering import lagged, per_group, with_position
 from tidemark.functions.quantiles import quantiles, scalar_quantiles
 from tidemark.operators import calibration as Cal
 from tidemark.operators import series as S
-from tidemark.operators.boosting import ENSEMBLE, Boosting, Ensemble, fit_models, predicted, predicted_each, stopping_round
+from tidemark.operators.boosting import (
+    ENSEMBLE, UNITS, Boosting, Ensemble, binned, cuts_of, fit_models, grown, predicted, predicted_each, stopping_round)
 from tidemark.schema import SERIES_KEYS, lag_count, resolution_seconds, season_bins, time_feature_names
 from tidemark.session import checkpointed, stored_lookup
 
@@ -217,6 +220,83 @@ def update_forecaster(
         model.trees(), incremental, model)
 
 
+UPDATED = f"{ENSEMBLE}, status string, n_train long, wape double, mae double, width_90 double, width_95 double, detail string"
+
+
+def updated_here(previous: Ensemble | None, values: np.ndarray, calendar: np.ndarray, ids: np.ndarray, lags: int,
+                 mode: str, update: Boosting, fresh: Boosting) -> dict:
+    """What :func:`update_forecaster` does, for a series of bounded length that lies in one place, by its time.
+
+    ``calendar`` holds the calendar features and ``ids`` a number for each bin.
+    """
+    out = {"status": "warmup", "n_train": len(values), "detail": ""}
+    if len(values) < lags + ONLINE_EXTRA_ROWS:
+        return out
+    past = np.lib.stride_tricks.sliding_window_view(values, lags + 1)
+    x, y, ids = np.hstack([past[:, -2::-1], calendar[lags:]]), past[:, -1], ids[lags:]
+    if len(y) < ONLINE_MIN_ROWS:
+        return {**out, "n_train": len(y)}
+    cut = max(1, int(len(y) * ONLINE_SHARE))
+    before = previous if mode == "finetune" and previous is not None else None
+    how = update if before else fresh
+    left = y[:cut] - before.predict(x[:cut]) if before else y[:cut]
+    shared = cuts_of(x[:cut, 0], how.bins)
+    cuts = [shared if i < lags else cuts_of(x[:cut, i], how.bins) for i in range(x.shape[1])]
+    base = float(np.mean(left))
+    unit = max(float(np.max(np.abs(left))) + abs(base), 1e-300) / UNITS
+    order = np.argsort(ids[:cut], kind="stable")
+    made, _ = grown(binned(x[:cut], cuts)[order], left[order], np.ones(cut, bool), ids[:cut][order], base, unit, cuts, how)
+    model = before.plus(made) if before else made
+    checked = slice(cut, None) if len(y) > cut else slice(None, cut)
+    error = np.abs(y[checked] - model.predict(x[checked]))
+    out = {**out, "status": "ok", "n_train": cut, "model": model,
+           **{f"width_{q}": float(np.quantile(error, q / 100)) for q in (90, 95)}}
+    if len(y) > cut:
+        size = float(np.sum(np.abs(y[checked])))
+        out |= {"mae": float(np.mean(error)), "wape": 100 * float(np.sum(error)) / size if size > 0 else None}
+    return out
+
+
+def update_in_turn(bins: DataFrame, states: DataFrame, keys: list[str], windows: list[str], resolution: str, mode: str,
+                   update: Boosting, fresh: Boosting, lags: int | None = None, max_bins: int = 4000) -> DataFrame:
+    """Update the model of every series by several windows, one after another, all series in one pass.
+
+    ``bins`` hold ``keys, ts, value, window``; ``windows`` are the names to
+    learn, in order, and a window's series is the newest ``max_bins`` bins of it
+    and of what sorts before it, so a series is bounded by ``max_bins`` and the
+    windows' bins.  ``states`` hold ``keys`` and the columns of an ensemble.
+    Gives ``keys``, ``window`` and the columns of ``UPDATED`` per series and
+    window.  A series whose update fails says so in ``detail`` and keeps its model.
+    """
+    n = lags or lag_count(resolution)
+    names = time_feature_names(resolution)
+    calendar = dict(zip(["wd", "hour", "minute", "second"], C.time_features("ts")))
+    rows = bins.dropna(subset=["value"]).select(
+        *keys, "ts", "window", F.col("value").cast("double").alias("value"), F.xxhash64("ts").alias("_id"),
+        *[calendar[c].cast("double").alias(f"_{c}") for c in names])
+    schema = T.StructType([bins.schema[k] for k in keys] + list(T.StructType.fromDDL(f"window string, {UPDATED}")))
+
+    def learn(series: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values("ts")
+        where = series["window"].to_numpy()
+        values, ids = series["value"].to_numpy(np.float64), series["_id"].to_numpy(np.int64)
+        parts = series[[f"_{c}" for c in names]].to_numpy(np.float64)
+        model = Ensemble.of_row(state.iloc[0]) if len(state) else None
+        out = []
+        for window in windows if len(series) else []:
+            seen = np.flatnonzero(where <= window)[-max_bins:]
+            try:
+                found = updated_here(model, values[seen], parts[seen], ids[seen], n, mode, update, fresh)
+            except Exception as error:  # one series must not stop the others
+                found = {"status": "error", "detail": f"{type(error).__name__}: {error}"[:300]}
+            model = found.pop("model", model)
+            kept = (model or Ensemble()).as_row() if window == windows[-1] else Ensemble().as_row()
+            out.append({**{k: series[k].iloc[0] for k in keys}, "window": window, **kept, **found})
+        return pd.DataFrame(out, columns=schema.names)
+
+    return rows.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(learn, schema)
+
+
 def rows_in_range(
     series: DataFrame, lags: int, resolution: str, start: str, end: str, keys: list[str] | None = None
 ) -> DataFrame:

@@ -13,6 +13,7 @@ import datetime as dt
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -23,8 +24,9 @@ from tidemark.functions import columns as C
 from tidemark.operators import forecast as Fc
 from tidemark.operators import forest
 from tidemark.operators import series as S
+from tidemark.operators.boosting import Boosting, Ensemble
 from tidemark.operators.records import vendor_filter
-from tidemark.schema import CLEAN_FEATURES, STREAM_CONTAMINATION, TREES, resolution_seconds
+from tidemark.schema import CLEAN_FEATURES, STREAM_CONTAMINATION, TREES, lag_count, resolution_seconds
 from tidemark.session import checkpointed
 from tidemark.sources.sinks import rebalanced, table_exists
 
@@ -44,7 +46,8 @@ WINDOW_RESULT = (
 )
 # ---- end of fixed values ----------------------------------------------------
 
-Updater = Callable[["BlockPipeline", str, DataFrame, str], dict]
+# (pipe, metric, series, block) -> result; see also :func:`together`.
+Updater = Callable[..., dict]
 
 
 @dataclass
@@ -73,19 +76,29 @@ class Settings:
     seed: int = 42
 
 
-def boosted_update(pipe: "BlockPipeline", metric: str, series: DataFrame, block: str) -> dict:
-    """Add trees to the metric's model and store the result under the block's name."""
+def together(updater):
+    """Mark an updater that takes all metrics and a run of blocks at once: (pipe, blocks) -> {(metric, block): result}."""
+    updater.together = True
+    return updater
+
+
+@together
+def boosted_updates(pipe: "BlockPipeline", blocks: list[str]) -> dict[tuple[str, str], dict]:
+    """Add trees to every metric's model by each block in turn, and store the models as of the last block."""
     c = pipe.settings
-    done = Fc.update_forecaster(
-        pipe.models.get(("boosted", metric)), series, c.resolution, c.mode,
-        c.update_rounds, c.fresh_rounds, c.depth, c.lags, c.seed)
-    if done.model is not None:
-        pipe.models["boosted", metric] = done.model
-        done.model.save(f"{pipe.folder}/models/boosted/{metric}/{block}", pipe.spark)
-    return {"status": done.status, "wape": done.wape, "mae": done.mae, "n_train": done.n_train}
+    ways = [Boosting(rounds, c.depth, Fc.STEP_SIZE, Fc.MIN_LEAF, Fc.ROW_SHARE, Fc.BINS, Fc.PATIENCE, c.seed)
+            for rounds in (c.update_rounds, c.fresh_rounds)]
+    done = checkpointed(Fc.update_in_turn(
+        pipe.bins(blocks[0], blocks[-1]), pipe.model_rows("boosted"), ["metric"], blocks, c.resolution, c.mode, *ways,
+        c.lags, c.max_bins))
+    kept = done.filter((F.col("window") == blocks[-1]) & (F.size("roots") > 0))
+    _replace_blocks(kept.withColumnRenamed("window", "block"), f"{pipe.folder}/models/boosted")
+    # one row per metric and block
+    told = done.select("metric", "window", "status", "wape", "mae", "n_train", "detail").collect()
+    return {(r["metric"], r["window"]): r.asDict() for r in told}
 
 
-UPDATERS: dict[str, Updater] = {"boosted": boosted_update}
+UPDATERS: dict[str, Updater] = {"boosted": boosted_updates}
 
 
 class BlockPipeline:
@@ -96,20 +109,6 @@ class BlockPipeline:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.settings = settings or Settings()
         self.updaters = updaters or UPDATERS
-        self.models: dict[tuple[str, str], Fc.Forecaster] = {}
-        self._reload()
-
-    def _reload(self) -> None:
-        """Load each model as of the last processed block that updated it."""
-        rows = self._read("telemetry")
-        if rows is None:
-            return
-        done = rows.filter("status = 'ok'").groupBy("model_name", "metric").agg(
-            F.max(F.col("block").cast("string")).alias("block")).collect()
-        for r in done:
-            path = f"{self.folder}/models/{r['model_name']}/{r['metric']}/{r['block']}"
-            if table_exists(self.spark, f"{path}/meta"):
-                self.models[r["model_name"], r["metric"]] = Fc.Forecaster.load(path, self.spark)
 
     # -- stored tables --------------------------------------------------------
 
@@ -162,6 +161,44 @@ class BlockPipeline:
         newest = S.latest_per_key(stored.select("ts", "value", "block"), ["ts"], "block")
         return S.keep_newest(newest.select("ts", "value"), self.settings.max_bins)
 
+    def bins(self, first: str, last: str) -> DataFrame:
+        """Rows (metric, ts, value, window) of all metrics: the blocks from ``first`` to ``last``, and before them the
+        newest ``max_bins`` bins of each metric.  Only folders that can hold those are read."""
+        c = self.settings
+        reach = dt.timedelta(seconds=c.max_bins * resolution_seconds(c.resolution), hours=c.block_hours)
+        oldest = (dt.datetime.strptime(first, BLOCK_FORMAT) - reach).strftime(BLOCK_FORMAT)
+        parts = [self.spark.createDataFrame([], "metric string, ts timestamp_ntz, value double, window string")]
+        for metric in c.metrics:
+            stored = self._read(f"series/{metric}")
+            if stored is not None:
+                window = F.col("block").cast("string")
+                parts.append(stored.filter(window.between(oldest, last)).select(
+                    F.lit(metric).alias("metric"), "ts", "value", window.alias("window")))
+        newest = S.latest_per_key(reduce(DataFrame.unionByName, parts), ["metric", "ts"], "window")
+        before = S.keep_newest(newest.filter(F.col("window") < first), c.max_bins, ["metric"])
+        return newest.filter(F.col("window") >= first).unionByName(before)
+
+    def model_rows(self, name: str) -> DataFrame:
+        """The newest stored model of each metric, of blocks that are processed."""
+        last, _ = self.progress()
+        path = f"{self.folder}/models/{name}"
+        if not _has_files(self.spark, path):  # no series was long enough yet
+            return self.spark.createDataFrame([], f"metric string, {Fc.UPDATED}")
+        stored = self.spark.read.parquet(path)
+        block = F.col("block").cast("string")
+        known = stored.withColumn("_block", block)
+        known = known.filter(block <= last) if last else known
+        return S.latest_per_key(known.drop("block"), ["metric"], "_block").drop("_block")
+
+    def model(self, metric: str, name: str = "boosted") -> Fc.Forecaster | None:
+        """The forecaster of a metric as of the last processed block."""
+        c, row = self.settings, self.model_rows(name).filter(F.col("metric") == metric).first()
+        if row is None:
+            return None
+        lags = c.lags or lag_count(c.resolution)
+        return Fc.Forecaster(S.feature_names(c.resolution, lags), lags, c.resolution, Ensemble.of_row(row),
+                             {k: row[k] for k in ("width_90", "width_95")})
+
     # -- stream ---------------------------------------------------------------
 
     def _block_of(self, ts: str = PICKUP):
@@ -228,26 +265,41 @@ class BlockPipeline:
         # one row per block
         stats = {r["block"]: r for r in forest.cleaning_stats(marked, ["block"]).join(spans, "block").collect()}
         self.accumulate(forest.clean_rows(marked))
+        results = self._updates(blocks, first_index)
         out = []
         for offset, block in enumerate(blocks):
-            index, found = first_index + offset, stats[block]
+            found = stats[block]
             for name in c.models:
                 for metric in c.metrics:
-                    result = self._update(name, metric, block, index)
+                    result = results[name, metric, block]
                     out.append((
-                        block, c.run_name, index, found["ts_start"], found["ts_end"], metric, c.resolution, c.vendor,
+                        block, c.run_name, first_index + offset, found["ts_start"], found["ts_end"], metric, c.resolution, c.vendor,
                         found["n_raw"], found["n_unusable"], found["n_anomaly"], found["n_clean"], found["anom_rate"],
                         name, c.mode, result["status"], result.get("wape"), result.get("mae"),
-                        result.get("n_train"), result.get("detail", ""), round(time.time() - began, 2)))
+                        result.get("n_train"), result.get("detail") or "", round(time.time() - began, 2)))
         # written last: a block counts as processed once its telemetry is there
         _replace_blocks(self.spark.createDataFrame(out, f"block string, {WINDOW_RESULT}").coalesce(1),
                         f"{self.folder}/telemetry")
 
-    def _update(self, name: str, metric: str, block: str, index: int) -> dict:
-        if index % self.settings.update_every.get(name, 1):
-            return {"status": "skip"}
+    def _updates(self, blocks: list[str], first_index: int) -> dict[tuple[str, str, str], dict]:
+        """The result of every model, metric and block; a model that learns in every so many blocks skips the others."""
+        out = {}
+        for name in self.settings.models:
+            every, updater = self.settings.update_every.get(name, 1), self.updaters[name]
+            learnt = [b for i, b in enumerate(blocks, first_index) if i % every == 0]
+            for metric in self.settings.metrics:
+                out.update({(name, metric, b): {"status": "skip"} for b in blocks})
+            if getattr(updater, "together", False):
+                made = updater(self, learnt) if learnt else {}
+                missing = {"status": "warmup", "n_train": 0}  # a metric without any bin
+                out.update({(name, m, b): made.get((m, b), missing) for m in self.settings.metrics for b in learnt})
+            else:
+                out.update({(name, m, b): self._one(updater, m, b) for b in learnt for m in self.settings.metrics})
+        return out
+
+    def _one(self, updater: Updater, metric: str, block: str) -> dict:
         try:
-            return self.updaters[name](self, metric, checkpointed(self.series(metric, block)), block)
+            return updater(self, metric, checkpointed(self.series(metric, block)), block)
         except (PySparkException, Py4JError):  # a failed job must be tried again, not recorded as done
             raise
         except Exception as error:  # one failing model must not stop the others
@@ -298,9 +350,7 @@ class BlockPipeline:
         rows = self._days(history, first, days)
         marked = forest.clean_blocks(rows, "block", list(c.features), c.contamination, c.trees, c.seed)
         self.accumulate(forest.clean_rows(marked))
-        for name in c.models:
-            for metric in c.metrics:
-                self._update(name, metric, f"{start[:10]}T00-00", 0)
+        self._updates([f"{start[:10]}T00-00"], 0)
 
     def retrain(self, source: DataFrame, day: str) -> DataFrame:
         """Clean one day, update the models and return its telemetry."""
@@ -343,6 +393,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _has_files(spark: SparkSession, path: str) -> bool:
     """Whether any parquet file lies under ``path``."""
     fs, where = _files(spark, path)
+    if not fs.exists(where):
+        return False
     files = fs.listFiles(where, True)
     while files.hasNext():
         if files.next().getPath().getName().endswith(".parquet"):

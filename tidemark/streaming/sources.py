@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import threading
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidemark.operators.records import vendor_filter
 from tidemark.schema import COUNT_METRIC, canonical, resolution_seconds, struct_of
+from tidemark.sources.sinks import table_exists
 
 PICKUP = "tpep_pickup_datetime"
 
@@ -60,14 +64,96 @@ def stream_bin_series(
     )
 
 
+def late_counted(stream: DataFrame, delay: str, ts: str = PICKUP) -> DataFrame:
+    """The newest time per second of the stream's rows; rows behind the watermark are dropped and counted by Spark."""
+    return (stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 second"))
+            .agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("ts"), "n"))
+
+
+class StreamLog(StreamingQueryListener):
+    """Adds up what streaming queries report: batches, rows read, rows dropped as late, time spent.
+
+    A query keeps its last hundred reports only, and none over a restart; this
+    listener adds each report to its query's totals as it comes.  A query is
+    known by the id in its checkpoint, so that a restarted one goes on where it
+    was.  With a ``folder`` totals are stored there when the log is closed or
+    asked, and read from there at the start.  A batch reported again replaces
+    what it told before.
+    """
+
+    FIELDS = ("batches", "input_rows", "late_rows", "milliseconds")
+    SCHEMA = "id string, batch long, " + ", ".join(f"{f} long, last_{f} long" for f in FIELDS)
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, folder
+        self._lock, self._rows = threading.Lock(), {}
+        if folder and table_exists(spark, f"{folder}/totals"):
+            # one row per query
+            self._rows = {r["id"]: r.asDict() for r in spark.read.schema(self.SCHEMA).parquet(f"{folder}/totals").collect()}
+
+    def __enter__(self) -> "StreamLog":
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.spark.streams.removeListener(self)
+        self.save()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.add(str(p.id), p.batchId, int(p.numInputRows), sum(int(o.numRowsDroppedByWatermark) for o in p.stateOperators),
+                 int(p.durationMs.get("triggerExecution", 0)))
+
+    def add(self, query: str, batch: int, input_rows: int, late_rows: int, milliseconds: int) -> None:
+        """Add one batch's report."""
+        told = dict(zip(self.FIELDS, (1, input_rows, late_rows, milliseconds)))
+        with self._lock:
+            row = self._rows.setdefault(query, {"id": query, "batch": -1, **{f: 0 for f in self.FIELDS},
+                                                **{f"last_{f}": 0 for f in self.FIELDS}})
+            if batch < row["batch"]:
+                return
+            for f in self.FIELDS:
+                row[f] += told[f] - (row[f"last_{f}"] if batch == row["batch"] else 0)
+                row[f"last_{f}"] = told[f]
+            row["batch"] = batch
+
+    def totals(self) -> dict[str, dict]:
+        """Totals by query id."""
+        with self._lock:
+            return {q: {f: r[f] for f in ("batch", *self.FIELDS)} for q, r in self._rows.items()}
+
+    def status(self, query: StreamingQuery, patience: float = 30.0) -> dict:
+        """Whether a query runs, its newest batch and its totals, once its newest report has come."""
+        last, until = query.lastProgress, time.monotonic() + patience
+        while last and self.totals().get(str(query.id), {"batch": -1})["batch"] < last["batchId"] and time.monotonic() < until:
+            time.sleep(0.02)
+        found = self.totals().get(str(query.id), {"batch": None, **{f: 0 for f in self.FIELDS}})
+        return {"running": query.isActive, **found}
+
+    def save(self) -> None:
+        if self.folder:
+            with self._lock:
+                rows = [dict(r) for r in self._rows.values()]
+            self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/totals")
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped for arriving behind the watermark so far."""
+    """Rows dropped for arriving behind the watermark, in the reports the query still holds; :class:`StreamLog` adds up all."""
     return sum(
         int(op.get("numRowsDroppedByWatermark", 0))
         for progress in query.recentProgress for op in progress["stateOperators"])
 
 
 def query_status(query: StreamingQuery) -> dict:
-    """Whether a query runs, its batch number and its dropped late rows."""
+    """Whether a query runs, its batch number and its dropped late rows, by the reports it still holds."""
     last = query.lastProgress
     return {"running": query.isActive, "batch": last["batchId"] if last else None, "late_rows": late_rows(query)}
