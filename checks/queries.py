@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -808,6 +809,30 @@ def stream_two_day_blocks(spark, sf):
     return out.select(F.col("block").cast("timestamp_ntz").alias("block"), F.col("n_rows")).join(batch, "block")
 
 
+@query
+def stream_count_windows(spark, sf):
+    """Windows of 100 records of a vendor, every 40, that the stream gives out by itself."""
+    columns = ["vendorid", "id", PICKUP, "total_amount"]
+    with state_store(spark):
+        out = drained(spark, sf, lambda s: windows.stream_count_windows(s.select(*columns), ["vendorid"], 100, 40, "2 days"))
+    return out.groupBy("vendorid", "window_index").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("low_id"), F.max("id").alias("high_id"),
+        F.min(F.col(PICKUP).cast("timestamp_ntz")).alias("first_ts"), F.max(F.col(PICKUP).cast("timestamp_ntz")).alias("last_ts"),
+        F.sum("total_amount").alias("total"))
+
+
+@contextmanager
+def state_store(spark):
+    """The RocksDB state store for the streams that need it; the session's own is put back."""
+    name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, kind)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _pipe(spark):
     return pipeline.BlockPipeline(spark, scratch(spark, "pipe"))
 

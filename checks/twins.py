@@ -341,6 +341,13 @@ twin("count_windows", with_(RAW, f"p AS (SELECT *, row_number() OVER (ORDER BY {
 ON_TIME = f"(id % 50 <> 7 OR day({T}) > 6)"
 CLOSED = f"<= (SELECT max({T}) - INTERVAL 2 DAY FROM feat WHERE {ON_TIME})"
 twin("stream_bins", with_(*BASE, bins("b", "total_amount", "1 hour", where=ON_TIME)) + f"SELECT * FROM b WHERE ts + INTERVAL 1 HOUR {CLOSED}", "value")
+twin("stream_count_windows", with_(*BASE, f"""r AS (SELECT CAST(vendorid AS VARCHAR) AS vendorid, id, {T} AS ts, total_amount,
+  row_number() OVER (PARTITION BY vendorid ORDER BY {T}, id) - 1 AS p FROM feat
+  WHERE {ON_TIME} AND {T} <= (SELECT date_trunc('milliseconds', max({T})) FROM feat) - INTERVAL 2 DAY)""",
+    "w AS (SELECT vendorid, unnest(range(0, (count(*) - 100) // 40 + 1)) AS window_index FROM r GROUP BY vendorid HAVING count(*) >= 100)")
+    + """SELECT w.vendorid, window_index, count(*) AS n, min(id) AS low_id, max(id) AS high_id, min(ts) AS first_ts, max(ts) AS last_ts,
+  sum(total_amount) AS total FROM w JOIN r ON r.vendorid = w.vendorid AND p BETWEEN 40 * window_index AND 40 * window_index + 99
+  GROUP BY w.vendorid, window_index""", "total")
 twin("stream_blocks", with_(*BASE) + f"""SELECT CAST(date_trunc('day', {T}) AS TIMESTAMP) AS block, count(*) AS n_rows, avg(total_amount) AS mean_total FROM feat
 WHERE {ON_TIME} AND date_trunc('day', {T}) + INTERVAL 1 DAY {CLOSED} GROUP BY 1""", "mean_total")
 twin("stream_two_day_blocks", with_(*BASE) + f"""SELECT time_bucket(INTERVAL 48 HOUR, {T}, TIMESTAMP '1970-01-01') AS block, count(*) AS n_rows, count(*) AS n_batch FROM feat
