@@ -171,6 +171,23 @@ def test_composition_is_associative():
     assert left == right == machine.scan(maps)[-1]
 
 
+def test_texts_without_cuts_are_counted_in_linear_memory(tokenizer):
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    long = ["".join(map(chr, rng.integers(0x4E00, 0x5E00, 1_500_000))), "".join(rng.choice(list("aB3+/x9Q"), 1_500_000)), "、。" * 700_000]
+    machine = token_counts.Transducer()
+    for text in long:
+        assert machine.counts([text, "a b"]) == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in (text, "a b")]
+    maps = [token_counts.StateMap("漢" * token_counts.CHUNK, 0, None)] * 256
+    machine.chunk = lambda text: token_counts.StateMap(text, 0, None)
+    machine.emits = len
+    tracemalloc.start()
+    assert machine.total(maps) == 256 * token_counts.CHUNK
+    assert tracemalloc.get_traced_memory()[1] < 5 * 2 * 256 * token_counts.CHUNK
+    tracemalloc.stop()
+
+
 def test_token_counts_of_odd_rows(odd, none, tokenizer):
     got = Counter(map(tuple, token_counts.token_counts(odd).collect()))
     want = [len(tokenizer.encode(body(t), add_special_tokens=False).ids) for _, t, _ in ODD]

@@ -9,8 +9,9 @@ A chunk of a text may begin and end inside a segment.  Its state map therefore
 is (head, emitted, tail): the characters before its first sure cut, the tokens
 of the whole segments, the characters from its last one; a chunk without a cut
 is a head alone.  Composition joins a tail and the next head into a segment and
-is associative, so a text's chunks are composed by a prefix scan in doubling
-steps, and no chunk is read again.
+is associative, so a text's chunks are composed in doubling steps: by a prefix
+scan where the counts up to each chunk are wanted, by its up-sweep where only the
+text's is.
 """
 
 from __future__ import annotations
@@ -105,8 +106,13 @@ class Transducer:
         return out
 
     def total(self, maps: list[StateMap]) -> int:
-        """Tokens of the text that these chunks make up."""
-        m = self.scan(maps)[-1]
+        """Tokens of the text that these chunks make up: the scan's up-sweep alone, which keeps no prefix.
+
+        At any time the maps hold each character of the text once at most, also if it has no sure cut.
+        """
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i:i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        m = maps[0]
         return m.emitted + self.emits(m.head) + self.emits(m.tail or "")
 
     def counts(self, texts: list[str], size: int = CHUNK) -> list[int]:
