@@ -147,3 +147,16 @@ def test_updates_in_turn_equal_updates_one_by_one(spark, series_of):
     assert len(last.roots) == 9 + 5 + 5 == model.trees()
     x = np.vstack([values[-25:-1][::-1]])
     assert last.predict(np.hstack([x, [[3, 7]]])) == pytest.approx(model.ensemble.predict(np.hstack([x, [[3, 7]]])))
+
+
+def test_the_log_adds_up_more_than_a_hundred_batches_and_restarts(spark, tmp_path):
+    log = sources.StreamLog(spark, str(tmp_path))
+    for batch in range(150):
+        log.add("q", batch, 10, batch % 2, 5)
+    log.add("q", 149, 30, 4, 6)  # the last batch again, from the start
+    log.add("q", 3, 99, 99, 99)  # an old report
+    log.save()
+    again = sources.StreamLog(spark, str(tmp_path))
+    assert again.totals() == {"q": {"batch": 149, "batches": 150, "input_rows": 1520, "late_rows": 78, "milliseconds": 751}}
+    again.add("q", 150, 1, 1, 1)
+    assert again.totals()["q"]["late_rows"] == 79
