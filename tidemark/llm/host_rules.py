@@ -87,10 +87,6 @@ def _measured(texts: pa.Array) -> pa.Array:
         [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))], MEASURES)
 
 
-# Spark may not copy it into a filter and so measure a text once more.
-_measured = _measured.asNondeterministic()
-
-
 def base_failed(m: Column, limits: Limits = Limits()) -> Column:
     return (m["n_words"] < limits.min_words) | (
         100 * m["n_repeat_words"] > limits.repeat_percent * m["n_words"])
