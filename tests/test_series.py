@@ -34,6 +34,49 @@ def test_long_series_total_includes_other_vendors(spark):
     assert len(got) == 12
 
 
+@pytest.mark.parametrize("block_records", [0, 40, 50_000])
+def test_long_series_is_exact_however_work_is_dealt_out(spark, block_records):
+    rng = np.random.default_rng(5)
+    n, names = 900, ["1m", "3m", "5m", "1h", "1d"]
+    minutes = np.where(rng.random(n) < 0.4, rng.integers(0, 20, n), rng.integers(0, 3 * 1440, n))
+    fares = np.round(rng.lognormal(2, 1, n), 2)
+    fares[::17], fares[5], fares[6], fares[7] = np.nan, np.inf, -np.inf, -3.5
+    frame = pd.DataFrame({"vendorid": rng.choice(["1", "2", "7", None], n), "at": [T0 + dt.timedelta(seconds=int(m) * 60 + 11) for m in minutes],
+                          "fare": fares})
+    rows = [(i, v, t.to_pydatetime(), None if i % 34 == 0 else float(f)) for i, (v, t, f) in enumerate(frame.itertuples(index=False))]
+    # a record without a time keeps a bin of its own
+    df = trips(spark, rows + [(n, "1", None, 4.0)])
+    want, middle = {}, lambda low, high: low if low == high else low + (high - low) * 0.5
+    for name in names:
+        floor = frame["at"].dt.floor(name.replace("m", "min"))
+        for vendor in ("all", "1", "2"):
+            part = frame if vendor == "all" else frame[frame["vendorid"] == vendor]
+            for ts, values in part.groupby(floor)["fare"]:
+                want[f"trip_count__{name}__{vendor}", ts] = float(len(values))
+                kept = np.sort(values.dropna())
+                if len(kept):
+                    want[f"fare_amount__{name}__{vendor}", ts] = middle(float(kept[(len(kept) - 1) // 2]), float(kept[len(kept) // 2]))
+    got = S.long_series(df, names, metrics=["fare_amount"], block_records=block_records).collect()
+    timeless = [r for r in got if r["ts"] is None]
+    assert sorted({(r["metric"], r["vendor"], r["value"]) for r in timeless}) == [
+        ("fare_amount", "1", 4.0), ("fare_amount", "all", 4.0), ("trip_count", "1", 1.0), ("trip_count", "all", 1.0)]
+    assert len(timeless) == 4 * len(names)
+    timed = {(r["series_id"], pd.Timestamp(r["ts"])): r["value"] for r in got if r["ts"]}
+    want = {k: v for k, v in want.items() if not np.isnan(v)}
+    assert timed == want and len(got) == len(want) + len(timeless)
+
+
+def test_long_series_without_rows_vendors_or_nested_widths(spark):
+    df = trips(spark, [(1, "1", T0, 1.0), (2, "2", T0, 3.0), (3, "9", T0, 100.0), (4, None, T0, None)])
+    only = lambda vendors, **more: {r["series_id"]: r["value"] for r in S.long_series(
+        df, ["3m", "5m"], vendors, ["fare_amount"], **more).collect()}
+    assert only(["all"]) == {"trip_count__3m__all": 4.0, "trip_count__5m__all": 4.0, "fare_amount__3m__all": 3.0, "fare_amount__5m__all": 3.0}
+    assert only(["2"]) == {"trip_count__3m__2": 1.0, "trip_count__5m__2": 1.0, "fare_amount__3m__2": 3.0, "fare_amount__5m__2": 3.0}
+    assert only(["2"], how="mean") == only(["2"])
+    assert S.nest_widths([180, 300, 900, 3600])[:4] == [180, 900, 3600, 8 * 3600] and S.nest_widths([180, 300])[:3] == [180, 900, 7200]
+    assert S.long_series(trips(spark, []), ["1h", "1d"], metrics=["fare_amount"]).count() == 0
+
+
 def test_weekly_profile_and_floor(spark, series_of):
     weeks = pd.DataFrame({"ts": [T0 + dt.timedelta(weeks=w, hours=h) for w in range(5) for h in (0, 1)],
                           "value": [1.0, 5.0, 2.0, 5.0, 3.0, 5.0, 4.0, 5.0, 100.0, 5.0]})

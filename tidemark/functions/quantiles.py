@@ -71,18 +71,37 @@ def _ranked(counted: DataFrame, group: list[str], order: Column, before: Column)
     return counted.withColumn("_start", before + F.sum("_c").over(running) - F.col("_c"))
 
 
+def slice_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """How many values of a group lie in each slice, and its least and greatest: ``keys, _slice, _c, _lo, _hi``.
+
+    NULL and NaN are left out.
+    """
+    rows = df.select(*keys, _number(value).alias("_v")).filter(~F.isnan("_v"))
+    return rows.groupBy(*keys, value_slice(F.col("_v")).alias("_slice")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+
+
+def merged_slices(counts: DataFrame, *keys: str | Column) -> DataFrame:
+    """:func:`slice_counts` of wider groups from those of the groups within them."""
+    return counts.groupBy(*keys, "_slice").agg(
+        F.sum("_c").alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+
+
 def quantiles(
     df: DataFrame,
     keys: list[str],
     value: str,
     probs: dict[str, float],
     weight: str | None = None,
+    slices: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group: ``keys``, ``n`` (non-NULL rows) and one column per prob.
 
     ``probs`` maps output names to probabilities in [0, 1].  NULL and NaN are
     ignored; a group without values keeps its row with NULL quantiles.  The
     first pass runs when called, because its result decides the join below.
+    ``slices`` is the first pass' result, :func:`slice_counts` by ``keys``, where
+    it could be had cheaper than from all rows; they are then read once only.
     """
     if not keys:
         found = scalar_quantiles(df, value, probs, weight)
@@ -91,11 +110,11 @@ def quantiles(
     v = _number(value)
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     base = df.select(*keys, v.alias("_v"), w.alias("_w"))
-    sliced = base.withColumn("_slice", value_slice(F.col("_v")))
-
-    slices = sliced.groupBy(*keys, "_slice").agg(
-        F.sum(F.when(F.isnan("_v"), F.lit(0)).otherwise(F.col("_w"))).alias("_c"),
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if slices is None:
+        sliced = base.withColumn("_slice", value_slice(F.col("_v")))
+        slices = sliced.groupBy(*keys, "_slice").agg(
+            F.sum(F.when(F.isnan("_v"), F.lit(0)).otherwise(F.col("_w"))).alias("_c"),
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     slices = _ranked(
         slices.withColumn("n", F.sum("_c").over(Window.partitionBy(*keys))),
         keys, F.col("_slice").asc_nulls_first(), F.lit(0))

@@ -6,21 +6,29 @@ A *series* frame has key columns (any, often metric, resolution, vendor), a
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.joins import join_on
 from tidemark.functions.ordering import global_position, in_blocks, lagged, per_group, with_position
-from tidemark.functions.quantiles import array_quantile, quantiles
+from tidemark.functions.quantiles import array_quantile, merged_slices, quantiles, slice_counts
 from tidemark.operators.records import vendor_filter
 from tidemark.schema import (
     ALL_VENDORS, COUNT_METRIC, MAD_FLOOR, RESOLUTION_SECONDS, SERIES_KEYS, VALUE_METRICS,
     canonical, lag_count, resolution_seconds, time_feature_names,
 )
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, stored_lookup
 
 PICKUP = "tpep_pickup_datetime"
+# Records of a block whose nested bins are taken together.
+BLOCK_RECORDS = 50_000
 
 
 # -- binning ------------------------------------------------------------------
@@ -84,47 +92,160 @@ def resample_mean(binned: DataFrame, resolution: str, keys: list[str] | None = N
 
 def long_series(
     trips: DataFrame, resolutions: list[str], vendors: list[str] | None = None,
-    metrics: list[str] = VALUE_METRICS, how: str = "median",
+    metrics: list[str] = VALUE_METRICS, how: str = "median", block_records: int = BLOCK_RECORDS,
 ) -> DataFrame:
-    """Every metric x resolution x vendor series in one long frame.
-
-    Each record is expanded to its bins and to the total and its own vendor in
-    a single scan; aggregation then combines map-side.
+    """Every metric x resolution x vendor series in one long frame, from a lattice of nested bins.
+
+    Records are stored once, in bins of the widths' common divisor (*units*).
+    Counts, and sums for means, are rolled up from the units.  For medians a
+    record goes once to the widest nested bin of at most ``block_records``
+    records that holds it, where the medians of all bins within are taken
+    together.  Wider bins add up counts by value slice, each width from the
+    widest that divides it, and only slices with a wanted rank are read again.
+    ``block_records`` decides how work is dealt out, not what is found.
     """
+    if how not in ("median", "mean"):
+        raise ValueError(f"how must be 'median' or 'mean', not {how!r}")
     vendors = [canonical(v) for v in (vendors or ["all", "1", "2"])]
-    own = [v for v in vendors if v != ALL_VENDORS]
-    labels = [F.lit(ALL_VENDORS)] if ALL_VENDORS in vendors else []
-    if own:
-        labels.append(F.when(F.col("vendorid").isin(own), F.col("vendorid")))
-    # resolutions and metrics travel as list positions, which group and shuffle cheaper than names
-    expanded = (
-        trips.select(
-            F.explode(F.array_compact(F.array(*labels))).alias("vendor"),
-            F.array(*[C.bin_to(PICKUP, r) for r in resolutions]).alias("_bins"),
-            F.array(*[F.col(m).cast("double") for m in metrics]).alias("_values"))
-        .select("vendor", "_values", F.posexplode("_bins").alias("_r", "ts"))
-    )
-    place = ["_r", "vendor", "ts"]
+    own, total = [v for v in vendors if v != ALL_VENDORS], ALL_VENDORS in vendors
+    widths = [resolution_seconds(r) for r in resolutions]
+    names = [f"_{i}" for i in range(len(metrics))]
+    label = F.when(F.col("vendorid").isin(own), F.col("vendorid")) if own else F.lit(None).cast("string")
+    rows = trips.select(label.alias("vendor"), C.bin_floor(PICKUP, math.gcd(*widths)).alias("_t"),
+                        *[F.col(m).cast("double").alias(n) for m, n in zip(metrics, names)])
+    rows = checkpointed(rows if total else rows.dropna(subset=["vendor"]))
+
+    def labelled(df: DataFrame) -> DataFrame:
+        """A row for its own vendor and one for all."""
+        labels = [F.lit(ALL_VENDORS)] * total + [F.col("vendor")] * bool(own)
+        return df.withColumn("vendor", F.explode(F.array_compact(F.array(*labels))))
+
+    def placed(df: DataFrame) -> DataFrame:
+        bins = F.posexplode(F.array(*[C.bin_floor("_t", w) for w in widths])).alias("_r", "ts")
+        return labelled(df).select("*", bins)
 
     def named(position: str, names: list[str]) -> Column:
         return F.get(F.array(*map(F.lit, names)), F.col(position))
 
-    counts = expanded.groupBy(*place).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
-        F.lit(COUNT_METRIC).alias("metric"), *place, "value")
-    tall = expanded.select(*place, F.posexplode("_values").alias("_m", "value"))
-    if how == "median":
-        values = quantiles(tall, ["_m", *place], "value", {"value": 0.5})
+    means = [x for n in names for x in (F.sum(n).alias(f"{n}_s"), F.count(n).alias(f"{n}_n"))] if how == "mean" else []
+    units = checkpointed(rows.groupBy("vendor", "_t").agg(F.count(F.lit(1)).alias("_c"), *means))
+    place = ["_r", "vendor", "ts"]
+    rolled = placed(units).groupBy(*place)
+    counts = rolled.agg(F.sum("_c").cast("double").alias("value")).select(F.lit(COUNT_METRIC).alias("metric"), *place, "value")
+    if how == "mean":
+        wide = rolled.agg(*[(F.sum(f"{n}_s") / F.when(F.sum(f"{n}_n") > 0, F.sum(f"{n}_n"))).alias(m)
+                            for n, m in zip(names, metrics)])
+        values = wide.unpivot(place, metrics, "metric", "value")
     else:
-        values = tall.groupBy("_m", *place).agg(F.avg("value").alias("value"))
-    values = values.select(named("_m", metrics).alias("metric"), *place, "value")
-    place = ["resolution", "vendor", "ts"]
-    counts, values = (
-        df.withColumn("resolution", named("_r", resolutions)).select("metric", *place, "value") for df in (counts, values))
-    series = counts.unionByName(values.select("metric", *place, "value")).dropna(subset=["value"])
+        values = _nested_medians(rows, units, widths, names, own, total, labelled, block_records).select(
+            named("_m", metrics).alias("metric"), *place, "value")
+    series = counts.unionByName(values).dropna(subset=["value"]).withColumn("resolution", named("_r", resolutions))
     return series.select(
         C.series_id().alias("series_id"), "metric", "resolution", "vendor", "ts", "value")
 
 
+def nest_widths(widths: list[int]) -> list[int]:
+    """Widths whose bins nest, each divided by all of ``widths`` up to it; the widest cover years."""
+    common = math.lcm(*widths)
+    return sorted({c for c in widths if all(c % w == 0 for w in widths if w <= c)} | {common * 8**k for k in range(6)})
+
+
+def _nested_medians(
+    rows: DataFrame, units: DataFrame, widths: list[int], names: list[str], own: list[str], total: bool,
+    labelled: Callable[[DataFrame], DataFrame], block_records: int,
+) -> DataFrame:
+    """Rows (_m, _r, vendor, ts, value): the median of each metric in each bin, by position of metric and width."""
+    nests = nest_widths(widths)
+    # a bin is taken in a block if the narrowest nested bin that holds it is small enough
+    limit = {w: min(c for c in nests if c >= w) for w in widths}
+    unit = units.groupBy("_t").agg(F.sum("_c").alias("_c"))
+    second = F.unix_date(F.to_date("_t")).cast("bigint") * 86400 + C.seconds_of_day("_t")
+    nested = unit.select("_t", "_c", second.alias("_s"), F.explode(F.lit(nests).cast("array<bigint>")).alias("_w")).select(
+        "_t", "_c", "_w", (F.col("_s") - F.pmod("_s", "_w")).alias("_b"))
+    small = nested.groupBy("_w", "_b").agg(F.sum("_c").alias("_n")).filter(F.col("_n") <= block_records)
+    widest = nested.join(small, ["_w", "_b"]).groupBy("_t").agg(F.max(F.struct("_w", "_b")).alias("_p"))
+    blocks = stored_lookup(unit.select("_t").join(widest, "_t", "left").select(
+        "_t", F.coalesce("_p._w", F.lit(0)).alias("_w"), "_p._b"))
+    tight = join_on(rows, blocks.filter("_w > 0"), ["_t"])
+
+    def medians(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        at = frame["_t"].to_numpy().astype("datetime64[s]").astype(np.int64)
+        code = pd.Categorical(frame["vendor"], categories=own).codes.astype(np.int64)
+        columns = [frame[n].to_numpy(dtype=float) for n in names]
+        return bin_medians(at, code, columns, [(r, w) for r, w in enumerate(widths) if w <= key[0]], own, total)
+
+    found = tight.groupBy("_w", "_b").applyInPandas(
+        medians, "_r int, vendor string, ts timestamp_ntz, " + ", ".join(f"{n} double" for n in names))
+    place = ["_r", "vendor", "ts"]
+    found = found.select(*place, F.posexplode(F.array(*names)).alias("_m", "value"))
+    wide = blocks.filter(F.col("_w") < max(limit.values())).select("_t", "_w")
+    if wide.isEmpty():
+        return found.select("_m", *place, "value")
+
+    loose = checkpointed(labelled(join_on(rows, wide, ["_t"])).select(
+        "vendor", "_t", "_w", F.posexplode(F.array(*names)).alias("_m", "value")))
+    keys = ["_m", "vendor"]
+    tables = {math.gcd(*widths): checkpointed(slice_counts(loose, [*keys, "_t", "_w"], "value"))}
+    levels = []
+    for w in sorted(set(widths)):
+        finer = tables[max(x for x in tables if w % x == 0)]
+        # units of one bin agree on whether it is wide
+        merged = merged_slices(finer, *keys, C.bin_floor("_t", w).alias("_t"), F.when(
+            F.col("_w") < limit[w], F.lit(0)).otherwise(F.col("_w")).alias("_w"))
+        tables[w] = checkpointed(merged)
+        levels += [tables[w].filter(F.col("_w") < limit[w]).select(
+            "_m", F.lit(r).alias("_r"), "vendor", F.col("_t").alias("ts"), "_slice", "_c", "_lo", "_hi")
+            for r, x in enumerate(widths) if x == w]
+    bins = F.array_compact(F.array(*[
+        F.when(F.col("_w") < limit[w], F.struct(F.lit(r).alias("_r"), C.bin_floor("_t", w).alias("ts")))
+        for r, w in enumerate(widths)]))
+    expanded = loose.select("_m", "vendor", "value", F.explode(bins).alias("_p")).select("_m", "vendor", "value", "_p.*")
+    exact = quantiles(expanded, ["_m", *place], "value", {"value": 0.5}, slices=reduce(DataFrame.unionByName, levels))
+    return found.select("_m", *place, "value").unionByName(exact.select("_m", *place, "value"))
+
+
+def bin_medians(
+    at: np.ndarray, code: np.ndarray, columns: list[np.ndarray], widths: list[tuple[int, int]], own: list[str], total: bool,
+) -> pd.DataFrame:
+    """Medians per bin of several widths, of all rows and of each vendor's: ``_r, vendor, ts`` and one per column.
+
+    ``at`` is seconds, ``code`` a position in ``own`` or -1, ``widths`` (name, seconds).
+    Each column is sorted once; a stable sort by bin then keeps its order.
+    """
+    orders = [np.argsort(v, kind="stable")[: len(v) - np.count_nonzero(np.isnan(v))] for v in columns]
+    labels = np.array([*own, ALL_VENDORS], dtype=object)
+    out = []
+    for r, w in widths:
+        for of_all in [True] * total + [False] * bool(own):
+            inside = np.ones(len(at), bool) if of_all else code >= 0
+            group = (at // w) * len(labels) + (len(own) if of_all else code)
+            found, place = np.unique(group[inside], return_inverse=True)
+            if len(found) == 0:
+                continue
+            full = np.full(len(at), -1, np.int64)
+            full[inside] = place
+            # short integers are sorted by their digits
+            full = full.astype(np.int16) if len(found) < 1 << 15 else full
+            medians = []
+            for v, order in zip(columns, orders):
+                order = order[full[order] >= 0]
+                order = order[np.argsort(full[order], kind="stable")]
+                n = np.bincount(full[order], minlength=len(found))
+                first = np.cumsum(n) - n
+                some = n > 0
+                low, high = np.full(len(found), np.nan), np.full(len(found), np.nan)
+                low[some] = v[order[(first + (n - 1) // 2)[some]]]
+                high[some] = v[order[(first + n // 2)[some]]]
+                with np.errstate(invalid="ignore"):
+                    medians.append(np.where(low == high, low, low + (high - low) * 0.5))
+            out.append(pd.DataFrame({
+                "_r": np.full(len(found), r, np.int32), "vendor": labels[found % len(labels)],
+                "ts": ((found // len(labels)) * w).astype("datetime64[s]"),
+                **{f"_{i}": m for i, m in enumerate(medians)}}))
+    columns_out = ["_r", "vendor", "ts", *[f"_{i}" for i in range(len(columns))]]
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=columns_out)
+
+
 def with_split(series: DataFrame, test_days: int = 120) -> DataFrame:
     """Label rows ``val`` from N days before the last day's midnight, else ``train``.
 
