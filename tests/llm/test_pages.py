@@ -24,8 +24,24 @@ def test_blocks(page, want):
     assert text(page) == want
 
 
+STORY = "<p>A story of some length, told in a sentence</p>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<nav>m</nav><article class="post widget">{STORY}</article>', "S"), (f'<div id="content" class="has-sidebar">{STORY}</div>', "S"),
+    (f'{STORY}<p>One <a class="related">link</a> inside</p>', "S\n\nOne link inside"), (f'{STORY}<div class="share-price">Up 3</div>', "S\n\nUp 3"),
+    (f'{STORY}<div class="notice-of-hearing">At noon</div>', "S\n\nAt noon"), (f'{STORY}<div class="cookie-notice">We use</div>', "S"),
+    (f'{STORY}<div id="top_menu">Home</div><div class="x ad-box-3">Buy</div>', "S"), (f'<div class="comments">{STORY * 3}</div>{STORY}', "S"),
+    (f'<div class="menu"><a>One long link</a> <a>another long link that goes on for a while</a></div>x', "x"),
+    (f'<div class="widget"><div class="promo">Buy</div>{STORY}</div>', "S"), ('<div class="ad">Buy</div><div class="ad">now</div>', ""),
+    (f'<div hidden class="main">{STORY * 2}</div>{STORY}', "S")])
+def test_a_class_is_evidence_and_no_verdict(page, want):
+    assert text(page) == want.replace("S", STORY[3:-4])
+
+
 def test_deep_and_odd_pages_end():
-    for page in ("<div>" * 50_000 + "x", "<p><b>" * 20_000, "<a href=\"" * 20_000, "<" * 50_000, "</div>" * 50_000, "<li>" * 30_000):
+    for page in ("<div>" * 50_000 + "x", "<p><b>" * 20_000, "<a href=\"" * 20_000, "<" * 50_000, "</div>" * 50_000, "<li>" * 30_000,
+                 "<div class=ad>x" * 20_000):
         text(page)
         sst.elements(sst.parsed(page))
 

@@ -4,7 +4,8 @@ All pages of a host are merged into one tree of elements, known by their path of
 tags and classes.  For each element the entropy over pages of its contents and
 of its presentation (the elements within it) says how much it tells pages apart.
 Branches of low importance are the site's furniture and are cut from every page,
-beside what a page itself marks as furniture by tag, role or class.
+beside what a page itself marks as furniture by tag, role or class.  A class is
+evidence only: the block that holds most of a page's text stays, whatever its name.
 """
 
 from __future__ import annotations
@@ -51,6 +52,14 @@ FURNITURE_WORDS = frozenset(
     "breadcrumbs footer masthead comment comments commentlist replies respond disqus share sharing social related "
     "recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets "
     "toolbar pagination pager skip teaser".split())
+# Words that stand beside those in a class, and say nothing against them.
+NEUTRAL_WORDS = frozenset(
+    "site main top bottom left right bar box block wrapper wrap container inner outer list item items section area slot "
+    "unit link links buttons button global page header primary secondary form thread body text message panel strip "
+    "post posts articles stories by google module content".split())
+COMMENT_WORDS = frozenset("comment comments commentlist replies respond disqus".split())
+# A marked block with more than this share of the page's text is its article, unless so much of it is links.
+MOST_TEXT, MOST_LINKS = 0.5, 0.5
 # These hold or are the article itself, and are never cut for low importance.
 CONTENT = frozenset("html body main article p h1 h2 h3 h4 h5 h6 blockquote pre td th tr tbody".split())
 
@@ -65,26 +74,63 @@ _SPLIT = re.compile(r"[^a-z]+")
 class Node:
     """An element: its tag, its path's hash, whether the page marks it as furniture, children and texts in order."""
 
-    __slots__ = ("tag", "path", "furniture", "parts", "article")
+    __slots__ = ("tag", "path", "furniture", "named", "parts", "article")
 
-    def __init__(self, tag: str, path: int, furniture: bool, article: bool):
-        self.tag, self.path, self.furniture, self.article = tag, path, furniture, article
+    def __init__(self, tag: str, path: int, furniture: bool, article: bool, named: bool = False):
+        self.tag, self.path, self.furniture, self.article, self.named = tag, path, furniture, article, named
         self.parts: list = []
 
 
-def marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(class, furniture, article) of a start tag."""
+def names_furniture(token: str) -> set[str]:
+    """The furniture words of one class or id, if its other words are neutral; else none."""
+    words = {w for w in _SPLIT.split(token) if w}
+    return words & FURNITURE_WORDS if words <= FURNITURE_WORDS | NEUTRAL_WORDS else set()
+
+
+def marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """(class, furniture, article, named) of a start tag.
+
+    Tag, role and hiding decide by themselves, as do classes of reader comments.
+    Other classes only name a block as furniture, which :func:`settle` weighs;
+    on inline elements they mean nothing.
+    """
     if not attributes or attributes.isspace():
-        return "", tag in FURNITURE, tag in ("article", "main")
+        return "", tag in FURNITURE, tag in ("article", "main"), False
     found = {}
     for name, *values in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), next((v for v in values if v), "").lower())
     role = found.get("role", "")
-    words = set(_SPLIT.split(f"{found.get('class', '')} {found.get('id', '')}"))
+    words: set[str] = set()
+    if tag in BLOCK and tag not in ("html", "body"):
+        for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+            words |= names_furniture(token)
     hidden = "hidden" in found or found.get("aria-hidden") == "true"
-    furniture = tag in FURNITURE or hidden or role in FURNITURE_ROLES or (
-        tag not in ("html", "body") and not words.isdisjoint(FURNITURE_WORDS))
-    return found.get("class", ""), furniture, tag in ("article", "main") or role in ("main", "article")
+    furniture = tag in FURNITURE or hidden or role in FURNITURE_ROLES or not words.isdisjoint(COMMENT_WORDS)
+    article = tag in ("article", "main") or role in ("main", "article")
+    return found.get("class", ""), furniture, article, bool(words)
+
+
+def settle(root: Node) -> Node:
+    """Make named blocks furniture, except one that holds most of the page's text and is not mostly links."""
+    order, todo = [], [(root, False)]
+    while todo:
+        node, linked = todo.pop()
+        linked = linked or node.tag == "a"
+        order.append((node, linked))
+        todo += [(x, linked) for x in node.parts if isinstance(x, Node) and not x.furniture]
+    if not any(node.named for node, _ in order):
+        return root
+    size: dict[int, tuple[int, int]] = {}
+    for node, linked in reversed(order):
+        own = sum(len(x.strip()) for x in node.parts if isinstance(x, str))
+        inner = [size[id(x)] for x in node.parts if isinstance(x, Node) and not x.furniture]
+        size[id(node)] = own + sum(x for x, _ in inner), own * linked + sum(x for _, x in inner)
+    whole = size[id(root)][0]
+    for node, _ in order:
+        text, links = size[id(node)]
+        if node.named and (text <= MOST_TEXT * whole or links > MOST_LINKS * text):
+            node.furniture = True
+    return root
 
 
 def parsed(text: str) -> Node:
@@ -126,8 +172,8 @@ def parsed(text: str) -> Node:
                 while low > 1 and stack[low - 1].tag in ENDS[tag]:
                     low -= 1
                 close(low)
-        name, furniture, article = marks(tag, m[3])
-        node = Node(tag, hashed(f"{stack[-1].path} {tag} {name}"), furniture, article)
+        name, furniture, article, named = marks(tag, m[3])
+        node = Node(tag, hashed(f"{stack[-1].path} {tag} {name}"), furniture, article, named)
         stack[-1].parts.append(node)
         if tag in RAW:
             end = _RAW_END[tag].search(text, at)
@@ -141,7 +187,7 @@ def parsed(text: str) -> Node:
             opened[tag] = opened.get(tag, 0) + 1
     if at < len(text):
         stack[-1].parts.append(text[at:])
-    return root
+    return settle(root)
 
 
 class Element(NamedTuple):
