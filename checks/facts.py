@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import queries as Q
-from checks.twins import BASE, ENTRIES, FULL, METRICS, ON_TIME, RAW, T, bins, long, with_
+from checks.twins import BASE, CLOSED, ENTRIES, FULL, METRICS, ON_TIME, RAW, T, bins, long, with_
 from tidemark import schema
 from tidemark.operators import forecast as Fc
 from tidemark.operators import forest
@@ -417,3 +417,18 @@ def day_retrained(spark, sf):
     pipe.prewarm(Q.trips(spark, sf), "2024-01-11")
     return pipe.retrain(Q.trips(spark, sf), "2024-01-11").select(
         "ts_start", "ts_end", "n_raw", "n_unusable", "status", _share_holds(schema.STREAM_CONTAMINATION).alias("holds"))
+
+
+@fact(with_(*BASE, f"""d AS (SELECT vendorid, date_trunc('day', {T})::TIMESTAMP AS ts, count(total_amount) AS n, TRUE AS holds
+FROM feat WHERE {ON_TIME} GROUP BY 1, 2)""") + f"SELECT * FROM d WHERE n > 0 AND ts + INTERVAL 1 DAY {CLOSED}")
+def stream_medians(spark, sf):
+    """Daily medians of each vendor from sketches in the stream: their ranks among the day's rows are within one percent, or one row, of the middle."""
+    out = Q.drained(spark, sf, lambda s: sources.stream_bin_medians(s, "total_amount", "1d", "2 days", ["vendorid"]))
+    out = out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows = Q.trips(spark, sf).filter(~(F.expr(Q.LATE) & (F.dayofmonth(PICKUP) <= 6))).select(
+        "vendorid", F.date_trunc("day", PICKUP).cast("timestamp_ntz").alias("ts"), F.col("total_amount").alias("_v")).dropna(subset=["_v"])
+    ranked = rows.join(out, ["vendorid", "ts"]).groupBy("vendorid", "ts", "n").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_v") < F.col("value")).alias("_low"), F.count_if(F.col("_v") <= F.col("value")).alias("_high"))
+    slack = F.greatest(F.lit(1.0), F.col("n") * 0.01)
+    holds = (F.col("_n") == F.col("n")) & (F.col("_low") <= F.col("n") / 2 + slack) & (F.col("_high") >= F.col("n") / 2 - slack)
+    return ranked.select("vendorid", "ts", "n", holds.alias("holds"))

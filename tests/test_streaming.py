@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +161,25 @@ def test_the_log_adds_up_more_than_a_hundred_batches_and_restarts(spark, tmp_pat
     assert again.totals() == {"q": {"batch": 149, "batches": 150, "input_rows": 1520, "late_rows": 78, "milliseconds": 751}}
     again.add("q", 150, 1, 1, 1)
     assert again.totals()["q"]["late_rows"] == 79
+
+
+def test_stream_medians_are_near_the_middle_and_wait_for_late_rows(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    values = rng.lognormal(2, 1, 20_000)
+    base = pd.Timestamp("2024-01-01")
+    times = base + pd.to_timedelta(rng.integers(0, 3600, len(values)), unit="s")
+    rows = pd.DataFrame({"tpep_pickup_datetime": times, "vendorid": "1", "total_amount": values})
+    odd = pd.DataFrame({"tpep_pickup_datetime": [base + pd.Timedelta(hours=h) for h in (1, 1, 1, 2, 9)], "vendorid": "1",
+                        "total_amount": [4.0, 8.0, 2.0, None, 1.0]})
+    columns = {"tpep_pickup_datetime": "timestamp_ntz", "vendorid": "string", "total_amount": "double"}
+    ddl = ", ".join(f"{n} {k}" for n, k in columns.items())
+    for i, part in enumerate([rows[:12_000], rows[12_000:], odd]):
+        part = part.astype({"total_amount": object}).where(part.notna(), None)
+        spark.createDataFrame([(t.to_pydatetime(), v, x) for t, v, x in part.itertuples(index=False)], ddl).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = sources.read_trip_stream(spark, str(tmp_path / "in"), columns, 1)
+    query = (sources.stream_bin_medians(stream, "total_amount", "1h", "2 hours", ["vendorid"]).writeStream.format("parquet")
+             .option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")))
+    query.awaitTermination()
+    got = {r["ts"].hour: (r["n"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(got) == {0, 1} and got[1] == (3, 4.0) and got[0][0] == len(values)
+    assert abs((values < got[0][1]).mean() - 0.5) < 0.01

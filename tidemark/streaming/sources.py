@@ -14,6 +14,8 @@ from tidemark.schema import COUNT_METRIC, canonical, resolution_seconds, struct_
 from tidemark.sources.sinks import table_exists
 
 PICKUP = "tpep_pickup_datetime"
+# Size of the sketch of one open bin.
+SKETCH_SIZE = 800
 
 
 def read_trip_stream(
@@ -50,8 +52,7 @@ def stream_bin_series(
 ) -> DataFrame:
     """Count or mean per closed bin, as cleaned rows arrive.
 
-    State per bin is a sum and a count.  Medians of a stream come from
-    ``bin_series`` on closed blocks instead, where they need no such state.
+    State per bin is a sum and a count; :func:`stream_bin_medians` gives medians.
     """
     keys = keys or []
     counted = canonical(metric) == COUNT_METRIC
@@ -64,6 +65,27 @@ def stream_bin_series(
     )
 
 
+def stream_bin_medians(
+    stream: DataFrame, metric: str, resolution: str, delay: str = "1 hour", keys: list[str] | None = None,
+    size: int = SKETCH_SIZE,
+) -> DataFrame:
+    """Median and number of values per closed bin, from a KLL sketch of each open bin.
+
+    A sketch merges over tasks and batches and stays bounded however many rows a
+    bin has.  A median of up to ``size`` values is one of the middle two; of more
+    its rank is off by about 2.3 / ``size`` ^ 0.9 of the bin's rows at most, in 99
+    of 100 bins (half a percent at 800).  NULL and NaN are left out; a bin without values gives no row.
+    """
+    keys, value = keys or [], F.col(canonical(metric)).cast("double")
+    sketch = F.kll_sketch_agg_double("_v", size)
+    return (
+        stream.withWatermark(PICKUP, delay).withColumn("_v", value).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        .groupBy(F.window(PICKUP, f"{resolution_seconds(resolution)} seconds"), *keys)
+        .agg(sketch.alias("_k"), F.count(F.lit(1)).alias("n"))
+        .select(F.col("window.start").alias("ts"), *keys, "n", F.kll_sketch_get_quantile_double("_k", F.lit(0.5)).alias("value"))
+    )
+
+
 def late_counted(stream: DataFrame, delay: str, ts: str = PICKUP) -> DataFrame:
     """The newest time per second of the stream's rows; rows behind the watermark are dropped and counted by Spark."""
     return (stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 second"))
