@@ -265,14 +265,14 @@ def flag_file(
     model = fit_forest(prepared, list(safe), trees, TREE_ROWS, seed, key)
     if model.arrays is None:
         raise ValueError(f"fewer than {MIN_FOREST_ROWS} records to fit on")
-    cut = AUTO_SCORE
+    scored, cut = forest_score(prepared, model).drop(*safe), AUTO_SCORE
     if contamination != "auto":
-        scores = checkpointed(forest_score(prepared.select(*safe), model).select("forest_score"))
-        cut = scalar_quantiles(scores, "forest_score", {"q": 1.0 - contamination})["q"]
+        # scored once, for the threshold and the flags
+        scored = checkpointed(scored)
+        cut = scalar_quantiles(scored, "forest_score", {"q": 1.0 - contamination})["q"]
     score = F.col("forest_score") - F.lit(cut)
     return (
-        forest_score(prepared, model).drop(*safe)
-        .withColumn("anomaly_score", score)
+        scored.withColumn("anomaly_score", score)
         .withColumn("is_anomaly", (F.col("anomaly_score") > 0).cast("int"))
         .drop("forest_score")
     )
