@@ -245,6 +245,29 @@ def gbt_forecast_facts(spark, sf):
     return Q.QUERIES["gbt_forecast"](spark, sf).select("ts", "actual", _band_holds())
 
 
+MODELLED = with_(*BASE, long("l", "feat", Q.MODEL_METRICS, {"30m": "30 minutes", "1h": "1 hour"}, "mean", where=f"{T} <= TIMESTAMP '2024-01-30 23:59:59'"))
+
+
+@fact(MODELLED + "SELECT metric, resolution, vendor, ts, value AS actual, TRUE AS holds FROM l WHERE ts >= TIMESTAMP '2024-01-26 00:00:00' AND value IS NOT NULL", "actual")
+def registered_forecasts_facts(spark, sf):
+    """Every bin of every series has a forecast and a band from the series' own model."""
+    out = Q.QUERIES["registered_forecasts"](spark, sf)
+    return out.select("metric", "resolution", "vendor", "ts", "actual", _band_holds())
+
+
+@fact(MODELLED + """SELECT metric, resolution, vendor, count(*) AS n, TRUE AS better, TRUE AS covers
+FROM l WHERE ts >= TIMESTAMP '2024-01-26 00:00:00' AND value IS NOT NULL GROUP BY ALL""")
+def registered_errors(spark, sf):
+    """Registered models err less than last day's values do, and their 95 % bands hold four fifths of unseen bins."""
+    rows = S.long_series(Q.trips(spark, sf), Q.MODEL_RESOLUTIONS, metrics=Q.MODEL_METRICS, how="mean").drop("series_id")
+    past = rows.select(*Q.KEYS, (F.col("ts") + F.expr("INTERVAL '1' DAY")).alias("ts"), F.col("value").alias("_past"))
+    out = Q.checkpointed(Q.QUERIES["registered_forecasts"](spark, sf)).join(past, [*Q.KEYS, "ts"], "left")
+    known = F.col("_past").isNotNull()
+    model, naive = (F.avg(F.when(known, F.abs(F.col("actual") - F.col(c)))) for c in ("forecast", "_past"))
+    return out.groupBy(*Q.KEYS).agg(F.count(F.lit(1)).alias("n"), (model < naive).alias("better"),
+                                    (F.count_if(~F.col("outside")) >= 0.8 * F.count(F.lit(1))).alias("covers"))
+
+
 @fact(_range_bins("2024-01-29 00:00:00"), "actual")
 def kernel_regression_facts(spark, sf):
     return Q.QUERIES["kernel_regression"](spark, sf).select("ts", "actual", _band_holds())

@@ -13,7 +13,7 @@ from tidemark.functions import columns as C
 from tidemark.operators import anomaly as A
 from tidemark.operators import calibration as Cal
 from tidemark.operators import forecast as Fc
-from tidemark.operators import forest, kernel, neighbors
+from tidemark.operators import forest, kernel, neighbors, registry
 from tidemark.operators import records as R
 from tidemark.operators import series as S
 from tidemark.plans import preparation, requests
@@ -678,6 +678,24 @@ def gbt_forecast(spark, sf):
     return requests.answer(rows.filter(F.col(PICKUP) >= cut), request, "forecast", "xgboost")
 
 
+MODEL_RESOLUTIONS, MODEL_METRICS = ["30m", "1h"], ["total_amount", "trip_distance"]
+
+
+def model_table(spark, sf):
+    """Models of a few metrics and all vendors at two resolutions, promoted to a table and read from there."""
+    early = trips(spark, sf).filter(F.col(PICKUP) < F.lit(MODEL_END).cast("timestamp_ntz"))
+    path = scratch(spark, "models")
+    rows = S.long_series(early, MODEL_RESOLUTIONS, metrics=MODEL_METRICS, how="mean")
+    registry.promote(registry.train_models(checkpointed(rows), MODEL_RESOLUTIONS), path)
+    return registry.registered(spark, path)
+
+
+@query
+def registered_forecasts(spark, sf):
+    """Forecasts of every registered series in one plan, each with its model's band."""
+    return requests.forecast_all(trips(spark, sf), model_table(spark, sf), MODEL_END, "2024-01-30 23:59:59")
+
+
 @query
 def gbt_incremental(spark, sf):
     rows = checkpointed(S.bin_series(trips(spark, sf), "trip_count", "1h"))

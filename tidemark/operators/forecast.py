@@ -329,9 +329,14 @@ def banded(scored: DataFrame, model: Forecaster | dict[str, float], level="95")
     else:
         widths = model.widths if isinstance(model, Forecaster) else model
         out = scored.withColumn("half_width", F.lit(float(widths[column])))
+    return with_band(out)
+
+
+def with_band(rows: DataFrame) -> DataFrame:
+    """Bounds of rows that have a ``forecast`` and a ``half_width``, and the flag of actual values beyond them."""
     w = F.col("half_width")
-    out = out.withColumns({"lower": C.clip_lower(F.col("forecast") - w), "upper": F.col("forecast") + w})
-    return out.withColumn("outside", C.outside_band()) if "actual" in scored.columns else out
+    out = rows.withColumns({"lower": C.clip_lower(F.col("forecast") - w), "upper": F.col("forecast") + w})
+    return out.withColumn("outside", C.outside_band()) if "actual" in rows.columns else out
 
 
 def calendar_ahead(now: str | dt.datetime, resolution: str, horizon: int) -> np.ndarray:

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from tidemark.operators import anomaly as A
 from tidemark.operators import calibration as Cal
 from tidemark.operators import forecast as Fc
-from tidemark.operators import forest, kernel, neighbors
+from tidemark.operators import forest, kernel, neighbors, registry
 from tidemark.operators import records as R
 from tidemark.operators import series as S
 from tidemark.schema import (
-    COUNT_METRIC, canonical, lag_count, resolution_seconds, season_bins,
+    COUNT_METRIC, SERIES_KEYS, VALUE_METRICS, canonical, lag_count, resolution_seconds, season_bins,
 )
 from tidemark.session import checkpointed
 
@@ -126,9 +126,18 @@ def _both_tables(trips: DataFrame, request: Request) -> DataFrame:
 
 
 def boosted(trips: DataFrame, request: Request) -> DataFrame:
-    """One-step boosted-tree forecast with its conformal band."""
+    """One-step boosted-tree forecast with its conformal band.
+
+    The option ``models`` is a table of registered models: the series' own
+    serves the request and nothing is trained.  Else the option ``model`` is a
+    forecaster, and without either one is trained on the history.
+    """
     options = dict(request.options)
-    model = options.pop("model", None)
+    model, models = options.pop("model", None), options.pop("models", None)
+    if model is None and models is not None:
+        model = registry.forecaster(models, canonical(request.metric), request.resolution, canonical(request.vendor))
+        if model is None:
+            raise UnknownModel(f"no model of {request.metric}, {request.resolution}, {request.vendor}")
     if model is None:
         model = Fc.fit_forecaster(checkpointed(_bins(request.history, request)), request.resolution, **options)
     if model is None:
@@ -168,6 +177,21 @@ FORECAST_MODELS: dict[str, Callable[[DataFrame, Request], DataFrame]] = {
 MODES = {"chart": {"": chart}, "raw": {"": record_scores}, "anomaly": ANOMALY_MODELS, "forecast": FORECAST_MODELS}
 
 
+def forecast_all(
+    trips: DataFrame, models: DataFrame, start: str, end: str, how: str = "mean", level: str = "95",
+    history: DataFrame | None = None,
+) -> DataFrame:
+    """Forecasts of every registered series over a range: the tables are binned once and nothing is trained."""
+    models = checkpointed(models)
+    # a few names each
+    names = models.agg(*[F.sort_array(F.collect_set(k)).alias(k) for k in SERIES_KEYS]).first()
+    rows = R.union_trips(history, trips) if history is not None else trips
+    rows = rows.filter(F.col(R.PICKUP) <= F.lit(end).cast("timestamp_ntz"))
+    metrics = [m for m in names["metric"] if m != COUNT_METRIC]
+    series = S.long_series(rows, names["resolution"], names["vendor"], metrics or VALUE_METRICS[:1], how)
+    return registry.score_registered(series, models, start, end, level)
+
+
 def answer(trips: DataFrame, request: Request, mode: str, model: str = "") -> DataFrame:
     """Dispatch a request by mode and model name."""
     table = MODES.get(mode)
