@@ -20,7 +20,7 @@ from tidemark.plans import preparation, requests
 from tidemark.schema import CLEAN_FEATURES, TRIP_COLUMNS
 from tidemark.session import checkpointed, shared_folder
 from tidemark.sources import readers, sinks
-from tidemark.streaming import pipeline, sources, windows
+from tidemark.streaming import matching, pipeline, sources, windows
 
 PICKUP = "tpep_pickup_datetime"
 TRAIN_END = "2024-01-23 00:00:00"
@@ -839,6 +839,32 @@ def stream_count_windows(spark, sf):
         F.sum("total_amount").alias("total"))
 
 
+@query
+def stream_matching(spark, sf):
+    """Hourly bins of each vendor next to the newest of two forecasts of them, as both streams close.
+
+    A forecast of a bin is the value a day or two days before it, made at the
+    later of those times; every seventh bin has none from the day before, and
+    noon bins have none at all.
+    """
+    folders, offsets, out = {x: scratch(spark, x) for x in ("actuals", "forecasts")}, scratch(spark, "offsets"), scratch(spark, "out")
+    bins = checkpointed(S.bin_series(trips(spark, sf), "total_amount", "1h", keys=["vendorid"]))
+    number = F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")
+    made = [bins.select("vendorid", (F.col("ts") + F.make_dt_interval(F.lit(d))).alias("ts"), F.col("ts").alias("made_at"),
+                        F.col("value").alias("forecast")).filter((F.hour("ts") != 12) & ((number % 7 != 3) | F.lit(d == 2))) for d in (1, 2)]
+    forecasts = checkpointed(made[0].unionByName(made[1]))
+    schemas = {"actuals": "vendorid string, ts timestamp_ntz, value double", "forecasts": "vendorid string, ts timestamp_ntz, made_at timestamp_ntz, forecast double"}
+    for i in range(SLICES):
+        for name, rows, at in (("actuals", bins, "ts"), ("forecasts", forecasts, "made_at")):
+            rows.filter(F.least(F.floor((F.dayofmonth(at) - 1) / 6), F.lit(SLICES - 1)) == i).write.parquet(f"{folders[name]}/{i}")
+        read = {n: spark.readStream.schema(k).option("recursiveFileLookup", "true").parquet(folders[n]).withColumn(
+            "ts", F.col("ts").cast("timestamp")) for n, k in schemas.items()}
+        matched = matching.stream_matches(read["actuals"], read["forecasts"], ["vendorid"], "1 hour", "2 days")
+        (matched.writeStream.format("parquet").option("checkpointLocation", offsets).outputMode("append")
+         .trigger(availableNow=True).start(out).awaitTermination())
+    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @contextmanager
 def state_store(spark):
     """The RocksDB state store for the streams that need it; the session's own is put back."""

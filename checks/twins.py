@@ -352,3 +352,9 @@ twin("stream_blocks", with_(*BASE) + f"""SELECT CAST(date_trunc('day', {T}) AS T
 WHERE {ON_TIME} AND date_trunc('day', {T}) + INTERVAL 1 DAY {CLOSED} GROUP BY 1""", "mean_total")
 twin("stream_two_day_blocks", with_(*BASE) + f"""SELECT time_bucket(INTERVAL 48 HOUR, {T}, TIMESTAMP '1970-01-01') AS block, count(*) AS n_rows, count(*) AS n_batch FROM feat
 WHERE {ON_TIME} GROUP BY 1 HAVING time_bucket(INTERVAL 48 HOUR, any_value({T}), TIMESTAMP '1970-01-01') + INTERVAL 2 DAY {CLOSED}""")
+twin("stream_matching", with_(*BASE, f"b AS (SELECT CAST(vendorid AS VARCHAR) AS vendorid, date_trunc('hour', {T})::TIMESTAMP AS ts, avg(total_amount) AS value FROM feat GROUP BY 1, 2)",
+  """f AS (SELECT vendorid, ts + d * INTERVAL 1 DAY AS ts, ts AS made_at, value AS forecast FROM b CROSS JOIN (VALUES (1), (2)) v(d)
+WHERE hour(ts) <> 12 AND (d = 2 OR (CAST(datediff('day', DATE '1970-01-01', CAST(ts + d * INTERVAL 1 DAY AS DATE)) AS BIGINT) * 24 + hour(ts)) % 7 <> 3))""",
+  "n AS (SELECT vendorid, ts, max(made_at) AS made_at, arg_max(forecast, made_at) AS forecast FROM f WHERE forecast IS NOT NULL GROUP BY ALL)") +
+  """SELECT b.vendorid, b.ts, b.value, n.made_at, n.forecast FROM b LEFT JOIN n ON b.vendorid = n.vendorid AND b.ts = n.ts
+WHERE b.ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM b) AND b.ts <= (SELECT max(ts) - INTERVAL 49 HOUR FROM f)""", "value forecast")

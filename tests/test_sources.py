@@ -36,6 +36,35 @@ def test_scan_unites_files_of_different_schemas(spark, tmp_path):
         readers.scan_trips(spark, str(tmp_path), "2019-01:2019-02")
 
 
+def test_footers_of_many_files_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    at = dt.datetime(2015, 1, 5)
+    kinds = [{"VendorID": 1, "passenger_count": 2.0}, {"vendorid": "x", "passenger_count": 3}, {"vendorid": "y", "passenger_count": 4, "junk": True}]
+    (tmp_path / "below").mkdir()
+    for i in range(150):
+        row = {**kinds[i % 3], "tpep_pickup_datetime": at, "id": i}
+        pq.write_table(pa.Table.from_pylist([row]), tmp_path / ("below" if i % 2 else "") / f"t {i:03d}.parquet")
+    files = readers._parquet_files(spark, str(tmp_path))
+    found = readers.footers(spark, files)
+    assert found.rdd.getNumPartitions() == 3
+    assert sorted(r["n"] for r in found.groupBy("footer").agg(F.count(F.lit(1)).alias("n")).collect()) == [50, 50, 50]
+    parts = readers._by_schema(spark, files)
+    assert len(parts) == 3 and all(len(p.inputFiles()) == 50 for p in parts)
+    want = [(i, str(list(kinds[i % 3].values())[0]), int(kinds[i % 3]["passenger_count"])) for i in range(150)]
+
+    def rows():
+        return [(r["id"], r["vendorid"], r["passenger_count"]) for r in readers.scan_trips(spark, str(tmp_path), schema=SCHEMA).orderBy("id").collect()]
+
+    assert rows() == want
+    # what tasks cannot reach, Spark reads
+    closed = found.withColumn("footer", F.when(~F.col("file").endswith("7.parquet"), F.col("footer")))
+    monkeypatch.setattr(readers, "footers", lambda *a: closed)
+    assert rows() == want
+    assert readers._footer(str(tmp_path / "none.parquet")) is None and readers._footer("odd://a/b") is None
+
+
 def test_load_modes(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.range(3)

@@ -9,7 +9,7 @@ from tidemark.operators import forecast as Fc
 from tidemark.operators import series as S
 from tidemark.operators.boosting import Boosting, Ensemble
 from tidemark.sources import readers
-from tidemark.streaming import pipeline, sources
+from tidemark.streaming import matching, pipeline, sources
 
 COLUMNS = {"id": "bigint", "vendorid": "string", "tpep_pickup_datetime": "timestamp_ntz", "trip_distance": "double",
            "trip_duration_minutes": "double", "trip_speed_mph": "double", "price_per_distance": "double", "total_amount": "double"}
@@ -183,3 +183,35 @@ def test_stream_medians_are_near_the_middle_and_wait_for_late_rows(spark, tmp_pa
     got = {r["ts"].hour: (r["n"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert set(got) == {0, 1} and got[1] == (3, 4.0) and got[0][0] == len(values)
     assert abs((values < got[0][1]).mean() - 0.5) < 0.01
+
+
+def test_stream_matching_equals_the_batch_form(spark, tmp_path):
+    """Out-of-order slices, repeated forecasts, NULL keys and values, bins without a forecast, forecasts without a bin."""
+    hour = dt.timedelta(hours=1)
+    start = dt.datetime(2024, 1, 1)
+    actuals = [(k, start + i * hour, None if i % 11 == 5 else float(i)) for i in range(96) for k in ("x", None)]
+    forecasts = [(k, start + (i + h) * hour, start + i * hour, float(1000 * i + h)) for i in range(96) for h in range(1, 7)
+                 for k in ("x", None) if (i + h) % 10 != 4]
+    forecasts += [("x", start + 8 * hour, start + 7 * hour, None), ("lone", start + 9 * hour, start, 1.0)]
+    schemas = {"a": "k string, ts timestamp_ntz, value double", "f": "k string, ts timestamp_ntz, made_at timestamp_ntz, forecast double"}
+    for name, rows, at in (("a", actuals, 1), ("f", forecasts, 2)):
+        for s in range(4):
+            # the last two hours of a day come first
+            part = [r for r in rows if (r[at] - start) // dt.timedelta(days=1) == s]
+            part = sorted(part, key=lambda r: ((r[at].hour < 22), r[at]))
+            spark.createDataFrame(part, schemas[name]).coalesce(1).write.parquet(f"{tmp_path}/{name}/{s}")
+
+    def stream(name):
+        rows = spark.readStream.schema(schemas[name]).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+        return rows.parquet(f"{tmp_path}/{name}").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    drain(matching.stream_matches(stream("a"), stream("f"), ["k"], "2 hours", "6 hours"), str(tmp_path))
+    got = spark.read.parquet(str(tmp_path / "out")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {(r["k"], r["ts"]): (r["value"], r["forecast"]) for r in got.collect()}
+    a, f = (spark.createDataFrame(rows, schemas[n]) for n, rows in (("a", actuals), ("f", forecasts)))
+    batch = {(r["k"], r["ts"]): r["forecast"] for r in Fc.match_forecasts(
+        a.fillna("-", "k"), f.dropna(subset=["forecast"]).fillna("-", "k"), ["k"]).collect()}
+    closed = start + 93 * hour
+    want = {(k, ts): (v, batch.get((k or "-", ts))) for k, ts, v in actuals if ts <= closed}
+    assert got == want
+    assert sum(v is None for _, v in got.values()) > 18

@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import quote
 
+import pandas as pd
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,12 +58,12 @@ def _parquet_files(spark: SparkSession, path: str) -> list[str]:
     """A file itself, or the sorted parquet files in a folder and the folders below it."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(where):
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
         raise FileNotFoundError(path)
-    if fs.getFileStatus(where).isFile():
+    if system.getFileStatus(where).isFile():
         return [path]
-    found, names = fs.listFiles(where, True), []
+    found, names = system.listFiles(where, True), []
     while found.hasNext():
         names.append(found.next().getPath().toString())
     return sorted(n for n in names if n.endswith(".parquet") and "/_" not in n[len(path):])
@@ -70,15 +74,38 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# Footers read at a time when files differ in type.
-FOOTERS_AT_ONCE = 16
+# Files whose footers one task reads, and files read at a time through Spark where tasks cannot reach them.
+FOOTERS_A_TASK, FOOTERS_AT_ONCE = 64, 16
+
+
+def _footer(path: str) -> str | None:
+    """Names and types in a file's footer, as text; None where the file system is not open to Python tasks."""
+    try:
+        local = re.fullmatch(r"(?:file:)?/*(/.*)", path)
+        files, inner = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(quote(path, safe="/:@"))
+        with files.open_input_file(inner) as source:
+            return "\n".join(f"{f.name}: {f.type}" for f in pq.read_schema(source))
+    except (OSError, ValueError, NotImplementedError):
+        return None
+
+
+def footers(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``file, footer``: the schema of each file as text, read by tasks."""
+
+    @F.pandas_udf("string")
+    def read(paths: pd.Series) -> pd.Series:
+        return paths.map(_footer)
+
+    paths = spark.createDataFrame([(f,) for f in files], "file string")
+    return paths.repartition(-(-len(files) // FOOTERS_A_TASK)).select("file", read("file").alias("footer"))
 
 
 def _by_schema(spark: SparkSession, files: list[str]) -> list[DataFrame]:
     """The files as one frame per schema.
 
     One distributed pass merges the footers.  Only where names clash or types
-    differ are they read file by file, several at a time.
+    differ does a second one tell the schema of each file; files of equal
+    footers are then read together, and Spark looks into one of them.
     """
     try:
         merged = spark.read.option("mergeSchema", True).parquet(*files)
@@ -87,11 +114,14 @@ def _by_schema(spark: SparkSession, files: list[str]) -> list[DataFrame]:
             return [merged]
     except (PySparkException, Py4JJavaError):
         pass  # types differ between files
-    with ThreadPoolExecutor(max_workers=FOOTERS_AT_ONCE) as pool:
-        schemas = list(pool.map(lambda f: spark.read.parquet(f).schema.json(), files))
-    groups: dict[str, list[str]] = {}
-    for f, found in zip(files, schemas):
-        groups.setdefault(found, []).append(f)
+    # the names that the driver has listed, by schema
+    found = footers(spark, files).groupBy("footer").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    groups = {r["footer"]: r["files"] for r in sorted(found, key=lambda r: r["files"][0]) if r["footer"] is not None}
+    closed = [f for r in found if r["footer"] is None for f in r["files"]]
+    if closed:
+        with ThreadPoolExecutor(max_workers=FOOTERS_AT_ONCE) as pool:
+            for f, schema in zip(closed, pool.map(lambda f: spark.read.parquet(f).schema.json(), closed)):
+                groups.setdefault(schema, []).append(f)
     return [spark.read.parquet(*g) for g in groups.values()]
 
 
