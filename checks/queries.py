@@ -678,11 +678,11 @@ def gbt_forecast(spark, sf):
     return requests.answer(rows.filter(F.col(PICKUP) >= cut), request, "forecast", "xgboost")
 
 
-MODEL_RESOLUTIONS, MODEL_METRICS = ["30m", "1h"], ["total_amount", "trip_distance"]
+MODEL_RESOLUTIONS, MODEL_METRICS = ["30m", "1h"], ["total_amount"]
 
 
 def model_table(spark, sf):
-    """Models of a few metrics and all vendors at two resolutions, promoted to a table and read from there."""
+    """Models of two metrics (counts come with any) and all vendors at two resolutions, promoted to a table and read from there."""
     early = trips(spark, sf).filter(F.col(PICKUP) < F.lit(MODEL_END).cast("timestamp_ntz"))
     path = scratch(spark, "models")
     rows = S.long_series(early, MODEL_RESOLUTIONS, metrics=MODEL_METRICS, how="mean")
@@ -848,7 +848,7 @@ def stream_matching(spark, sf):
     noon bins have none at all.
     """
     folders, offsets, out = {x: scratch(spark, x) for x in ("actuals", "forecasts")}, scratch(spark, "offsets"), scratch(spark, "out")
-    bins = checkpointed(S.bin_series(trips(spark, sf), "total_amount", "1h", keys=["vendorid"]))
+    bins = checkpointed(S.bin_series(trips(spark, sf), "total_amount", "1h", "mean", keys=["vendorid"]))
     number = F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")
     made = [bins.select("vendorid", (F.col("ts") + F.make_dt_interval(F.lit(d))).alias("ts"), F.col("ts").alias("made_at"),
                         F.col("value").alias("forecast")).filter((F.hour("ts") != 12) & ((number % 7 != 3) | F.lit(d == 2))) for d in (1, 2)]
