@@ -11,7 +11,7 @@ import xxhash
 
 from tests.llm.conftest import ODD, documents, prose
 from tidemark.llm import (
-    components, host_rules, license_scan, mixing, packing, pii_crf, segments, simhash_balls, substring_dedup, token_counts,
+    components, host_rules, license_scan, license_signatures, mixing, packing, pii_crf, segments, simhash_balls, substring_dedup, token_counts,
     weighted_sampling)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -420,6 +420,31 @@ def test_rules_and_suppression(text, labels):
     assert got.labels == labels and 0 <= got.score <= 1
 
 
+@pytest.mark.parametrize("rule", [*license_signatures.SIGNATURES, *license_signatures.spdx_rules()], ids=lambda r: f"{r[0]}: {r[5][:40]}")
+def test_each_signature_finds_its_own_example(rule):
+    label, keywords, pattern, _, confidence, example = rule
+    words, _ = license_scan.normal(example.encode())
+    assert keywords in words.decode() and re.search(f"(?<= )(?:{pattern})(?= )", words.decode())
+    got = license_scan.scan(f"prose before {example} prose after".encode())
+    assert label in got.labels.split(",") and got.score >= confidence
+
+
+def test_signatures_are_many_and_differ():
+    patterns = [r[2] for r in license_signatures.SIGNATURES]
+    assert len(patterns) == len(set(patterns)) >= 190
+    assert all(0 < r[4] <= 1 and r[0] == r[0].lower() for r in license_signatures.SIGNATURES)
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("GPLv3", "gpl-3.0"), ("Apache-2.0", "apache-2.0"), ("Creative Commons Attribution 4.0 International", "cc-by"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+     "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl,gpl-2.0-or-later"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0-or-later"), ("mit freundlichen Gruessen, an apache helicopter", ""),
+    ("He asked for permission; the gplay store and curl of smoke, ISC West and the vim of it", "")])
+def test_short_names_headers_and_plain_prose(text, labels):
+    assert license_scan.scan(text.encode()).labels == labels
+
+
 def test_suppression_equals_its_definition():
     rng = np.random.default_rng(3)
     for _ in range(200):

@@ -1,7 +1,7 @@
 """Licence detection by ordered signature rules.
 
 Rules are regular expressions over a text's words (lower case, one space apart).
-A rule runs only where all its keywords occur.  Where detections overlap, one
+A rule runs only where its keywords occur.  Where detections overlap, one
 whose words lie within a detection of the same or a higher priority is dropped.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import column, small_batches, text_column
+from tidemark.llm.license_signatures import SIGNATURES, spdx_rules
 
 _WORD_BYTES = set(b"abcdefghijklmnopqrstuvwxyz0123456789") | set(range(0x80, 0x100))
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b in _WORD_BYTES else 32 for b in range(256))
@@ -26,84 +27,6 @@ _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b in _WORD_BYTES else 32 for
 # The base phrases and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-# A version as words: "2.0" reads "2 0", "v3" may stand as one word or two.
-_V = r"(?:,? ?(?:v|ver|version) ?)?"
-
-
-def _number(version: str) -> str:
-    """A version as words; a last ".0" may be missing."""
-    major, _, minor = version.partition(".")
-    return f"{major}(?: ?0)?" if minor == "0" else f"{major} ?{minor}" if minor else major
-
-
-def _versioned(name: str, label: str, *versions: str) -> list[tuple[str, str, str]]:
-    """(label, keyword, name pattern) for each version of a licence, and for it without one."""
-    keyword = re.sub(r"\(.*?\)\??", "", name).split()[0]
-    out = [(f"{label}-{v}", keyword, f"{name} {_V}{_number(v)}(?: or later| only)?") for v in versions]
-    return [*out, (label, keyword, f"{name}")]
-
-
-@cache
-def families() -> list[tuple[str, str, str]]:
-    """(label, keyword, name pattern) of licences; the longer name stands before the shorter."""
-    kinds = ["by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by"]
-    out = [(f"cc-{k.replace(' ', '-')}", "cc", rf"cc {k}(?: [1-4] [05])?") for k in kinds]
-    spoken = {"nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?", "sa": "share ?alike", "by": "attribution"}
-    out += [(f"cc-{k.replace(' ', '-')}", "commons",
-             "creative commons " + " ".join(spoken[x] for x in k.split()) + r"(?: [1-4] [05])?") for k in kinds]
-    out += _versioned("(?:gnu )?affero general public license", "agpl", "3.0")
-    out += _versioned("(?:gnu )?lesser general public license", "lgpl", "2.1", "3.0")
-    out += _versioned("(?:gnu )?library general public license", "lgpl", "2.0")
-    out += _versioned("(?:gnu )?free documentation license", "gfdl", "1.1", "1.2", "1.3")
-    out += _versioned("(?:gnu )?general public license", "gpl", "1.0", "2.0", "3.0")
-    out += _versioned("agpl", "agpl", "3.0") + _versioned("lgpl", "lgpl", "2.1", "3.0")
-    out += _versioned("gpl", "gpl", "2.0", "3.0")
-    out += _versioned("apache(?: software)?(?: license)?", "apache", "1.0", "1.1", "2.0")
-    out += _versioned("mozilla public license", "mpl", "1.0", "1.1", "2.0") + _versioned("mpl", "mpl", "1.1", "2.0")
-    out += _versioned("eclipse public license", "epl", "1.0", "2.0") + _versioned("epl", "epl", "1.0", "2.0")
-    out += _versioned("european union public licen[cs]e", "eupl", "1.1", "1.2") + _versioned("eupl", "eupl", "1.1", "1.2")
-    out += _versioned("common development and distribution license", "cddl", "1.0", "1.1")
-    out += _versioned("cddl", "cddl", "1.0", "1.1") + _versioned("artistic", "artistic", "1.0", "2.0")
-    out += _versioned("open software", "osl", "3.0") + _versioned("academic free", "afl", "2.1", "3.0")
-    out += _versioned("sil open font license", "ofl", "1.0", "1.1") + _versioned("ofl", "ofl", "1.1")
-    out += _versioned("boost software license", "bsl", "1.0") + _versioned("python software foundation", "psf", "2")
-    out += _versioned("open database license", "odbl", "1.0") + _versioned("microsoft public", "ms-pl")
-    out += _versioned("server side public license", "sspl", "1") + _versioned("business source license", "busl", "1.1")
-    out += [
-        ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
-        ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
-        ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd)"),
-        ("0bsd", "bsd", r"(?:0bsd|zero clause bsd)"), ("bsd", "bsd", "bsd"),
-        ("mit", "mit", "(?:mit x11|mit expat|mit)"), ("isc", "isc", "isc"), ("zlib", "zlib", "(?:zlib libpng|zlib)"),
-        ("cc0-1.0", "cc0", r"cc0(?: 1 0)?"), ("unlicense", "unlicense", "unlicense"), ("wtfpl", "wtfpl", "wtfpl"),
-        ("postgresql", "postgresql", "postgresql"), ("x11", "x11", "x11"), ("curl", "curl", "curl"),
-    ]
-    return out
-
-
-# How a licence's name is used: keyword, pattern around the name, priority, confidence.
-USES = [
-    ("spdx", r"spdx licen[sc]e identifier {n}", 100, 1.0),
-    ("under", r"(?:licen[sc]ed|released|distributed|available|published|provided|offered|shared|covered) under "
-              r"(?:the )?(?:terms of )?(?:the |an? )?{n}(?: public)?(?: licen[sc]e)?", 90, 0.95),
-    ("of", r"(?:terms|conditions|provisions|copy) (?:and conditions )?of (?:the )?{n}(?: public)?(?: licen[sc]e)?", 80, 0.9),
-    ("licen", r"{n}(?: style| compatible)?(?: public)? licen[sc]ed?", 70, 0.8),
-    ("licen", r"licen[sc]e {n}", 60, 0.7),
-]
-# Rules on sentences that name no licence: label, keyword, pattern, priority, confidence.
-SENTENCES = [
-    ("reserved", "rights", r"all rights (?:are )?reserved", 50, 0.6),
-    ("reserved", "reproduction", r"(?:no part|reproduction|redistribution) .{0,60}? (?:prohibited|without (?:the )?(?:prior )?(?:written )?permission)", 50, 0.6),
-    ("public-domain", "domain", r"(?:in|into|to|dedicated to) the public domain", 50, 0.7),
-    ("mit", "granted", r"permission is hereby granted free of charge to any person obtaining a copy", 95, 1.0),
-    ("isc", "hereby", r"permission to use copy modify and or distribute this software", 95, 1.0),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification", 95, 1.0),
-    ("copyright", "copyright", r"copyright (?:c |© ?)?(?:19|20)[0-9]{2}", 40, 0.5),
-    ("cc-by", "cc", r"cc by", 30, 0.5),
-    ("gpl", "general", r"general public license", 30, 0.5),
-    ("proprietary", "proprietary", r"proprietary (?:and confidential|software|licen[sc]e)", 50, 0.6),
-]
-
 
 class Rule(NamedTuple):
     label: str
@@ -123,12 +46,9 @@ class Detection(NamedTuple):
 
 @cache
 def rules() -> list[Rule]:
-    """All rules, in order: earlier ones win ties of priority."""
-    out = [
-        Rule(label, (keyword, use), re.compile(f"(?<= ){pattern.replace('{n}', f'(?:{name})')}(?= )"), priority, confidence)
-        for use, pattern, priority, confidence in USES for label, keyword, name in families()]
-    out += [Rule(label, (keyword,), re.compile(f"(?<= ){pattern}(?= )"), priority, confidence)
-            for label, keyword, pattern, priority, confidence in SENTENCES]
+    """All rules by priority; of one priority in the order they are written."""
+    out = [Rule(label, (keywords,), re.compile(f"(?<= ){pattern}(?= )"), priority, confidence)
+           for label, keywords, pattern, priority, confidence, _ in [*spdx_rules(), *SIGNATURES]]
     return sorted(out, key=lambda r: -r.priority)
 
 
