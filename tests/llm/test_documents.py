@@ -464,6 +464,45 @@ def test_scan_of_odd_rows(odd, none):
     assert license_scan.scanned(none).count() == 0
 
 
+# -- the field's parts -----------------------------------------------------------------
+
+def test_shapes_and_gaps_know_whole_tokens():
+    chain = "-".join("abcdefghijklmn")
+    plain, phone = (pii_crf.described(f"{chain}{x}", 0, len(chain) + len(x), False) for x in ("-1", "-+12345678901"))
+    assert plain.shape != phone.shape and len(phone.shape) <= pii_crf.SHAPE_CHARS
+    long = "1" * 200 + "x"
+    assert pii_crf.described(long, 0, 201, False).coarse != pii_crf.described(long[:-1], 0, 200, False).coarse
+    for gap, joined in ((" ", True), ("  \n" * 40, True), (" to ", False)):
+        text = f"555{gap}1234"
+        assert [t.joined for t in pii_crf.tokens(text)] == [False, joined]
+    assert pii_crf.tokens("555" + " " * 500 + "1234")[1].joined
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_messages_on_trees_give_the_marginals_of_all_labellings(seed):
+    import itertools
+
+    rng = np.random.default_rng(seed)
+    names = ("chain", "repeat", "similar")
+    counts = {("edge", k, a, b): int(rng.integers(1, 60)) for k in names for a in range(pii_crf.N) for b in range(pii_crf.N)}
+    counts |= {("coarse", f"c{i}", int(a), 0): int(rng.integers(1, 30)) for i in range(5) for a in range(pii_crf.N)}
+    counts |= {("shape", f"s{i}", int(rng.integers(pii_crf.N)), 0): 9 for i in range(5)}
+    field = pii_crf.Field(counts)
+    # a chain of three; the first is repeated by the fourth, and the fifth looks like the third
+    found = [pii_crf.Token(i, i + 1, i in (1, 2), s, f"c{i}", d, key) for i, (s, d, key) in enumerate([
+        ("s0", "", "word1"), ("s1", "", "b"), ("s2", "1234567", "c1234567"), ("s3", "", "word1"), ("s2", "7654321", "d7654321")])]
+    groups = pii_crf.edges(found)
+    assert [len(g) for g in groups] == [2, 1, 1]
+    nodes = np.array([field.node(t) for t in found])
+    total = np.zeros((len(found), pii_crf.N))
+    for labels in itertools.product(range(pii_crf.N), repeat=len(found)):
+        weight = sum(nodes[i, y] for i, y in enumerate(labels))
+        weight += sum(table[labels[i], labels[j]] for table, g in zip(field.edges, groups) for i, j in g)
+        for i, y in enumerate(labels):
+            total[i, y] += np.exp(weight)
+    assert np.abs(field.marginals(found) - total / total.sum(1, keepdims=True)).max() < 0.01
+
+
 # -- passages ----------------------------------------------------------------------
 
 def test_a_hot_passage_is_dealt_out_and_stays_linked(spark, monkeypatch):

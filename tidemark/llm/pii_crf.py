@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,6 +111,10 @@ class Token(NamedTuple):
 
 _EDGE = "\"'.,;:!?()[]{}<>|*#$%&"
 _RUN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
+_LETTER = re.compile(r"[^\W\d_]")
+_GAP = re.compile(r"[ \t\n\x0b\x0c\r]*")
+# A longer shape is named by its digest, so a long token takes no more room.
+SHAPE_CHARS = 24
 
 
 def _size(n: int) -> str:
@@ -128,10 +133,12 @@ def described(text: str, start: int, end: int, joined: bool) -> Token:
         user, _, domain = core.partition("@")
         shape = f"{'a' if user else ''}@{'a' if domain else ''}{min(domain.count('.'), 2)}"
     else:
-        runs = [_size(len(r)) if r[0] in "0123456789" else "a" if r[0].isalpha() else r[0] for r in _RUN.findall(core[:64])]
-        shape = lead + "".join(runs)[:24]
+        runs = [_size(len(r)) if r[0] in "0123456789" else "a" if r[0].isalpha() else r[0] for r in _RUN.findall(core)]
+        shape = lead + "".join(runs)
+        if len(shape) > SHAPE_CHARS:
+            shape = f"#{xxhash.xxh64_hexdigest(shape)}"
     digits = digits_of(core)
-    letters = any(c.isalpha() for c in core[:64])
+    letters = _LETTER.search(core) is not None
     coarse = f"{'@' in core}{letters}{_size(len(digits))}{min(core.count('.'), 4)}{core[:1] == '+'}"
     return Token(low, end, joined, shape, coarse, digits, core.lower())
 
@@ -143,7 +150,7 @@ def tokens(text: str) -> list[Token]:
         start = m.start()
         while start > last and text[start - 1] not in _SPACES:
             start -= 1
-        joined = bool(out) and not text[last:start].strip(" \t\n\x0b\x0c\r") if start - last <= 8 else False
+        joined = bool(out) and _GAP.fullmatch(text, last, start) is not None
         token = described(text, start, m.end(), joined)
         last = m.end()
         if token.start < token.end:
@@ -315,7 +322,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
     n = max(docs.count(), 1)
     drawn = docs.select(body.alias("text")).withColumn("hash", F.xxhash64("text"))
     share = min(sample / n, 1.0)
-    drawn = drawn.filter(F.pmod("hash", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).dropDuplicates(["hash"])
+    drawn = drawn.filter(F.pmod("hash", F.lit(1 << 48)) < int(share * (1 << 48)) + 1).dropDuplicates(["hash"])
     counts = (
         drawn.select("text").mapInArrow(_count_batches, "what string, name string, a bigint, b bigint, n bigint")
         .groupBy("what", "name", "a", "b").agg(F.sum("n").alias("n"))
