@@ -66,6 +66,19 @@ def test_long_series_is_exact_however_work_is_dealt_out(spark, block_records):
     assert timed == want and len(got) == len(want) + len(timeless)
 
 
+def test_samples_of_runs_bound_ranks_and_leave_few_values():
+    rng = np.random.default_rng(8)
+    for values in (rng.lognormal(2, 1, 60_000), rng.integers(1, 7, 60_000).astype(float), np.r_[-np.inf, np.zeros(59_998), np.inf]):
+        runs = [np.sort(x) for x in np.split(values, np.sort(rng.integers(1, 60_000, 20)))]
+        runs = [r for r in runs if len(r)]
+        whole, n = np.sort(values), len(values)
+        for low, high in ((0, 0), ((n - 1) // 2, n // 2), (n - 1, n - 1)):
+            a, b = S.rank_bounds([(len(r), r[S.sample_places(len(r))]) for r in runs], low, high)
+            assert a <= whole[low] and whole[high] <= b
+            step = sum(-(-len(r) // (S.RUN_SAMPLES - 1)) for r in runs)
+            assert np.count_nonzero((values > a) & (values < b)) <= 4 * step
+
+
 def test_long_series_without_rows_vendors_or_nested_widths(spark):
     df = trips(spark, [(1, "1", T0, 1.0), (2, "2", T0, 3.0), (3, "9", T0, 100.0), (4, None, T0, None)])
     only = lambda vendors, **more: {r["series_id"]: r["value"] for r in S.long_series(

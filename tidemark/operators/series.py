@@ -7,8 +7,6 @@ A *series* frame has key columns (any, often metric, resolution, vendor), a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.functions.joins import join_on
 from tidemark.functions.ordering import global_position, in_blocks, lagged, per_group, with_position
-from tidemark.functions.quantiles import array_quantile, merged_slices, quantiles, slice_counts
+from tidemark.functions.quantiles import array_quantile, quantiles
 from tidemark.operators.records import vendor_filter
 from tidemark.schema import (
     ALL_VENDORS, COUNT_METRIC, MAD_FLOOR, RESOLUTION_SECONDS, SERIES_KEYS, VALUE_METRICS,
@@ -29,6 +27,8 @@ from tidemark.session import checkpointed, stored_lookup
 PICKUP = "tpep_pickup_datetime"
 # Records of a block whose nested bins are taken together.
 BLOCK_RECORDS = 50_000
+# Values of a sorted run that tell where its ranks lie.
+RUN_SAMPLES = 256
 
 
 # -- binning ------------------------------------------------------------------
@@ -100,8 +100,8 @@ def long_series(
     Counts, and sums for means, are rolled up from the units.  For medians a
     record goes once to the widest nested bin of at most ``block_records``
     records that holds it, where the medians of all bins within are taken
-    together.  Wider bins add up counts by value slice, each width from the
-    widest that divides it, and only slices with a wanted rank are read again.
+    together.  Wider bins are met by sorted runs, one per block, vendor and metric:
+    samples of the runs bound each median, and only values between are read again.
     ``block_records`` decides how work is dealt out, not what is found.
     """
     if how not in ("median", "mean"):
@@ -137,7 +137,7 @@ def long_series(
                             for n, m in zip(names, metrics)])
         values = wide.unpivot(place, metrics, "metric", "value")
     else:
-        values = _nested_medians(rows, units, widths, names, own, total, labelled, block_records).select(
+        values = _nested_medians(rows, units, widths, names, own, total, block_records).select(
             named("_m", metrics).alias("metric"), *place, "value")
     series = counts.unionByName(values).dropna(subset=["value"]).withColumn("resolution", named("_r", resolutions))
     return series.select(
@@ -152,7 +152,7 @@ def nest_widths(widths: list[int]) -> list[int]:
 
 def _nested_medians(
     rows: DataFrame, units: DataFrame, widths: list[int], names: list[str], own: list[str], total: bool,
-    labelled: Callable[[DataFrame], DataFrame], block_records: int,
+    block_records: int,
 ) -> DataFrame:
     """Rows (_m, _r, vendor, ts, value): the median of each metric in each bin, by position of metric and width."""
     nests = nest_widths(widths)
@@ -164,44 +164,137 @@ def _nested_medians(
         "_t", "_c", "_w", (F.col("_s") - F.pmod("_s", "_w")).alias("_b"))
     small = nested.groupBy("_w", "_b").agg(F.sum("_c").alias("_n")).filter(F.col("_n") <= block_records)
     widest = nested.join(small, ["_w", "_b"]).groupBy("_t").agg(F.max(F.struct("_w", "_b")).alias("_p"))
-    blocks = stored_lookup(unit.select("_t").join(widest, "_t", "left").select(
-        "_t", F.coalesce("_p._w", F.lit(0)).alias("_w"), "_p._b"))
-    tight = join_on(rows, blocks.filter("_w > 0"), ["_t"])
+    # a unit of more records is dealt to several blocks of its own
+    parts = F.when(F.col("_p").isNull(), F.ceil(F.col("_c") / max(block_records, 1))).otherwise(1)
+    blocks = stored_lookup(join_on(unit, widest, ["_t"], "left").select(
+        "_t", F.coalesce("_p._w", F.lit(0).cast("bigint")).alias("_w"), F.coalesce("_p._b", second).alias("_b"), parts.alias("_parts")))
+    dealt = join_on(rows.withColumn("_i", F.monotonically_increasing_id()), blocks, ["_t"]).withColumn(
+        "_part", F.pmod("_i", "_parts")).drop("_i", "_parts")
 
     def medians(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         at = frame["_t"].to_numpy().astype("datetime64[s]").astype(np.int64)
         code = pd.Categorical(frame["vendor"], categories=own).codes.astype(np.int64)
         columns = [frame[n].to_numpy(dtype=float) for n in names]
-        return bin_medians(at, code, columns, [(r, w) for r, w in enumerate(widths) if w <= key[0]], own, total)
+        wide = [w for w in widths if limit[w] > key[0]]
+        inner = bin_medians(at, code, columns, [(r, w) for r, w in enumerate(widths) if limit[w] <= key[0]], own, total).assign(_runs=None)
+        made = [x for x in (inner, sorted_runs(at, code, columns, wide, own) if wide else inner[:0]) if len(x)]
+        return (pd.concat(made, ignore_index=True) if made else inner).reindex(columns=inner.columns).assign(_w=key[0])
 
-    found = tight.groupBy("_w", "_b").applyInPandas(
-        medians, "_r int, vendor string, ts timestamp_ntz, " + ", ".join(f"{n} double" for n in names))
+    found = dealt.groupBy("_w", "_b", "_part").applyInPandas(
+        medians, "_r int, vendor string, ts timestamp_ntz, " + ", ".join(f"{n} double" for n in names) + ", _w bigint, _runs array<binary>")
     place = ["_r", "vendor", "ts"]
-    found = found.select(*place, F.posexplode(F.array(*names)).alias("_m", "value"))
-    wide = blocks.filter(F.col("_w") < max(limit.values())).select("_t", "_w")
-    if wide.isEmpty():
-        return found.select("_m", *place, "value")
-
-    loose = checkpointed(labelled(join_on(rows, wide, ["_t"])).select(
-        "vendor", "_t", "_w", F.posexplode(F.array(*names)).alias("_m", "value")))
-    keys = ["_m", "vendor"]
-    tables = {math.gcd(*widths): checkpointed(slice_counts(loose, [*keys, "_t", "_w"], "value"))}
-    levels = []
-    for w in sorted(set(widths)):
-        finer = tables[max(x for x in tables if w % x == 0)]
-        # units of one bin agree on whether it is wide
-        merged = merged_slices(finer, *keys, C.bin_floor("_t", w).alias("_t"), F.when(
-            F.col("_w") < limit[w], F.lit(0)).otherwise(F.col("_w")).alias("_w"))
-        tables[w] = checkpointed(merged)
-        levels += [tables[w].filter(F.col("_w") < limit[w]).select(
-            "_m", F.lit(r).alias("_r"), "vendor", F.col("_t").alias("ts"), "_slice", "_c", "_lo", "_hi")
-            for r, x in enumerate(widths) if x == w]
+    wide = not blocks.filter(F.col("_w") < max(limit.values())).isEmpty()
+    found = checkpointed(found) if wide else found
+    inner = found.filter("_r >= 0").select(*place, F.posexplode(F.array(*names)).alias("_m", "value")).select("_m", *place, "value")
+    return inner.unionByName(_run_medians(found.filter("_r < 0"), limit, widths, total)) if wide else inner
+
+
+def sorted_runs(
+    at: np.ndarray, code: np.ndarray, columns: list[np.ndarray], wide: list[int], own: list[str],
+) -> pd.DataFrame:
+    """Sorted values of a block, by vendor and by stretch of it that lies in one bin of each of the ``wide`` widths.
+
+    Rows (_r, vendor, ts, _runs): -1, a vendor or None, a time within the stretch, and the values of each column as bytes.
+    """
+    bins = np.stack([at // w for w in wide] + [code])
+    found, first, place = np.unique(bins, axis=1, return_index=True, return_inverse=True)
+    place, runs = place.reshape(-1), [[] for _ in first]
+    for v in columns:
+        order = np.argsort(v, kind="stable")[: len(v) - np.count_nonzero(np.isnan(v))]
+        order = order[np.argsort(place[order], kind="stable")]
+        ends = np.cumsum(np.bincount(place[order], minlength=len(first)))
+        for i, part in enumerate(np.split(v[order], ends[:-1])):
+            runs[i].append(part.tobytes())
+    return pd.DataFrame({"_r": np.full(len(first), -1, np.int32), "vendor": [own[c] if c >= 0 else None for c in code[first]],
+                         "ts": at[first].astype("datetime64[s]"), "_runs": runs})
+
+
+def rank_bounds(samples: list[tuple[int, np.ndarray]], low: int, high: int) -> tuple[float, float]:
+    """Values between which the ranks ``low`` to ``high`` of all runs lie, from (length, samples) of each run.
+
+    With a run's samples each at most a step of places apart, no more values lie strictly between the bounds than a few steps of all runs.
+    """
+    values = np.concatenate([v for _, v in samples])
+    places = [sample_places(n) for n, _ in samples]
+    # how many of a run are surely not above a sample, and how many may lie below what follows a sample
+    up = np.concatenate([np.diff(p, prepend=-1) for p in places])
+    past = np.concatenate([np.diff(p, append=n) for (n, _), p in zip(samples, places)])
+    order = np.argsort(values, kind="stable")
+    values, up, past = values[order], np.cumsum(up[order]), np.cumsum(past[order])
+    first = np.searchsorted(values, values, "left")
+    below = np.where(first > 0, past[first - 1], 0)
+    return float(values[np.searchsorted(below, low, "right") - 1]), float(values[np.searchsorted(up, high + 1, "left")])
+
+
+def sample_places(n: int) -> np.ndarray:
+    """Evenly spaced places of a run, its first and last among them."""
+    return np.unique(np.linspace(0, n - 1, min(n, RUN_SAMPLES)).astype(np.int64))
+
+
+def _run_medians(runs: DataFrame, limit: dict[int, int], widths: list[int], total: bool) -> DataFrame:
+    """Rows (_m, _r, vendor, ts, value): medians of the bins that are wider than blocks, from sorted runs.
+
+    Samples of the runs give bounds of each bin's median; only the few values
+    between the bounds are read again.  Runs are not moved unless the bounds are many.
+    """
     bins = F.array_compact(F.array(*[
-        F.when(F.col("_w") < limit[w], F.struct(F.lit(r).alias("_r"), C.bin_floor("_t", w).alias("ts")))
-        for r, w in enumerate(widths)]))
-    expanded = loose.select("_m", "vendor", "value", F.explode(bins).alias("_p")).select("_m", "vendor", "value", "_p.*")
-    exact = quantiles(expanded, ["_m", *place], "value", {"value": 0.5}, slices=reduce(DataFrame.unionByName, levels))
-    return found.select("_m", *place, "value").unionByName(exact.select("_m", *place, "value"))
+        F.when(F.col("_w") < limit[w], F.struct(F.lit(r).alias("_r"), C.bin_floor("ts", w).alias("ts"))) for r, w in enumerate(widths)]))
+    labels = F.array_compact(F.array(*[F.lit(ALL_VENDORS)] * total, F.col("vendor")))
+    held = runs.select(F.monotonically_increasing_id().alias("_id"), "_runs", F.col("vendor").alias("_own"), bins.alias("_bins"), labels.alias("_labels"))
+    place = ["_m", "_r", "vendor", "ts"]
+
+    def sampled(batches):
+        for frame in batches:
+            out = []
+            for i, parts in zip(frame["_id"], frame["_runs"]):
+                for m, part in enumerate(parts):
+                    v = np.frombuffer(part)
+                    if len(v):
+                        out.append((i, m, len(v), v[sample_places(len(v))].tobytes()))
+            yield pd.DataFrame(out, columns=["_id", "_m", "_n", "_samples"])
+
+    samples = held.select("_id", "_runs").mapInPandas(sampled, "_id bigint, _m int, _n bigint, _samples binary")
+    # one small row per run, bin and label
+    where = held.select("_id", F.explode("_bins").alias("_p"), "_labels").select("_id", "_p.*", F.explode("_labels").alias("vendor"))
+    placed = checkpointed(samples.join(where, "_id"))
+
+    def bounds(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        n = int(frame["_n"].sum())
+        low, high = rank_bounds([(k, np.frombuffer(s)) for k, s in zip(frame["_n"], frame["_samples"])], (n - 1) // 2, n // 2)
+        return pd.DataFrame([(*key, n, low, high)], columns=[*place, "_n", "_low", "_high"])
+
+    kinds = "_m int, _r int, vendor string, ts timestamp_ntz, "
+    # small groups that take time by their number, so they are not put together by bytes
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = placed.repartition(tasks, *place).groupBy(*place).applyInPandas(bounds, kinds + "_n bigint, _low double, _high double")
+    wanted = join_on(placed.select("_id", *place), found, place)
+    wanted = stored_lookup(wanted.groupBy("_id").agg(F.collect_list(F.struct(*place, "_n", "_low", "_high")).alias("_wanted")))
+
+    def between(batches):
+        for frame in batches:
+            out = []
+            for parts, asked in zip(frame["_runs"], frame["_wanted"]):
+                for x in asked:
+                    v = np.frombuffer(parts[x["_m"]])
+                    below, end = np.searchsorted(v, x["_low"], "left"), np.searchsorted(v, x["_high"], "right")
+                    inside, times = np.unique(v[below:end], return_counts=True)
+                    out.append((x["_m"], x["_r"], x["vendor"], x["ts"], x["_n"], int(below), inside.tobytes(), times.astype(np.int64).tobytes()))
+            yield pd.DataFrame(out, columns=[*place, "_n", "_below", "_values", "_times"])
+
+    def middle(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        n, below = int(frame["_n"].iloc[0]), int(frame["_below"].sum())
+        values = np.concatenate([np.frombuffer(x) for x in frame["_values"]])
+        times = np.concatenate([np.frombuffer(x, np.int64) for x in frame["_times"]])
+        order = np.argsort(values, kind="stable")
+        at = np.searchsorted(below + np.cumsum(times[order]), [(n - 1) // 2, n // 2], "right")
+        low, high = (float(x) for x in values[order][at])
+        with np.errstate(invalid="ignore"):
+            value = low if low == high else low + np.float64(high - low) * 0.5
+        return pd.DataFrame([(*key, value)], columns=[*place, "value"])
+
+    read = held.select("_id", "_runs").join(wanted, "_id").mapInPandas(
+        between, kinds + "_n bigint, _below bigint, _values binary, _times binary")
+    return read.repartition(tasks, *place).groupBy(*place).applyInPandas(middle, kinds + "value double")
 
 
 def bin_medians(
