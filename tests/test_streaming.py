@@ -215,3 +215,53 @@ def test_stream_matching_equals_the_batch_form(spark, tmp_path):
     want = {(k, ts): (v, batch.get((k or "-", ts))) for k, ts, v in actuals if ts <= closed}
     assert got == want
     assert sum(v is None for _, v in got.values()) > 18
+
+
+class _State:
+    """A state in memory that counts its elements."""
+
+    def __init__(self):
+        self.rows = []
+
+    exists = lambda self: bool(self.rows)
+    clear = lambda self: self.rows.clear()
+    appendValue = lambda self, row: self.rows.append(row)
+    get = lambda self: self.rows[0] if isinstance(self.rows, tuple) else iter(self.rows)
+
+
+class _Handle:
+    def __init__(self):
+        self.lists, self.value = {}, _State()
+        self.value.update = lambda row: setattr(self.value, "rows", (row,))
+
+    def getListState(self, name, kind):
+        return self.lists.setdefault(name, _State())
+
+    getValueState = lambda self, name, kind: self.value
+    registerTimer = lambda self, at: None
+
+
+def test_count_windows_of_a_stream_come_in_packs():
+    """Neither state elements nor output frames grow with single rows or windows."""
+    from types import SimpleNamespace
+
+    from tidemark.streaming.windows import CountWindows
+
+    n, size, step = 20_000, 100, 40
+    rng, base = np.random.default_rng(6), pd.Timestamp("2024-01-01")
+    rows = pd.DataFrame({"id": rng.permutation(n), "ts": base + pd.to_timedelta(np.sort(rng.integers(0, n, n)), unit="s"), "x": rng.random(n)})
+    rows.loc[::9, "x"] = np.nan
+    made = CountWindows(["k"], ["id", "ts", "x"], None, size, step, ("ts", "id"))
+    made.init(_Handle())
+    frames, marks = [], [base - pd.Timedelta(days=1), base + pd.Timedelta(seconds=n // 2), base + pd.Timedelta(days=9)]
+    for mark, part in zip(marks, (rows[:0], rows, None)):
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark.value / 1e6)
+        frames += list(made.handleInputRows(("a",), [part], times) if part is not None else made.handleExpiredTimer(("a",), times, None))
+        if part is not None and len(part):
+            late = part["ts"] <= mark
+    assert sum(len(s.rows) for s in made.handle.lists.values()) <= 4 and len(frames) <= 8
+    got = pd.concat(frames, ignore_index=True)
+    kept = rows[~late].sort_values(["ts", "id"]).reset_index(drop=True)
+    want = pd.concat([kept[i * step:i * step + size].assign(window_index=i) for i in range((len(kept) - size) // step + 1)], ignore_index=True)
+    pd.testing.assert_frame_equal(got[["id", "ts", "x", "window_index"]], want, check_dtype=False)
+    assert set(got["k"]) == {"a"}

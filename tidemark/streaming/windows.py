@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from tidemark.functions.ordering import global_position
 # ---- fixed values -----------------------------------------------------------
 WINDOW_ROWS, WINDOW_STEP = 1000, 200
 # ---- end of fixed values ----------------------------------------------------
+# State holds rows in packs of this many; rows of windows given out together.
+PACKED, PACKED_ROWS, OUTPUT_ROWS = "rows binary", 50_000, 200_000
 
 
 def sliding_count_windows(
@@ -53,10 +56,9 @@ class CountWindows(StatefulProcessor):
         self.size, self.step, self.order = size, step, list(order)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        row = T.StructType([self.schema[c] for c in self.columns])
         self.handle = handle
-        self.waiting = handle.getListState("waiting", row)
-        self.newest = handle.getListState("newest", row)
+        self.waiting = handle.getListState("waiting", PACKED)
+        self.newest = handle.getListState("newest", PACKED)
         self.placed = handle.getValueState("placed", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -68,13 +70,18 @@ class CountWindows(StatefulProcessor):
         yield from self._advance(key, None, timerValues)
 
     def _frame(self, state) -> pd.DataFrame:
-        return pd.DataFrame(list(state.get()) if state.exists() else [], columns=self.columns)
+        parts = [pa.ipc.open_stream(r[0]).read_pandas() for r in state.get()] if state.exists() else []
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=self.columns)
 
     def _put(self, state, frame: pd.DataFrame) -> None:
+        """Rows are kept packed, ``PACKED_ROWS`` together, so that they come and go without a Python object each."""
         state.clear()
-        if len(frame):
-            state.put([tuple(None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in r)
-                       for r in frame.astype(object).itertuples(index=False)])
+        for start in range(0, len(frame), PACKED_ROWS):
+            table = pa.Table.from_pandas(frame.iloc[start:start + PACKED_ROWS], preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            state.appendValue((sink.getvalue().to_pybytes(),))
 
     def _advance(self, key, new: pd.DataFrame | None, timerValues) -> Iterator[pd.DataFrame]:
         parts = [p for p in (self._frame(self.waiting), new) if p is not None and len(p)]
@@ -84,7 +91,8 @@ class CountWindows(StatefulProcessor):
         rows = pd.concat(parts, ignore_index=True)
         closed = rows[ts] <= pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
         ready, waiting = rows[closed].sort_values(self.order), rows[~closed]
-        self._put(self.waiting, waiting)
+        if new is not None or len(ready):
+            self._put(self.waiting, waiting)
         if len(waiting):
             self.handle.registerTimer(int(np.ceil(waiting[ts].min().value / 1e6)))
         if not len(ready):
@@ -93,10 +101,14 @@ class CountWindows(StatefulProcessor):
         kept = self._frame(self.newest)
         held = pd.concat([p for p in (kept, ready) if len(p)], ignore_index=True)
         start, end = n - len(kept), n + len(ready)  # places of the rows at hand
-        for index in range(max(-(-(n + 1 - self.size) // self.step), 0), (end - self.size) // self.step + 1):
+        first, last = max(-(-(n + 1 - self.size) // self.step), 0), (end - self.size) // self.step + 1
+        # many windows a frame, a frame of bounded size
+        at_once = max(OUTPUT_ROWS // self.size, 1)
+        for begin in range(first, last, at_once):
+            index = np.arange(begin, min(begin + at_once, last))
             low = index * self.step - start
-            window = held.iloc[low:low + self.size]
-            out = window.assign(window_index=index, **dict(zip(self.keys, key)))
+            out = held.iloc[(low[:, None] + np.arange(self.size)).ravel()]
+            out = out.assign(window_index=np.repeat(index, self.size), **dict(zip(self.keys, key)))
             yield out[[*self.keys, *self.columns, "window_index"]]
         self.placed.update((end,))
         self._put(self.newest, held.tail(self.size - 1) if self.size > 1 else held.iloc[:0])
