@@ -227,3 +227,38 @@ def test_rounds_stop_by_patience(spark, series_of):
     how = boosting.Boosting(200, 3, 0.3, patience=7)
     made = boosting.fit_models(rows, [], features, "value", how).first()
     assert made["trees"] + 7 == len(made["errors"]) < 200 and min(made["errors"]) == made["errors"][made["trees"] - 1]
+
+
+def test_forest_scores_follow_each_tree_by_hand_and_features_are_worked_out_once(spark):
+    rng = np.random.default_rng(7)
+    values = np.round(rng.lognormal(0, 1, (500, 3)), 1)
+    values[3, 1], values[4, 2], values[5, 0], values[6, 0] = np.inf, -np.inf, np.nan, 0.0
+    trees = [forest._grow(values[10:][rng.choice(490, 64, replace=False)], 6, np.random.default_rng([1, t])) for t in range(12)]
+    model = forest.Forest.stacked(list("abc"), pd.DataFrame(
+        [("", t, 64, np.array(n, float).ravel().tolist()) for t, n in enumerate(trees)], columns=["group", "tree", "rows", "nodes"]))
+
+    def length(nodes, row):
+        node, at = nodes[0], 0
+        while node[1] >= 0:
+            at = node[3] if row[node[1]] < node[2] else node[4]
+            node = nodes[at]
+        return node[5]
+
+    want = [np.nan if np.isnan(r).any() else 2 ** (-np.mean([length(n, r) for n in trees]) / forest.average_path(64)) for r in values]
+    np.testing.assert_allclose(model.score(values), want, rtol=1e-12)
+
+    def depth(nodes, at=0):
+        return 0 if nodes[at][1] < 0 else 1 + max(depth(nodes, nodes[at][3]), depth(nodes, nodes[at][4]))
+
+    assert model.depths() == [depth(n) for n in trees]
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        seen.add(1)
+        return float(x)
+
+    rows = spark.range(400).select("id", costly("id").alias("a"))
+    assert forest.fit_forest(rows, ["a"], trees=4).arrays is not None
+    assert seen.value == 400

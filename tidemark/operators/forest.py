@@ -100,22 +100,35 @@ class Forest:
         if self.arrays is None:
             return out
         found, usable = self.arrays, np.flatnonzero(~np.isnan(values).any(axis=1))
+        feature, left = np.maximum(found["feature"], 0).astype(np.intp), found["left"].astype(np.intp)
+        # of two children the right one follows the left; a leaf has no cut, so a row stays there
+        cut = np.where(found["feature"] < 0, np.nan, found["cut"])
+        levels = self.depths()
         for start in range(0, len(usable), SCORE_ROWS):
             part = values[usable[start:start + SCORE_ROWS]]
-            tree = np.arange(len(found["feature"]))[None, :]
-            row = np.arange(len(part))[:, None]
-            at = np.zeros((len(part), tree.shape[1]), dtype=np.int64)
-            while True:
-                feature = found["feature"][tree, at]
-                inner = feature >= 0
-                if not inner.any():
-                    break
-                left = part[row, np.maximum(feature, 0)] < found["cut"][tree, at]
-                at = np.where(left, found["left"][tree, at], found["right"][tree, at])
-            depth = found["path"][tree, at].mean(axis=1)
+            # one tree at a time, so that nodes and cells stay in the processor's cache
+            cells, row = part.T.ravel(), np.arange(len(part))
+            path = np.empty((len(feature), len(part)))
+            for tree in range(len(feature)):
+                base, cuts, lefts, at = feature[tree] * len(part), cut[tree], left[tree], np.zeros(len(part), np.intp)
+                for _ in range(levels[tree]):
+                    value = cells.take(base.take(at) + row)
+                    at = lefts.take(at) + (value >= cuts.take(at))
+                found["path"][tree].take(at, out=path[tree])
+            depth = np.ascontiguousarray(path.T).mean(axis=1)
             out[usable[start:start + SCORE_ROWS]] = np.exp2(-depth / found["norm"])
         return out
 
+    def depths(self) -> list[int]:
+        """How many cuts the longest way through each tree passes."""
+        found, out = self.arrays, []
+        for feature, left in zip(found["feature"], found["left"]):
+            level, nodes = 0, np.zeros(1, np.int64)
+            while len(nodes := nodes[feature[nodes] >= 0]):
+                level, nodes = level + 1, np.concatenate([left[nodes], left[nodes] + 1])
+            out.append(level)
+        return out
+
 
 def _label(group: str | None):
     return F.col(group).cast("string") if group else F.lit("")
@@ -130,11 +143,12 @@ def grown_trees(
     A group's trees draw from a pool of ``trees * tree_rows`` of its rows, chosen
     by hash.  A threshold from the group's size first keeps little more than
     that, so a large group does not meet in the ranking.  Groups with fewer than
-    20 usable rows get no trees.
+    20 usable rows get no trees.  Features are worked out once and stored, as they
+    are read to count and to draw; a filter before would work them out once more.
     """
-    usable = df.dropna(subset=features).select(
+    usable = checkpointed(df.select(
         _label(group).alias("_group"), F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(key).alias("_key"),
-        *[F.col(f).cast("double").alias(f) for f in features])
+        *[F.col(f).cast("double").alias(f) for f in features])).dropna(subset=features)
     wanted = trees * tree_rows
     sizes = stored_lookup(usable.groupBy("_group").agg(F.count(F.lit(1)).alias("_size")))
     # eight standard deviations above the wanted number
@@ -223,10 +237,10 @@ def clean_blocks(
         usable = usable & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
     marked = rows.withColumn("usable", usable)
     if group:
-        grown = checkpointed(grown_trees(marked.filter("usable"), features, trees, TREE_ROWS, seed, key, group))
+        grown = checkpointed(grown_trees(marked, features, trees, TREE_ROWS, seed, key, group))
         scored = checkpointed(block_scores(marked, grown, features, group, key))
     else:
-        scored = checkpointed(forest_score(marked, fit_forest(marked.filter("usable"), features, trees, TREE_ROWS, seed, key)))
+        scored = checkpointed(forest_score(marked, fit_forest(marked, features, trees, TREE_ROWS, seed, key)))
     if contamination == "auto":
         return scored.withColumn("is_anomaly", F.coalesce(F.col("forest_score") > AUTO_SCORE, F.lit(False)))
     keys = [group] if group else []
