@@ -637,3 +637,80 @@ def test_salting_does_not_change_the_links(spark, monkeypatch):
         monkeypatch.setattr(substring_dedup, "HOT_KEYS", most)
         found.append(sorted(tuple(r) for r in substring_dedup.repeated_passages(docs).collect()))
     assert found[0] and found[0] == found[1] == found[2]
+
+
+def passages_about_a_line(n_passages=6, others=60):
+    """Pairs of texts that share a passage, the least hashes of which lie in a line that also stands alone in other texts."""
+    rng, found = np.random.default_rng(8), []
+    words = rng.integers(0, 1 << 20, (12_000, 60))
+    values, bounds = substring_dedup.shingles([" ".join(f"w{x}" for x in row).encode() for row in words])
+    hashed = [substring_dedup.scrambled(values + substring_dedup.scrambled(np.array([n + 1], np.uint64)))
+              for n in range(substring_dedup.FUNCTIONS)]
+    least = np.array([h.reshape(len(words), 56).argmin(1) for h in hashed])
+    found = words[((least >= 23) & (least < 33)).all(0)][:n_passages]
+    assert len(found) == n_passages
+
+    def alone(size):
+        return " ".join(f"a{x}" for x in rng.integers(0, 1 << 40, size))
+
+    rows = []
+    for p, passage in enumerate(found):
+        passage = [f"w{x}" for x in passage]
+        rows += [(1000 * p + c, f"{alone(60)} {' '.join(passage)} {alone(60)}", "s") for c in range(2)]
+        rows += [(1000 * p + 100 + i, f"{alone(90)} {' '.join(passage[23:37])} {alone(90)}", "s") for i in range(others)]
+    return rows
+
+
+def test_a_passage_is_found_behind_partners_that_do_not_share_it(spark):
+    rows = passages_about_a_line()
+    links = substring_dedup.repeated_passages(documents(spark, rows)).collect()
+    assert {(r["doc_id"] // 1000, r["doc_id"] % 1000 + r["partner_id"] % 1000) for r in links} == {(p, 1) for p in range(6)}
+    assert all(r["class_id"] == r["doc_id"] // 1000 * 1000 for r in links)
+
+
+def test_links_that_rows_imply_are_named_and_classes_are_those_of_links(spark):
+    shared = prose(900, 70)
+    rows = [(i, f"{prose(i, 60)} {shared} {prose(i + 500, 60)}", "s") for i in range(60)]
+    rows += [(100, rows[7][1], "s"), (101, prose(200, 90), "s"), (102, f"{prose(200, 90)} {prose(201, 60)}", "s")]
+    docs = documents(spark, rows)
+    links = substring_dedup.repeated_passages(docs).collect()
+    pairs = {(r["doc_id"], p) for r in links for p in [r["partner_id"], *(x["partner_id"] for x in r["also"])]}
+    found = []
+    verified = substring_dedup.verified
+
+    def kept(*args):
+        found.append(verified(*args))
+        return found[-1]
+
+    substring_dedup.verified = kept
+    try:
+        substring_dedup.repeated_passages(docs)
+    finally:
+        substring_dedup.verified = verified
+    ids = {r["tid"]: r["id"] for r in docs.selectExpr("xxhash64(text) AS tid", "doc_id").groupBy("tid").agg({"doc_id": "min"}).toDF("tid", "id").collect()}
+    want = {(ids[r["tb"]], ids[r["ta"]]) for f in found for r in f.filter("key IS NULL").collect()}
+    assert pairs == want | {(100, 7)} and any(r["also"] for r in links)
+    find = joined(rows, links)
+    least = {}
+    for i, *_ in rows:
+        least.setdefault(find(i), i)
+    assert all(r["class_id"] == least[find(r["doc_id"])] for r in links)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_stretches_that_are_alike_share_one_of_the_rarest_places(seed):
+    rng = np.random.default_rng(seed)
+    size = int(rng.integers(46, 400))
+    b = rng.integers(0, 1 << 32, size).astype(np.uint32)
+    low = int(rng.integers(0, size - 45))
+    high = int(rng.integers(low + 46, size + 1))
+    middle = (low + high) // 2
+    a = b[low:high].copy()
+    gone = max((high - low - 1) // 9 - 1, 0)
+    a[middle - low:middle - low + gone] = rng.integers(0, 1 << 32, gone).astype(np.uint32)
+    if not substring_dedup.compared(b, a, 46):
+        return
+    count = rng.integers(2, 9, size)
+    at = np.flatnonzero(np.isin(b, a) | (rng.random(size) < 0.7))
+    use = at[substring_dedup.rarest(size, at, b[at].astype(np.int64), count[at])]
+    assert np.isin(b[use], a).any()

@@ -9,6 +9,11 @@ hashes by both functions share it, and form a joint window.  Texts are partnered
 within a joint key, so two functions agree on each pair before any partner is
 chosen.  Windows of a pair of texts that overlap are merged, and the passages are
 compared shingle by shingle.
+
+First each window is compared with the first text of its key and the text before.
+That connects the texts of a key if all agree with the first.  Where one does not,
+all texts of the key that are not connected by then are compared with each other,
+but for pairs that cannot be alike by the shingles that they share.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import column, shuffle_partitions, small_batches, stored, text_column, tidy
+from tidemark.llm.components import components
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 # Hash functions; any two of them must agree on a passage.
@@ -39,7 +45,15 @@ WINDOWS, SALT_AT, L_AT, BITS = "key bigint, tid bigint, place bigint", 56, 28, (
 # tasks.  At most HOT_KEYS of them are known; the others are handled in one task each, as rare ones are.
 # A salt is a text's six highest bits.
 SAMPLE_OF, HOT_TEXTS, HOT_KEYS, SALTS = 64, 16, 10_000, 64
+# Of a key with this many texts, the first one and the one before make all pairs.
+ALL_PAIRED = 3
+# Of a passage's least number of places, those that are matched in the best part of any near-duplicate stretch: fewer than
+# a ninth of a stretch is not matched.  At 82 places that may be nine, all within the ten places of both its ends' parts.
+SHARED = MIN_WORDS - SHINGLE + 1 - 9
 PAIRS = "tb bigint, ta bigint, lb int, rb int, la int, ra int, key bigint, salt int"
+LINK = ["tb", "ta", "start", "end", "partner_start", "partner_end", "similarity"]
+VERIFIED = ("tb bigint, ta bigint, start bigint, end bigint, partner_start bigint, partner_end bigint, similarity double, "
+            "key bigint")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -191,7 +205,7 @@ def _windows(hot: np.ndarray):
             place |= salts(key, tid, hot) << SALT_AT
             if len(key):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, tid, place)], ["key", "tid", "place"])
-            tidy()
+        tidy()
 
     return windows
 
@@ -202,14 +216,15 @@ def _partners(hot: np.ndarray):
     Rows are sorted by (key, tid, place), and so by salt and l too.  Of a hot key only the text before
     within the salt is known here; its windows are also given out open, with key
     and salt and without a partner.  Only three rows of a key are remembered,
-    however many it has.
+    however many it has.  Pairs with the first text name their key, unless it has
+    so few texts that all its pairs are given out.
     """
     names = ["tb", "ta", "lb", "rb", "la", "ra", "key", "salt"]
 
     def rows_of(tid, low, high, b, a=None, key=None, salt=None):
         none = pa.nulls(len(b), pa.int64())
         partner = (none, none, none) if a is None else (tid[a], low[a], high[a])
-        columns = [tid[b], partner[0], low[b], high[b], *partner[1:], *((none, none) if key is None else (key[b], salt[b]))]
+        columns = [tid[b], partner[0], low[b], high[b], *partner[1:], none if key is None else key, none if salt is None else salt[b]]
         kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(columns, kinds)], names)
 
@@ -235,13 +250,20 @@ def _partners(hot: np.ndarray):
             fresh = ~again & (place >= n_old)
             wanted = fresh & (group > run)
             salted = np.isin(key, hot)
-            for partner, use in ((run, wanted & ~salted), (before, wanted & (salted | (before != run)))):
-                b = np.flatnonzero(use)
-                if len(b):
-                    yield rows_of(tid, low, high, b, partner[b])
+            # Runs that go on beyond this batch may have more texts.
+            many = np.add.reduceat(new_tid.astype(np.int64), np.flatnonzero(new_key)) > ALL_PAIRED
+            many[-1] = True
+            many[0] |= n_old > 0
+            many = many[np.cumsum(new_key) - 1]
+            b = np.flatnonzero(wanted & ~salted)
+            if len(b):
+                yield rows_of(tid, low, high, b, run[b], pa.array(key[b], mask=~many[b]))
+            b = np.flatnonzero(wanted & (salted | (before != run)))
+            if len(b):
+                yield rows_of(tid, low, high, b, before[b])
             b = np.flatnonzero(fresh & salted)
             if len(b):
-                yield rows_of(tid, low, high, b, key=key, salt=salt)
+                yield rows_of(tid, low, high, b, key=key[b], salt=salt)
             keep = np.unique([run[-1], before[-1], group[-1], len(key) - 1])
             carried = [x[keep] for x in rows]
 
@@ -328,15 +350,85 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of pairs of regions; and a row with each named key in whose window no link is found."""
     least = MIN_WORDS - SHINGLE + 1
+    kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
     for batch in batches:
         rows = []
-        for tb, ta, lb, la, pb, pa_ in zip(*(c.to_pylist() for c in batch.columns)):
+        *columns, keys = batch.columns
+        first = keys.offsets.to_numpy()
+        names, low, high = (x.to_numpy() for x in keys.values.flatten())
+        for i, (tb, ta, lb, la, pb, pa_) in enumerate(zip(*(c.to_pylist() for c in columns))):
             found = compared(np.frombuffer(pb, np.uint32), np.frombuffer(pa_, np.uint32), least)
-            rows += [(tb, ta, lb + s, lb + e + SHINGLE - 1, la + u, la + v + SHINGLE - 1, j) for s, e, u, v, j in found]
+            rows += [(tb, ta, lb + s, lb + e + SHINGLE - 1, la + u, la + v + SHINGLE - 1, j, None) for s, e, u, v, j in found]
+            own = slice(first[i], first[i + 1])
+            missed = np.ones(first[i + 1] - first[i], bool)
+            for s, e, *_ in found:
+                missed &= np.minimum(high[own] + 1, lb + e) - np.maximum(low[own], lb + s) < least
+            rows += [(tb, ta, *[None] * 5, k) for k in set(names[own][missed].tolist())]
         if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [*LINK, "key"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of a text that its slices make up."""
+    for batch in batches:
+        for tid, slices, owner in zip(*(c.to_pylist() for c in batch.columns)):
+            slices = [(x["lo"], np.frombuffer(x["part"], np.uint32)) for x in slices]
+            size = max(lo + len(part) for lo, part in slices)
+            values, used = np.zeros(size, np.uint32), np.zeros(size + 2, np.int8)
+            for lo, part in slices:
+                values[lo:lo + len(part)] = part
+                used[lo + 1:lo + len(part) + 1] = 1
+            edge = np.flatnonzero(np.diff(used)).tolist()
+            low, high = edge[::2], edge[1::2]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in zip(*rows)], ["tb", "ta", "start", "end", "partner_start", "partner_end", "similarity"])
+                [pa.array([tid] * len(low), pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()),
+                 pa.array([values[a:b].tobytes() for a, b in zip(low, high)], pa.binary()),
+                 pa.array([owner] * len(low), pa.int64())], ["tid", "lo", "hi", "part", "owner"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of stretches with their places."""
+    for batch in batches:
+        for tid, lo, hi, part, owner in zip(*(c.to_pylist() for c in batch.columns)):
+            columns = [np.frombuffer(part, np.uint32).astype(np.int64), np.full(hi - lo, tid), np.arange(lo, hi, dtype=np.int32),
+                       np.full(hi - lo, lo, np.int32), np.full(hi - lo, hi, np.int32), np.full(hi - lo, owner)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["s", "tid", "at", "lo", "hi", "owner"])
+
+
+def rarest(size: int, at: np.ndarray, shared: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Indices of places, of a stretch of ``size``, one of which any stretch of another text that is alike must have.
+
+    ``at`` are the places whose shingles others have, too.  In the best part of an alike stretch at least
+    ``SHARED`` places are matched, so one of the rarest others and one more is.
+    """
+    least = MIN_WORDS - SHINGLE + 1
+    if size < least or len(at) < SHARED:
+        return np.empty(0, np.int64)
+    rank = np.full(size, -1, np.int64)
+    rank[at[np.lexsort((shared, count))]] = np.arange(len(at))
+    parts = np.lib.stride_tricks.sliding_window_view(rank, least)
+    enough = np.flatnonzero((parts >= 0).sum(1) >= SHARED)
+    chosen = np.zeros(size, bool)
+    for low in range(0, len(enough), 4096):
+        some = enough[low:low + 4096]
+        order = np.argpartition(parts[some], least - SHARED, 1)[:, :least - SHARED + 1]
+        chosen[(some[:, None] + order).ravel()] = True
+    return np.flatnonzero(chosen[at])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first = batch.column(4).offsets.to_numpy()
+        at, s, n = (x.to_numpy() for x in batch.column(4).values.flatten())
+        for tid, lo, hi, owner, begin, end in zip(*(batch.column(k).to_pylist() for k in range(4)), first[:-1], first[1:]):
+            own = slice(begin, end)
+            some = np.unique(s[own][rarest(hi - lo, at[own] - lo, s[own], n[own])])
+            if len(some):
+                columns = [some, np.full(len(some), tid), np.full(len(some), lo, np.int32), np.full(len(some), hi, np.int32),
+                           np.full(len(some), owner)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["s", "tb", "lb", "rb", "owner"])
 
 
 def closed(opened: DataFrame) -> DataFrame:
@@ -353,13 +445,17 @@ def closed(opened: DataFrame) -> DataFrame:
     partners = F.array("_first", F.when(F.col("tb") == F.col("_start"), F.when(F.col("_last").isNotNull(), last)))
     return (
         opened.select("tb", "lb", "rb", "key", "salt").join(ends, ["key", "salt"])
-        .select("tb", "lb", "rb", F.explode(partners).alias("_p"))
+        .select("tb", "lb", "rb", "key", F.posexplode(partners).alias("_i", "_p"))
         .filter(F.col("_p").isNotNull() & (F.col("tb") != F.col("_p.tb")))
-        .select("tb", F.col("_p.tb").alias("ta"), "lb", "rb", F.col("_p.lb").alias("la"), F.col("_p.rb").alias("ra")))
+        .select("tb", F.col("_p.tb").alias("ta"), "lb", "rb", F.col("_p.lb").alias("la"), F.col("_p.rb").alias("ra"),
+                F.when(F.col("_i") == 0, F.col("key")).alias("key")))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Regions (tb, ta, lb, rb, la, ra) of two texts where windows of a joint key meet; docs has (tid, text)."""
+    """Regions (tb, ta, lb, rb, la, ra, keys) of two texts where windows of a joint key meet; docs has (tid, text).
+
+    ``keys`` are the joint keys with windows (key, lb, rb) of tb of which ta is the first text.
+    """
     parts = shuffle_partitions(docs.sparkSession)
     hot = hot_keys(docs)
     pairs = (
@@ -368,8 +464,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         .mapInArrow(_partners(hot), PAIRS))
     if len(hot):
         pairs = stored(pairs)  # read twice
-        opened = pairs.filter("key IS NOT NULL")
-        pairs = pairs.filter("key IS NULL").drop("key", "salt").unionByName(closed(opened))
+        opened = pairs.filter("ta IS NULL")
+        pairs = pairs.filter("ta IS NOT NULL").drop("salt").unionByName(closed(opened))
     # Windows of a pair that overlap or touch make one region.
     pair = Window.partitionBy("tb", "ta").orderBy("lb", "rb", "la")
     reach = F.max("rb").over(pair.rowsBetween(Window.unboundedPreceding, -1))
@@ -377,35 +473,103 @@ def candidates(docs: DataFrame) -> DataFrame:
     return (
         pairs.withColumn("_reach", reach).withColumn("_region", region)
         .groupBy("tb", "ta", "_region").agg(
-            F.min("lb").alias("lb"), F.max("rb").alias("rb"), F.min("la").alias("la"), F.max("ra").alias("ra"))
+            F.min("lb").alias("lb"), F.max("rb").alias("rb"), F.min("la").alias("la"), F.max("ra").alias("ra"),
+            F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "lb", "rb"))).alias("keys"))
         .drop("_region"))
 
 
+def verified(regions: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Links of the regions (tb, ta, lb, rb, la, ra, keys), and the keys without one; pieces has (tid, lo, hi, part)."""
+    for side in "ba":
+        regions = regions.join(
+            pieces.select(F.col("tid").alias(f"t{side}"), F.col("lo").alias(f"l{side}"), F.col("hi").alias(f"r{side}"),
+                          F.col("part").alias(f"part_{side}")), [f"t{side}", f"l{side}", f"r{side}"])
+    return stored(regions.select("tb", "ta", "lb", "la", "part_b", "part_a", "keys").mapInArrow(_verified, VERIFIED))
+
+
+def open_pairs(regions: DataFrame, pieces: DataFrame, found: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of stretches (tb, ta, lb, rb, la, ra) of which links between components are still to be found, and the
+    stretches (tid, lo, hi, part).
+
+    These are stretches of keys whose texts do not all agree with the first one and are of several components.  Of two texts at
+    least ``SHARED`` of 46 places must be shared, so only pairs that share one of the rarest shingles are given out.
+    ``found`` are the verified rows and ``nodes`` the components so far.
+    """
+    nodes = nodes.withColumnRenamed("node", "tid")
+    owner = F.coalesce("root", "tid")
+    keys = found.filter("key IS NOT NULL").select("key").distinct()
+    windows = regions.filter(F.size("keys") > 0).select(
+        "tb", "ta", "lb", "rb", "la", "ra", F.explode("keys.key").alias("key")).join(keys, "key", "left_semi")
+    texts = windows.select("key", F.col("tb").alias("tid")).unionByName(windows.select("key", F.col("ta").alias("tid"))).distinct()
+    keys = texts.join(nodes, "tid", "left").groupBy("key").agg(F.min(owner).alias("_a"), F.max(owner).alias("_b"))
+    windows = windows.join(stored(keys.filter("_a != _b").select("key")), "key", "left_semi")
+    spans = windows.select(F.col("tb").alias("tid"), F.col("lb").alias("lo"), F.col("rb").alias("hi")).unionByName(
+        windows.select(F.col("ta").alias("tid"), F.col("la").alias("lo"), F.col("ra").alias("hi"))).distinct()
+    slices = pieces.join(spans, ["tid", "lo", "hi"]).groupBy("tid").agg(F.collect_list(F.struct("lo", "part")).alias("slices"))
+    stretches = stored(
+        slices.join(nodes, "tid", "left").select("tid", "slices", owner.alias("owner"))
+        .mapInArrow(_merged, "tid bigint, lo int, hi int, part binary, owner bigint"))
+    places = stretches.mapInArrow(_places, "s bigint, tid bigint, at int, lo int, hi int, owner bigint")
+    counts = places.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("_a"), F.max("owner").alias("_b"))
+    shared = stored(places.join(stored(counts.filter("_a != _b").select("s", "n")), "s"))
+    rare = stored(
+        shared.groupBy("tid", "lo", "hi", "owner").agg(F.collect_list(F.struct("at", "s", "n")).alias("places"))
+        .mapInArrow(_rarest, "s bigint, tb bigint, lb int, rb int, owner bigint"))
+    # Components of a shingle first, so that the many places of one are not paired with each other.
+    partners = shared.select("s", F.col("owner").alias("other"), F.col("tid").alias("ta"), F.col("lo").alias("la"),
+                             F.col("hi").alias("ra")).distinct()
+    sides = rare.select("s", "owner").distinct().join(partners.select("s", "other").distinct(), "s").filter("owner != other")
+    pairs = stored(
+        rare.join(sides, ["s", "owner"]).join(partners, ["s", "other"]).filter("tb > ta")
+        .select("tb", "ta", "lb", "rb", "la", "ra").distinct())
+    return pairs, stretches.select("tid", "lo", "hi", "part")
+
+
+def joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) of the nodes so far and further links."""
+    edges = links.select("tb", "ta").distinct()
+    for side in "ba":
+        edges = edges.join(nodes.select(F.col("node").alias(f"t{side}"), F.col("root").alias(f"_{side}")), f"t{side}", "left")
+    roots = stored(components(edges.select(F.coalesce("_b", "tb").alias("a"), F.coalesce("_a", "ta").alias("b"))))
+    return stored(
+        nodes.join(roots.select(F.col("node").alias("root"), F.col("root").alias("_root")), "root", "left")
+        .select("node", F.coalesce("_root", "root").alias("root")).unionByName(roots).distinct())
+
+
 def without_detours(links: DataFrame) -> DataFrame:
-    """Links of each stretch to its first and its last partner, and those to others that do not have the same first one.
+    """One row for each link of a stretch to its first and its last partner, and to others that do not have the same first
+    one; the others are named in ``also`` beside the first partner.
 
-    A link that is left out joins two stretches that are both linked to one third.
+    A link in ``also`` joins two stretches that are both linked to one third.
     """
     stretch = Window.partitionBy("tb", "start", "end")
     marked = links.withColumns({"_first": F.min("ta").over(stretch), "_last": F.max("ta").over(stretch)})
     own = (F.col("ta") == F.col("_first")) | (F.col("ta") == F.col("_last"))
     firsts = links.groupBy("tb", "start", "end").agg(F.min("ta").alias("_other")).withColumnsRenamed(
         {"tb": "ta", "start": "partner_start", "end": "partner_end"})
-    others = marked.filter(~own).join(firsts, ["ta", "partner_start", "partner_end"], "left").filter(
-        ~F.col("_other").eqNullSafe(F.col("_first")))
-    return marked.filter(own).select(links.columns).unionByName(others.select(links.columns))
+    others = marked.filter(~own).join(firsts, ["ta", "partner_start", "partner_end"], "left").withColumn(
+        "_implied", F.col("_other").eqNullSafe(F.col("_first")))
+    also = others.filter("_implied").groupBy("tb", "start", "end", F.col("_first").alias("ta")).agg(
+        F.array_sort(F.collect_set(F.struct("partner_id", "partner_start", "partner_end", "similarity"))).alias("also"))
+    return marked.filter(own).select(links.columns).unionByName(others.filter("NOT _implied").select(links.columns)).join(
+        also, ["tb", "ta", "start", "end"], "left")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Links between documents that share a passage of at least ``MIN_WORDS`` words, or a near copy of one.
+    """Links between documents that share a passage of at least ``MIN_WORDS`` words, or a near copy of one, with classes.
 
     Rows (key, partner_id, start_word, end_word, partner_start, partner_end,
-    similarity); ends are exclusive.  Each text with a shared passage is linked
-    to the first text that has it and to the one before it, in the order of text
-    hashes, so links connect all texts that share a passage and grow with the
-    input, not with pairs.  A text stands under its smallest id; its exact copies
-    are linked to that id over all their words.  Null texts and texts that are
-    too short have no links.
+    similarity, also, class_id); ends are exclusive.  ``class_id`` is the smallest
+    id that links reach, over all texts that share a joint key and a passage.
+    Each text with a shared passage is linked to the first text that has it and to
+    the one before it, in the order of text hashes, so links connect all texts
+    that share a passage and grow with the input, not with pairs; texts
+    of different classes of a key are compared with all others of it.  A passage may
+    have no row if its texts are of one class by others.  ``also`` holds
+    further links of the row's passage, (partner_id, partner_start, partner_end,
+    similarity), which the rows imply.  A text stands under its smallest id; its
+    exact copies are linked to that id over all their words.  Null texts and texts
+    that are too short have no links.
     """
     small_batches(docs)
     rows = docs.select(column(docs, key).cast("long").alias("doc_id"), text_column(docs, text).alias("text")).withColumn(
@@ -418,7 +582,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     for side in "ba":
         wide += [(F.floor(F.col(f"l{side}") / GRID) * GRID).cast("int").alias(f"l{side}"),
                  (F.ceil((F.col(f"r{side}") + 1) / GRID) * GRID).cast("int").alias(f"r{side}")]
-    regions = regions.select(*wide).distinct()
+    regions = regions.groupBy(*wide).agg(F.flatten(F.collect_list("keys")).alias("keys"))
     needs = regions.select(F.col("tb").alias("tid"), F.col("lb").alias("lo"), F.col("rb").alias("hi")).unionByName(
         regions.select(F.col("ta").alias("tid"), F.col("la").alias("lo"), F.col("ra").alias("hi"))).distinct()
     # One document of each text that has regions or copies.
@@ -430,23 +594,32 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     pieces = stored(
         one.select("tid", "regions", "text").mapInArrow(_sliced, "tid bigint, lo int, hi int, part binary")
         .dropDuplicates(["tid", "lo", "hi"]))
-    joined = regions
-    for side in "ba":
-        joined = joined.join(
-            pieces.select(F.col("tid").alias(f"t{side}"), F.col("lo").alias(f"l{side}"), F.col("hi").alias(f"r{side}"),
-                          F.col("part").alias(f"part_{side}")), [f"t{side}", f"l{side}", f"r{side}"])
-    links = without_detours(stored(joined.select("tb", "ta", "lb", "la", "part_b", "part_a").mapInArrow(
-        _verified, "tb bigint, ta bigint, start bigint, end bigint, partner_start bigint, partner_end bigint, similarity double")))
-    names = first.select("tid", "first")
-    links = links.join(names.withColumnsRenamed({"tid": "tb", "first": "doc_id"}), "tb").join(
-        names.withColumnsRenamed({"tid": "ta", "first": "partner_id"}), "ta")
+    found = verified(regions, pieces)
+    links = found.filter("key IS NULL").select(LINK)
+    nodes = stored(components(links.select(F.col("tb").alias("a"), F.col("ta").alias("b"))))
+    if not found.filter("key IS NOT NULL").isEmpty():
+        pairs, stretches = open_pairs(regions, pieces, found, nodes)
+        again = verified(pairs.withColumn("keys", F.array().cast("array<struct<key:bigint,lb:int,rb:int>>")), stretches).select(LINK)
+        links, nodes = links.unionByName(again), joined(nodes, again)
+    roots = nodes.join(first.select(F.col("tid").alias("node"), "first"), "node")
+    roots = roots.join(roots.groupBy("root").agg(F.min("first").alias("class_id")), "root")
+    names = stored(first.join(roots.select(F.col("node").alias("tid"), "class_id"), "tid", "left").select(
+        "tid", "first", F.coalesce("class_id", "first").alias("class_id")))
+    links = without_detours(stored(
+        links.distinct().join(names.withColumnsRenamed({"tid": "tb", "first": "doc_id"}), "tb")
+        .join(names.select(F.col("tid").alias("ta"), F.col("first").alias("partner_id")), "ta")))
     words = pieces.filter("lo < 0").select("tid", F.col("hi").alias("n_words")).filter(F.col("n_words") >= MIN_WORDS)
-    copies = owners.join(first.filter("n > 1"), "tid").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).join(words, "tid")
+    copies = owners.join(first.filter("n > 1").select("tid"), "tid").join(names, "tid").filter(
+        ~F.col("doc_id").eqNullSafe(F.col("first"))).join(words, "tid")
     columns = ["partner_id", "start_word", "end_word", "partner_start", "partner_end", "similarity"]
     length = F.col("n_words").cast("long")
+    also = "array<struct<partner_id:bigint,partner_start:bigint,partner_end:bigint,similarity:double>>"
+    none = F.array().cast(also)
     return (
-        links.withColumnsRenamed({"start": "start_word", "end": "end_word"}).select("doc_id", *columns).distinct()
+        links.withColumnsRenamed({"start": "start_word", "end": "end_word"}).select(
+            "doc_id", *columns, F.coalesce("also", none).alias("also"), "class_id").distinct()
         .unionByName(copies.select(
             "doc_id", F.col("first").alias("partner_id"), F.lit(0).cast("long").alias("start_word"), length.alias("end_word"),
-            F.lit(0).cast("long").alias("partner_start"), length.alias("partner_end"), F.lit(1.0).alias("similarity")))
+            F.lit(0).cast("long").alias("partner_start"), length.alias("partner_end"), F.lit(1.0).alias("similarity"),
+            none.alias("also"), "class_id"))
         .withColumnRenamed("doc_id", key))
