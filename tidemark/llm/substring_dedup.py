@@ -205,7 +205,7 @@ def _windows(hot: np.ndarray):
             place |= salts(key, tid, hot) << SALT_AT
             if len(key):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, tid, place)], ["key", "tid", "place"])
-        tidy()
+            tidy()
 
     return windows
 
