@@ -697,6 +697,46 @@ def test_links_that_rows_imply_are_named_and_classes_are_those_of_links(spark):
     assert all(r["class_id"] == least[find(r["doc_id"])] for r in links)
 
 
+def test_memory_of_windows_is_given_back_before_the_next_texts_are_read(monkeypatch):
+    seen = []
+    monkeypatch.setattr(substring_dedup, "tidy", lambda: seen.append("tidy"))
+
+    def batches():
+        for i in range(3):
+            seen.append("read")
+            yield pa.RecordBatch.from_pydict({"tid": [i], "text": [prose(i, 80)]})
+
+    assert all(b.num_rows for b in substring_dedup._windows(np.empty(0, np.int64))(batches()))
+    assert seen == ["read", "tidy"] * 3
+
+
+def test_windows_do_not_depend_on_how_many_texts_are_cut_together(monkeypatch):
+    texts = [None, "", "word", prose(1, 900), *(prose(i, 130) for i in range(2, 9)), " ".join(["again"] * 300), prose(3, 130)]
+    batch = pa.RecordBatch.from_pydict({"tid": list(range(len(texts))), "text": texts})
+    empty, found = batch.slice(0, 0), []
+    for size in (1, 2000, 1 << 20):
+        monkeypatch.setattr(substring_dedup, "TOGETHER", size)
+        parts = list(substring_dedup._windows(np.empty(0, np.int64))(iter([empty, batch])))
+        assert len(parts) > 1 or size > 2000
+        found.append(sorted(tuple(r.values()) for p in parts for r in p.to_pylist()))
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_pairs_that_are_left_out_before_comparing_are_not_alike():
+    rng, pairs = np.random.default_rng(6), [([], []), ([], [1]), ([1], [])]
+    for i in range(1500):
+        b = rng.integers(0, 40 if i % 9 == 0 else 1 << 32, int(rng.integers(0, 200)))
+        a = b[int(rng.integers(0, len(b) // 3 + 1)):].copy()
+        gone = rng.random(len(a)) < rng.choice([0, 0.05, 0.09, 0.11, 0.13, 0.2, 1])
+        a[gone] = rng.integers(0, 1 << 32, int(gone.sum()))
+        pairs.append((b, np.r_[rng.integers(0, 1 << 32, int(rng.integers(0, 50))), a]))
+    pairs = [tuple(np.array(x, np.uint32) for x in p) for p in pairs]
+    match, bounds, likely = substring_dedup.matches(*([x.tobytes() for x in side] for side in zip(*pairs)))
+    alike = {i for i, (b, a) in enumerate(pairs) if substring_dedup.compared(b, a, 46)}
+    assert all((match[bounds[i]:bounds[i + 1]] == np.isin(b, a)).all() for i, (b, a) in enumerate(pairs))
+    assert len(alike) > 300 and alike <= set(likely.tolist()) and len(likely) < len(pairs) * 0.8
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_stretches_that_are_alike_share_one_of_the_rarest_places(seed):
     rng = np.random.default_rng(seed)

@@ -23,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 FUNCTIONS = 4
 PAIRED = list(combinations(range(FUNCTIONS), 2))
 ONE, TWO = np.array(PAIRED).T
+# Bytes of texts that are cut into windows together: at 2 MB few minima fit into MINIMA, and ranges are read through.
+TOGETHER = 1 << 20
 # Numbers kept for minima of ranges, and the bits of a ranked hash that are its place.
 MINIMA, PLACE = 1 << 24, np.uint64((1 << 28) - 1)
 # Regions of texts are widened to multiples of this, so that the many partners of one text share regions.
@@ -47,9 +50,9 @@ WINDOWS, SALT_AT, L_AT, BITS = "key bigint, tid bigint, place bigint", 56, 28, (
 SAMPLE_OF, HOT_TEXTS, HOT_KEYS, SALTS = 64, 16, 10_000, 64
 # Of a key with this many texts, the first one and the one before make all pairs.
 ALL_PAIRED = 3
-# Of a passage's least number of places, those that are matched in the best part of any near-duplicate stretch: fewer than
-# a ninth of a stretch is not matched.  At 82 places that may be nine, all within the ten places of both its ends' parts.
-SHARED = MIN_WORDS - SHINGLE + 1 - 9
+# Of a passage's least number of places, those that are matched at the beginning of any near-duplicate stretch: of each
+# beginning of a stretch less than a ninth is not matched (see ``segments``), which is five of 46 places at most.
+SHARED = MIN_WORDS - SHINGLE + 1 - (MIN_WORDS - SHINGLE) // 9
 PAIRS = "tb bigint, ta bigint, lb int, rb int, la int, ra int, key bigint, salt int"
 LINK = ["tb", "ta", "start", "end", "partner_start", "partner_end", "similarity"]
 VERIFIED = ("tb bigint, ta bigint, start bigint, end bigint, partner_start bigint, partner_end bigint, similarity double, "
@@ -177,12 +180,22 @@ def salts(key: np.ndarray, tid: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.where(np.isin(key, hot), (tid >> 58) + SALTS // 2, 0)
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of (tid, text) cut into some ``TOGETHER`` bytes of text each; no text is cut."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(low, high - low)
+
+
 def _windows(hot: np.ndarray):
     """Windows of texts as rows of three numbers; those of a hot signature are salted by their text."""
     least = MIN_WORDS - SHINGLE + 1
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in together(batches):
             ids = batch.column(0).to_numpy()
             values, bounds = shingles([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
             if len(values) > BITS:
@@ -196,8 +209,12 @@ def _windows(hot: np.ndarray):
             base, tid = bounds[owner], ids[owner]
             place = l - base << L_AT | r - base
             # Sorted by one number: windows of a key and text lie side by side, by l.  In a text that repeats itself
-            # most of them lie within the one before; one that other windows come between is kept.
-            order = np.argsort(scrambled(key + owner.astype(np.uint64)) << np.uint64(24) | np.minimum(l - base, (1 << 24) - 1).astype(np.uint64))
+            # most of them lie within the one before; one that other windows come between is kept.  Texts come one after
+            # another, so that shuffled rows are alike and compress well.
+            bits = max(len(ids).bit_length(), 1)
+            text = owner.astype(np.uint64) << np.uint64(64 - bits)
+            order = np.argsort(text | scrambled(key) >> np.uint64(bits + 24) << np.uint64(24)
+                               | np.minimum(l - base, (1 << 24) - 1).astype(np.uint64))
             key, owner, tid, place, r = key[order], owner[order], tid[order], place[order], r[order]
             within = (key[1:] == key[:-1]) & (owner[1:] == owner[:-1]) & (r[1:] <= r[:-1])
             use = np.flatnonzero(np.append(True, ~within)[:len(key)])
@@ -285,7 +302,10 @@ def hot_keys(docs: DataFrame) -> np.ndarray:
 
 
 def segments(match: np.ndarray, least: int, ratio: float) -> list[tuple[int, int]]:
-    """Stretches [start, end) of at least ``least`` places, ``ratio`` of them matched, from and to a match."""
+    """Stretches [start, end) of at least ``least`` places, ``ratio`` of them matched, from and to a match.
+
+    A stretch ends where the score is used up, so more than ``ratio`` of any beginning of one is matched, too.
+    """
     edge = np.flatnonzero(np.diff(np.r_[0, match.astype(np.int8), 0]))
     cost = ratio / (1 - ratio) if ratio < 1 else np.inf
     out, start, score, best, best_end, last = [], -1, 0.0, 0.0, -1, 0
@@ -312,11 +332,32 @@ def segments(match: np.ndarray, least: int, ratio: float) -> list[tuple[int, int
 RATIOS = (2 * SIMILARITY / (1 + SIMILARITY), 0.95, 1.0)
 
 
-def compared(b: np.ndarray, a: np.ndarray, least: int) -> list[tuple[int, int, int, int, float]]:
-    """Near-duplicate stretches of two shingle sequences: bounds in b and in a, and their Jaccard similarity."""
+def matches(parts_b: list[bytes], parts_a: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of shingle sequences, one after another: which places of b are in a, their bounds by pair, and the pairs
+    that may be alike: those with as many matched places together as any stretch begins with."""
+    least, keys = MIN_WORDS - SHINGLE + 1, []
+    for parts in (parts_b, parts_a):
+        sizes = np.array([len(x) // 4 for x in parts], np.int64)
+        owner = np.repeat(np.arange(len(parts), dtype=np.uint64), sizes)
+        keys.append(owner << np.uint64(32) | np.frombuffer(b"".join(parts), np.uint32))
+        if parts is parts_b:
+            bounds, of = np.r_[0, np.cumsum(sizes)], owner.astype(np.int64)
+    b, a = keys[0], np.append(np.sort(keys[1]), np.uint64(2**64 - 1))
+    match = a[np.searchsorted(a, b)] == b
+    total = np.r_[0, np.cumsum(match)]
+    n = max(len(b) - least + 1, 0)
+    near = (total[least:least + n] - total[:n] >= SHARED) & (of[:n] == of[least - 1:least - 1 + n])
+    return match, bounds, np.unique(of[:n][near])
+
+
+def compared(b: np.ndarray, a: np.ndarray, least: int, match: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
+    """Near-duplicate stretches of two shingle sequences: bounds in b and in a, and their Jaccard similarity.
+
+    ``match`` tells which places of b are in a, if that is known.
+    """
     out = []
     todo = [(0, len(b), 0)]
-    match = np.isin(b, a)
+    match = np.isin(b, a) if match is None else match
     while todo:
         begin, end, level = todo.pop()
         for low, high in segments(match[begin:end], least, RATIOS[level]):
@@ -350,22 +391,30 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of pairs of regions; and a row with each named key in whose window no link is found."""
+    """Links of pairs of regions; and once a batch, a row with each named key in whose window no link is found."""
     least = MIN_WORDS - SHINGLE + 1
     kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
     for batch in batches:
         rows = []
-        *columns, keys = batch.columns
+        tb, ta, lb, la = (c.to_numpy() for c in batch.columns[:4])
+        parts_b, parts_a = (c.to_pylist() for c in batch.columns[4:6])
+        keys = batch.column(6)
         first = keys.offsets.to_numpy()
         names, low, high = (x.to_numpy() for x in keys.values.flatten())
-        for i, (tb, ta, lb, la, pb, pa_) in enumerate(zip(*(c.to_pylist() for c in columns))):
-            found = compared(np.frombuffer(pb, np.uint32), np.frombuffer(pa_, np.uint32), least)
-            rows += [(tb, ta, lb + s, lb + e + SHINGLE - 1, la + u, la + v + SHINGLE - 1, j, None) for s, e, u, v, j in found]
+        missed = np.zeros(len(names), bool)
+        missed[first[0]:first[-1]] = True
+        match, bounds, likely = matches(parts_b, parts_a)
+        for i in likely.tolist():
+            found = compared(np.frombuffer(parts_b[i], np.uint32), np.frombuffer(parts_a[i], np.uint32), least,
+                             match[bounds[i]:bounds[i + 1]])
+            t, u, at, other = (int(x[i]) for x in (tb, ta, lb, la))
             own = slice(first[i], first[i + 1])
-            missed = np.ones(first[i + 1] - first[i], bool)
-            for s, e, *_ in found:
-                missed &= np.minimum(high[own] + 1, lb + e) - np.maximum(low[own], lb + s) < least
-            rows += [(tb, ta, *[None] * 5, k) for k in set(names[own][missed].tolist())]
+            for s, e, v, w, j in found:
+                rows.append((t, u, at + s, at + e + SHINGLE - 1, other + v, other + w + SHINGLE - 1, j, None))
+                missed[own] &= np.minimum(high[own] + 1, at + e) - np.maximum(low[own], at + s) < least
+        missing, at = np.unique(names[missed], return_index=True)
+        pair = np.searchsorted(first, np.flatnonzero(missed)[at], "right") - 1
+        rows += [(t, u, *[None] * 5, k) for t, u, k in zip(tb[pair].tolist(), ta[pair].tolist(), missing.tolist())]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [*LINK, "key"])
 
@@ -400,7 +449,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rarest(size: int, at: np.ndarray, shared: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Indices of places, of a stretch of ``size``, one of which any stretch of another text that is alike must have.
 
-    ``at`` are the places whose shingles others have, too.  In the best part of an alike stretch at least
+    ``at`` are the places whose shingles others have, too.  At the beginning of an alike stretch at least
     ``SHARED`` places are matched, so one of the rarest others and one more is.
     """
     least = MIN_WORDS - SHINGLE + 1
