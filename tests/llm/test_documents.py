@@ -11,7 +11,7 @@ import xxhash
 
 from tests.llm.conftest import ODD, documents, prose
 from tidemark.llm import (
-    components, host_rules, license_scan, license_signatures, mixing, packing, pii_crf, segments, simhash_balls, substring_dedup, token_counts,
+    components, dealt, host_rules, license_scan, license_signatures, mixing, packing, pii_crf, segments, simhash_balls, substring_dedup, token_counts,
     weighted_sampling)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -754,3 +754,136 @@ def test_stretches_that_are_alike_share_one_of_the_rarest_places(seed):
     at = np.flatnonzero(np.isin(b, a) | (rng.random(size) < 0.7))
     use = at[substring_dedup.rarest(size, at, b[at].astype(np.int64), count[at])]
     assert np.isin(b[use], a).any()
+
+
+# -- rows of numbers dealt as blocks -----------------------------------------------
+
+@pytest.mark.parametrize("held", [1, 700, 1 << 23])
+def test_numbers_dealt_as_blocks_come_back_by_partition(monkeypatch, held):
+    monkeypatch.setattr(dealt, "HELD", held)
+    rng, blocks, want = np.random.default_rng(1), [], []
+    for top in (1, 200, 60_000, 1 << 40, 1 << 62):
+        columns = [rng.integers(-top, top, 400), rng.integers(0, top, 400), np.zeros(400, np.int64)]
+        blocks.append(dealt.packed(dealt.part_of(columns[0], 7), columns))
+        want += list(zip(*(x.tolist() for x in columns)))
+    blocks.append(dealt.packed(np.empty(0, np.int32), [np.empty(0, np.int64)] * 3))
+    assert all(b.num_rows <= 7 for b in blocks)
+    got = []
+    for part in range(7):
+        own = [b.filter(pa.array(b.column(0).to_numpy() == part, pa.bool_())) for b in blocks]
+        turns = [list(zip(*(x.tolist() for x in rows))) for rows in dealt.gathered(iter(own), 3)]
+        assert len(turns) == 1 or held < 1 << 23
+        assert sum(len({r[0] for r in t}) for t in turns) == len({r[0] for t in turns for r in t})
+        got += [r for t in turns for r in t]
+        assert {int(dealt.part_of(np.array([r[0]]), 7)[0]) for t in turns for r in t} <= {part}
+    assert sorted(got) == sorted(want)
+
+
+def test_windows_dealt_as_blocks_have_the_partners_of_sorted_rows():
+    shared = prose(900, 80)
+    texts = [f"{prose(i, 40 + i)} {shared if i % 3 else prose(950, 70)} {prose(500 + i, 30)}" for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"tid": [(i * 7919 % 40 - 20) << 58 | i for i in range(40)], "text": texts})
+    key, tid, place = (c.to_numpy() for c in pa.Table.from_batches(substring_dedup._windows(np.empty(0, np.int64))(iter([batch]))).columns)
+    names, n = np.unique(key, return_counts=True)
+    hot = names[np.argsort(-n)][:3]
+    hot.sort()
+    salted = place | substring_dedup.salts(key, tid, hot) << substring_dedup.SALT_AT
+    order = np.lexsort((salted, tid, key))
+    rows = pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (key, tid, salted)], ["key", "tid", "place"])
+    want = [r for b in substring_dedup._partners(hot)(iter([rows])) for r in b.to_pylist()]
+    blocks = list(substring_dedup._dealt_windows(hot, 5)(iter([batch])))
+    assert sum(b.num_rows for b in blocks) <= 5 * len(blocks) < len(key)
+    got = []
+    for part in range(5):
+        own = [b.filter(pa.array(b.column(0).to_numpy() == part, pa.bool_())) for b in blocks]
+        got += [r for b in substring_dedup._dealt_partners(hot)(iter(own)) for r in b.to_pylist()]
+
+    def told(rows):  # of the last key of a partition it is not known here whether more texts follow
+        return sorted((tuple(-1 if x is None else x for k, x in r.items() if k != "key" or r["ta"] is None) for r in rows))
+
+    assert len(want) > 100 and told(got) == told(want)
+
+
+def near_copies(rng, changes, n=60, size=146):
+    """Sequences of shingles that have words of one text changed, five shingles a word."""
+    words, out = rng.integers(0, 1 << 32, size), []
+    for _ in range(n):
+        x = words.copy()
+        for at in rng.choice(size - 5, changes, replace=False):
+            x[at:at + 5] = rng.integers(0, 1 << 32, 5)
+        out.append(x.astype(np.uint32))
+    return out
+
+
+def test_pairs_with_a_change_among_few_places_are_left_out():
+    rng = np.random.default_rng(3)
+    b = rng.integers(0, 1 << 32, 46).astype(np.uint32)
+    a = b.copy()
+    a[20:25] = rng.integers(0, 1 << 32, 5)
+    assert not substring_dedup.compared(b, a, 46)
+    assert not len(substring_dedup.matches([b.tobytes()], [a.tobytes()])[2])
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 22])
+@pytest.mark.parametrize("seed", range(6))
+def test_sequences_that_are_left_out_of_a_group_are_not_alike(monkeypatch, cells, seed):
+    monkeypatch.setattr(substring_dedup, "CELLS", cells)
+    rng = np.random.default_rng(seed)
+    group = near_copies(rng, 1 + seed) + [rng.integers(0, 9, 120).astype(np.uint32) for _ in range(5)]
+    group += [np.tile(rng.integers(0, 1 << 32, int(rng.integers(1, 30))).astype(np.uint32), 40) for _ in range(5)]
+    parts = [np.unique(x) for x in group]
+    names, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    order = np.argsort(names, kind="stable")
+    n_pairs, n_kept, n_alike = 0, 0, 0
+    for k, b in enumerate(group):
+        use = np.delete(np.arange(len(group)), k)
+        kept = dict(substring_dedup.alike(b, names[order], of[order], use, len(group)))
+        assert all((match == np.isin(b, group[a])).all() for a, match in kept.items())
+        alike = {a for a in use.tolist() if substring_dedup.compared(b, group[a], 46)}
+        assert alike <= set(kept)
+        # What is asked for by the rarest shingles has all that are alike, too.
+        everyone = np.concatenate([parts[a] for a in use])
+        match = np.isin(b, everyone)
+        at = np.flatnonzero(match)
+        asked = b[at[substring_dedup.rarest(len(b), at, b[at], np.array([np.count_nonzero(everyone == x) for x in b[at]]))]]
+        need, _ = substring_dedup.in_common(match, b)
+        for a in alike:
+            assert np.isin(asked, group[a]).any()
+            assert substring_dedup.in_common(np.isin(group[a], b), group[a])[1] >= need
+        n_pairs, n_kept, n_alike = n_pairs + len(use), n_kept + len(kept), n_alike + len(alike)
+    assert n_kept < n_alike + n_pairs * 0.2
+
+
+def test_variants_that_are_not_alike_are_not_compared_one_by_one(spark, monkeypatch):
+    rng, words, rows = np.random.default_rng(5), prose(81, 150).split(), []
+    for i in range(150):
+        own = list(words)
+        for k in rng.choice(len(own), 9, replace=False):
+            own[k] = f"changed{i}x{k}"
+        rows.append((i, " ".join(own), "s"))
+    texts = [t.encode() for _, t, _ in rows]
+    values, bounds = substring_dedup.shingles(texts)
+    parts = [(values[a:b] >> np.uint64(32)).astype(np.uint32) for a, b in zip(bounds[:-1], bounds[1:])]
+    count, path = spark.sparkContext.accumulator(0), substring_dedup._met
+    compared = substring_dedup.compared
+
+    def counted(batches):
+        def one(*args):
+            count.add(1)
+            return compared(*args)
+
+        substring_dedup.compared = one
+        try:
+            yield from path(batches)
+        finally:
+            substring_dedup.compared = compared
+
+    monkeypatch.setattr(substring_dedup, "_met", counted)
+    links = substring_dedup.repeated_passages(documents(spark, rows)).collect()
+    pairs = {(b, a) for b in range(150) for a in range(b) if compared(parts[b], parts[a], 46)}
+    found = {(r["doc_id"], r["partner_id"]) for r in links}
+    assert {tuple(sorted(p)) for p in found} <= {tuple(sorted(p)) for p in pairs}
+    find, want = joined(rows, links), joined(rows, [{"doc_id": b, "partner_id": a} for b, a in pairs])
+    assert {frozenset(i for i in range(150) if find(i) == find(k)) for k in range(150)} == {
+        frozenset(i for i in range(150) if want(i) == want(k)) for k in range(150)}
+    assert count.value < 0.1 * 150 * 149 / 2

@@ -27,8 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import dealt
 from tidemark.llm.common import column, shuffle_partitions, small_batches, stored, text_column, tidy
 from tidemark.llm.components import components
+from tidemark.llm.dealt import scrambled
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 # Hash functions; any two of them must agree on a passage.
@@ -50,24 +52,27 @@ WINDOWS, SALT_AT, L_AT, BITS = "key bigint, tid bigint, place bigint", 56, 28, (
 SAMPLE_OF, HOT_TEXTS, HOT_KEYS, SALTS = 64, 16, 10_000, 64
 # Of a key with this many texts, the first one and the one before make all pairs.
 ALL_PAIRED = 3
+# Of so many places one may be unmatched for each time that a stretch has them, but none at its beginning (see ``segments``).
+NINE = 9
 # Of a passage's least number of places, those that are matched at the beginning of any near-duplicate stretch: of each
 # beginning of a stretch less than a ninth is not matched (see ``segments``), which is five of 46 places at most.
 SHARED = MIN_WORDS - SHINGLE + 1 - (MIN_WORDS - SHINGLE) // 9
 PAIRS = "tb bigint, ta bigint, lb int, rb int, la int, ra int, key bigint, salt int"
+REGIONS = "tb bigint, ta bigint, lb int, rb int, la int, ra int, keys array<struct<key:bigint,lb:int,rb:int>>"
 LINK = ["tb", "ta", "start", "end", "partner_start", "partner_end", "similarity"]
 VERIFIED = ("tb bigint, ta bigint, start bigint, end bigint, partner_start bigint, partner_end bigint, similarity double, "
             "key bigint")
+KEYED = ("tid bigint, lo int, hi int, part binary, owner bigint, need int, most int, common bigint, rare binary, "
+         "shared binary")
+KEYED_AS = pa.schema([
+    ("tid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("part", pa.binary()), ("owner", pa.int64()), ("need", pa.int32()),
+    ("most", pa.int32()), ("common", pa.int64()), ("rare", pa.binary()), ("shared", pa.binary())])
+# Bytes of the stretches that others meet together, and of places of them that are compared at once.
+GROUP, CELLS = 1 << 18, 1 << 22
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def scrambled(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' shingles one after another, and the bounds of each text's."""
     data = np.frombuffer(b" " + b"\n".join(t.lower() for t in texts) + b" ", np.uint8)
@@ -227,6 +232,45 @@ def _windows(hot: np.ndarray):
     return windows
 
 
+def _dealt_windows(hot: np.ndarray, parts: int):
+    """Windows of texts as blocks of columns (key, tid, salt, l, r), dealt by key and salt."""
+    windows = _windows(hot)
+
+    def dealt_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in windows(batches):
+            key, tid, place = (c.to_numpy() for c in batch.columns)
+            salt = place >> SALT_AT
+            part = dealt.part_of(key ^ scrambled(salt.view(np.uint64) + np.uint64(1)).view(np.int64), parts)
+            yield dealt.packed(part, [key, tid, salt, place >> L_AT & BITS, place & BITS])
+
+    return dealt_windows
+
+
+def _dealt_partners(hot: np.ndarray):
+    """Partners of the windows that ``_dealt_windows`` made; only those of a hot key or of one that comes again are sorted."""
+    partners = _partners(hot)
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, tid, salt, low, high in dealt.gathered(batches, 5):
+            order = np.argsort(key)
+            ranked = key[order]
+            again = ranked[1:] == ranked[:-1]
+            use = np.r_[False, again] | np.r_[again, False]
+            known = np.zeros(len(key) + 1, np.int64)
+            np.add.at(known, np.searchsorted(ranked, hot), 1)
+            np.add.at(known, np.searchsorted(ranked, hot, "right"), -1)
+            use = order[use | (np.cumsum(known)[:-1] > 0)]
+            key, tid, place = key[use], tid[use], salt[use] << SALT_AT | low[use] << L_AT | high[use]
+            order = np.lexsort((place, tid, key))
+            yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (key, tid, place)], ["key", "tid", "place"])
+
+    def dealt_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from partners(ordered(batches))
+        tidy()
+
+    return dealt_partners
+
+
 def _partners(hot: np.ndarray):
     """Pair each window with the first text of its key and with the text before it.
 
@@ -346,10 +390,36 @@ def matches(parts_b: list[bytes], parts_a: list[bytes]) -> tuple[np.ndarray, np.
     match = a[np.searchsorted(a, b)] == b
     total = np.r_[0, np.cumsum(match)]
     n = max(len(b) - least + 1, 0)
-    near = (total[least:least + n] - total[:n] >= SHARED) & (of[:n] == of[least - 1:least - 1 + n])
+    near = begins(total)[:n] & (of[:n] == of[least - 1:least - 1 + n])
     return match, bounds, np.unique(of[:n][near])
 
 
+def begins(total: np.ndarray) -> np.ndarray:
+    """Places where a stretch may begin, by the matches before each place along the last axis.
+
+    Less than a ninth of any beginning of a stretch is not matched: none of nine places, one of 18 at most, and so on.
+    """
+    least = MIN_WORDS - SHINGLE + 1
+    n = max(total.shape[-1] - least, 0)
+    out = np.ones((*total.shape[:-1], n), bool)
+    for size in range(NINE, least + 1, NINE):
+        out &= total[..., size:size + n] - total[..., :n] > size - size // NINE
+    return out
+
+
+def ends(total: np.ndarray) -> np.ndarray:
+    """Places from which a stretch's last places may go, by the matches before each place along the last axis.
+
+    A stretch ends where its score is highest, so at most a ninth of any end of one is not matched.
+    """
+    least = MIN_WORDS - SHINGLE + 1
+    n = max(total.shape[-1] - least, 0)
+    out = np.ones((*total.shape[:-1], n), bool)
+    for size in range(NINE, least + 1, NINE):
+        out &= total[..., least:least + n] - total[..., least - size:least - size + n] >= size - size // NINE
+    return out
+
+
 def compared(b: np.ndarray, a: np.ndarray, least: int, match: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
     """Near-duplicate stretches of two shingle sequences: bounds in b and in a, and their Jaccard similarity.
 
@@ -419,65 +489,208 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [*LINK, "key"])
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stretches of a text that its slices make up."""
-    for batch in batches:
-        for tid, slices, owner in zip(*(c.to_pylist() for c in batch.columns)):
-            slices = [(x["lo"], np.frombuffer(x["part"], np.uint32)) for x in slices]
-            size = max(lo + len(part) for lo, part in slices)
-            values, used = np.zeros(size, np.uint32), np.zeros(size + 2, np.int8)
-            for lo, part in slices:
-                values[lo:lo + len(part)] = part
-                used[lo + 1:lo + len(part) + 1] = 1
-            edge = np.flatnonzero(np.diff(used)).tolist()
-            low, high = edge[::2], edge[1::2]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([tid] * len(low), pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()),
-                 pa.array([values[a:b].tobytes() for a, b in zip(low, high)], pa.binary()),
-                 pa.array([owner] * len(low), pa.int64())], ["tid", "lo", "hi", "part", "owner"])
-
+def _merged(parts: int):
+    """The stretches of a text that its slices make up, and the partition that they go to."""
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of stretches with their places."""
-    for batch in batches:
-        for tid, lo, hi, part, owner in zip(*(c.to_pylist() for c in batch.columns)):
-            columns = [np.frombuffer(part, np.uint32).astype(np.int64), np.full(hi - lo, tid), np.arange(lo, hi, dtype=np.int32),
-                       np.full(hi - lo, lo, np.int32), np.full(hi - lo, hi, np.int32), np.full(hi - lo, owner)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["s", "tid", "at", "lo", "hi", "owner"])
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tid, slices, owner in zip(*(c.to_pylist() for c in batch.columns)):
+                slices = [(x["lo"], np.frombuffer(x["part"], np.uint32)) for x in slices]
+                size = max(lo + len(part) for lo, part in slices)
+                values, used = np.zeros(size, np.uint32), np.zeros(size + 2, np.int8)
+                for lo, part in slices:
+                    values[lo:lo + len(part)] = part
+                    used[lo + 1:lo + len(part) + 1] = 1
+                edge = np.flatnonzero(np.diff(used)).tolist()
+                low, high = edge[::2], edge[1::2]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([tid] * len(low), pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()),
+                     pa.array([values[a:b].tobytes() for a, b in zip(low, high)], pa.binary()),
+                     pa.array([owner] * len(low), pa.int64()),
+                     pa.array(dealt.part_of(np.full(len(low), tid), parts))], ["tid", "lo", "hi", "part", "owner", "to"])
+
+    return merged
 
 
 def rarest(size: int, at: np.ndarray, shared: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Indices of places, of a stretch of ``size``, one of which any stretch of another text that is alike must have.
 
-    ``at`` are the places whose shingles others have, too.  At the beginning of an alike stretch at least
-    ``SHARED`` places are matched, so one of the rarest others and one more is.
+    ``at`` are the places whose shingles others have, too.  The first nine places of an alike stretch are all matched, so
+    the rarest of them is.
     """
-    least = MIN_WORDS - SHINGLE + 1
-    if size < least or len(at) < SHARED:
-        return np.empty(0, np.int64)
-    rank = np.full(size, -1, np.int64)
-    rank[at[np.lexsort((shared, count))]] = np.arange(len(at))
-    parts = np.lib.stride_tricks.sliding_window_view(rank, least)
-    enough = np.flatnonzero((parts >= 0).sum(1) >= SHARED)
-    chosen = np.zeros(size, bool)
-    for low in range(0, len(enough), 4096):
-        some = enough[low:low + 4096]
-        order = np.argpartition(parts[some], least - SHARED, 1)[:, :least - SHARED + 1]
-        chosen[(some[:, None] + order).ravel()] = True
+    match, rank = np.zeros(size, bool), np.full(size, len(at))
+    match[at] = True
+    chosen, found = np.zeros(size, bool), segments(match, MIN_WORDS - SHINGLE + 1, RATIOS[0])
+    if found:
+        rank[at[np.lexsort((shared, count))]] = np.arange(len(at))
+        first = begins(np.r_[0, np.cumsum(match)])
+    for low, high in found:
+        some = low + np.flatnonzero(first[low:high - MIN_WORDS + SHINGLE])
+        chosen[some + np.lib.stride_tricks.sliding_window_view(rank, NINE)[some].argmin(1)] = True
     return np.flatnonzero(chosen[at])
 
 
-def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def in_common(match: np.ndarray, values: np.ndarray) -> tuple[int, int]:
+    """Of shingles of which others have those of ``match``: how many different ones a stretch of another text must at least
+    have in common with one of these to be alike, and the most that a stretch of these can have in common with others."""
+    least, need = MIN_WORDS - SHINGLE + 1, len(values)
+    found, most = segments(match, 1, RATIOS[0]), 0
+    for low, high in sorted(found, key=lambda x: x[0] - x[1]):
+        if high - low <= most:
+            break
+        most = max(most, len(np.unique(values[low:high][match[low:high]])))
+    found = [(low, high) for low, high in found if high - low >= least]
+    if not found:
+        return need, most
+    first = begins(np.r_[0, np.cumsum(match)])
+    order = np.argsort(values, kind="stable")
+    again = order[1:][(values[order[1:]] == values[order[:-1]]) & (order[1:] - order[:-1] < least)]
+    for low, high in found:
+        distinct = least
+        if ((again >= low) & (again < high)).any():
+            some = low + np.flatnonzero(first[low:high - least + 1])
+            distinct = min((len(np.unique(values[i:i + least])) for i in some.tolist()), default=least)
+        need = min(need, int(np.ceil(SIMILARITY * distinct - 1e-9)))
+    return need, most
+
+
+def _dealt_shingles(parts: int):
+    """The different shingles of stretches as blocks of columns (shingle, tid, lo, owner), dealt by shingle."""
+
+    def dealt_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = [np.unique(np.frombuffer(x, np.uint32)) for x in batch.column(3).to_pylist()]
+            of = np.repeat(np.arange(len(values)), [len(x) for x in values])
+            s = np.concatenate(values).astype(np.int64)
+            tid, lo, owner = (batch.column(i).to_numpy().astype(np.int64)[of] for i in (0, 1, 4))
+            yield dealt.packed(dealt.part_of(s, parts), [s, tid, lo, owner])
+
+    return dealt_shingles
+
+
+def _dealt_shared(parts: int):
+    """Shingles that stretches of several owners have, with the number of stretches, dealt by text."""
+
+    def dealt_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, tid, lo, owner in dealt.gathered(batches, 4):
+            order = np.argsort(s)
+            s, tid, lo, owner = (x[order] for x in (s, tid, lo, owner))
+            at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            size = np.diff(np.append(at, len(s)))
+            several = np.repeat(np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at), size)
+            if several.any():
+                tid = tid[several]
+                yield dealt.packed(dealt.part_of(tid, parts), [tid, lo[several], s[several], np.repeat(size, size)[several]])
+
+    return dealt_shared
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches with what is needed to find others that may be alike, from stretches and blocks of shared shingles."""
+    stretches, blocks = {}, []
+    for batch in batches:
+        kind = batch.column(0).is_valid()
+        for x in batch.filter(kind).select(list(range(5))).to_pylist():
+            stretches.setdefault(x["tid"], []).append(x)
+        blocks.append(batch.filter(pc.invert(kind)).select(list(range(5, 11))))
+    for rows in dealt.gathered(iter(blocks), 4):
+        order = np.lexsort((rows[2], rows[1], rows[0]))
+        tid, lo, s, n = (x[order] for x in rows)
+        first = np.r_[True, (tid[1:] != tid[:-1]) | (lo[1:] != lo[:-1])]
+        bounds = np.append(np.flatnonzero(first), len(tid)).tolist()
+        found = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            x = next(x for x in stretches[int(tid[a])] if x["lo"] == lo[a])
+            values = np.frombuffer(x["part"], np.uint32).astype(np.int64)
+            where = np.minimum(np.searchsorted(s[a:b], values), b - a - 1)
+            match = s[a:b][where] == values
+            at = np.flatnonzero(match)
+            use = at[rarest(len(values), at, values[at], n[a:b][where[at]])]
+            need, most = in_common(match, values)
+            names = (np.unique(values[use]), s[a:b])
+            found.append((*x.values(), need, most, int(s[a:b][n[a:b].argmax()]), *(x.astype(np.uint32).tobytes() for x in names)))
+            if len(found) == 256 or b == len(tid):
+                yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*found), KEYED_AS)], schema=KEYED_AS)
+                found = []
+    tidy()
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each of the shingles in the first column, with the other columns."""
     for batch in batches:
-        first = batch.column(4).offsets.to_numpy()
-        at, s, n = (x.to_numpy() for x in batch.column(4).values.flatten())
-        for tid, lo, hi, owner, begin, end in zip(*(batch.column(k).to_pylist() for k in range(4)), first[:-1], first[1:]):
-            own = slice(begin, end)
-            some = np.unique(s[own][rarest(hi - lo, at[own] - lo, s[own], n[own])])
-            if len(some):
-                columns = [some, np.full(len(some), tid), np.full(len(some), lo, np.int32), np.full(len(some), hi, np.int32),
-                           np.full(len(some), owner)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["s", "tb", "lb", "rb", "owner"])
+        parts = batch.column(0).to_pylist()
+        s = np.frombuffer(b"".join(parts), np.uint32).astype(np.int64)
+        of = np.repeat(np.arange(len(parts)), [len(x) // 4 for x in parts])
+        for low in range(0, len(s), 1 << 16):
+            some = pa.array(of[low:low + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(s[low:low + (1 << 16)]), *(x.take(some) for x in batch.columns[1:])],
+                                             ["s", *batch.schema.names[1:]])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the stretches that meet a group of others; the group's rows come first."""
+    least = MIN_WORDS - SHINGLE + 1
+    kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
+    group, members, index = None, [], None
+    for batch in batches:
+        rows = []
+        for at, first, tid, lo, owner, part in zip(*(c.to_pylist() for c in batch.columns)):
+            b = np.frombuffer(part, np.uint32)
+            if at != group:
+                group, members = at, []
+            if first:
+                members.append((tid, lo, owner, b))
+                index = None
+                continue
+            if index is None:
+                parts = [np.unique(x[3]) for x in members]
+                names = np.concatenate(parts)
+                order = np.argsort(names, kind="stable")
+                index = names[order], np.repeat(np.arange(len(parts)), [len(x) for x in parts])[order]
+                ids, owners = (np.array([x[k] for x in members], np.int64) for k in (0, 2))
+            for a, match in alike(b, *index, np.flatnonzero((ids < tid) & (owners != owner)), len(members)):
+                other, start, _, values = members[a]
+                for s, e, v, w, j in compared(b, values, least, match):
+                    rows.append((tid, other, lo + s, lo + e + SHINGLE - 1, start + v, start + w + SHINGLE - 1, j, None))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [*LINK, "key"])
+    tidy()
+
+
+def alike(b: np.ndarray, names: np.ndarray, of: np.ndarray, use: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of the ``use`` among ``size`` sequences those that may be alike a stretch of b, and which places of b are in each.
+
+    ``names`` are the different shingles of each sequence, sorted, and ``of`` tells whose they are.
+    """
+    step = max(CELLS // max(len(b), 1), 1)
+    for begin in range(0, size, step):
+        some = use[(use >= begin) & (use < begin + step)]
+        if not len(some):
+            continue
+        if step < size:
+            own = (of >= begin) & (of < begin + step)
+        a, whose = (names[own], of[own]) if step < size else (names, of)
+        low = np.searchsorted(a, b)
+        count = np.searchsorted(a, b, "right") - low
+        ends_at = np.cumsum(count)
+        place = np.repeat(np.arange(len(b)), count)
+        whose = whose[np.arange(len(place)) + np.repeat(low - ends_at + count, count)]
+        some = some[np.bincount(whose, minlength=size)[some] >= SHARED]
+        if not len(some):
+            continue
+        row = np.full(size, -1)
+        row[some] = np.arange(len(some))
+        row = row[whose]
+        match = np.zeros((len(some), len(b)), bool)
+        match[row[row >= 0], place[row >= 0]] = True
+        total = np.zeros((len(some), len(b) + 1), np.int32)
+        np.cumsum(match, 1, out=total[:, 1:])
+        first, last = begins(total), ends(total)[:, ::-1]
+        near = first.any(1) & last.any(1) & (first.argmax(1) < first.shape[1] - last.argmax(1))
+        for i in np.flatnonzero(near).tolist():
+            yield int(some[i]), match[i]
 
 
 def closed(opened: DataFrame) -> DataFrame:
@@ -500,31 +713,62 @@ def closed(opened: DataFrame) -> DataFrame:
                 F.when(F.col("_i") == 0, F.col("key")).alias("key")))
 
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions of all pairs of windows of a partition, widened; windows of two texts that overlap or touch make one."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    tb, ta, lb, rb, la, ra = (table.column(i).to_numpy().astype(np.int64) for i in range(6))
+    named = table.column(6).is_valid().to_numpy()
+    key = pc.fill_null(table.column(6), 0).to_numpy()
+    order = np.lexsort((la, rb, lb, ta, tb))
+    tb, ta, lb, rb, la, ra, named, key = (x[order] for x in (tb, ta, lb, rb, la, ra, named, key))
+    fresh = np.r_[True, (tb[1:] != tb[:-1]) | (ta[1:] != ta[:-1])]
+    base = np.cumsum(fresh) << 32
+    reach = np.maximum.accumulate(base + rb) - base
+    first = fresh | np.r_[True, lb[1:] > reach[:-1] + 1]
+    at, region = np.flatnonzero(first), np.cumsum(first) - 1
+    wide = [np.minimum.reduceat(lb, at) // GRID * GRID, -(-(np.maximum.reduceat(rb, at) + 1) // GRID) * GRID,
+            np.minimum.reduceat(la, at) // GRID * GRID, -(-(np.maximum.reduceat(ra, at) + 1) // GRID) * GRID]
+    # Regions that are the same when they are widened are one.
+    columns = [tb[at], ta[at], *wide]
+    order = np.lexsort(columns[::-1])
+    columns = [x[order] for x in columns]
+    first = np.r_[True, np.any([x[1:] != x[:-1] for x in columns], axis=0)]
+    group = np.empty(len(at), np.int64)
+    group[order] = np.cumsum(first) - 1
+    columns = [x[first] for x in columns]
+    some = np.flatnonzero(named)
+    owner = group[region[some]]
+    some = some[np.argsort(owner, kind="stable")]
+    bounds = np.searchsorted(np.sort(owner), np.arange(len(columns[0]) + 1)).astype(np.int32)
+    keys = pa.StructArray.from_arrays([pa.array(key[some]), pa.array(lb[some], pa.int32()), pa.array(rb[some], pa.int32())],
+                                      ["key", "lb", "rb"])
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+    out = pa.RecordBatch.from_arrays(
+        [*(pa.array(x, k) for x, k in zip(columns, kinds)), pa.ListArray.from_arrays(pa.array(bounds), keys)],
+        ["tb", "ta", "lb", "rb", "la", "ra", "keys"])
+    for low in range(0, out.num_rows, 1 << 14):
+        yield out.slice(low, 1 << 14)
+    tidy()
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """Regions (tb, ta, lb, rb, la, ra, keys) of two texts where windows of a joint key meet; docs has (tid, text).
 
-    ``keys`` are the joint keys with windows (key, lb, rb) of tb of which ta is the first text.
+    Regions are widened to multiples of ``GRID``, with exclusive ends.  ``keys`` are the joint keys with windows (key, lb, rb)
+    of tb of which ta is the first text.
     """
     parts = shuffle_partitions(docs.sparkSession)
     hot = hot_keys(docs)
-    pairs = (
-        docs.select("tid", "text").mapInArrow(_windows(hot), WINDOWS)
-        .repartition(parts, "key", F.shiftright("place", SALT_AT)).sortWithinPartitions("key", "tid", "place")
-        .mapInArrow(_partners(hot), PAIRS))
+    windows = docs.select("tid", "text").mapInArrow(_dealt_windows(hot, parts), dealt.schema(5))
+    pairs = dealt.shuffled(windows).mapInArrow(_dealt_partners(hot), PAIRS)
     if len(hot):
         pairs = stored(pairs)  # read twice
         opened = pairs.filter("ta IS NULL")
         pairs = pairs.filter("ta IS NOT NULL").drop("salt").unionByName(closed(opened))
-    # Windows of a pair that overlap or touch make one region.
-    pair = Window.partitionBy("tb", "ta").orderBy("lb", "rb", "la")
-    reach = F.max("rb").over(pair.rowsBetween(Window.unboundedPreceding, -1))
-    region = F.sum((F.col("lb") > F.coalesce(F.col("_reach") + 1, F.lit(-1))).cast("int")).over(pair)
-    return (
-        pairs.withColumn("_reach", reach).withColumn("_region", region)
-        .groupBy("tb", "ta", "_region").agg(
-            F.min("lb").alias("lb"), F.max("rb").alias("rb"), F.min("la").alias("la"), F.max("ra").alias("ra"),
-            F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "lb", "rb"))).alias("keys"))
-        .drop("_region"))
+    return pairs.select("tb", "ta", "lb", "rb", "la", "ra", "key").repartition(parts, "tb", "ta").mapInArrow(_regions, REGIONS)
 
 
 def verified(regions: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -536,19 +780,18 @@ def verified(regions: DataFrame, pieces: DataFrame) -> DataFrame:
     return stored(regions.select("tb", "ta", "lb", "la", "part_b", "part_a", "keys").mapInArrow(_verified, VERIFIED))
 
 
-def open_pairs(regions: DataFrame, pieces: DataFrame, found: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of stretches (tb, ta, lb, rb, la, ra) of which links between components are still to be found, and the
-    stretches (tid, lo, hi, part).
+def open_links(regions: DataFrame, pieces: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Verified links between texts of different components, of keys whose texts do not all agree with the first one.
 
-    These are stretches of keys whose texts do not all agree with the first one and are of several components.  Of two texts at
-    least ``SHARED`` of 46 places must be shared, so only pairs that share one of the rarest shingles are given out.
+    Stretches of such keys are compared with all stretches of other components but those that cannot be alike.
     ``found`` are the verified rows and ``nodes`` the components so far.
     """
+    parts = shuffle_partitions(regions.sparkSession)
     nodes = nodes.withColumnRenamed("node", "tid")
     owner = F.coalesce("root", "tid")
     keys = found.filter("key IS NOT NULL").select("key").distinct()
-    windows = regions.filter(F.size("keys") > 0).select(
-        "tb", "ta", "lb", "rb", "la", "ra", F.explode("keys.key").alias("key")).join(keys, "key", "left_semi")
+    windows = stored(regions.filter(F.size("keys") > 0).select(
+        "tb", "ta", "lb", "rb", "la", "ra", F.explode("keys.key").alias("key")).distinct().join(keys, "key", "left_semi"))
     texts = windows.select("key", F.col("tb").alias("tid")).unionByName(windows.select("key", F.col("ta").alias("tid"))).distinct()
     keys = texts.join(nodes, "tid", "left").groupBy("key").agg(F.min(owner).alias("_a"), F.max(owner).alias("_b"))
     windows = windows.join(stored(keys.filter("_a != _b").select("key")), "key", "left_semi")
@@ -557,21 +800,33 @@ def open_pairs(regions: DataFrame, pieces: DataFrame, found: DataFrame, nodes: D
     slices = pieces.join(spans, ["tid", "lo", "hi"]).groupBy("tid").agg(F.collect_list(F.struct("lo", "part")).alias("slices"))
     stretches = stored(
         slices.join(nodes, "tid", "left").select("tid", "slices", owner.alias("owner"))
-        .mapInArrow(_merged, "tid bigint, lo int, hi int, part binary, owner bigint"))
-    places = stretches.mapInArrow(_places, "s bigint, tid bigint, at int, lo int, hi int, owner bigint")
-    counts = places.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("_a"), F.max("owner").alias("_b"))
-    shared = stored(places.join(stored(counts.filter("_a != _b").select("s", "n")), "s"))
-    rare = stored(
-        shared.groupBy("tid", "lo", "hi", "owner").agg(F.collect_list(F.struct("at", "s", "n")).alias("places"))
-        .mapInArrow(_rarest, "s bigint, tb bigint, lb int, rb int, owner bigint"))
-    # Components of a shingle first, so that the many places of one are not paired with each other.
-    partners = shared.select("s", F.col("owner").alias("other"), F.col("tid").alias("ta"), F.col("lo").alias("la"),
-                             F.col("hi").alias("ra")).distinct()
-    sides = rare.select("s", "owner").distinct().join(partners.select("s", "other").distinct(), "s").filter("owner != other")
-    pairs = stored(
-        rare.join(sides, ["s", "owner"]).join(partners, ["s", "other"]).filter("tb > ta")
-        .select("tb", "ta", "lb", "rb", "la", "ra").distinct())
-    return pairs, stretches.select("tid", "lo", "hi", "part")
+        .mapInArrow(_merged(parts), "tid bigint, lo int, hi int, part binary, owner bigint, to int"))
+    shingled = stretches.mapInArrow(_dealt_shingles(parts), dealt.schema(4))
+    shared = dealt.shuffled(shingled).mapInArrow(_dealt_shared(parts), dealt.schema(4)).withColumnRenamed("part", "to")
+    both = stretches.unionByName(shared, allowMissingColumns=True)
+    keyed = stored(dealt.shuffled(both, "to").mapInArrow(_keyed, KEYED))
+    # The least frequent shingles of stretches meet groups of stretches that have them.
+    rare = keyed.filter(F.length("rare") > 0).select("rare", "tid", "lo", "owner", "need").mapInArrow(
+        _listed, "s bigint, tid bigint, lo int, owner bigint, need int")
+    least = rare.agg(F.min("need")).first()[0]
+    members = keyed.filter(F.col("most") >= F.lit(least))
+    sizes = members.groupBy("common").agg(F.ceil(F.sum(F.length("part")) / GROUP).alias("_n"))
+    group = F.xxhash64("common", F.pmod(F.xxhash64("tid", "lo"), "_n")).alias("at")
+    members = stored(members.join(sizes, "common").select(group, "tid", "lo", "owner", "part", "most", "shared"))
+    asked = rare.groupBy("s").agg(F.min("need").alias("_need"))
+    groups = (
+        members.select("shared", "at", "tid", "owner", "most").mapInArrow(
+            _listed, "s bigint, at bigint, tid bigint, owner bigint, most int")
+        .join(asked, "s").filter("most >= _need").groupBy("s", "at")
+        .agg(F.max("most").alias("most"), F.min("tid").alias("_first"), F.min("owner").alias("_a"), F.max("owner").alias("_b")))
+    meets = rare.join(groups, "s").filter("most >= need AND tid > _first AND (_a != owner OR _b != owner)").select(
+        "at", "tid", "lo").distinct()
+    meets = stored(meets)
+    columns = ["at", "first", "tid", "lo", "owner", "part"]
+    rows = members.join(meets.select("at").distinct(), "at", "left_semi").withColumn("first", F.lit(True)).select(columns).unionByName(
+        meets.join(keyed, ["tid", "lo"]).withColumn("first", F.lit(False)).select(columns))
+    met = rows.repartition(parts, "at").sortWithinPartitions("at", F.desc("first"))
+    return stored(met.mapInArrow(_met, VERIFIED)).select(LINK)
 
 
 def joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -627,11 +882,6 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     # Stored, so that joins with texts that have very many partners can be split.
     first = stored(owners.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     regions = stored(candidates(rows))
-    wide = [F.col("tb"), F.col("ta")]
-    for side in "ba":
-        wide += [(F.floor(F.col(f"l{side}") / GRID) * GRID).cast("int").alias(f"l{side}"),
-                 (F.ceil((F.col(f"r{side}") + 1) / GRID) * GRID).cast("int").alias(f"r{side}")]
-    regions = regions.groupBy(*wide).agg(F.flatten(F.collect_list("keys")).alias("keys"))
     needs = regions.select(F.col("tb").alias("tid"), F.col("lb").alias("lo"), F.col("rb").alias("hi")).unionByName(
         regions.select(F.col("ta").alias("tid"), F.col("la").alias("lo"), F.col("ra").alias("hi"))).distinct()
     # One document of each text that has regions or copies.
@@ -647,8 +897,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     links = found.filter("key IS NULL").select(LINK)
     nodes = stored(components(links.select(F.col("tb").alias("a"), F.col("ta").alias("b"))))
     if not found.filter("key IS NOT NULL").isEmpty():
-        pairs, stretches = open_pairs(regions, pieces, found, nodes)
-        again = verified(pairs.withColumn("keys", F.array().cast("array<struct<key:bigint,lb:int,rb:int>>")), stretches).select(LINK)
+        again = open_links(regions, pieces, found, nodes)
         links, nodes = links.unionByName(again), joined(nodes, again)
     roots = nodes.join(first.select(F.col("tid").alias("node"), "first"), "node")
     roots = roots.join(roots.groupBy("root").agg(F.min("first").alias("class_id")), "root")
