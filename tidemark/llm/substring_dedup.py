@@ -420,6 +420,11 @@ def ends(total: np.ndarray) -> np.ndarray:
     return out
 
 
+def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which numbers are among some that are sorted."""
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 def compared(b: np.ndarray, a: np.ndarray, least: int, match: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
     """Near-duplicate stretches of two shingle sequences: bounds in b and in a, and their Jaccard similarity.
 
@@ -433,10 +438,10 @@ def compared(b: np.ndarray, a: np.ndarray, least: int, match: np.ndarray | None
         for low, high in segments(match[begin:end], least, RATIOS[level]):
             low, high = begin + low, begin + high
             own = np.unique(b[low:high])
-            found = segments(np.isin(a, own), 1, RATIOS[level])
+            found = segments(among(a, own), 1, RATIOS[level])
             start, stop = max(found, key=lambda x: x[1] - x[0])
             other = np.unique(a[start:stop])
-            same = len(np.intersect1d(own, other, assume_unique=True))
+            same = int(among(other, own).sum())
             share = same / (len(own) + len(other) - same)
             if share >= SIMILARITY:
                 out.append((low, high, start, stop, share))
@@ -631,66 +636,83 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of the stretches that meet a group of others; the group's rows come first."""
-    least = MIN_WORDS - SHINGLE + 1
+    least, group, members, index, waiting = MIN_WORDS - SHINGLE + 1, None, [], None, []
+
+    def links() -> list[tuple]:
+        nonlocal index, waiting
+        if not waiting:
+            return []
+        if index is None:
+            parts = [np.unique(x[3]) for x in members]
+            names = np.concatenate(parts)
+            order = np.argsort(names, kind="stable")
+            index = names[order], np.repeat(np.arange(len(parts)), [len(x) for x in parts])[order]
+        tid, owner, ids, owners = (np.array([x[k] for x in some], np.int64) for some in (waiting, members) for k in (0, 2))
+        use = (ids < tid[:, None]) & (owners != owner[:, None])
+        out = []
+        for i, k, match in alike([x[3] for x in waiting], *index, use):
+            text, lo, _, b = waiting[i]
+            other, start, _, a = members[k]
+            out += [(text, other, lo + s, lo + e + SHINGLE - 1, start + v, start + w + SHINGLE - 1, j, None)
+                    for s, e, v, w, j in compared(b, a, least, match)]
+        waiting = []
+        return out
+
     kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
-    group, members, index = None, [], None
     for batch in batches:
-        rows = []
-        for at, first, tid, lo, owner, part in zip(*(c.to_pylist() for c in batch.columns)):
-            b = np.frombuffer(part, np.uint32)
+        rows, cells = [], 0
+        for at, first, *row, part in zip(*(c.to_pylist() for c in batch.columns)):
             if at != group:
-                group, members = at, []
-            if first:
-                members.append((tid, lo, owner, b))
-                index = None
-                continue
-            if index is None:
-                parts = [np.unique(x[3]) for x in members]
-                names = np.concatenate(parts)
-                order = np.argsort(names, kind="stable")
-                index = names[order], np.repeat(np.arange(len(parts)), [len(x) for x in parts])[order]
-                ids, owners = (np.array([x[k] for x in members], np.int64) for k in (0, 2))
-            for a, match in alike(b, *index, np.flatnonzero((ids < tid) & (owners != owner)), len(members)):
-                other, start, _, values = members[a]
-                for s, e, v, w, j in compared(b, values, least, match):
-                    rows.append((tid, other, lo + s, lo + e + SHINGLE - 1, start + v, start + w + SHINGLE - 1, j, None))
+                rows += links()
+                group, members, index, cells = at, [], None, 0
+            (members if first else waiting).append((*row, np.frombuffer(part, np.uint32)))
+            if not first:
+                cells += len(part) // 4 * len(members)
+                if cells > CELLS:
+                    rows += links()
+                    cells = 0
+        rows += links()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [*LINK, "key"])
     tidy()
 
 
-def alike(b: np.ndarray, names: np.ndarray, of: np.ndarray, use: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of the ``use`` among ``size`` sequences those that may be alike a stretch of b, and which places of b are in each.
+def alike(parts: list[np.ndarray], names: np.ndarray, of: np.ndarray, use: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Of the pairs in ``use`` of sequences and members of a group those that may share a stretch, and which places of
+    the sequence are in the member.
 
-    ``names`` are the different shingles of each sequence, sorted, and ``of`` tells whose they are.
+    ``names`` are the different shingles of each member, sorted, and ``of`` tells whose they are.  Members are taken in turns,
+    so that at most ``CELLS`` places, or those of one member, are held.
     """
-    step = max(CELLS // max(len(b), 1), 1)
+    least, size = MIN_WORDS - SHINGLE + 1, use.shape[1]
+    sizes = np.array([len(x) for x in parts], np.int64)
+    b, step = np.concatenate(parts), max(CELLS // max(int(sizes.sum()), 1), 1)
+    of_b, place_b = np.repeat(np.arange(len(parts)), sizes), np.arange(len(b)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     for begin in range(0, size, step):
-        some = use[(use >= begin) & (use < begin + step)]
-        if not len(some):
-            continue
-        if step < size:
-            own = (of >= begin) & (of < begin + step)
-        a, whose = (names[own], of[own]) if step < size else (names, of)
+        turn = (of >= begin) & (of < begin + step) if step < size else slice(None)
+        a, whose = names[turn], of[turn]
         low = np.searchsorted(a, b)
         count = np.searchsorted(a, b, "right") - low
-        ends_at = np.cumsum(count)
-        place = np.repeat(np.arange(len(b)), count)
-        whose = whose[np.arange(len(place)) + np.repeat(low - ends_at + count, count)]
-        some = some[np.bincount(whose, minlength=size)[some] >= SHARED]
+        at = np.repeat(np.arange(len(b)), count)
+        pair = of_b[at] * size + whose[np.arange(len(at)) + np.repeat(low - np.cumsum(count) + count, count)]
+        some = np.flatnonzero((np.bincount(pair, minlength=use.size) >= SHARED) & use.ravel())
         if not len(some):
             continue
-        row = np.full(size, -1)
-        row[some] = np.arange(len(some))
-        row = row[whose]
-        match = np.zeros((len(some), len(b)), bool)
-        match[row[row >= 0], place[row >= 0]] = True
-        total = np.zeros((len(some), len(b) + 1), np.int32)
-        np.cumsum(match, 1, out=total[:, 1:])
-        first, last = begins(total), ends(total)[:, ::-1]
-        near = first.any(1) & last.any(1) & (first.argmax(1) < first.shape[1] - last.argmax(1))
-        for i in np.flatnonzero(near).tolist():
-            yield int(some[i]), match[i]
+        # The places of all pairs that are left, one pair after another.
+        rank = np.full(use.size, -1)
+        rank[some] = np.arange(len(some))
+        row, length = rank[pair], sizes[some // size]
+        start = np.cumsum(length) - length
+        match = np.zeros(int(length.sum()), bool)
+        match[start[row[row >= 0]] + place_b[at[row >= 0]]] = True
+        total, owner = np.r_[0, np.cumsum(match)], np.repeat(np.arange(len(some)), length)
+        whole = owner[least - 1:] == owner[:max(len(owner) - least + 1, 0)]
+        first, last = (np.flatnonzero(x(total) & whole) for x in (begins, ends))
+        earliest, latest = np.full(len(some), len(match)), np.full(len(some), -1)
+        np.minimum.at(earliest, owner[first], first)
+        np.maximum.at(latest, owner[last], last)
+        for i in np.flatnonzero(earliest <= latest).tolist():
+            yield int(some[i] // size), int(some[i] % size), match[start[i]:start[i] + length[i]]
 
 
 def closed(opened: DataFrame) -> DataFrame:
