@@ -453,16 +453,21 @@ def compared(b: np.ndarray, a: np.ndarray, least: int, match: np.ndarray | None
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of the regions of a text, which is cut into shingles once; and a row with its number of words as the
     end of a region that begins at -1, if it has five or more."""
+    names, kinds = ["tid", "lo", "hi", "part"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
         values, bounds = shingles([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()])
-        for tid, regions, s, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bounds[:-1], bounds[1:]):
-            slim = (values[s:e] >> np.uint64(32)).astype(np.uint32)
+        slim, rows, size = (values >> np.uint64(32)).astype(np.uint32), [[], [], [], []], 0
+        for tid, regions, s, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
             low, high = ([x[k] for x in regions] for k in ("lo", "hi"))
-            parts = [slim[a:b].tobytes() for a, b in zip(low, high)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([tid] * (len(low) + 1)), pa.array([*low, -1], pa.int32()),
-                 pa.array([*high, len(slim) + SHINGLE - 1], pa.int32()), pa.array([*parts, b""], pa.binary())],
-                ["tid", "lo", "hi", "part"])
+            parts = [slim[s + a:min(s + b, e)].tobytes() for a, b in zip(low, high)]
+            for column, some in zip(rows, ([tid] * (len(low) + 1), [*low, -1], [*high, e - s + SHINGLE - 1], [*parts, b""])):
+                column += some
+            size += sum(map(len, parts))
+            if size > TOGETHER:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names)
+                rows, size = [[], [], [], []], 0
+        if rows[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,23 +501,24 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merged(parts: int):
     """The stretches of a text that its slices make up, and the partition that they go to."""
+    names = ["tid", "lo", "hi", "part", "owner", "to"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tid, slices, owner in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = []
+            to = dealt.part_of(batch.column(0).to_numpy(), parts).tolist()
+            for tid, slices, owner, part in zip(*(c.to_pylist() for c in batch.columns), to):
                 slices = [(x["lo"], np.frombuffer(x["part"], np.uint32)) for x in slices]
-                size = max(lo + len(part) for lo, part in slices)
+                size = max(lo + len(x) for lo, x in slices)
                 values, used = np.zeros(size, np.uint32), np.zeros(size + 2, np.int8)
-                for lo, part in slices:
-                    values[lo:lo + len(part)] = part
-                    used[lo + 1:lo + len(part) + 1] = 1
+                for lo, x in slices:
+                    values[lo:lo + len(x)] = x
+                    used[lo + 1:lo + len(x) + 1] = 1
                 edge = np.flatnonzero(np.diff(used)).tolist()
-                low, high = edge[::2], edge[1::2]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([tid] * len(low), pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()),
-                     pa.array([values[a:b].tobytes() for a, b in zip(low, high)], pa.binary()),
-                     pa.array([owner] * len(low), pa.int64()),
-                     pa.array(dealt.part_of(np.full(len(low), tid), parts))], ["tid", "lo", "hi", "part", "owner", "to"])
+                rows += [(tid, a, b, values[a:b].tobytes(), owner, part) for a, b in zip(edge[::2], edge[1::2])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
     return merged
 
